@@ -24,7 +24,7 @@ def with_dirty(body: str, extra_ctes: str = "") -> str:
 
 
 def r6(expr: str) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE), 6)"
+    return f"(ROUND(CAST({expr} AS DOUBLE), 6) + 0.0)"
 
 
 def union_all(parts: Sequence[str]) -> str:
