@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.plans.attach import attach
 from tidewater.plans.quantiles import quantile_wide
 
 
@@ -49,9 +50,9 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     x = F.col(col).cast("double")
-    # q has one row per group: AQE broadcasts it when small, else it is a normal shuffle join
-    j = df.where(x.isNotNull()).select(*by, x.alias("_x")).join(q, by) if by else \
-        df.where(x.isNotNull()).select(x.alias("_x")).join(q)
+    # q has one row per group: AQE broadcasts it when small, else it is a normal
+    # shuffle join; without groups its single row is inlined as literals
+    j = attach(df.where(x.isNotNull()).select(*by, x.alias("_x")), q, by)
     inside = (F.col("_x") >= F.col("lo_fence")) & (F.col("_x") <= F.col("hi_fence"))
     return j.groupBy(*by, "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
