@@ -135,3 +135,19 @@ def carry_next(df: DataFrame, keys: Sequence[str], value: str, out: str, pos_col
             .join(carry, [*keys, BLK], "left")
             .withColumn(out, F.coalesce(F.col("_inblk"), F.col("_carry")))
             .drop("_inblk", "_carry", BLK))
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
+                cols: Sequence[str], suffix: str = "_cum") -> DataFrame:
+    """Running sums of ``cols`` (inclusive) along ``order`` within each key: in-block
+    running sums plus the totals of all earlier blocks (a window over the small
+    (key, block) totals table). ``block`` must be non-decreasing along ``order``."""
+    keys = list(keys)
+    b = df.withColumn(BLK, block.cast("long"))
+    totals = b.groupBy(*keys, BLK).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, BLK, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                          for c in cols])
+    within = Window.partitionBy(*keys, BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.select("*", *[F.sum(c).over(within).alias(f"_w_{c}") for c in cols]).join(offsets, [*keys, BLK])
+    return out.select(*df.columns, *[(F.col(f"_w_{c}") + F.col(f"_o_{c}")).alias(f"{c}{suffix}") for c in cols])
