@@ -438,3 +438,116 @@ def series_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
         out = m.withColumn("median", F.lit(mv[0]["median"] if mv else None).cast("double"))
     return out.select(*by, "n", "mean", "median", "std", "var", "skew", "kurt", "range",
                       (F.col("std") / F.col("mean")).alias("cv"))
+
+
+# --- A33 / A40-A43: composite reports ---------------------------------------------------
+
+def recommendations(df: DataFrame, cardinality: int = 100, skew: float = 2.0, corr: float = 0.9) -> DataFrame:
+    """(category, column, action) rule hits from the profile tables."""
+    from tidewater.operators.schema import type_issues
+    parts = []
+    m = missing_summary(df, only_missing=True)
+    parts.append(m.limit(1).select(F.lit("missing").alias("category"), F.lit(None).cast("string").alias("column"),
+                                   F.lit("handle_missing").alias("action")))
+    parts.append(m.where(F.col("missing_pct") > 50).select(F.lit("missing").alias("category"), "column",
+                                                            F.lit("drop_column").alias("action")))
+    parts.append(m.where((F.col("missing_pct") > 20) & (F.col("missing_pct") <= 50)).select(
+        F.lit("missing").alias("category"), "column", F.lit("impute").alias("action")))
+    parts.append(duplicate_summary(df).where(F.col("duplicate_rows") > 0).select(
+        F.lit("duplicates").alias("category"), F.lit(None).cast("string").alias("column"),
+        F.lit("remove_duplicates").alias("action")))
+    parts.append(type_issues(df).limit(1).select(F.lit("types").alias("category"), F.lit(None).cast("string").alias("column"),
+                                                 F.lit("standardize_types").alias("action")))
+    num = numeric_columns(df)
+    parts.append(outlier_report(df, num).select(F.lit("outliers").alias("category"), "column",
+                                                F.lit("handle_outliers").alias("action")))
+    cats = categorical_columns(df)
+    if cats:
+        nd = unpivot_row(df.agg(*[F.count_distinct(c).alias(f"{c}__nd") for c in cats]), cats, ["nd"])
+        parts.append(nd.where(F.col("nd") > cardinality).select(F.lit("cardinality").alias("category"), "column",
+                                                               F.lit("reduce_cardinality").alias("action")))
+    if num:
+        parts.append(distribution_shape(df, num).where(F.abs("skew") > skew).select(
+            F.lit("skew").alias("category"), "column", F.lit("transform_skewed").alias("action")))
+        parts.append(strong_correlations(df, num, corr).select(
+            F.lit("correlation").alias("category"), F.concat_ws("|", "col_a", "col_b").alias("column"),
+            F.lit("drop_collinear").alias("action")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def data_context(df: DataFrame) -> DataFrame:
+    """(section, column, metric, value) with shape, nulls and numeric stats."""
+    n_rows = df.agg(F.count(F.lit(1)).cast("double").alias("v"))
+    shape = n_rows.select(F.lit("shape").alias("section"), F.lit(None).cast("string").alias("column"),
+                          F.lit("rows").alias("metric"), F.col("v").alias("value")).unionByName(
+        df.sparkSession.createDataFrame([("shape", None, "columns", float(len(df.columns)))],
+                                        "section string, column string, metric string, value double"))
+    nulls = missing_summary(df).select(F.lit("nulls").alias("section"), "column", F.lit("missing").alias("metric"),
+                                       F.col("missing").cast("double").alias("value"))
+    num = numeric_columns(df)
+    m = moments(df, num)
+    stats = m.select(F.lit("stats").alias("section"), "column", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("metric"), F.col(s).alias("value")) for s in ("mean", "std", "min", "max")])).alias("s")) \
+        .select("section", "column", "s.metric", "s.value")
+    return shape.unionByName(nulls).unionByName(stats)
+
+
+def data_report(df: DataFrame) -> DataFrame:
+    """(section, name, metric, value): column types, missing counts, describe()."""
+    spark = df.sparkSession
+    types = spark.createDataFrame([("types", f.name, f.dataType.simpleString(), 1.0) for f in df.schema.fields],
+                                  "section string, name string, metric string, value double")
+    miss = missing_summary(df).select(F.lit("missing").alias("section"), F.col("column").alias("name"),
+                                      F.lit("missing").alias("metric"), F.col("missing").cast("double").alias("value"))
+    d = describe_numeric(df)
+    stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    desc = d.select(F.lit("describe").alias("section"), F.col("column").alias("name"), F.explode(F.array(*[
+        F.struct(F.lit(s).alias("metric"), F.col(s).cast("double").alias("value")) for s in stats])).alias("s")) \
+        .select("section", "name", "s.metric", "s.value")
+    return types.unionByName(miss).unionByName(desc)
+
+
+def key_insights(df: DataFrame, corr_threshold: float = 0.7) -> DataFrame:
+    """Rows, columns, average missing % over columns, number of strong correlations."""
+    m = missing_summary(df).agg(F.avg("missing_pct").alias("avg_missing_pct"))
+    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    k = strong_correlations(df, numeric_columns(df), corr_threshold).agg(F.count(F.lit(1)).alias("strong_correlations"))
+    r = (n.collect()[0], m.collect()[0], k.collect()[0])
+    return df.sparkSession.createDataFrame(
+        [(int(r[0]["n_rows"]), len(df.columns), float(r[1]["avg_missing_pct"]), int(r[2]["strong_correlations"]))],
+        "n_rows long, n_cols long, avg_missing_pct double, strong_correlations long")
+
+
+def eda_summary(df: DataFrame) -> DataFrame:
+    """The whole EDA summary as one long table (section, column, metric, value),
+    sharing one cached scan of the input."""
+    cached = df.cache()
+    try:
+        basic = basic_summary(cached)
+        b = basic.select(F.lit("basic").alias("section"), F.lit(None).cast("string").alias("column"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+            for c in ("n_rows", "n_cols", "n_duplicates")])).alias("s")).select("section", "column", "s.metric", "s.value")
+        miss = missing_summary(cached).select(F.lit("missing").alias("section"), "column",
+                                              F.lit("missing_pct").alias("metric"), F.col("missing_pct").alias("value"))
+        num = numeric_columns(cached)
+        shape = distribution_shape(cached, num)
+        sk = shape.select(F.lit("distribution").alias("section"), "column", F.explode(F.array(
+            F.struct(F.lit("skew").alias("metric"), F.col("skew").alias("value")),
+            F.struct(F.lit("kurt").alias("metric"), F.col("kurt").alias("value")))).alias("s")).select(
+            "section", "column", "s.metric", "s.value")
+        desc = describe_numeric(cached, num)
+        ds = desc.select(F.lit("describe").alias("section"), "column", F.explode(F.array(*[
+            F.struct(F.lit(s).alias("metric"), F.col(s).cast("double").alias("value"))
+            for s in ("mean", "std", "q50")])).alias("s")).select("section", "column", "s.metric", "s.value")
+        out = b.unionByName(miss).unionByName(sk).unionByName(ds)
+        return cut_checkpointed(out)
+    finally:
+        cached.unpersist()
+
+
+def cut_checkpointed(df: DataFrame) -> DataFrame:
+    from tidewater.session import cut_lineage
+    return cut_lineage(df)

@@ -294,3 +294,71 @@ SELECT event_type, CAST(count(value) AS BIGINT) AS n, {r6('avg(value)')} AS mean
   {r6('stddev_samp(value) / avg(value)')} AS cv FROM events GROUP BY event_type""")
 def series_stats_by_type(spark, d):
     return P.series_stats(table(spark, d, "events"), "value", by=["event_type"])
+
+
+# --- A33 / A40-A43 ------------------------------------------------------------------
+def _rec_sql() -> str:
+    miss = _missing_sql()
+    num = DIRTY_NUMERIC
+    skew_parts = union_all([f"SELECT '{c}' AS c, skewness({c}) AS sk FROM dirty" for c in num])
+    corr_parts = union_all([f"SELECT '{a}|{b}' AS c, corr({a}, {b}) AS r FROM dirty" for i, a in enumerate(num) for b in num[i + 1:]])
+    return with_dirty(f"""
+SELECT * FROM (SELECT 'missing' AS category, CAST(NULL AS VARCHAR) AS {q('column')}, 'handle_missing' AS action
+  FROM ({miss}) WHERE missing > 0 LIMIT 1)
+UNION ALL SELECT 'missing', {q('column')}, 'drop_column' FROM ({miss}) WHERE missing > 0 AND missing_pct > 50
+UNION ALL SELECT 'missing', {q('column')}, 'impute' FROM ({miss}) WHERE missing > 0 AND missing_pct > 20 AND missing_pct <= 50
+UNION ALL SELECT 'duplicates', NULL, 'remove_duplicates' FROM (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS d FROM dirty) WHERE d > 0
+UNION ALL SELECT * FROM (SELECT 'types', NULL, 'standardize_types' FROM ({_dirty_type_issue_cols_sql()}) LIMIT 1)
+UNION ALL SELECT 'outliers', c, 'handle_outliers' FROM ({_dirty_outlier_cols_sql()})
+UNION ALL SELECT 'cardinality', 'event_type', 'reduce_cardinality' FROM dirty HAVING count(DISTINCT event_type) > 100
+UNION ALL SELECT 'skew', c, 'transform_skewed' FROM ({skew_parts}) WHERE abs(sk) > 2
+UNION ALL SELECT 'correlation', c, 'drop_collinear' FROM ({corr_parts}) WHERE abs(r) > 0.9""")
+
+
+@register("recommendations", _rec_sql())
+def recommendations(spark, d):
+    return P.recommendations(dirty(spark, d).drop("ts"))
+
+
+@register("data_context", f"""
+SELECT 'shape' AS section, CAST(NULL AS VARCHAR) AS {q('column')}, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM lineitem
+UNION ALL SELECT 'shape', NULL, 'columns', 11.0
+UNION ALL {union_all([f"SELECT 'nulls', '{c}', 'missing', CAST(count(*) - count({c}) AS DOUBLE) FROM lineitem" for c in LINEITEM_NUMERIC + ['l_returnflag', 'l_linestatus', 'l_shipdate']])}
+UNION ALL {union_all([f"SELECT 'stats', '{c}', '{m}', {r6(f'{m}({c})'.replace('mean(', 'avg(').replace('std(', 'stddev_samp('))} FROM lineitem" for c in LINEITEM_NUMERIC for m in ('mean', 'std', 'min', 'max')])}""")
+def data_context(spark, d):
+    return P.data_context(table(spark, d, "lineitem"))
+
+
+_DR_TYPES = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+             ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+             ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
+
+
+@register("data_report", "SELECT * FROM (VALUES " + ", ".join(f"('types', '{c}', '{t}', 1.0)" for c, t in _DR_TYPES)
+          + ") t(section, name, metric, value) WHERE (SELECT count(*) FROM lineitem) >= 0\nUNION ALL "
+          + union_all([f"SELECT 'missing', '{c}', 'missing', CAST(count(*) - count({c}) AS DOUBLE) FROM lineitem" for c, _ in _DR_TYPES])
+          + "\nUNION ALL SELECT section, name, metric, value FROM ("
+          + union_all([f"""SELECT 'describe' AS section, '{c}' AS name, unnest(['count', 'mean', 'std', 'min', 'q25', 'q50', 'q75', 'max']) AS metric,
+  unnest([CAST(count({c}) AS DOUBLE), {r6(f'avg({c})')}, {r6(f'stddev_samp({c})')}, {r6(f'min({c})')}, {r6(f'quantile_cont({c}, 0.25)')},
+          {r6(f'quantile_cont({c}, 0.5)')}, {r6(f'quantile_cont({c}, 0.75)')}, {r6(f'max({c})')}]) AS value FROM lineitem""" for c in LINEITEM_NUMERIC]) + ")")
+def data_report(spark, d):
+    return P.data_report(table(spark, d, "lineitem"))
+
+
+@register("key_insights", with_dirty(f"""
+SELECT CAST((SELECT count(*) FROM dirty) AS BIGINT) AS n_rows, CAST(8 AS BIGINT) AS n_cols,
+  {r6(f'(SELECT avg(missing_pct) FROM ({_missing_sql()}))')} AS avg_missing_pct,
+  CAST((SELECT count(*) FROM ({union_all([f"SELECT corr({a}, {b}) AS r FROM dirty" for i, a in enumerate(DIRTY_NUMERIC) for b in DIRTY_NUMERIC[i + 1:]])}) WHERE abs(r) > 0.7) AS BIGINT) AS strong_correlations"""))
+def key_insights(spark, d):
+    return P.key_insights(dirty(spark, d))
+
+
+@register("eda_summary", with_dirty(f"""
+SELECT 'basic' AS section, CAST(NULL AS VARCHAR) AS {q('column')}, 'n_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM dirty
+UNION ALL SELECT 'basic', NULL, 'n_cols', 8.0
+UNION ALL SELECT 'basic', NULL, 'n_duplicates', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS DOUBLE) FROM dirty
+UNION ALL SELECT 'missing', {q('column')}, 'missing_pct', missing_pct FROM ({_missing_sql()})
+UNION ALL {union_all([f"SELECT 'distribution', '{c}', 'skew', {r6(f'skewness({c})')} FROM dirty UNION ALL SELECT 'distribution', '{c}', 'kurt', {r6(f'kurtosis({c})')} FROM dirty" for c in DIRTY_NUMERIC])}
+UNION ALL {union_all([f"SELECT 'describe', '{c}', 'mean', {r6(f'avg({c})')} FROM dirty UNION ALL SELECT 'describe', '{c}', 'std', {r6(f'stddev_samp({c})')} FROM dirty UNION ALL SELECT 'describe', '{c}', 'q50', {r6(f'quantile_cont({c}, 0.5)')} FROM dirty" for c in DIRTY_NUMERIC])}"""))
+def eda_summary(spark, d):
+    return P.eda_summary(dirty(spark, d))
