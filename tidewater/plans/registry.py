@@ -82,12 +82,15 @@ def run_plan(df: DataFrame, goal: str = "default") -> DataFrame:
 _WS = re.compile(r"[ \t\n\r\f]+")
 
 
-@F.pandas_udf("int")
-def word_count_udf(s: pd.Series) -> pd.Series:
-    """Words separated by ASCII whitespace (Arrow batches, no per-row JVM round trip)."""
+def _word_count(s: pd.Series) -> pd.Series:
     return s.fillna("").map(lambda x: len([w for w in _WS.split(x.strip(" \t\n\r\f")) if w])).astype("int32")
 
 
+def word_count_udf():
+    """Words separated by ASCII whitespace (Arrow batches, no per-row JVM round trip)."""
+    return F.pandas_udf(_word_count, "int")
+
+
 def register_function(spark: SparkSession, name: str, fn) -> None:
     """Make a (pandas) UDF callable from SQL by name."""
     spark.udf.register(name, fn)
@@ -95,7 +98,6 @@ def register_function(spark: SparkSession, name: str, fn) -> None:
 
 # --- D6: n-grams as a table function ----------------------------------------------------------
 
-@udtf(returnType="ngram: string, position: int", useArrow=True)
 class NGrams:
     """One row per n-gram of a space-separated token string (documents kept apart)."""
 
@@ -108,4 +110,4 @@ class NGrams:
 
 
 def register_ngrams(spark: SparkSession, name: str = "ngrams") -> None:
-    spark.udtf.register(name, NGrams)
+    spark.udtf.register(name, udtf(NGrams, returnType="ngram: string, position: int", useArrow=True))

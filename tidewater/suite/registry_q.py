@@ -16,7 +16,7 @@ from tidewater.suite.text_q import _ngram_sql, _with_pre, pre
 SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12)), '[ \\t\\n\\r\\f]+'),
   lambda w: w <> '')) AS INT) AS words FROM documents""")
 def udf_register(spark, d):
-    RG.register_function(spark, "tw_word_count", RG.word_count_udf)
+    RG.register_function(spark, "tw_word_count", RG.word_count_udf())
     docs = table(spark, d, "documents")
     return spark.sql("SELECT doc_id, tw_word_count(text) AS words FROM {docs}", docs=docs)
 

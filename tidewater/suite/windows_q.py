@@ -9,18 +9,22 @@ from tidewater.sources.tables import dirty, table
 from tidewater.suite import register
 from tidewater.suite.sqlgen import r6, with_dirty
 
-HOUR_BLOCK = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-ID_BLOCK = F.floor(F.col("event_id") / 4096)
+def hour_block():
+    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+
+
+def id_block():
+    return F.floor(F.col("event_id") / 4096)
 
 
 def events_positioned(spark, d):
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
-    return W.with_positions(ev, ["user_id"], ["ts", "event_id"], HOUR_BLOCK)
+    return W.with_positions(ev, ["user_id"], ["ts", "event_id"], hour_block())
 
 
 def dirty_positioned(spark, d):
     dv = dirty(spark, d).select("event_id", "value")
-    return W.with_positions(dv, [], ["event_id"], ID_BLOCK)
+    return W.with_positions(dv, [], ["event_id"], id_block())
 
 
 @register("win_group_mean", f"""
