@@ -48,8 +48,8 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), max_local: int = 200_000,
-                    buckets: int = 4096, max_rounds: int = 40) -> DataFrame:
+                    by: Sequence[str] = (), max_local: int = 1_000_000,
+                    buckets: int = 16384, max_rounds: int = 40) -> DataFrame:
     """Returns (by..., column, p, q); groups with no values are absent."""
     by = list(by)
     keys = [*by, "column"]
@@ -62,19 +62,20 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                .withColumn("k", F.floor("h").cast("long"))
                .withColumn("k1", F.least(F.col("k") + 1, F.col("n") - 1))
                .withColumn("frac", F.col("h") - F.col("k")))
-    targets = cut_lineage(targets)
+    # one row per (group, column, prob): small, reused by every later step
+    targets = targets.persist()
     # rank -> interval assignment; `below` = number of values smaller than lo
     ranks = (targets.select(*keys, F.explode(F.array("k", "k1")).alias("r"), "lo", "hi",
                             F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"))
              .dropDuplicates([*keys, "r"]))
-    ranks = cut_lineage(ranks)
+    largest = targets.agg(F.max("n")).collect()[0][0] or 0
 
     def open_intervals(rk: DataFrame) -> DataFrame:
         return (rk.where((F.col("cnt") > max_local) & (F.col("lo") < F.col("hi")))
                 .select(*keys, "lo", "hi", "below").dropDuplicates([*keys, "lo", "hi"]))
 
     rounds = 0
-    while rounds < max_rounds and open_intervals(ranks).limit(1).count() > 0:
+    while largest > max_local and rounds < max_rounds and open_intervals(ranks).limit(1).count() > 0:
         rounds += 1
         iv = open_intervals(ranks)
         width = F.col("hi") - F.col("lo")
@@ -95,6 +96,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         ).select(*keys, "r", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
                  (F.col("below") + F.col("before")).alias("below"), F.col("bcnt").alias("cnt"))
         ranks = cut_lineage(settled.unionByName(moved))
+        largest = ranks.where(F.col("lo") < F.col("hi")).agg(F.max("cnt")).collect()[0][0] or 0
 
     # final pick: constant intervals answer directly; small ones are ranked locally
     const = ranks.where(F.col("lo") == F.col("hi")).select(*keys, "r", F.col("lo").alias("v"))

@@ -19,6 +19,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # wide fused profiling aggregates (dozens of moments / correlations in one
+    # pass) keep whole-stage codegen instead of falling back to interpretation
+    "spark.sql.codegen.maxFields": "1000",
 }
 
 
