@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import features as E
 from tidewater.sources.tables import dirty, table
 from tidewater.suite import register
-from tidewater.suite.sqlgen import r6, with_dirty
+from tidewater.suite.sqlgen import q, r6, with_dirty
 
 _P = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TWO_PI = repr(2 * math.pi)
@@ -34,17 +34,25 @@ def feat_group_mean(spark, d):
     return out.select("o_orderkey", *[f"{c}_{n}_mean" for c, n in _GM])
 
 
-_BIN_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
+def _bins_sql() -> str:
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax"]
+    parts = [f"""SELECT l_orderkey, l_linenumber, '{c}' AS {q('column')},
+  CAST(greatest(0, least(4, ceil(({c} - lo) / ((hi - lo) / 5)) - 1)) AS INT) AS bin
+FROM lineitem, (SELECT min({c}) AS lo, max({c}) AS hi, count(DISTINCT {c}) AS nd FROM lineitem) WHERE nd > 10"""
+             for c in cols]
+    return "\nUNION ALL\n".join(parts)
 
 
-@register("feat_bins", "SELECT l_orderkey, l_linenumber, " + ", ".join(
-    f"CAST(greatest(0, least(4, ceil(({c} - lo_{c}) / ((hi_{c} - lo_{c}) / 5)) - 1)) AS INT) AS {c}_binned"
-    for c in _BIN_COLS) + " FROM lineitem, (SELECT " + ", ".join(
-    f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in _BIN_COLS) + " FROM lineitem)")
+@register("feat_bins", _bins_sql())
 def feat_bins(spark, d):
+    """E3 in long form (key, column, bin): which columns get binned is data-driven."""
     li = table(spark, d, "lineitem").drop("l_shipdate", "l_returnflag", "l_linestatus")
     out = E.equal_width_bins(li)
-    return out.select("l_orderkey", "l_linenumber", *[c for c in out.columns if c.endswith("_binned")])
+    binned = [c for c in out.columns if c.endswith("_binned")]
+    cells = F.explode(F.array(*[F.struct(F.lit(c[:-len("_binned")]).alias("column"), F.col(c).alias("bin"))
+                                for c in binned])).alias("s")
+    return out.select("l_orderkey", "l_linenumber", cells).select("l_orderkey", "l_linenumber", "s.column", "s.bin")
 
 
 @register("feat_text", """
