@@ -83,7 +83,12 @@ def stream_rate_limit_live(spark, d):
     return _run_stream(spark, d, ST.rate_limit_stream, mode="append")
 
 
-@register("stream_session_state")
+@register("stream_session_state", """
+SELECT conv_id, turn, role, CAST(sum(1) OVER w AS BIGINT) AS version,
+  CAST(sum(CASE WHEN turn = first_turn THEN 1 ELSE 0 END) OVER w AS BIGINT) AS participants,
+  sum(CASE WHEN turn = first_turn THEN 1 ELSE 0 END) OVER w <= 10 AS within_capacity, 'active' AS status
+FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS first_turn FROM conversations)
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def stream_session_state(spark, d):
     return ST.session_state(table(spark, d, "conversations"))
 

@@ -256,7 +256,11 @@ def ts_anomaly_iforest(spark, d):
     return out.select("event_id", "anomaly_score", "is_anomaly")
 
 
-@register("ts_dirty_series")
+@register("ts_dirty_series", with_dirty(f"""
+SELECT event_id, {r6('CASE WHEN hi = lo THEN 0.0 ELSE (v - lo) / (hi - lo) END')} AS prepared FROM (
+  SELECT event_id, v, min(v) OVER () AS lo, max(v) OVER () AS hi FROM (
+    SELECT event_id, last_value(value IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v
+    FROM dirty))"""))
 def ts_dirty_series(spark, d):
     """Series preparation on the dirty view with forward fill (row counts only)."""
     from tidewater.suite.windows_q import dirty_positioned
