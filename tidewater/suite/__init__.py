@@ -21,13 +21,22 @@ MODULES = ("profile_q", "schema_q", "charts_q", "clean_q", "features_q", "window
            "activity_q", "streaming_q", "registry_q")
 
 
+def round6(c: F.Column) -> F.Column:
+    """Six decimals as floor(x * 1e6 + 0.5000001) / 1e6 - the same IEEE steps the
+    oracle SQL uses. The boundary sits 1e-13 above the decimal half-way point, so
+    values that are exactly half-way in decimal (common for averages of
+    two-decimal data) round the same way even when the two engines' sums differ
+    in the last bit. ``+ 0.0`` turns -0.0 into 0.0."""
+    x = c.cast("double")
+    return F.when(F.abs(x) < 1e12, F.floor(x * 1e6 + 0.5000001) / 1e6).otherwise(x) + F.lit(0.0)
+
+
 def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles so engines that sum in a different order still agree."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            # + 0.0 turns -0.0 into 0.0 so both engines hash the same value
-            out.append((F.round(F.col(f"`{f.name}`").cast("double"), digits) + F.lit(0.0)).alias(f.name))
+            out.append(round6(F.col(f"`{f.name}`")).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

@@ -24,7 +24,10 @@ def with_dirty(body: str, extra_ctes: str = "") -> str:
 
 
 def r6(expr: str) -> str:
-    return f"(ROUND(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    """Six-decimal rounding written the same way in both engines (see suite.finalize)."""
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1e6 + 0.5000001) / 1e6 "
+            f"ELSE {x} END + 0.0)")
 
 
 def union_all(parts: Sequence[str]) -> str:
