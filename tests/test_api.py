@@ -68,3 +68,18 @@ def test_entry_contract(spark):
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 200
+
+
+def test_default_target_is_last_numeric(spark):
+    from tidewater.operators.schema import default_target
+    df = spark.createDataFrame([(1, "a", 2.0, "b")], "x int, s string, y double, t string")
+    assert default_target(df) == "y"
+    assert default_target(df.select("s")) is None
+
+
+def test_hash_sample_is_deterministic(spark):
+    from tidewater.suite.sorts_q import hash_sample
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    a = {r.k for r in hash_sample(df, "k", 0.1).collect()}
+    b = {r.k for r in hash_sample(df.repartition(7), "k", 0.1).collect()}
+    assert a == b and 300 < len(a) < 700

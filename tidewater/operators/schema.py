@@ -266,3 +266,9 @@ def analysis_type(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([("eda",)], "analysis_type string")
     return df.agg(F.avg(F.length(text_cols[0])).alias("avg_len")).select(
         "avg_len", F.when(F.col("avg_len") > 50, "text").otherwise("eda").alias("analysis_type"))
+
+
+def default_target(df: DataFrame) -> str | None:
+    """The analysis plan's target choice - the last numeric column."""
+    nums = numeric_columns(df)
+    return nums[-1] if nums else None

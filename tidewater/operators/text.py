@@ -385,3 +385,85 @@ def readability_simple(df: DataFrame, id_col: str = "doc_id", digits: int | None
     return df.where(F.length("text") > 0).select(
         id_col, rnd(206.835 - 1.015 * asl - 84.6 * awl).alias("flesch_score"),
         rnd(asl).alias("avg_sentence_length"), rnd(awl).alias("avg_word_length"))
+
+
+# --- X19-X21, X24, X25: model-based text features ------------------------------------------
+
+def count_vectors(docs: DataFrame, tokens: str = "tokens", vocab_size: int = 1000, min_df: float = 1.0):
+    """Bag of words with MLlib (vocabulary = the most frequent terms)."""
+    from pyspark.ml.feature import CountVectorizer
+    model = CountVectorizer(inputCol=tokens, outputCol="counts", vocabSize=vocab_size, minDF=min_df).fit(docs)
+    return model, model.transform(docs)
+
+
+def lda_topics(docs: DataFrame, k: int = 5, words: int = 10, seed: int = 42, max_iter: int = 10,
+               tokens: str = "tokens") -> DataFrame:
+    """LDA topics as (topic, rank, term, weight)."""
+    from pyspark.ml.clustering import LDA
+    cv, counted = count_vectors(docs, tokens)
+    model = LDA(k=k, seed=seed, maxIter=max_iter, featuresCol="counts").fit(counted)
+    vocab = cv.vocabulary
+    rows = [(int(r["topic"]), i + 1, vocab[t], float(w))
+            for r in model.describeTopics(words).collect()
+            for i, (t, w) in enumerate(zip(r["termIndices"], r["termWeights"]))]
+    return docs.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
+
+
+def umass_coherence(docs: DataFrame, topics: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """UMass coherence per topic, sum over ordered top-word pairs of
+    log((D(wi, wj) + 1) / D(wj)) with document co-occurrence counts. Only the
+    top words of the topics are looked at, so per document at most
+    (words per topic)^2 pairs are formed."""
+    top = topics.select("topic", "rank", "term")
+    terms = top.select("term").distinct()
+    present = docs.select("doc_id", F.explode(F.array_distinct(tokens)).alias("term")).join(terms, "term")
+    df1 = present.groupBy("term").agg(F.count(F.lit(1)).alias("d1"))
+    a = top.withColumnRenamed("term", "wi").withColumnRenamed("rank", "ri")
+    b = top.withColumnRenamed("term", "wj").withColumnRenamed("rank", "rj")
+    pairs = a.join(b, "topic").where(F.col("ri") > F.col("rj"))
+    pa = present.withColumnRenamed("term", "wi")
+    pb = present.withColumnRenamed("term", "wj")
+    co = pa.join(pb, "doc_id").join(pairs.select("wi", "wj").distinct(), ["wi", "wj"]) \
+        .groupBy("wi", "wj").agg(F.count(F.lit(1)).alias("d2"))
+    scored = pairs.join(co, ["wi", "wj"], "left").join(df1.withColumnRenamed("term", "wj"), "wj", "left")
+    val = F.log((F.coalesce("d2", F.lit(0)) + 1.0) / F.col("d1"))
+    return scored.groupBy("topic").agg(F.sum(val).alias("umass"))
+
+
+def nmf_topics(weights: DataFrame, k: int = 5, words: int = 10, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """Non-negative factorisation of the TF-IDF (doc, term, weight) table with
+    ALS(nonnegative=True); top terms per factor."""
+    from pyspark.ml.recommendation import ALS
+    from pyspark.ml.feature import StringIndexer
+    idx = StringIndexer(inputCol="term", outputCol="term_idx").fit(weights)
+    data = idx.transform(weights).select(F.col(id_col).cast("int").alias("u"), F.col("term_idx").cast("int").alias("i"),
+                                         F.col("weight").cast("float").alias("r"))
+    model = ALS(rank=k, maxIter=10, regParam=0.01, nonnegative=True, seed=seed, userCol="u", itemCol="i",
+                ratingCol="r").fit(data)
+    labels = idx.labels
+    f = model.itemFactors.select("id", F.posexplode("features").alias("topic", "w"))
+    w = Window.partitionBy("topic").orderBy(F.desc("w"), "id")
+    top = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= words)
+    mapping = docs_labels(weights.sparkSession, labels)
+    return top.join(mapping, "id").select("topic", "rank", "term", F.col("w").cast("double").alias("weight"))
+
+
+def docs_labels(spark: SparkSession, labels) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(labels)), "id int, term string")
+
+
+def word2vec_embeddings(docs: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, seed: int = 42,
+                        tokens: str = "tokens") -> DataFrame:
+    """Document vector = mean of its word vectors (MLlib Word2Vec)."""
+    from pyspark.ml.feature import Word2Vec
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol=tokens,
+                     outputCol="embedding").fit(docs)
+    return model.transform(docs)
+
+
+def tfidf_vectors(docs: DataFrame, tokens: str = "tokens", vocab_size: int = 1000) -> DataFrame:
+    """Sparse TF-IDF vectors (CountVectorizer -> IDF -> L2 Normalizer)."""
+    from pyspark.ml.feature import IDF, Normalizer
+    _, counted = count_vectors(docs, tokens, vocab_size)
+    idf = IDF(inputCol="counts", outputCol="raw").fit(counted)
+    return Normalizer(inputCol="raw", outputCol="tfidf", p=2.0).transform(idf.transform(counted))
