@@ -71,7 +71,7 @@ def test_trailing_counts_block_halo(spark):
     rows = [(1, i, f"2024-01-0{1 + (i * 7) // 1440 % 5} {((i * 7) % 1440) // 60:02d}:{(i * 7) % 60:02d}:00")
             for i in range(500)]
     df = spark.createDataFrame(rows, "u int, id int, ts string").withColumn("ts", F.to_timestamp("ts"))
-    out = W.trailing_counts(df, ["u"], "ts", {"w": 3600}).toPandas().sort_values("id")
+    out = W.trailing_counts(df, ["u"], "ts", "id", {"w": 3600}).toPandas().sort_values("id")
     p = df.toPandas().sort_values("ts")
     t = p["ts"].astype("int64").to_numpy()
     exp = [int(((t >= x - 3600 * 10**9) & (t <= x)).sum()) for x in t]

@@ -19,11 +19,13 @@ SESSION_GAP_SECONDS = 24 * 3600
 
 
 def sessionize(df: DataFrame, user: str, ts: str, gap_seconds: int = SESSION_GAP_SECONDS,
-               tiebreak: Sequence[str] = (), block_seconds: int = 3600) -> DataFrame:
+               tiebreak: Sequence[str] = (), target_rows: int = 1_000_000) -> DataFrame:
     """Adds ``session_start`` (timestamp of the session's first event) and
     ``session_id`` = user + start. A gap >= ``gap_seconds`` opens a new session."""
+    from tidewater.plans.ordered import time_blocks
     t = F.col(ts).cast("timestamp")
-    pos = add_positions(df, [user], [ts, *tiebreak], F.floor(F.unix_seconds(t) / block_seconds))
+    blocked = time_blocks(df, [user], ts, target_rows)
+    pos = add_positions(blocked, [user], [ts, *tiebreak], F.col("_tblk")).drop("_tblk")
     prev = rows_frame(pos, [user], 2, lambda _f, o: {"_prev_ts": F.lag(ts, 1).over(o)})
     gap = F.unix_micros(t) - F.unix_micros(F.col("_prev_ts").cast("timestamp"))
     flagged = prev.withColumn("_start", F.when(F.col("_prev_ts").isNull() | (gap >= gap_seconds * 1_000_000),

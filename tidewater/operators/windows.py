@@ -108,12 +108,37 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, cols: Sequenc
 RATE_WINDOWS = {"minute": 60, "hour": 3600, "day": 86400}
 
 
-def trailing_counts(df: DataFrame, keys: Sequence[str], ts: str,
-                    windows: dict[str, int] | None = None) -> DataFrame:
-    """Number of rows of the key in [t - w, t] for each window w."""
+def trailing_counts(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
+                    windows: dict[str, int] | None = None, block_seconds: int = 60) -> DataFrame:
+    """Number of rows of the key with timestamp in [t - w, t] for each window w.
+
+    Exact and skew-safe without any window partition per key: with C(x) the
+    number of the key's rows at or before x (resp. strictly before x),
+    count = C_le(t) - C_lt(t - w). Both are running sums over the union of the
+    rows and one probe row per (row, bound), ordered by time with probes for
+    "strictly before" placed ahead of rows at the same instant and probes for
+    "at or before" after them. The running sum is a block prefix sum over short
+    time blocks, so a hot key is spread over many tasks. ``row_id`` must be
+    unique per row (the probes are matched back on it)."""
+    from tidewater.plans.ordered import prefix_sums
     windows = windows or RATE_WINDOWS
-    widest = max(windows.values())
-
-    def aggs(frame):
-        return {f"n_{name}": F.count(F.lit(1)).over(frame(sec)) for name, sec in windows.items()}
-    return range_frame(df, keys, ts, widest, aggs, block_seconds=widest)
+    keys = list(keys)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    base = df.withColumn("_rid", F.col(row_id)).withColumn("_us", us)
+    data = base.select(*keys, "_us", F.lit(1).alias("_ord"), F.lit(1).cast("long").alias("_one"),
+                       F.lit(None).cast(dict(base.dtypes)["_rid"]).alias("_rid"), F.lit(None).cast("string").alias("_probe"))
+    probes = [base.select(*keys, "_us", F.lit(2).alias("_ord"), F.lit(0).cast("long").alias("_one"), "_rid",
+                          F.lit("le").alias("_probe"))]
+    for name, sec in windows.items():
+        probes.append(base.select(*keys, (F.col("_us") - sec * 1_000_000).alias("_us"), F.lit(0).alias("_ord"),
+                                  F.lit(0).cast("long").alias("_one"), "_rid", F.lit(name).alias("_probe")))
+    u = data
+    for pr in probes:
+        u = u.unionByName(pr)
+    cum = prefix_sums(u, keys, ["_us", "_ord"], F.floor(F.col("_us") / (block_seconds * 1_000_000)), ["_one"])
+    got = cum.where(F.col("_probe").isNotNull()).groupBy("_rid").pivot("_probe", ["le", *windows]).agg(
+        F.first("_one_cum"))
+    out = base.join(got, "_rid")
+    for name in windows:
+        out = out.withColumn(f"n_{name}", F.col("le") - F.col(name))
+    return out.drop("_rid", "_us", "le", *windows)

@@ -52,7 +52,7 @@ SELECT event_id, n_minute, CAST(greatest(0, 30 - n_minute) AS BIGINT) AS remaini
   FROM events)""")
 def stream_quota(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "ts")
-    out = AC.remaining_quota(trailing_counts(ev, ["user_id"], "ts"))
+    out = AC.remaining_quota(trailing_counts(ev, ["user_id"], "ts", "event_id"))
     return out.select("event_id", "n_minute", F.col("remaining_minute").cast("long"),
                       F.col("remaining_hour").cast("long"), F.col("remaining_day").cast("long"))
 

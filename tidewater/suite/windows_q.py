@@ -18,8 +18,9 @@ def id_block():
 
 
 def events_positioned(spark, d):
-    ev = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
-    return W.with_positions(ev, ["user_id"], ["ts", "event_id"], hour_block())
+    from tidewater.plans.ordered import time_blocks
+    ev = time_blocks(table(spark, d, "events").select("event_id", "ts", "user_id", "value"), ["user_id"], "ts")
+    return W.with_positions(ev, ["user_id"], ["ts", "event_id"], F.col("_tblk")).drop("_tblk")
 
 
 def dirty_positioned(spark, d):
@@ -143,4 +144,4 @@ def _rate(sec: int) -> str:
 SELECT event_id, {_rate(60)} AS n_minute, {_rate(3600)} AS n_hour, {_rate(86400)} AS n_day FROM events""")
 def win_rate_counts(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "ts")
-    return W.trailing_counts(ev, ["user_id"], "ts").select("event_id", "n_minute", "n_hour", "n_day")
+    return W.trailing_counts(ev, ["user_id"], "ts", "event_id").select("event_id", "n_minute", "n_hour", "n_day")
