@@ -100,10 +100,12 @@ def remaining_quota(counts: DataFrame, limits: dict[str, int] | None = None) ->
                                 for k, lim in limits.items()])
 
 
-def micro_batches(df: DataFrame, key: str, size: int = 5, block: int = 65536) -> DataFrame:
+def micro_batches(df: DataFrame, key: str, size: int = 5, target_rows: int = 1_000_000) -> DataFrame:
     """R9 batch form: batch id = floor(position / size) along ``key`` (global order,
-    block-prefix positions so no single-task window)."""
-    pos = add_positions(df, [], [key], F.floor(F.col(key) / block), "_p")
+    block-prefix positions with data-sized blocks, so no single-task window)."""
+    from tidewater.plans.ordered import value_blocks
+    blocked = value_blocks(df, [], F.col(key), target_rows)
+    pos = add_positions(blocked, [], [key], F.col("_tblk"), "_p").drop("_tblk")
     return pos.withColumn("batch_id", F.floor(F.col("_p") / size)).drop("_p")
 
 

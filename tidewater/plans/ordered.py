@@ -153,16 +153,22 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     return out.select(*df.columns, *[(F.col(f"_w_{c}") + F.col(f"_o_{c}")).alias(f"{c}{suffix}") for c in cols])
 
 
-def time_blocks(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000,
-                out: str = "_tblk") -> DataFrame:
-    """Adds a block index that is monotone in ``ts`` within each key and sized so a
-    block holds about ``target_rows`` rows: block width = key's time span x
-    target / key's row count (at least one second). A hot key gets many narrow
-    blocks, a sparse key a single one. One small per-key aggregate decides it."""
+def value_blocks(df: DataFrame, keys: Sequence[str], value: Column, target_rows: int = 1_000_000,
+                 min_width: float = 1.0, out: str = "_tblk") -> DataFrame:
+    """Adds a block index that is monotone in ``value`` within each key and sized so a
+    block holds about ``target_rows`` rows: width = the key's value span x target /
+    the key's row count (at least ``min_width``). A hot key gets many narrow blocks,
+    a sparse key a single one; one small per-key aggregate decides it."""
     from tidewater.plans.attach import attach
     keys = list(keys)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn"), F.min(us).alias("_blo"), F.max(us).alias("_bhi"))
-    width = F.greatest(F.lit(1_000_000.0), (F.col("_bhi") - F.col("_blo") + 1) * float(target_rows) / F.col("_bn"))
-    return (attach(df, st, keys).withColumn(out, F.floor((us - F.col("_blo")) / width).cast("long"))
+    v = value.cast("double")
+    st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn"), F.min(v).alias("_blo"), F.max(v).alias("_bhi"))
+    width = F.greatest(F.lit(float(min_width)), (F.col("_bhi") - F.col("_blo") + 1) * float(target_rows) / F.col("_bn"))
+    return (attach(df, st, keys).withColumn(out, F.floor((v - F.col("_blo")) / width).cast("long"))
             .drop("_bn", "_blo", "_bhi"))
+
+
+def time_blocks(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000,
+                out: str = "_tblk") -> DataFrame:
+    """``value_blocks`` on the timestamp in microseconds, at least one second wide."""
+    return value_blocks(df, keys, F.unix_micros(F.col(ts).cast("timestamp")), target_rows, 1_000_000.0, out)

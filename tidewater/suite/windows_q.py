@@ -9,14 +9,6 @@ from tidewater.sources.tables import dirty, table
 from tidewater.suite import register
 from tidewater.suite.sqlgen import r6, with_dirty
 
-def hour_block():
-    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-
-
-def id_block():
-    return F.floor(F.col("event_id") / 4096)
-
-
 def events_positioned(spark, d):
     from tidewater.plans.ordered import time_blocks
     ev = time_blocks(table(spark, d, "events").select("event_id", "ts", "user_id", "value"), ["user_id"], "ts")
@@ -24,8 +16,9 @@ def events_positioned(spark, d):
 
 
 def dirty_positioned(spark, d):
-    dv = dirty(spark, d).select("event_id", "value")
-    return W.with_positions(dv, [], ["event_id"], id_block())
+    from tidewater.plans.ordered import value_blocks
+    dv = value_blocks(dirty(spark, d).select("event_id", "value"), [], F.col("event_id"))
+    return W.with_positions(dv, [], ["event_id"], F.col("_tblk")).drop("_tblk")
 
 
 @register("win_group_mean", f"""
