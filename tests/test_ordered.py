@@ -77,3 +77,16 @@ def test_trailing_counts_block_halo(spark):
     exp = [int(((t >= x - 3600 * 10**9) & (t <= x)).sum()) for x in t]
     got = out.set_index("id").loc[p["id"], "n_w"].to_numpy()
     assert list(got) == exp
+
+
+def test_value_blocks_split_hot_keys(spark):
+    from tidewater.plans.ordered import time_blocks
+    rows = [(0, i) for i in range(1000)] + [(1, i * 50) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = time_blocks(df, ["k"], "ts", target_rows=100).toPandas()
+    per_key = out.groupby("k")["_tblk"].nunique()
+    assert per_key[0] >= 8          # the hot key is split
+    assert per_key[1] == 1          # the sparse key stays whole
+    # monotone in time within each key
+    for _, g in out.sort_values(["k", "ts"]).groupby("k"):
+        assert g["_tblk"].is_monotonic_increasing
