@@ -53,7 +53,10 @@ def hourly_distribution(events: DataFrame, ts: str = "ts", type_col: str = "even
 def session_analytics(events: DataFrame, session: str = "session_id", user: str = "user_id",
                       ts: str = "ts", type_col: str = "event_type") -> DataFrame:
     """Events, users, per-type counts (JSON map, keys sorted), duration in
-    seconds, events per user. Two grouped aggregates, both map-side combined."""
+    seconds, events per user. Two grouped aggregates, both map-side combined; the
+    (sessionised) input is materialised once since both read it."""
+    from tidewater.session import cut_lineage
+    events = cut_lineage(events.select(session, user, ts, type_col))
     by_type = (events.groupBy(session, type_col).agg(F.count(F.lit(1)).alias("_c"))
                .groupBy(session).agg(F.to_json(F.map_from_entries(F.array_sort(
                    F.collect_list(F.struct(F.col(type_col), F.col("_c")))))).alias("event_types")))

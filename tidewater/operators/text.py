@@ -275,7 +275,9 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", max_f
         g = F.when(F.size(t) >= n, ngram_array(t, n)).otherwise(F.array().cast("array<string>"))
         grams = F.concat(grams, g)
     terms = docs.select(id_col, F.explode(grams).alias("term"))
-    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the term-frequency table feeds both the vocabulary and the weights: write it
+    # once (reliable checkpoint) instead of re-running the text pipeline twice
+    tf = cut_lineage(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = docs.count()
     stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.desc("cf"), "term").limit(max_features)
@@ -321,8 +323,9 @@ def textrank(docs: DataFrame, tokens: str = "tokens", iterations: int = 10, damp
     10 rounds from 1.0 (damping 0.15 reproduces the reference's reversed constant).
     Each round is one join + aggregate over the sparse edge table; the score
     table is checkpointed every round."""
-    vocab = docs.select(F.explode(tokens).alias("word")).distinct()
-    edges = cut_lineage(cooccurrence_edges(docs, tokens, window))
+    toks = cut_lineage(docs.select(tokens))        # the text pipeline runs once
+    vocab = toks.select(F.explode(tokens).alias("word")).distinct()
+    edges = cut_lineage(cooccurrence_edges(toks, tokens, window))
     rowsum = edges.groupBy("src").agg(F.sum("weight").alias("rowsum"))
     # normalised edge weight w_ij / rowsum_j, keyed by j (the neighbour)
     norm = cut_lineage(edges.join(rowsum.withColumnRenamed("src", "dst"), "dst")
