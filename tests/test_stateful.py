@@ -41,7 +41,12 @@ def test_limiter_matches_brute_force():
     assert [lim.decide(float(t))[1] for t in times] == brute(times, CFG)
 
 
-def test_rate_limit_batch_matches_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("batch_rows", ["10000", "7"])
+def test_rate_limit_batch_matches_brute_force(spark, batch_rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     rows = []
     eid = 0
     for u in range(3):
@@ -57,6 +62,7 @@ def test_rate_limit_batch_matches_brute_force(spark):
         g = g.sort_values("sec")
         exp = brute(g["sec"].tolist(), CFG)
         assert out.loc[g["event_id"], "reason"].tolist() == exp
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
 def test_live_metrics_equal_batch(spark, tmp_path):

@@ -109,19 +109,37 @@ def _decide_frame(pdf: pd.DataFrame, lim: Limiter) -> pd.DataFrame:
 
 
 def rate_limit_batch(events: DataFrame, cfg: dict | None = None) -> DataFrame:
-    """R3 batch form. All limiter state expires within one day, so a user's history
-    splits into independent segments at gaps longer than a day (sessions); each
-    segment is folded in order by ``applyInPandas``. A very active user is thus
-    split wherever it pauses for a day."""
+    """R3 batch form.
+
+    All limiter state expires within one day, so a user's history splits into
+    independent segments at pauses longer than a day (sessions), and segments
+    are folded in parallel. Inside a segment the fold is inherently sequential;
+    it streams: rows are hash-partitioned by segment and sorted by time within
+    the partition (the grouped-map operator reuses that ordering), and the
+    iterator form of ``applyInPandas`` hands them over in Arrow batches, so
+    memory holds one batch plus the bounded limiter state - never the whole
+    segment. An out-of-order batch raises instead of producing a wrong answer."""
     cfg = cfg or RATE_CONFIG
     seg = sessionize(events.select("event_id", "user_id", "ts"), "user_id", "ts",
                      gap_seconds=SESSION_GAP_SECONDS + 1, tiebreak=["event_id"])
     seg = seg.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).select(
         "event_id", "user_id", "session_id", "_t")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _decide_frame(pdf, Limiter(cfg))
-    return seg.groupBy("user_id", "session_id").applyInPandas(fold, OUT_SCHEMA)
+    ordered = (seg.repartition("user_id", "session_id")
+               .sortWithinPartitions("user_id", "session_id", "_t", "event_id"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lim = Limiter(cfg)
+        last = (-math.inf, -math.inf)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            first = (float(pdf["_t"].iloc[0]), float(pdf["event_id"].iloc[0]))
+            srt = pdf.sort_values(["_t", "event_id"])
+            if first < last or not srt.index.equals(pdf.index):
+                raise RuntimeError("rate limiter input is not in time order")
+            last = (float(pdf["_t"].iloc[-1]), float(pdf["event_id"].iloc[-1]))
+            yield _decide_frame(pdf, lim)
+    return ordered.groupBy("user_id", "session_id").applyInPandas(fold, OUT_SCHEMA)
 
 
 def rate_limit_stream(stream: DataFrame, cfg: dict | None = None, timeout: str = "25 hours") -> DataFrame:
