@@ -110,7 +110,7 @@ def missing_plan(df: DataFrame, strategy: str = "auto", variant: str = "processo
     """Decide per column: drop it, or fill it with which statistic (and its value).
 
     auto: > 50 % null -> drop column; > 20 % -> 'advanced' (processor: median if
-    |skew| > 1 else mean; pipeline: median); else mean. Strings -> mode or 'Unknown'.
+    |skew| > 1 else mean; staged: median); else mean. Strings -> mode or 'Unknown'.
     impute / mean / median / mode: that statistic for numbers (SEM-12), mode for strings.
     Returns (stats, columns to drop, {column: method}, {column: fill value})."""
     st = column_stats(df)
@@ -124,7 +124,7 @@ def missing_plan(df: DataFrame, strategy: str = "auto", variant: str = "processo
         if not is_num:
             fill_how[c] = "mode"
         elif strategy == "auto" and pct > 20:
-            if variant == "pipeline":
+            if variant == "staged":
                 fill_how[c] = "median"
             else:
                 sk = st[c]["skew"]
@@ -152,7 +152,7 @@ def missing_plan(df: DataFrame, strategy: str = "auto", variant: str = "processo
 
 def handle_missing(df: DataFrame, strategy: str = "auto", variant: str = "processor",
                    log: CleanLog | None = None) -> DataFrame:
-    """C1 (variant='processor') / C3 (variant='pipeline'); 'drop' removes rows with
+    """C1 (variant='processor') / C3 (variant='staged'); 'drop' removes rows with
     a null in any column that has nulls."""
     if strategy == "drop":
         st = column_stats(df)
@@ -310,10 +310,10 @@ def clean_chain(df: DataFrame, missing: str = "auto", duplicates: bool = True,
 
 
 def preprocess(df: DataFrame, strategy: str = "conservative", log: CleanLog | None = None) -> DataFrame:
-    """C11: pipeline missing -> duplicates -> types -> outliers (cap when conservative,
+    """C11: staged preprocessing: missing -> duplicates -> types -> outliers (cap when conservative,
     sequential removal when aggressive; columns with < 10 values skipped)."""
     from tidewater.operators.schema import standardize_types
-    out = handle_missing(df, "auto", "pipeline", log)
+    out = handle_missing(df, "auto", "staged", log)
     out = cut_lineage(drop_duplicates(out, log=log))
     out = standardize_types(out)
     num = numeric_columns(out)

@@ -58,12 +58,12 @@ def impute_stats(spark, d):
     return spark.createDataFrame(rows, "column string, method string, fill_value string")
 
 
-@register("clean_missing_pipeline", with_dirty(f"""
+@register("clean_missing_staged", with_dirty(f"""
 SELECT event_id, {TS_SQL}, user_id, coalesce(event_type, mode_type) AS event_type,
   {r6('coalesce(value, mean_value)')} AS value, {r6('coalesce(value_sq, med_sq)')} AS value_sq,
   {r6('coalesce(pos_n, med_pos)')} AS pos_n FROM dirty, st, md""", _STATS))
-def clean_missing_pipeline(spark, d):
-    return _ts_str(C.handle_missing(dirty(spark, d), "auto", "pipeline"))
+def clean_missing_staged(spark, d):
+    return _ts_str(C.handle_missing(dirty(spark, d), "auto", "staged"))
 
 
 _NUMS = ["value", "value_sq", "pos_n", "value_sparse"]
