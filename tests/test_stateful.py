@@ -78,3 +78,13 @@ def test_live_metrics_equal_batch(spark, tmp_path):
     batch = hourly_windows(ev).select("window_start", "event_type", "n_events").toPandas()
     key = ["window_start", "event_type"]
     assert live.sort_values(key).reset_index(drop=True).equals(batch.sort_values(key).reset_index(drop=True))
+
+
+def test_session_state_stream_equals_batch(spark):
+    import __spark_entry__ as entry
+    live = entry.queries()["stream_session_state_live"](spark, "/root/testdata/sf0.001").toPandas()
+    batch = ST.session_state(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")).toPandas()
+    cols = ["conv_id", "turn", "version", "participants", "within_capacity"]
+    a = live[cols].sort_values(["conv_id", "turn"]).reset_index(drop=True)
+    b = batch[cols].sort_values(["conv_id", "turn"]).reset_index(drop=True)
+    assert (a.astype(str).values == b.astype(str).values).all()

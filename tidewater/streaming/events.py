@@ -196,3 +196,29 @@ def route_stream(stream: DataFrame, routes: dict[str, str], base_path: str, chec
         routed = route(batch, "event_type", routes, default)
         routed.write.mode("append").partitionBy("sink").parquet(base_path)
     return stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+
+
+SESSION_OUT = "conv_id long, turn long, role string, version long, participants long, within_capacity boolean"
+
+
+def session_state_stream(turns: DataFrame, capacity: int = 10) -> DataFrame:
+    """R5 streaming form: per room, ``applyInPandasWithState`` keeps the version
+    counter and the set of members seen (bounded by the room's membership, the
+    reference caps rooms at 10). Rows of one micro-batch are applied in turn
+    order. Turns carry no event time, so expiry (R6) is applied on the
+    timestamped event stream instead (see ``rate_limit_stream``)."""
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, members = (int(state.get[0]), list(state.get[1])) if state.exists else (0, [])
+        seen = set(members)
+        pdf = pd.concat(list(chunks), ignore_index=True).sort_values("turn")
+        out = []
+        for turn, role in zip(pdf["turn"].to_numpy(), pdf["role"].to_numpy()):
+            version += 1
+            if role not in seen:
+                seen.add(role)
+                members.append(role)
+            out.append((int(key[0]), int(turn), role, version, len(members), len(members) <= capacity))
+        state.update((version, members))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "version", "participants", "within_capacity"])
+    return turns.groupBy("conv_id").applyInPandasWithState(
+        step, SESSION_OUT, "version long, members array<string>", "append", GroupStateTimeout.NoTimeout)

@@ -93,6 +93,20 @@ def stream_session_state(spark, d):
     return ST.session_state(table(spark, d, "conversations"))
 
 
+@register("stream_session_state_live")
+def stream_session_state_live(spark, d):
+    """R5 as a streaming query over landed conversation files."""
+    conv = table(spark, d, "conversations")
+    path = scratch_path(spark, "conversations-landing")
+    conv.repartitionByRange(4, "conv_id", "turn").write.mode("overwrite").parquet(path)
+    stream = spark.readStream.schema(conv.schema).parquet(path)
+    name = "tw_" + uuid.uuid4().hex[:10]
+    q = (ST.session_state_stream(stream).writeStream.outputMode("append").format("memory").queryName(name)
+         .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
+
+
 @register("stream_expiry", f"""WITH {_SESS}
 SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_event,
   epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) >= 86400000000 AS expired
