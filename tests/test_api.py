@@ -83,3 +83,30 @@ def test_hash_sample_is_deterministic(spark):
     a = {r.k for r in hash_sample(df, "k", 0.1).collect()}
     b = {r.k for r in hash_sample(df.repartition(7), "k", 0.1).collect()}
     assert a == b and 300 < len(a) < 700
+
+
+def test_dbscan_vs_brute_force(spark):
+    from tidewater.operators.ml import dbscan
+    rng = np.random.default_rng(5)
+    X = np.r_[rng.normal(0, 0.3, (60, 2)), rng.normal(3, 0.3, (60, 2)), rng.uniform(-2, 5, (30, 2))]
+    n, eps, ms = len(X), 0.45, 5
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]], 0) for i in range(n)], "id long, vec array<double>, label int")
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in dbscan(df, eps, ms, n_pivots=5).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    nb = (D <= eps) & ~np.eye(n, dtype=bool)
+    core = nb.sum(1) + 1 >= ms
+    lab = np.where(core, np.arange(n), -1)
+    changed = True
+    while changed:                      # min-label propagation over core-core edges
+        changed = False
+        for i in np.where(core)[0]:
+            m = min([lab[i]] + [lab[j] for j in np.where(nb[i] & core)[0]])
+            if m < lab[i]:
+                lab[i], changed = m, True
+    for i in range(n):
+        if core[i]:
+            exp = lab[i]
+        else:
+            adj = [lab[j] for j in np.where(nb[i] & core)[0]]
+            exp = min(adj) if adj else -1
+        assert got[i] == (exp, bool(core[i]))

@@ -316,26 +316,52 @@ def _choose_pivots(points: DataFrame, n_pivots: int, seed: int) -> np.ndarray:
     return np.stack(sample["vec"].to_numpy()).astype(float)
 
 
-def neighbours_within(points: DataFrame, radius_of_query: DataFrame | None, eps: float | None,
-                      pivots: np.ndarray) -> DataFrame:
-    """All (id, nid, dist) with dist <= r(id), pruned by the triangle inequality:
-    cell c can hold a point within r of q only if d(q, pivot_c) - radius_c <= r."""
-    spark = points.sparkSession
-    pts = cut_lineage(_pivot_distances(points, pivots))
-    radius = pts.groupBy("cell").agg(F.max(F.col("pd")[F.col("cell")]).alias("cr"))
-    rad = {r["cell"]: r["cr"] for r in radius.collect()}          # one number per pivot
-    cr = F.array(*[F.lit(float(rad.get(i, -1.0))) for i in range(len(pivots))])
+def _annotated(points: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, list[float]]:
+    """Points with pivot distances ``pd``, nearest pivot ``cell`` and ``dc`` = distance
+    to that pivot (checkpointed once), plus each cell's radius (one number per pivot)."""
+    pts = cut_lineage(_pivot_distances(points, pivots).withColumn("dc", F.col("pd")[F.col("cell")]))
+    rad = {r["cell"]: r["cr"] for r in pts.groupBy("cell").agg(F.max("dc").alias("cr")).collect()}
+    return pts, [float(rad.get(i, -1.0)) for i in range(len(pivots))]
+
+
+def neighbours_within(pts: DataFrame, radii: list[float], radius_of_query: DataFrame | None,
+                      eps: float | None, width: float) -> DataFrame:
+    """All (qid, nid, label, dist) with dist <= r(qid), qid != nid, found with two
+    triangle-inequality prunings and no all-pairs step:
+
+    * cell level: cell c can hold a point within r of q only if
+      d(q, pivot_c) - radius_c <= r;
+    * inside a cell: point p can be within r of q only if
+      |d(p, pivot_c) - d(q, pivot_c)| <= r - a band join on ``dc`` done as an
+      equi-join on (cell, dc bucket of ``width``) plus a range filter.
+
+    Queries whose radius is unbounded (no upper bound yet) visit whole cells."""
+    cr = F.array(*[F.lit(x) for x in radii])
     q = pts.select(F.col("id").alias("qid"), F.col("vec").alias("qv"), "pd")
     if radius_of_query is not None:
         q = q.join(radius_of_query.withColumnRenamed("id", "qid"), "qid")
     else:
         q = q.withColumn("r", F.lit(float(eps)))
-    idx = F.sequence(F.lit(0), F.lit(len(pivots) - 1))
-    cand = q.select("qid", "qv", "r", F.explode(F.filter(idx, lambda i: (cr[i] >= 0) & (F.col("pd")[i] - cr[i] <= F.col("r"))))
-                    .alias("cell"))
-    j = cand.join(pts.select(F.col("id").alias("nid"), F.col("vec").alias("nv"), "cell", "label"), "cell")
-    d = j.select("qid", "nid", "label", _euclid(F.col("qv"), F.col("nv")).alias("dist"), "r")
-    del spark
+    idx = F.sequence(F.lit(0), F.lit(len(radii) - 1))
+    # pivot distances come from a different (vectorised) formula than the final
+    # distances, so every bound gets a small relative slack: it can only add
+    # candidates, never drop a true neighbour
+    tol = 1e-7
+    cand = q.select("qid", "qv", "r", "pd", F.explode(
+        F.filter(idx, lambda i: (cr[i] >= 0) & (F.col("pd")[i] - cr[i]
+                                                 <= F.col("r") + tol * (1 + F.col("pd")[i] + cr[i])))).alias("cell"))
+    cand = cand.withColumn("qd", F.col("pd")[F.col("cell")]).drop("pd")
+    finite = F.col("r") < float("inf")
+    w = float(width)
+    band = F.col("r") + tol * (1 + F.col("r") + F.col("qd"))
+    banded = cand.where(finite).withColumn("rb", band).withColumn("b", F.explode(F.sequence(
+        F.floor((F.col("qd") - F.col("rb")) / w).cast("long"), F.floor((F.col("qd") + F.col("rb")) / w).cast("long"))))
+    side = pts.select(F.col("id").alias("nid"), F.col("vec").alias("nv"), "cell", "label", "dc",
+                      F.floor(F.col("dc") / w).cast("long").alias("b"))
+    near = banded.join(side, ["cell", "b"]).where(F.abs(F.col("dc") - F.col("qd")) <= F.col("rb")).drop("b", "rb")
+    whole = cand.where(~finite).join(side.drop("b"), "cell")
+    both = near.unionByName(whole)
+    d = both.select("qid", "nid", "label", _euclid(F.col("qv"), F.col("nv")).alias("dist"), "r")
     return d.where((F.col("dist") <= F.col("r")) & (F.col("qid") != F.col("nid")))
 
 
@@ -343,23 +369,32 @@ def knn_exact(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed:
     """M7: exact k nearest neighbours (self excluded) and majority-vote prediction
     (ties -> smallest label). ``points``: (id, vec array<double>, label).
 
-    Round 1 takes each point's k nearest inside its own pivot cell, giving an
-    upper bound r(q) on its k-th neighbour distance (infinite when the cell is
-    too small). Round 2 visits only cells whose lower bound d(q, pivot) -
-    radius is within r(q). The result is exact; pruning only removes pairs
-    that cannot be among the k nearest."""
+    Round 1 gives every point an upper bound r(q) on its k-th neighbour
+    distance from a bounded candidate set: its k predecessors and k successors
+    in its cell ordered by distance to the pivot (block-split positions, so a
+    crowded cell is still parallel). Round 2 collects every point within r(q)
+    with the pruned band join of ``neighbours_within`` and keeps the k nearest.
+    Exact: pruning only drops pairs that provably lie farther than r(q)."""
     n = points.count()
     P = n_pivots or max(1, min(1024, int(math.sqrt(n))))
     pivots = _choose_pivots(points, P, seed)
-    pts = cut_lineage(_pivot_distances(points, pivots))
-    own = pts.select(F.col("id").alias("qid"), F.col("vec").alias("qv"), "cell").join(
-        pts.select(F.col("id").alias("nid"), F.col("vec").alias("nv"), "cell"), "cell").where(F.col("qid") != F.col("nid"))
-    own = own.select("qid", _euclid(F.col("qv"), F.col("nv")).alias("dist"))
-    w = Window.partitionBy("qid").orderBy("dist")
-    kth = own.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == k).select(F.col("qid").alias("id"),
-                                                                                     F.col("dist").alias("r"))
-    r = pts.select("id").join(kth, "id", "left").select("id", F.coalesce("r", F.lit(float("inf"))).alias("r"))
-    cand = neighbours_within(points, r, None, pivots)
+    pts, radii = _annotated(points, pivots)
+    from tidewater.plans.ordered import add_positions, rows_frame, value_blocks
+    blocked = value_blocks(pts.select("id", "vec", "cell", "dc"), ["cell"], F.col("dc"), min_width=1e-12)
+    pos = add_positions(blocked, ["cell"], ["dc", "id"], F.col("_tblk")).drop("_tblk")
+    lagged = rows_frame(pos, ["cell"], k + 1, lambda _f, o: {
+        **{f"pid{i}": F.lag("id", i).over(o) for i in range(1, k + 1)},
+        **{f"pv{i}": F.lag("vec", i).over(o) for i in range(1, k + 1)}})
+    pairs = lagged.select("id", "vec", F.explode(F.array(*[
+        F.struct(F.col(f"pid{i}").alias("nid"), F.col(f"pv{i}").alias("nv")) for i in range(1, k + 1)])).alias("p"))         .where(F.col("p.nid").isNotNull()).select("id", "vec", "p.nid", "p.nv")
+    d1 = pairs.select("id", _euclid(F.col("vec"), F.col("nv")).alias("dist"))
+    both = d1.unionByName(pairs.select(F.col("nid").alias("id"), _euclid(F.col("vec"), F.col("nv")).alias("dist")))
+    kth = (both.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("dist")))
+           .where(F.col("rn") == k).select("id", F.col("dist").alias("r")))
+    r = cut_lineage(pts.select("id").join(kth, "id", "left")
+                    .select("id", F.coalesce("r", F.lit(float("inf"))).alias("r")))
+    med = r.where(F.col("r") < float("inf")).agg(F.percentile_approx("r", 0.5)).collect()[0][0]
+    cand = neighbours_within(pts, radii, r, None, med or 1.0)
     top = cand.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "nid"))).where(
         F.col("rn") <= k)
     votes = top.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -372,11 +407,13 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5, n_pivots: int |
     """Core points have >= min_samples neighbours within eps (self included);
     clusters are connected components of core points (min-label propagation,
     checkpointed per round); border points join the smallest adjacent core
-    cluster; the rest is noise (-1). Neighbours come from the pruned range join."""
+    cluster; the rest is noise (-1). Neighbours come from the pruned band join
+    (bucket width = eps)."""
     n = points.count()
     P = n_pivots or max(1, min(1024, int(math.sqrt(n))))
     pivots = _choose_pivots(points, P, seed)
-    nb = cut_lineage(neighbours_within(points, None, eps, pivots).select("qid", "nid"))
+    pts, radii = _annotated(points, pivots)
+    nb = cut_lineage(neighbours_within(pts, radii, None, eps, eps).select("qid", "nid"))
     deg = nb.groupBy("qid").agg(F.count(F.lit(1)).alias("deg"))
     core = points.select("id").join(deg.withColumnRenamed("qid", "id"), "id", "left").where(
         F.coalesce("deg", F.lit(0)) + 1 >= min_samples).select("id")
