@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.plans.ordered import POS, add_positions, carry_last, carry_next, range_frame, rows_frame
+from tidewater.plans.ordered import POS, add_positions, carry_last, carry_next, rows_frame
 
 
 def group_mean(df: DataFrame, by: str, col: str, out: str | None = None) -> DataFrame:

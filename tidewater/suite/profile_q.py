@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import profile as P
-from tidewater.operators.schema import numeric_columns
 from tidewater.sources.tables import dirty, table
 from tidewater.suite import register
 from tidewater.suite.sqlgen import (DIRTY_COLS, DIRTY_NUMERIC, LINEITEM_NUMERIC, q, r6,
