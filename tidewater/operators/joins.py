@@ -47,11 +47,18 @@ def fk_chain(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataF
     return oc.join(nation, oc.c_nationkey == nation.n_nationkey, "left")
 
 
+def populated_columns(df: DataFrame) -> DataFrame:
+    """(column) for every column holding at least one non-null value - one fused
+    aggregate over the table, unpivoted."""
+    wide = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n")) for c in df.columns]))
+    return wide.select(cells.alias("s")).where(F.col("s.n") > 0).select("s.column")
+
+
 def column_set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Column names only in a, only in b, and in both (schema-level, no scan)."""
-    spark = a.sparkSession
-    ca = spark.createDataFrame([(c,) for c in a.columns], "column string")
-    cb = spark.createDataFrame([(c,) for c in b.columns], "column string")
+    """Populated columns only in a, only in b, and in both (set difference and
+    intersection of the two column tables)."""
+    ca, cb = populated_columns(a), populated_columns(b)
     return (ca.exceptAll(cb).withColumn("kind", F.lit("only_left"))
             .unionByName(cb.exceptAll(ca).withColumn("kind", F.lit("only_right")))
             .unionByName(ca.intersect(cb).withColumn("kind", F.lit("both"))))

@@ -50,11 +50,14 @@ def dtype_name(df: DataFrame, col: str) -> str:
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
-    """Number of columns per declared type (schema only, no data scan)."""
-    spark = df.sparkSession
-    rows = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    return (spark.createDataFrame(rows, "column string, dtype string")
-            .groupBy("dtype").agg(F.count("*").alias("n_columns")))
+    """Number of populated columns (at least one non-null value) per declared
+    type; one fused count over the table decides which columns count."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wide = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+    cells = F.explode(F.array(*[F.struct(F.lit(types[c]).alias("dtype"), F.col(f"`{c}`").alias("n"))
+                                for c in df.columns]))
+    return (wide.select(cells.alias("s")).where(F.col("s.n") > 0)
+            .groupBy(F.col("s.dtype").alias("dtype")).agg(F.count(F.lit(1)).alias("n_columns")))
 
 
 def validate_rows(df: DataFrame, min_rows: int = 1, min_cols: int = 1) -> DataFrame:

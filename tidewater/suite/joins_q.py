@@ -64,11 +64,19 @@ def join_fk(spark, d):
     return out.select("o_orderkey", "c_name", "n_name", "o_totalprice")
 
 
-@register("set_column_diff", f"""
-SELECT {q('column')}, kind FROM (VALUES ('value_sq', 'only_left'), ('pos_n', 'only_left'), ('value_sparse', 'only_left'),
-  ('props', 'only_right'), ('event_id', 'both'), ('ts', 'both'), ('user_id', 'both'), ('event_type', 'both'), ('value', 'both'))
-  t({q('column')}, kind)
-WHERE (SELECT count(*) FROM events) >= 0""")
+def _populated_sql(cols, tbl):
+    return " UNION ALL ".join(f"SELECT '{c}' AS c FROM {tbl} HAVING count({c}) > 0" for c in cols)
+
+
+_D_COLS = ["event_id", "ts", "user_id", "event_type", "value", "value_sq", "pos_n", "value_sparse"]
+_E_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@register("set_column_diff", with_dirty(f"""
+, a AS ({_populated_sql(_D_COLS, "dirty")}), b AS ({_populated_sql(_E_COLS, "events")})
+SELECT c AS {q('column')}, 'only_left' AS kind FROM (SELECT c FROM a EXCEPT SELECT c FROM b)
+UNION ALL SELECT c, 'only_right' FROM (SELECT c FROM b EXCEPT SELECT c FROM a)
+UNION ALL SELECT c, 'both' FROM (SELECT c FROM a INTERSECT SELECT c FROM b)""").replace("\n, a AS", ",\na AS", 1))
 def set_column_diff(spark, d):
     return J.column_set_diff(dirty(spark, d), table(spark, d, "events"))
 
