@@ -173,17 +173,19 @@ def handle_missing(df: DataFrame, strategy: str = "auto", variant: str = "proces
 
 def fill_table(df: DataFrame, how: str) -> DataFrame:
     """C4: deep-learning preparation fills. mean/median: numeric columns only;
-    mode: every column; drop: rows with any null."""
+    mode: every column; drop: rows with any null. Columns without nulls are
+    left exactly as they are (types included)."""
     if how == "drop":
         return df.na.drop(how="any")
-    num = numeric_columns(df)
+    st = column_stats(df)
+    holes = [c for c in df.columns if st[c]["nulls"] > 0]
+    num = [c for c in numeric_columns(df) if c in holes]
     if how == "mean":
-        st = column_stats(df, num)
         return _fill(df, {c: st[c]["mean"] for c in num})
     if how == "median":
         return _fill(df, medians(df, num))
     if how == "mode":
-        return _fill(df, modes(df, df.columns))
+        return _fill(df, modes(df, holes))
     raise ValueError(how)
 
 

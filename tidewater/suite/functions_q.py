@@ -131,7 +131,7 @@ def fn_md5(spark, d):
 
 @register("fn_json", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k,
-  to_json(struct_pack(k := CAST(json_extract(props, '$.k') AS INT))) AS encoded FROM events""")
+  CAST(to_json(struct_pack(k := CAST(json_extract(props, '$.k') AS INT))) AS VARCHAR) AS encoded FROM events""")
 def fn_json(spark, d):
     ev = table(spark, d, "events")
     parsed = ev.select("event_id", F.from_json("props", "k int").alias("p"))

@@ -131,7 +131,7 @@ def event_hourly(spark, d):
 
 
 @register("session_analytics", f"""WITH {_SESS},
-bt AS (SELECT session_id, to_json(map_from_entries(list_sort(list(struct_pack(k := event_type, v := c))))) AS event_types
+bt AS (SELECT session_id, CAST(to_json(map_from_entries(list_sort(list(struct_pack(k := event_type, v := c))))) AS VARCHAR) AS event_types
   FROM (SELECT session_id, event_type, CAST(count(*) AS BIGINT) AS c FROM sess GROUP BY 1, 2) GROUP BY 1)
 SELECT s.session_id, CAST(count(*) AS BIGINT) AS n_events, CAST(count(DISTINCT user_id) AS BIGINT) AS n_users,
   {r6('(max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6')} AS duration_seconds, bt.event_types,
