@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -551,3 +551,21 @@ def eda_summary(df: DataFrame) -> DataFrame:
 def cut_checkpointed(df: DataFrame) -> DataFrame:
     from tidewater.session import cut_lineage
     return cut_lineage(df)
+
+
+def outlier_samples(df: DataFrame, cols: Sequence[str], order: Sequence[str], n: int = 10,
+                    k: float = 1.5) -> DataFrame:
+    """A9 samples: the first ``n`` outlying values of each column in row order.
+    One distributed top-n (TakeOrderedAndProject) per column, so no column's
+    outliers are ever gathered into a single task."""
+    bounds = collect_bounds(iqr_bounds(df, cols, k))
+    parts = []
+    for c, (lo, hi) in bounds.items():
+        x = F.col(c)
+        top = (df.where((x < lo) | (x > hi)).orderBy(*order).limit(n)
+               .select(*order, F.lit(c).alias("column"), x.cast("double").alias("value")))
+        parts.append(top.withColumn("rank", F.row_number().over(Window.orderBy(*order))))  # <= n rows
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop(*order)

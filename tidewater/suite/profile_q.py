@@ -361,3 +361,16 @@ UNION ALL {union_all([f"SELECT 'distribution', '{c}', 'skew', {r6(f'skewness({c}
 UNION ALL {union_all([f"SELECT 'describe', '{c}', 'mean', {r6(f'avg({c})')} FROM dirty UNION ALL SELECT 'describe', '{c}', 'std', {r6(f'stddev_samp({c})')} FROM dirty UNION ALL SELECT 'describe', '{c}', 'q50', {r6(f'quantile_cont({c}, 0.5)')} FROM dirty" for c in DIRTY_NUMERIC])}"""))
 def eda_summary(spark, d):
     return P.eda_summary(dirty(spark, d))
+
+
+_SAMPLE_COLS = ["value", "value_sq", "value_sparse"]
+
+
+@register("outlier_samples", with_dirty(union_all([f"""
+SELECT '{c}' AS {q('column')}, {r6(c)} AS value, CAST(rank AS INT) AS rank FROM (
+  SELECT {c}, row_number() OVER (ORDER BY event_id) AS rank
+  FROM dirty, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM dirty) b
+  WHERE {c} < b.q1 - 1.5 * (b.q3 - b.q1) OR {c} > b.q3 + 1.5 * (b.q3 - b.q1)) WHERE rank <= 10""" for c in _SAMPLE_COLS])))
+def outlier_samples(spark, d):
+    out = P.outlier_samples(dirty(spark, d), _SAMPLE_COLS, ["event_id"], 10)
+    return out.select("column", "value", F.col("rank").cast("int"))
