@@ -402,7 +402,7 @@ def drift_mean(before: DataFrame, after: DataFrame, cols: Sequence[str] | None =
     b = unpivot_row(before.agg(*[F.avg(c).alias(f"{c}__mean") for c in cols]), cols, ["mean"])
     a = unpivot_row(after.agg(*[F.avg(c).alias(f"{c}__mean") for c in cols]), cols, ["mean"])
     j = b.withColumnRenamed("mean", "mean_before").join(a.withColumnRenamed("mean", "mean_after"), "column")
-    change = F.abs(F.col("mean_after") - F.col("mean_before")) / F.abs(F.col("mean_before"))
+    change = F.try_divide(F.abs(F.col("mean_after") - F.col("mean_before")), F.abs(F.col("mean_before")))
     return j.select("column", "mean_before", "mean_after", change.alias("relative_change"),
                     (change > threshold).alias("drift"))
 
@@ -437,7 +437,7 @@ def series_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
         mv = med.collect()
         out = m.withColumn("median", F.lit(mv[0]["median"] if mv else None).cast("double"))
     return out.select(*by, "n", "mean", "median", "std", "var", "skew", "kurt", "range",
-                      (F.col("std") / F.col("mean")).alias("cv"))
+                      F.try_divide(F.col("std"), F.col("mean")).alias("cv"))
 
 
 # --- A33 / A40-A43: composite reports ---------------------------------------------------
