@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import cyclical, date_parts, text_lengths
@@ -97,6 +97,16 @@ def datetime_features(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
 
 
 # E6 / E7 / E8 ------------------------------------------------------------------------
+def rank_distinct(values: DataFrame, order: str, out: str) -> DataFrame:
+    """0-based rank of each row of a table of distinct ``order`` values, without a
+    single-partition window: the table is range-partitioned on ``order`` (so
+    partition ids are monotone in it) and ranked with block-prefix positions."""
+    from tidewater.plans.ordered import add_positions
+    n = max(1, values.sparkSession.sparkContext.defaultParallelism)
+    ranged = values.repartitionByRange(n, order)
+    return add_positions(ranged, [], [order], F.spark_partition_id(), out)
+
+
 def factorize(df: DataFrame, col: str, order: Sequence[str], out: str | None = None) -> DataFrame:
     """Integer code by first appearance along ``order``; null -> -1.
 
@@ -105,7 +115,7 @@ def factorize(df: DataFrame, col: str, order: Sequence[str], out: str | None = N
     out = out or f"{col}_code"
     first = (df.where(F.col(col).isNotNull()).groupBy(col)
              .agg(F.min(F.struct(*[F.col(o) for o in order])).alias("_first")))
-    codes = first.select(col, (F.row_number().over(Window.orderBy("_first")) - 1).alias(out))
+    codes = rank_distinct(first, "_first", out).select(col, out)
     return (df.join(codes, col, "left")
             .withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("long")))
 
@@ -114,8 +124,7 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """code = rank of the value in sorted order (LabelEncoder)."""
     out = out or f"{col}_label"
     values = df.where(F.col(col).isNotNull()).select(col).distinct()
-    codes = values.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("long").alias(out))
-    return df.join(codes, col, "left")
+    return df.join(rank_distinct(values, col, out).select(col, out), col, "left")
 
 
 def category_values(df: DataFrame, col: str, limit: int = 1000) -> list:

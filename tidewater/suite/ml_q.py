@@ -158,9 +158,11 @@ def ml_silhouette_order(spark, d):
     v = vector_to_array("features")
     dist = F.sqrt(F.aggregate(F.zip_with(v, carr[F.col("cluster")], lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                               lambda s, x: s + x))
-    from pyspark.sql import Window
-    return out.select("vec_id", "cluster", dist.alias("score")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("cluster").orderBy("score", "vec_id")))
+    from tidewater.plans.ordered import add_positions, value_blocks
+    scored = value_blocks(out.select("vec_id", "cluster", dist.alias("score")), ["cluster"], F.col("score"),
+                          min_width=1e-9)
+    ranked = add_positions(scored, ["cluster"], ["score", "vec_id"], F.col("_tblk"), "rank").drop("_tblk")
+    return ranked.withColumn("rank", F.col("rank") + 1)
 
 
 @register("ml_dbscan")
