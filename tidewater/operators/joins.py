@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.plans.ordered import add_positions
@@ -74,5 +74,7 @@ def branch_merge(target: DataFrame, source: DataFrame, key: str, order: str) ->
 
 
 def dense_codes(values: DataFrame, col: str, out: str) -> DataFrame:
-    """(value, code) by sorted order over a distinct-value table."""
-    return values.select(col).distinct().select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(out))
+    """(value, code) by sorted order over the distinct values - the lookup
+    table joined back to rows (range-partitioned ranking, no single-task window)."""
+    from tidewater.operators.features import rank_distinct
+    return rank_distinct(values.select(col).distinct(), col, out)
