@@ -110,3 +110,10 @@ def test_dbscan_vs_brute_force(spark):
             adj = [lab[j] for j in np.where(nb[i] & core)[0]]
             exp = min(adj) if adj else -1
         assert got[i] == (exp, bool(core[i]))
+
+
+def test_dense_codes_sorted(spark):
+    from tidewater.operators.joins import dense_codes
+    df = spark.createDataFrame([(v,) for v in "dbacabd"], "v string")
+    got = {r["v"]: r["code"] for r in dense_codes(df, "v", "code").collect()}
+    assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
