@@ -117,3 +117,21 @@ def test_dense_codes_sorted(spark):
     df = spark.createDataFrame([(v,) for v in "dbacabd"], "v string")
     got = {r["v"]: r["code"] for r in dense_codes(df, "v", "code").collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_spread_only_small_scans(spark):
+    from tidewater.sources.tables import spread
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(many) is many
+
+
+def test_attach_keyless_inlines_literals(spark):
+    from tidewater.plans.attach import attach
+    df = spark.range(5)
+    stats = df.agg(F.max("id").alias("mx"))
+    out = attach(df, stats, [])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert {r["mx"] for r in out.collect()} == {4}
