@@ -135,3 +135,12 @@ def test_attach_keyless_inlines_literals(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
     assert {r["mx"] for r in out.collect()} == {4}
+
+
+def test_approx_profile_close_to_exact(spark):
+    import __spark_entry__ as entry
+    q = entry.queries()
+    ex = {r["column"]: r["n_distinct"] for r in q["profile_columns"](spark, SF).collect()}
+    ap = {r["column"]: r["n_distinct"] for r in q["profile_columns_approx"](spark, SF).collect()}
+    for c in ex:
+        assert abs(ap[c] - ex[c]) <= max(2, 0.15 * ex[c])   # HLL++ default rsd 5 %, 3 sigma

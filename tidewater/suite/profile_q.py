@@ -374,3 +374,16 @@ SELECT '{c}' AS {q('column')}, {r6(c)} AS value, CAST(rank AS INT) AS rank FROM
 def outlier_samples(spark, d):
     out = P.outlier_samples(dirty(spark, d), _SAMPLE_COLS, ["event_id"], 10)
     return out.select("column", "value", F.col("rank").cast("int"))
+
+
+@register("profile_columns_approx")
+def profile_columns_approx(spark, d):
+    """A2 with HyperLogLog++ distinct counts: one pass, no Expand of the input per
+    distinct column - the variant for very wide tables at scale (rows-only check)."""
+    return P.column_profile(dirty(spark, d), exact_distinct=False)
+
+
+@register("describe_numeric_approx")
+def describe_numeric_approx(spark, d):
+    """A3 with percentile_approx quartiles (one pass; rank error <= n / 10000)."""
+    return P.describe_numeric(table(spark, d, "lineitem"), method="approx")
