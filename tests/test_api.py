@@ -144,3 +144,21 @@ def test_approx_profile_close_to_exact(spark):
     ap = {r["column"]: r["n_distinct"] for r in q["profile_columns_approx"](spark, SF).collect()}
     for c in ex:
         assert abs(ap[c] - ex[c]) <= max(2, 0.15 * ex[c])   # HLL++ default rsd 5 %, 3 sigma
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filter_and_projection_reach_parquet(spark):
+    import __spark_entry__ as entry
+    plan = _plan(entry.queries()["src_parquet"](spark, SF))
+    assert "EqualTo(o_orderstatus,F)" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
+
+
+def test_profile_is_one_partial_aggregate(spark):
+    import __spark_entry__ as entry
+    plan = _plan(entry.queries()["corr_matrix"](spark, SF))
+    assert plan.count("HashAggregate") >= 2          # partial + final
+    assert "Join" not in plan and "CartesianProduct" not in plan
