@@ -90,3 +90,12 @@ def test_value_blocks_split_hot_keys(spark):
     # monotone in time within each key
     for _, g in out.sort_values(["k", "ts"]).groupby("k"):
         assert g["_tblk"].is_monotonic_increasing
+
+
+def test_trailing_counts_boundaries_and_ties(spark):
+    rows = [(1, 0, 0), (2, 0, 0), (3, 0, 60), (4, 0, 61), (5, 1, 61)]
+    df = spark.createDataFrame(rows, "id int, u int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = {r["id"]: (r["n_m"], r["n_h"]) for r in
+           W.trailing_counts(df, ["u"], "ts", "id", {"m": 60, "h": 3600}).collect()}
+    # [t - 60 s, t] is inclusive at both ends; rows at the same instant count each other
+    assert out == {1: (2, 2), 2: (2, 2), 3: (3, 3), 4: (2, 4), 5: (1, 1)}
