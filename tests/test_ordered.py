@@ -99,3 +99,13 @@ def test_trailing_counts_boundaries_and_ties(spark):
            W.trailing_counts(df, ["u"], "ts", "id", {"m": 60, "h": 3600}).collect()}
     # [t - 60 s, t] is inclusive at both ends; rows at the same instant count each other
     assert out == {1: (2, 2), 2: (2, 2), 3: (3, 3), 4: (2, 4), 5: (1, 1)}
+
+
+def test_session_gap_boundary(spark):
+    from tidewater.operators.activity import sessionize
+    rows = [(1, 7, 0), (2, 7, 86399), (3, 7, 86399 + 86400), (4, 7, 86399 + 86400 + 10)]
+    df = spark.createDataFrame(rows, "event_id int, user_id int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = {r["event_id"]: r["session_id"] for r in sessionize(df, "user_id", "ts", tiebreak=["event_id"]).collect()}
+    assert out[1] == out[2]              # gap just under a day: same session
+    assert out[3] != out[2]              # gap of exactly one day: new session
+    assert out[3] == out[4]
