@@ -162,3 +162,10 @@ def test_profile_is_one_partial_aggregate(spark):
     plan = _plan(entry.queries()["corr_matrix"](spark, SF))
     assert plan.count("HashAggregate") >= 2          # partial + final
     assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_format_number_units(spark):
+    from tidewater.functions.scalar import format_number
+    df = spark.createDataFrame([(999.0,), (1234.5,), (2_500_000.0,), (3e9,), (12345.0,)], "x double")
+    got = [r[0] for r in df.select(format_number("x")).collect()]
+    assert got == ["999.00", "1.23K", "2.50M", "3.00B", "12.35K"]   # half-up on the decimal value
