@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,27 +44,66 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and every executor share.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a private scratch folder is
-    created and recorded in the session conf.
+    It is read from ``spark.checkpoint.dir``. Where that is unset, a local-mode
+    session (tests) gets a private folder of its own; on a cluster the executors
+    could not see such a folder, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and current.isDefined():
+        configured = current.get()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tidewater-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
+    if not current.isDefined():
+        sc.setCheckpointDir(configured)
     return configured
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make ``DataFrame.checkpoint()`` usable; see ``shared_dir``."""
+    shared_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    The copy survives lost executors, is columnar and compressed, and every
+    later reader sees the same rows. Each call writes to a new path.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tidewater/{uuid.uuid4().hex}/{label}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every executor this package, once per Spark application, so that
+    functions run in Python workers can import it whatever their path is."""
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] == "local" or getattr(sc, "_tidewater_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tidewater-zip-")  # read by the driver only, which serves it to executors
+    path = os.path.join(folder, "tidewater.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.join("tidewater", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tidewater_shipped = True
