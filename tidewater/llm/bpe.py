@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +35,13 @@ from tokenizers import Tokenizer
 
 from tidewater.llm.common import record, slices
 
-#: White space of the pre-tokenizer (the Unicode property White_Space).
-WHITE = "\t-\r \x85\xa0  -     　"
-PART = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: White space of the pre-tokenizer (the Unicode property White_Space), in one byte and in more.
+ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WIDE_SPACE = re.compile("|".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])).encode())
 #: Letters of the Latin blocks with at most one space before them: always a single piece.
 LATIN = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Entries of the table of parts; beyond it the table starts anew (results are the same).
-TABLE_SIZE = 1_000_000
+TABLE_SIZE = 1_500_000
 NEVER = np.int64(1) << 40
 
 
@@ -75,7 +76,8 @@ class Encoder:
         letters = byte_letters()
         self.splitter = plain_tokenizer(content).pre_tokenizer
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.added_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        self.added_ids = {t.encode(): np.array([i], "<u4").tobytes() for t, i in self.added.items()}
+        self.added_pattern = re.compile(b"|".join(re.escape(t) for t in sorted(self.added_ids, key=len, reverse=True)) or b"(?!)")
         vocab = spec["model"]["vocab"]
         self.letters = letters
         self.id_of = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
@@ -109,7 +111,10 @@ class Encoder:
         apart = np.zeros(size, bool)
         apart[made] = self.compatible(self.left[made], self.right[made], below=self.rank[made])
         self.whole = self._whole(apart)
-        self.table: dict[str, bytes] = {}
+        self.byte_sizes = np.fromiter(map(len, self.bytes_of), np.int64, size)
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.byte_blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.table: dict[bytes, bytes] = {}
 
     def _whole(self, apart: np.ndarray) -> np.ndarray:
         """Which tokens are what their own bytes encode to: bytes, and tokens made of two
@@ -218,44 +223,80 @@ class Encoder:
         letters = self.letters
         return [bytes([letters[c] for c in piece]) for piece, _ in self.splitter.pre_tokenize_str(part)]
 
-    def learn(self, parts: list[str]) -> None:
-        """Add the ids of these parts to the table, as little-endian 32-bit integers."""
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, as little-endian 32-bit integers."""
         uses = list(map(self.pieces_of, parts))
         pieces = list(dict.fromkeys(chain.from_iterable(uses)))
         ids = dict(zip(pieces, self.encode_pieces(pieces)[0]))
-        for part, mine in zip(parts, uses):
-            self.table[part] = ids[mine[0]] if len(mine) == 1 else b"".join([ids[p] for p in mine])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        plan: list[list[str | bytes]] = []
-        for text in texts:
-            if self.added and self.added_pattern.search(text):
-                row: list[str | bytes] = []
-                end = 0
-                for m in self.added_pattern.finditer(text):
-                    row += PART.findall(text[end:m.start()])
-                    row.append(np.array([self.added[m[0]]], "<u4").tobytes())
-                    end = m.end()
-                plan.append(row + PART.findall(text[end:]))
-            else:
-                plan.append(PART.findall(text))
-        return self.look_up(plan)
-
-    def look_up(self, plan: list[list[str | bytes]]) -> list[bytes]:
-        if len(self.table) > TABLE_SIZE:
-            self.table.clear()
-        found = [list(map(self.table.get, row)) for row in plan]
-        gaps = [(i, k) for i, row in enumerate(found) if None in row for k, x in enumerate(row) if x is None]
-        self.learn(list({p for i, k in gaps if type(p := plan[i][k]) is str}))
-        for i, k in gaps:
-            p = plan[i][k]
-            found[i][k] = self.table[p] if type(p) is str else p
-        return list(map(b"".join, found))
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: their bytes in a row, read as UTF-8 with replacement characters."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return [ids[mine[0]] if len(mine) == 1 else b"".join([ids[p] for p in mine]) for mine in uses]
+
+    def look_up(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts, from the table as far as it has them."""
+        found = list(map(self.table.get, parts))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            if len(self.table) + len(new) > TABLE_SIZE:
+                self.table.clear()
+                self.table.update(self.added_ids)
+            known = [i for i in new if parts[i] in self.added_ids]
+            for i in known:
+                found[i] = self.added_ids[parts[i]]
+            rest = [i for i in new if found[i] is None]
+            for i, ids in zip(rest, self.encode_parts([parts[i].decode() for i in rest])):
+                found[i] = self.table[parts[i]] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (a binary column; null counts as empty) in a row, and the number of each text's."""
+        texts = pc.fill_null(texts, b"").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        whole = memoryview(raw)[offsets[0]:offsets[-1]] if raw is not None else memoryview(b"")
+        ends = offsets - offsets[0]
+        data = np.frombuffer(whole, np.uint8)
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        space = ASCII_SPACE[data]
+        for m in WIDE_SPACE.finditer(whole):
+            space[m.start():m.end()] = True
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        start[ends[:-1][ends[:-1] < len(data)]] = True
+        for m in self.added_pattern.finditer(whole):
+            doc = np.searchsorted(ends, m.start(), "right")
+            if m.end() <= ends[doc]:
+                start[m.start() + 1:m.end()] = False
+                start[m.start()] = True
+                if m.end() < len(data):
+                    start[m.end()] = True
+        starts = np.flatnonzero(start)
+        cuts = pa.py_buffer(np.r_[starts, len(data)].astype(np.int64))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, cuts, pa.py_buffer(whole)]).dictionary_encode()
+        which = parts.indices.to_numpy()
+        ids = self.look_up(parts.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        counts = size[which]
+        per_text = np.diff(np.r_[0, np.cumsum(counts)][np.searchsorted(starts, ends)])
+        return gather(flat, (np.cumsum(size) - size)[which], counts), per_text
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The text of each run of ids: their bytes in a row, read as UTF-8 with replacement characters."""
+        size = self.byte_sizes[ids]
+        whole = gather(self.byte_blob, self.byte_starts[ids], size).tobytes()
+        ends = np.r_[0, np.cumsum(size)][np.cumsum(counts)].tolist()
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[s:s + n] for each start and size, in a row."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def runs(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Each run of ids as little-endian 32-bit integers."""
+    return _cut(ids, counts)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -287,9 +328,8 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, schema: pa.S
         from tidewater.llm.bpe import encoder  # the module of the worker, which keeps its tables between tasks
         e = encoder(file.value)
         for whole in batches:
-            for part in slices(whole, "text", 2 << 20):
-                ids = e.encode([b.decode() if b else "" for b in part.column("text").to_pylist()])
-                found = record(schema, finish(e, ids))
+            for part in slices(whole, "text"):
+                found = record(schema, finish(e, *e.encode(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found.columns], names=["doc_id", *schema.names])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {ddl}")
@@ -302,11 +342,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     become those tokens, as in the library. An empty table gives no rows.
     """
     return _mapped(docs, path, id_col, text_col, ENCODED, "n_tokens long, ids binary, decoded string",
-                   lambda e, ids: [[len(x) // 4 for x in ids], ids, list(map(e.decode, ids))])
+                   lambda e, ids, n: [n, runs(ids, n), e.decode(ids, n)])
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``encode_decode``, with SHA-256 digests in place of ids and decoded text."""
     return _mapped(docs, path, id_col, text_col, DIGESTS, "n_tokens long, ids_sha256 string, decoded_sha256 string",
-                   lambda e, ids: [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids],
-                                   [hashlib.sha256(e.decode(x).encode()).hexdigest() for x in ids]])
+                   lambda e, ids, n: [n, [hashlib.sha256(x).hexdigest() for x in runs(ids, n)],
+                                      [hashlib.sha256(x.encode()).hexdigest() for x in e.decode(ids, n)]])
