@@ -41,6 +41,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark.sparkContext.setLogLevel("ERROR")
     for k in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
         spark.conf.set(k, conf[k])
+    ship_package(spark)
     return spark
 
 
@@ -94,7 +95,7 @@ def ship_package(spark: SparkSession) -> None:
     """Give every executor this package, once per Spark application, so that
     functions run in Python workers can import it whatever their path is."""
     sc = spark.sparkContext
-    if sc.master.split("[")[0] == "local" or getattr(sc, "_tidewater_shipped", False):
+    if getattr(sc, "_tidewater_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="tidewater-zip-")  # read by the driver only, which serves it to executors
