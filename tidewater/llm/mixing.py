@@ -4,7 +4,7 @@ Sources in code point order, null last, weigh 3, 1, 2, 3, 1, 2, ... They share
 ``share`` times all words by weight; a source's target stops at ``most`` times
 its size and the excess goes to the others by weight. That is one water level:
 with the sources ordered by cap / weight, the level is (words left) / (weight
-left) at the first source whose cap lies above it.
+left) at the first source whose cap lies above it, which is the largest such level.
 
 Within a source each document is expected to be copied target / size times.
 Documents are taken in order of size (ties by the md5 of the id), so that the
@@ -40,7 +40,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     before = level.rowsBetween(Window.unboundedPreceding, -1)
     onward = level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     s = s.withColumn("mark", (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    s = s.withColumn("water", F.min(F.when(F.col("mark") * F.col("weight") <= F.col("cap"), F.col("mark"))).over(everything))
+    s = s.withColumn("water", F.max(F.when(F.col("mark") * F.col("weight") <= F.col("cap"), F.col("mark"))).over(everything))
     target = F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("weight")))
     return s.select("source", "source_size", target.alias("target"))
 
