@@ -78,7 +78,7 @@ def main(argv=None) -> int:
     from tidewater.session import build_session
     import __spark_entry__ as entry
 
-    spark = build_session("local[8]", 8)
+    spark = build_session(os.environ.get("ORACLE_MASTER", "local[8]"), 8)
     qs, sqls = entry.queries(), entry.oracle_sql()
     con = duck(args.sf)
     bad = 0
