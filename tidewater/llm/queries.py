@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import binary, bpe, exact, minhash, mixing, quality, sharding
+from tidewater.llm import binary, bpe, chat, exact, minhash, mixing, pii, quality, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,6 +17,8 @@ ORACLE: dict[str, str] = {}
 SHARDS = 24
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
+#: The key of the surrogates; a real run gives its own and keeps it secret.
+PII_KEY = "tidewater"
 
 
 def query(name: str, sql: str | None = None):
@@ -81,12 +83,43 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("longest_repeat") > quality.MAX_REPEAT).alias("long_repeat"), "base_failed", "kept")
 
 
+@query("op3_substring", f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - {substring.WINDOW} + 2)) AS pos, array_to_string(w[pos:pos + {substring.WINDOW} - 1], ' ') AS window_words
+        FROM docs WHERE len(w) >= {substring.WINDOW}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {substring.WINDOW})) AS pos
+         FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY window_words) AS c FROM win) WHERE c > 1),
+one AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated passages of 35 words or more, as digests."""
+    return substring.cut_passages(table(spark, sf_dir, "documents"), with_text=False)
+
+
 @query("op4_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and their decoded texts, as digests."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query("op5_chat", f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+             md5(string_agg(md5(role || chr(31) || text), '') OVER (PARTITION BY conv_id ORDER BY turn)) AS h FROM t),
+e AS (SELECT conv_id, max(pos) + 1 AS n, arg_max(h, pos) AS h FROM p GROUP BY conv_id),
+k AS (SELECT min(conv_id) AS conv_id, n, h, count(*) AS copies FROM e GROUP BY n, h),
+longer AS (SELECT DISTINCT p.h, p.pos + 1 AS n FROM p JOIN e USING (conv_id) WHERE e.n > p.pos + 1),
+m AS (SELECT * FROM k ANTI JOIN longer USING (h, n))
+SELECT conv_id, CAST(pos // {chat.PART} AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_turns, CAST(any_value(copies) AS BIGINT) AS copies,
+       string_agg('{chat.START}' || replace(role, '<|', '<' || chr(8203) || '|') || chr(10) || replace(text, '<|', '<' || chr(8203) || '|') || '{chat.END}' || chr(10), '' ORDER BY pos) AS text
+FROM p JOIN m USING (conv_id) GROUP BY conv_id, pos // {chat.PART}""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal conversations, rendered."""
+    return chat.chat_texts(table(spark, sf_dir, "conversations"))
+
+
 @query("op6_exact", f"""
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), {SEPARATORS}, '') AS norm, length(coalesce(text, '')) AS n FROM documents),
@@ -131,3 +164,9 @@ SELECT doc_id, size, source_size, target, CAST(least(floor(e * (k + 1) + u) - fl
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of all sources takes."""
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data and secrets."""
+    return pii.replaced(table(spark, sf_dir, "documents"), PII_KEY)
