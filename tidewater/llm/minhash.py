@@ -266,7 +266,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = links(docs, classes, id_col, text_col, width, percent)
     named = classes.select("set", "node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(ids, "component").select("set", "component_id")
+    # written out, so that the join below has a plain exchange on both sides and a hot set can be split
+    by_set = staged(named.join(ids, "component").select("set", "component_id"), "components")
     some = found.where("n > 0").join(by_set, "set").select("doc_id", "tx", "n", "component_id")
     none = found.where("n = 0").select("doc_id", "tx", "n", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).select("doc_id", "tx", F.col("n").alias("n_shingles"), "component_id",

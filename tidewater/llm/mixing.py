@@ -72,7 +72,8 @@ def _plan(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float,
     most_rows = per_size.agg(F.max("n")).first()[0] or 0
     keyed = sizes.withColumn("id_md5", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("~")))
     ranked = split_rank(keyed, ["source", "size"], "id_md5", [F.col("doc_id")], hex_digits(most_rows), "rank")
-    g = steps.alias("s").join(goal.alias("g"), F.expr("s.source <=> g.source")).select("s.*", "source_size", "target")
+    # written out, so that the join below has a plain exchange on both sides and a hot size can be split
+    g = staged(steps.alias("s").join(goal.alias("g"), F.expr("s.source <=> g.source")).select("s.*", "source_size", "target"), "targets")
     both = ranked.alias("r").join(g.alias("g"), F.expr("r.source <=> g.source and r.size = g.size")).select("r.*", "source_size", "target", "below")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     step = F.col("below") + F.col("rank")

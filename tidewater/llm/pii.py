@@ -2,7 +2,8 @@
 
 Entities are found by one pattern: e-mail addresses, IPv4 addresses, social
 security and phone numbers, card numbers (with a valid check digit), access
-keys, long hexadecimal tokens, and names after a form of address. Each kind has
+keys, long hexadecimal tokens, values of a password or key, and names after a
+form of address. Each kind has
 a canonical form (digits only, lower case, a single name), so an entity written
 in several ways stays one entity.
 
@@ -31,6 +32,7 @@ EITHER = ("Dr", "Prof")
 _TITLE = "|".join(sorted([*FEMALE, *MALE, *EITHER], key=len, reverse=True))
 _NAME = r"\p{Lu}\p{Ll}+"
 NAMED = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}(?!\p{{L}})"
+_LABEL = "password|passwd|pwd|secret|api_key|apikey|access_token|token"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Patterns of the kinds, in the order in which they are tried.
 PATTERNS = {
@@ -38,14 +40,15 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z0-9])(?:{_LABEL})[=:][^\s\"',;]{{6,128}}",
     "name": NAMED,
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap test that every text with an entity passes.
-MAYBE = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+MAYBE = rf"[0-9@]|(?:{_LABEL})[=:]|(?:{_TITLE})\.? \p{{Lu}}"
 #: Beginnings and ends of drawn names, by script.
 SYLLABLES = {
     "latin": ("ba be bi bo da de do fa fe ga go ha he ka ke ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve vi".split(), "n r s k l m t d".split(), "a ia ea ina ela ana ora issa".split()),
@@ -123,6 +126,7 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
         return F.initcap(F.concat(begin, F.when(kind == "name_f", women_end).when(kind == "name_m", men_end).otherwise(F.when(_byte(h, 32) % 2 == 0, men_end).otherwise(F.concat(men_end, women_end)))))
     names = F.when(canon.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "ssn"), number).when(kind == "card", card)
+            .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), token).otherwise(_drawn(canon, h)))
             .when(kind == "token", token).when(kind == "access_key", access).otherwise(F.lower(names)))
 
 
@@ -137,8 +141,9 @@ def _pieces(idx: Column, raw: Column) -> Column:
     """A match as an array of (idx, sub, lead, kind, canon, raw): one entity, or each name after a form of address."""
     kind = _kind(raw)
     digits = _only_digits(raw)
+    label = rf"^(?:{_LABEL})[=:]"
     canon = (F.when(kind == "email", F.lower(raw)).when(kind == "phone", F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits))
-             .when(kind.isin("ssn", "card"), digits).otherwise(raw))
+             .when(kind.isin("ssn", "card"), digits).otherwise(F.regexp_replace(raw, label, "")))
     words = F.split(raw, " ")
     title = F.regexp_replace(F.get(words, 0), r"\.$", "")
     gender = F.when(title.isin(*FEMALE), "name_f").when(title.isin(*MALE), "name_m").otherwise("name")
@@ -147,7 +152,8 @@ def _pieces(idx: Column, raw: Column) -> Column:
     # the last name is a family name, which has no gender; those before it follow the form of address
     names = F.transform(F.slice(words, F.lit(2), F.size(words) - 1), lambda w, i: entity(
         i, F.when(i == 0, F.concat(F.get(words, 0), F.lit(" "))).otherwise(F.lit(" ")), F.when(i == last, "surname").otherwise(gender), F.lower(w), w))
-    single = F.array(entity(F.lit(0), F.lit(""), kind, canon, raw))
+    value = F.when(kind == "secret", canon).otherwise(raw)
+    single = F.array(entity(F.lit(0), F.when(kind == "secret", F.regexp_extract(raw, label, 0)).otherwise(""), kind, canon, value))
     return F.when(kind == "name", names).otherwise(single)
 
 
@@ -159,7 +165,7 @@ def _written(raw: Column, kind: Column, drawn: Column) -> Column:
         drawn, (F.length(_only_digits(F.substring(raw, F.lit(1), i + 1))) - extra).cast("int"), F.when(F.length(_only_digits(F.substring(raw, F.lit(1), i + 1))) > extra, 1).otherwise(0)), F.lit("")), c)).otherwise(c))
     worded = F.when(raw == F.upper(raw), F.upper(drawn)).when(F.substring(raw, 1, 1) != F.lower(F.substring(raw, 1, 1)), F.initcap(drawn)).otherwise(drawn)
     return (F.when(drawn.isNull(), raw).when(kind.isin("phone", "ssn", "card"), numbered)
-            .when(kind == "email", F.when(raw == F.upper(raw), F.upper(drawn)).otherwise(drawn)).when(kind.isin("ip", "token", "access_key"), drawn).otherwise(worded))
+            .when(kind == "email", F.when(raw == F.upper(raw), F.upper(drawn)).otherwise(drawn)).when(kind.isin("ip", "token", "access_key", "secret"), drawn).otherwise(worded))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:

@@ -85,7 +85,8 @@ def longest_first(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     phase = F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("rank")), -1)
     dealt = (ranked.join(turns, "class").withColumn("phase", phase)
              .select("text_md5", F.get(F.col("phase.shards"), ((F.col("rank") - F.col("phase.first")) % F.size("phase.shards")).cast("int")).alias("shard")))
-    placed = base.join(dealt, "text_md5").withColumn("id_md5", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("~")))
+    # written out, so that the join has a plain exchange on both sides and a hot text can be split
+    placed = base.join(staged(dealt, "groups"), "text_md5").withColumn("id_md5", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("~")))
     rows = sum(r["rows"] for r in counted)
     slotted = split_rank(placed, ["shard"], "id_md5", [F.col("doc_id"), F.col("text_md5")], hex_digits(rows), "slot")
     return slotted.select("doc_id", "size", "text_crc32", "text_md5", "shard", "slot")
