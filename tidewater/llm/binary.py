@@ -42,7 +42,8 @@ class LibraryEncoder(Encoder):
         self.library = plain_tokenizer(content)
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(parts, add_special_tokens=False)]
+        # a few at a time: the library's result objects take a kilobyte or two each
+        return [np.array(x.ids, "<u4").tobytes() for i in range(0, len(parts), 4096) for x in self.library.encode_batch(parts[i:i + 4096], add_special_tokens=False)]
 
 
 _encoders: dict[int, LibraryEncoder] = {}
@@ -286,7 +287,7 @@ def read_digests(spark: SparkSession, out: str) -> DataFrame:
     one = found.where("pieces = 1").select("part", "doc_id", "row", F.col("n").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
     @F.udf("long")
-    def joined(blocks: list) -> int:
+    def joined(blocks):
         crc = 0
         for b in blocks:
             crc = crc32_concat(crc, b["crc"], 4 * b["n"])

@@ -40,8 +40,8 @@ ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 WIDE_SPACE = re.compile("|".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])).encode())
 #: Letters of the Latin blocks with at most one space before them: always a single piece.
 LATIN = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-#: Entries of the table of parts; beyond it the table starts anew (results are the same).
-TABLE_SIZE = 1_500_000
+#: Entries of each of the two tables of parts (results are the same at any size).
+TABLE_SIZE = 400_000
 NEVER = np.int64(1) << 40
 
 
@@ -115,6 +115,7 @@ class Encoder:
         self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
         self.byte_blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.table: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _whole(self, apart: np.ndarray) -> np.ndarray:
         """Which tokens are what their own bytes encode to: bytes, and tokens made of two
@@ -235,15 +236,15 @@ class Encoder:
         found = list(map(self.table.get, parts))
         new = [i for i, x in enumerate(found) if x is None]
         if new:
+            # a full table becomes the older one; what is met again moves on, what is not goes with it
             if len(self.table) + len(new) > TABLE_SIZE:
-                self.table.clear()
-                self.table.update(self.added_ids)
-            known = [i for i in new if parts[i] in self.added_ids]
-            for i in known:
-                found[i] = self.added_ids[parts[i]]
+                self.older, self.table = self.table, dict(self.added_ids)
+            for i in new:
+                found[i] = self.older.get(parts[i]) or self.added_ids.get(parts[i])
             rest = [i for i in new if found[i] is None]
             for i, ids in zip(rest, self.encode_parts([parts[i].decode() for i in rest])):
-                found[i] = self.table[parts[i]] = ids
+                found[i] = ids
+            self.table.update((parts[i], found[i]) for i in new)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
