@@ -101,12 +101,21 @@ def test_encoder_is_the_library(own, library):
     assert own.decode(ids, n) == [library.decode(e.ids, skip_special_tokens=False) for e in expected]
 
 
+def test_full_table(own, library, monkeypatch):
+    """A table of parts that overflows again and again changes nothing."""
+    monkeypatch.setattr(bpe, "TABLE_SIZE", 40)
+    texts = odd_texts()[:900]
+    for i in range(0, 900, 30):
+        ids, n = own.encode(pa.array([t.encode() for t in texts[i:i + 30]]))
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.runs(ids, n)] == [e.ids for e in library.encode_batch(texts[i:i + 30], add_special_tokens=False)]
+
+
 def test_speculation_and_verification(own):
     """Pieces that pass the check are right as they are; some fail, and exact merging mends them."""
     pieces = list({p.encode() for t in odd_texts() for p in re.findall(r" ?[a-z]+", t)})
-    ids, failed = own.encode_pieces(pieces)
-    tokens, count = own.exact(pieces)
-    assert ids == bpe.runs(tokens, count)
+    flat, size, failed = own.encode_pieces(pieces)
+    ids = bpe.runs(flat, size)
+    assert ids == bpe.runs(*own.exact(pieces))
     greedy = [np.array(own.greedy(p), "<u4").tobytes() for p in pieces]
     assert all(g == x for g, x, f in zip(greedy, ids, failed) if not f) and 0 < failed.mean() < 1
 

@@ -38,11 +38,12 @@ from tidewater.llm.common import record, slices
 #: White space of the pre-tokenizer (the Unicode property White_Space), in one byte and in more.
 ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 WIDE_SPACE = re.compile("|".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])).encode())
-#: Letters of the Latin blocks with at most one space before them: always a single piece.
-LATIN = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-#: Entries of each of the two tables of parts (results are the same at any size).
-TABLE_SIZE = 400_000
+#: Letters of the Latin blocks up to U+024F, in UTF-8, with at most one space before them: always a single piece.
+LATIN = re.compile(rb"[ ]?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
+#: Entries of the table of parts, each of some 60 bytes (results are the same at any size).
+TABLE_SIZE = 2_000_000
 NEVER = np.int64(1) << 40
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,8 +77,7 @@ class Encoder:
         letters = byte_letters()
         self.splitter = plain_tokenizer(content).pre_tokenizer
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.added_ids = {t.encode(): np.array([i], "<u4").tobytes() for t, i in self.added.items()}
-        self.added_pattern = re.compile(b"|".join(re.escape(t) for t in sorted(self.added_ids, key=len, reverse=True)) or b"(?!)")
+        self.added_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)).encode() or b"(?!)")
         vocab = spec["model"]["vocab"]
         self.letters = letters
         self.id_of = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
@@ -99,9 +99,20 @@ class Encoder:
             if self.left[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = r, vocab[a], vocab[b]
         keys = np.fromiter((a * size + b for a, b in self.rule), np.int64, len(self.rule))
-        by = np.argsort(keys)
-        self.size, self.pair_keys = size, keys[by]
-        self.pair_ranks = np.fromiter((r for r, _ in self.rule.values()), np.int64, len(self.rule))[by]
+        ranks = np.fromiter((r for r, _ in self.rule.values()), np.int64, len(self.rule))
+        self.size = size
+        # hash tables of falling size: what finds its place taken goes to the next one
+        self.hashed: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        bits = 18
+        while len(keys):
+            shift = np.uint64(64 - bits)
+            place = (keys.astype(np.uint64) * MIX) >> shift
+            _, first = np.unique(place, return_index=True)
+            held, held_rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NEVER)
+            held[place[first]], held_rank[place[first]] = keys[first], ranks[first]
+            self.hashed.append((shift, held, held_rank))
+            rest = np.setdiff1d(np.arange(len(keys)), first)
+            keys, ranks, bits = keys[rest], ranks[rest], max(8, bits - 1)
         self.made_by = np.full(len(spec["model"]["merges"]), -1)
         for r, token in self.rule.values():
             self.made_by[r] = token
@@ -114,8 +125,10 @@ class Encoder:
         self.byte_sizes = np.fromiter(map(len, self.bytes_of), np.int64, size)
         self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
         self.byte_blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.table: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        # the table of parts: their bytes, and their ids in a row; the added tokens come first
+        self.known = pa.array([t.encode() for t in self.added], pa.large_binary())
+        self.flat = np.array(list(self.added.values()), "<u4")
+        self.sizes, self.starts = np.ones(len(self.added), np.int64), np.arange(len(self.added))
 
     def _whole(self, apart: np.ndarray) -> np.ndarray:
         """Which tokens are what their own bytes encode to: bytes, and tokens made of two
@@ -127,9 +140,14 @@ class Encoder:
         return whole
 
     def merge_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair, ``NEVER`` where there is none."""
         keys = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+        mixed = keys.astype(np.uint64) * MIX
+        out = np.full(len(keys), NEVER)
+        for shift, held, ranks in self.hashed:
+            place = mixed >> shift
+            out = np.where(held[place] == keys, ranks[place], out)
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
         """For each pair, whether no merge crosses the border; with ``below``, none before that rank."""
@@ -179,10 +197,10 @@ class Encoder:
         token = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         of = np.repeat(np.arange(len(pieces)), size)
         done = [(of[:0], token[:0])]
+        rank = np.full(len(token), NEVER)  # of the merge of each token with the next one
+        near = np.flatnonzero(of[1:] == of[:-1])
+        rank[near] = self.merge_ranks(token[near], token[near + 1])
         while len(token):
-            rank = np.full(len(token), NEVER)
-            near = np.flatnonzero(of[1:] == of[:-1])
-            rank[near] = self.merge_ranks(token[near], token[near + 1])
             heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             here = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.r_[heads, len(of)]))
             stay = here < NEVER
@@ -193,13 +211,21 @@ class Encoder:
             at = at[(np.arange(len(at)) - run) % 2 == 0]
             token[at] = self.made_by[rank[at]]
             stay[at + 1] = False
-            token, of = token[stay], of[stay]
+            moved = (np.cumsum(stay) - 1)[at]
+            token, of, rank = token[stay], of[stay], rank[stay]
+            # only the pairs on either side of a merge are new
+            new = np.unique(np.r_[moved - 1, moved])
+            new = new[(new >= 0) & (new < len(token))]
+            pair = new[new + 1 < len(token)]
+            rank[new] = NEVER
+            pair = pair[of[pair] == of[pair + 1]]
+            rank[pair] = self.merge_ranks(token[pair], token[pair + 1])
         of, token = (np.concatenate(x) for x in zip(*done))
         by = np.argsort(of, kind="stable")
         return token[by], np.bincount(of, minlength=len(pieces))
 
-    def encode_pieces(self, pieces: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """The ids of each piece, as little-endian 32-bit integers, and which pieces failed the check."""
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of all pieces in a row, the number of each piece's, and which pieces failed the check."""
         cut = list(map(self.greedy, pieces))
         size = np.fromiter(map(len, cut), np.int64, len(cut))
         flat = np.fromiter(chain.from_iterable(cut), np.int64, int(size.sum()))
@@ -211,41 +237,51 @@ class Encoder:
         fits = self.compatible(distinct // self.size, distinct % self.size)
         failed[of[near][~fits[where]]] = True
         again = np.flatnonzero(failed)
-        ids = _cut(flat, size)
         tokens, count = self.exact([pieces[i] for i in again.tolist()])
-        for i, x in zip(again.tolist(), _cut(tokens, count)):
-            ids[i] = x
-        return ids, failed
+        starts = np.cumsum(size) - size
+        starts[again], size[again] = len(flat) + np.cumsum(count) - count, count
+        return gather(np.concatenate([flat, tokens]), starts, size), size, failed
+
+    def tokens_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces in a row, and the number of each piece's."""
+        return self.encode_pieces(pieces)[:2]
 
-    def pieces_of(self, part: str) -> list[bytes]:
+    def pieces_of(self, part: bytes) -> list[bytes]:
         """What the pre-tokenizer makes of a part of a text."""
-        if LATIN.fullmatch(part):
-            return [part.encode()]
         letters = self.letters
-        return [bytes([letters[c] for c in piece]) for piece, _ in self.splitter.pre_tokenize_str(part)]
-
-    def encode_parts(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part, as little-endian 32-bit integers."""
-        uses = list(map(self.pieces_of, parts))
-        pieces = list(dict.fromkeys(chain.from_iterable(uses)))
-        ids = dict(zip(pieces, self.encode_pieces(pieces)[0]))
-        return [ids[mine[0]] if len(mine) == 1 else b"".join([ids[p] for p in mine]) for mine in uses]
-
-    def look_up(self, parts: list[bytes]) -> list[bytes]:
-        """The ids of distinct parts, from the table as far as it has them."""
-        found = list(map(self.table.get, parts))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            # a full table becomes the older one; what is met again moves on, what is not goes with it
-            if len(self.table) + len(new) > TABLE_SIZE:
-                self.older, self.table = self.table, dict(self.added_ids)
-            for i in new:
-                found[i] = self.older.get(parts[i]) or self.added_ids.get(parts[i])
-            rest = [i for i in new if found[i] is None]
-            for i, ids in zip(rest, self.encode_parts([parts[i].decode() for i in rest])):
-                found[i] = ids
-            self.table.update((parts[i], found[i]) for i in new)
-        return found
+        return [bytes([letters[c] for c in piece]) for piece, _ in self.splitter.pre_tokenize_str(part.decode())]
+
+    def encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all parts in a row, and the number of each part's."""
+        number: dict[bytes, int] = {}
+        used, count = [], []
+        for part in parts:
+            pieces = (part,) if LATIN.fullmatch(part) else self.pieces_of(part)
+            count.append(len(pieces))
+            for p in pieces:
+                used.append(number.setdefault(p, len(number)))
+        tokens, size = self.tokens_of(list(number))
+        at, n = np.array(used, np.int64), np.array(count, np.int64)
+        starts = np.cumsum(size) - size
+        return gather(tokens, starts[at], size[at]), np.add.reduceat(size[at], np.cumsum(n) - n)
+
+    def look_up(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``flat`` the ids of distinct parts start, and how many there are; new parts are added."""
+        at = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(pc.is_null(at))
+        rows = at.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            if len(self.known) + len(new) > TABLE_SIZE:  # keep the added tokens and what this slice uses
+                used = np.unique(np.r_[np.arange(len(self.added)), rows[rows >= 0]])
+                rows[rows >= 0] = np.searchsorted(used, rows[rows >= 0])
+                self.known = self.known.take(pa.array(used))
+                self.flat, self.sizes = gather(self.flat, self.starts[used], self.sizes[used]), self.sizes[used]
+            rows[rows < 0] = len(self.known) + np.arange(len(new))
+            tokens, size = self.encode_parts(new.to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat, self.sizes = np.concatenate([self.flat, tokens.astype("<u4")]), np.concatenate([self.sizes, size])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        return self.starts[rows], self.sizes[rows]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (a binary column; null counts as empty) in a row, and the number of each text's."""
@@ -274,12 +310,10 @@ class Encoder:
         cuts = pa.py_buffer(np.r_[starts, len(data)].astype(np.int64))
         parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, cuts, pa.py_buffer(whole)]).dictionary_encode()
         which = parts.indices.to_numpy()
-        ids = self.look_up(parts.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        first, size = self.look_up(parts.dictionary)
         counts = size[which]
         per_text = np.diff(np.r_[0, np.cumsum(counts)][np.searchsorted(starts, ends)])
-        return gather(flat, (np.cumsum(size) - size)[which], counts), per_text
+        return gather(self.flat, first[which], counts), per_text
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of each run of ids: their bytes in a row, read as UTF-8 with replacement characters."""
@@ -329,7 +363,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, schema: pa.S
         from tidewater.llm.bpe import encoder  # the module of the worker, which keeps its tables between tasks
         e = encoder(file.value)
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", 4 << 20):
                 found = record(schema, finish(e, *e.encode(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found.columns], names=["doc_id", *schema.names])
 
