@@ -124,3 +124,18 @@ def expired_sessions(sessions: DataFrame, last_ts: str, as_of: F.Column, ttl_sec
     """R6 batch form: sessions whose last activity is at least ``ttl`` before ``as_of``."""
     gap = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col(last_ts).cast("timestamp"))
     return sessions.withColumn("expired", gap >= ttl_seconds * 1_000_000)
+
+
+#: Seconds to wait after a limit is hit.
+COOL_DOWN = {"minute": 60, "hour": 300, "day": 3600}
+
+
+def limited(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """A request is denied when it exceeds a limit on the requests of the
+    trailing minute, hour or day (denied ones count, too); ``wait_seconds`` is the
+    cool-down of the first limit that it exceeds. Window counts in, expressions only."""
+    reason, wait = F, F
+    for span in ("minute", "hour", "day"):
+        over = F.col(f"n_{span}") > limits[span]
+        reason, wait = reason.when(over, f"{span}_limit"), wait.when(over, COOL_DOWN[span])
+    return counts.select("*", reason.otherwise("allowed").alias("reason"), wait.otherwise(0).alias("wait_seconds"))

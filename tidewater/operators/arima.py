@@ -27,14 +27,7 @@ def _key_schema(df: DataFrame, keys) -> str:
 
 def difference(df: DataFrame, keys, value: str, d: int, out: str = "w", seasonal: int = 0, D: int = 0) -> DataFrame:
     """(1 - B)^d (1 - B^s)^D applied to ``value`` as one window expression."""
-    # polynomial coefficients of the combined difference operator
-    poly = np.array([1.0])
-    for _ in range(d):
-        poly = np.convolve(poly, [1.0, -1.0])
-    for _ in range(D):
-        sp = np.zeros(seasonal + 1)
-        sp[0], sp[seasonal] = 1.0, -1.0
-        poly = np.convolve(poly, sp)
+    poly = difference_polynomial(d, seasonal, D)
     width = len(poly)
     if width == 1:
         return df.withColumn(out, F.col(value))
@@ -50,11 +43,12 @@ def difference(df: DataFrame, keys, value: str, d: int, out: str = "w", seasonal
     return rows_frame(df, keys, width, aggs)
 
 
-def _lags(df: DataFrame, keys, cols: dict[str, int]) -> DataFrame:
-    width = max([n for n in cols.values()] + [0]) + 1
+def _lags(df: DataFrame, keys, cols: dict[str, Sequence[int]]) -> DataFrame:
+    """Add ``{column}_l{k}``, the column k rows back, for the lags k of each column."""
+    width = max([k for lags in cols.values() for k in lags] + [0]) + 1
 
     def aggs(_f, o):
-        return {f"{c}_l{k}": F.lag(c, k).over(o) for c, n in cols.items() for k in range(1, n + 1)}
+        return {f"{c}_l{k}": F.lag(c, k).over(o) for c, lags in cols.items() for k in lags}
     return rows_frame(df, keys, width, aggs) if width > 1 else df
 
 
@@ -86,7 +80,7 @@ def _attach(df: DataFrame, table: DataFrame, keys) -> DataFrame:
 
 def innovations(df: DataFrame, keys, m: int) -> DataFrame:
     """Stage 1: long AR(m) on ``w``; adds residual column ``e``."""
-    lagged = _lags(df, keys, {"w": m}).withColumn("one", F.lit(1.0))
+    lagged = _lags(df, keys, {"w": range(1, m + 1)}).withColumn("one", F.lit(1.0))
     xs = ["one", *[f"w_l{k}" for k in range(1, m + 1)]]
     coef = _fit_table(normal_equations(lagged, keys, "w", xs), keys, xs, "a")
     j = _attach(lagged, coef.drop("rss", "nobs"), keys)
@@ -96,38 +90,55 @@ def innovations(df: DataFrame, keys, m: int) -> DataFrame:
     return j.withColumn("e", F.col("w") - fit).select(*keys, POS, "y", "w", "e")
 
 
-def arma_design(df: DataFrame, keys, p: int, q: int) -> tuple[DataFrame, list[str]]:
-    lagged = _lags(df, keys, {"w": p, "e": q}).withColumn("one", F.lit(1.0))
-    xs = ["one", *[f"w_l{k}" for k in range(1, p + 1)], *[f"e_l{k}" for k in range(1, q + 1)]]
-    return lagged, xs
+def arma_design(df: DataFrame, keys, ar: Sequence[int], ma: Sequence[int]) -> tuple[DataFrame, list[str]]:
+    """Regressors: an intercept, past values at the lags ``ar`` and past innovations at the lags ``ma``."""
+    lagged = _lags(df, keys, {"w": ar, "e": ma}).withColumn("one", F.lit(1.0))
+    return lagged, ["one", *[f"w_l{k}" for k in ar], *[f"e_l{k}" for k in ma]]
 
 
-def _psi(phi: np.ndarray, theta: np.ndarray, d: int, h: int) -> np.ndarray:
-    ar = np.r_[1.0, -phi]
+def difference_polynomial(d: int, seasonal: int = 0, D: int = 0) -> np.ndarray:
+    """Coefficients of (1 - B)^d (1 - B^s)^D."""
+    poly = np.array([1.0])
     for _ in range(d):
-        ar = np.convolve(ar, [1.0, -1.0])
+        poly = np.convolve(poly, [1.0, -1.0])
+    for _ in range(D):
+        sp = np.zeros(seasonal + 1)
+        sp[0], sp[seasonal] = 1.0, -1.0
+        poly = np.convolve(poly, sp)
+    return poly
+
+
+def _psi(ar: dict[int, float], ma: dict[int, float], poly: np.ndarray, h: int) -> np.ndarray:
+    """Weights of past innovations in the forecast, for AR and MA coefficients by lag and the differencing operator."""
+    own = np.zeros(max(ar, default=0) + 1)
+    own[0] = 1.0
+    for lag, c in ar.items():
+        own[lag] -= c
+    full = np.convolve(own, poly)
     psi = np.zeros(h)
     psi[0] = 1.0
     for j in range(1, h):
-        acc = theta[j - 1] if j - 1 < len(theta) else 0.0
-        for i in range(1, min(j, len(ar) - 1) + 1):
-            acc -= ar[i] * psi[j - i]
-        psi[j] = acc
+        psi[j] = ma.get(j, 0.0) - sum(full[i] * psi[j - i] for i in range(1, min(j, len(full) - 1) + 1))
     return psi
 
 
 def arima(df: DataFrame, keys: Sequence[str], value: str = "y", order: tuple[int, int, int] = (1, 1, 1),
-          steps: int = 10, seasonal: tuple[int, int] = (0, 0), m: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Fit ARIMA(p, d, q) [x seasonal differencing (D, s)] per series and
-    forecast ``steps`` ahead. Returns (model table, forecast table)."""
+          steps: int = 10, seasonal: tuple[int, int] = (0, 0), m: int | None = None,
+          seasonal_arma: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame]:
+    """Fit ARIMA(p, d, q) per series, with seasonal differencing ``seasonal`` = (D, s)
+    and ``seasonal_arma`` = (P, Q) further terms at lags s, 2s, ..., and forecast
+    ``steps`` ahead. Returns (model table, forecast table)."""
     keys = list(keys)
     p, d, q = order
     D, s = seasonal
+    P, Q = seasonal_arma
+    ar = sorted({*range(1, p + 1), *[s * k for k in range(1, P + 1)]})
+    ma = sorted({*range(1, q + 1), *[s * k for k in range(1, Q + 1)]})
     base = df.select(*keys, POS, F.col(value).cast("double").alias("y"))
     w = difference(base, keys, "y", d, "w", s, D).where(F.col("w").isNotNull())
-    m = m or max(p + q + 2, 6)
-    inn = cut_lineage(innovations(w, keys, m) if q > 0 else w.withColumn("e", F.lit(0.0)))
-    design, xs = arma_design(inn, keys, p, q)
+    m = m or max(max([*ar, *ma, 0]) + 2, p + q + 2, 6)
+    inn = cut_lineage(innovations(w, keys, m) if ma else w.withColumn("e", F.lit(0.0)))
+    design, xs = arma_design(inn, keys, ar, ma)
     fit = _fit_table(normal_equations(design, keys, "w", xs), keys, xs, "b")
     k = len(xs)
     model = fit.select(*keys, "nobs", (F.col("rss") / F.col("nobs")).alias("sigma2"),
@@ -135,7 +146,7 @@ def arima(df: DataFrame, keys: Sequence[str], value: str = "y", order: tuple[int
     model = model.withColumn("aic", F.col("nobs") * F.log("sigma2") + 2.0 * k) \
                  .withColumn("bic", F.col("nobs") * F.log("sigma2") + F.log("nobs") * k)
     # tails: last values of y, w, e per series (bounded by the model order)
-    r = max(p, q, d + D * s, 1) + d + D * s
+    r = max([*ar, *ma, d + D * s, 1]) + d + D * s
     n = inn.groupBy(*keys).agg(F.max(POS).alias("_last"))
     tail = _attach(inn, n, keys).where(F.col(POS) > F.col("_last") - r).drop("_last")
     ylast = _attach(base, base.groupBy(*keys).agg(F.max(POS).alias("_last")), keys).where(
@@ -149,33 +160,27 @@ def arima(df: DataFrame, keys: Sequence[str], value: str = "y", order: tuple[int
     def fc(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS)
         coef = np.array([pdf[f"b{i}"].iloc[0] for i in range(k)])
-        c, phi, theta = coef[0], coef[1:1 + p], coef[1 + p:1 + p + q]
+        c, phi, theta = coef[0], dict(zip(ar, coef[1:])), dict(zip(ma, coef[1 + len(ar):]))
         sig = math.sqrt(max(pdf["sigma2"].iloc[0], 0.0))
         ws = list(pdf["w"].dropna())
-        es = list(pdf["e"].dropna()) if q else [0.0] * len(ws)
+        es = list(pdf["e"].dropna()) if ma else [0.0] * len(ws)
         ys = list(pdf.loc[pdf["yt"].notna(), "yt"])
         out_w = []
         for h in range(steps):
-            val = c + sum(phi[i] * (ws[-1 - i] if i < len(ws) else 0.0) for i in range(p))
-            val += sum(theta[j] * (es[-1 - j] if j < len(es) else 0.0) for j in range(q))
+            val = c + sum(b * (ws[-k] if k <= len(ws) else 0.0) for k, b in phi.items())
+            val += sum(b * (es[-k] if k <= len(es) else 0.0) for k, b in theta.items())
             ws.append(val)
             es.append(0.0)
             out_w.append(val)
         # undo differencing: y_t = w_t - sum_{k>=1} poly_k y_{t-k}
-        poly = np.array([1.0])
-        for _ in range(d):
-            poly = np.convolve(poly, [1.0, -1.0])
-        for _ in range(D):
-            sp = np.zeros(s + 1)
-            sp[0], sp[s] = 1.0, -1.0
-            poly = np.convolve(poly, sp)
+        poly = difference_polynomial(d, s, D)
         hist = list(ys)
         fc_y = []
         for wv in out_w:
             yv = wv - sum(poly[j] * hist[-j] for j in range(1, len(poly)) if j <= len(hist))
             hist.append(yv)
             fc_y.append(yv)
-        psi = _psi(phi, theta, d, steps)
+        psi = _psi(phi, theta, poly, steps)
         se = sig * np.sqrt(np.cumsum(psi ** 2))
         out = pd.DataFrame({"step": np.arange(1, steps + 1, dtype="int32"), "forecast": fc_y,
                             "lower": np.array(fc_y) - 1.96 * se, "upper": np.array(fc_y) + 1.96 * se})
@@ -205,7 +210,7 @@ def _order_search(keys, d: int, max_p: int, max_q: int):
                 for qq in range(max_q + 1):
                     idx = [0, *range(1, 1 + pp), *range(1 + max_p, 1 + max_p + qq)]
                     _, rss = solve_sub(r, k, idx)
-                    aic = n * math.log(rss / n) + 2 * len(idx) if rss > 0 else float("-inf")
+                    aic = n * math.log(rss / n) + 2 * len(idx) if rss > 0 else 0.0  # no variance at all: nothing to choose
                     row = {c: r[c] for c in keys}
                     row.update(p=pp, d=d, q=qq, aic=aic)
                     rows.append(row)
@@ -217,15 +222,18 @@ def auto_arima(df: DataFrame, keys: Sequence[str], value: str = "y", max_p: int
                max_q: int = 3) -> DataFrame:
     """Order search by AIC over p <= 3, d <= 2, q <= 3. For each d one stage-1
     fit and one stage-2 aggregate of the largest design; every (p, q) sub-model
-    is a sub-matrix solve on that common sample."""
+    is a sub-matrix solve. Differencing is a shift with unit Jacobian, so AICs of
+    different d compare once all fits use the same rows, which they do."""
     keys = list(keys)
     base = df.select(*keys, POS, F.col(value).cast("double").alias("y"))
     parts = []
+    m = max(max_p + max_q + 2, 6)
     for d in range(max_d + 1):
         run = _order_search(keys, d, max_p, max_q)
         w = difference(base, keys, "y", d, "w").where(F.col("w").isNotNull())
-        inn = cut_lineage(innovations(w, keys, max(max_p + max_q + 2, 6)))
-        design, xs = arma_design(inn, keys, max_p, max_q)
+        inn = cut_lineage(innovations(w, keys, m))
+        design, xs = arma_design(inn, keys, range(1, max_p + 1), range(1, max_q + 1))
+        design = design.where(F.col(POS) >= max_d + m + max(max_p, max_q))
         ne = normal_equations(design, keys, "w", xs)
         schema = _key_schema(ne, keys)
         schema = (schema + ", " if schema else "") + "p int, d int, q int, aic double"
@@ -247,7 +255,7 @@ def lag_model(df: DataFrame, keys: Sequence[str], value: str = "y", n_lags: int
     from pyspark.ml.regression import LinearRegression
     from tidewater.operators.timeseries import chronological_split
     keys = list(keys)
-    lagged = _lags(df.select(*keys, POS, F.col(value).cast("double").alias("y")), keys, {"y": n_lags})
+    lagged = _lags(df.select(*keys, POS, F.col(value).cast("double").alias("y")), keys, {"y": range(1, n_lags + 1)})
     cols = [f"y_l{k}" for k in range(1, n_lags + 1)]
     full = lagged.dropna(subset=cols)
     split = chronological_split(full, keys, train)

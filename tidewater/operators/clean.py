@@ -66,8 +66,9 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     compared as numbers, strings as strings); only the winners come back."""
     out: dict[str, object] = {}
     num = set(numeric_columns(df))
-    for fam, cast in (("num", "double"), ("str", "string")):
-        fam_cols = [c for c in cols if (c in num) == (fam == "num")]
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    for cast, member in (("bigint", whole), ("double", num - whole), ("string", set(df.columns) - num)):
+        fam_cols = [c for c in cols if c in member]
         if not fam_cols:
             continue
         cells = df.select(F.explode(F.array(*[

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from tidewater.operators.features import stratified_split
 from tidewater.operators.schema import categorical_columns, numeric_columns
+from tidewater.plans.graph import components
 from tidewater.session import cut_lineage, ensure_checkpoint_dir
 
 
@@ -120,21 +121,18 @@ def evaluate(pred: DataFrame, kind: str) -> dict[str, float]:
 
 
 def compare(train: DataFrame, test: DataFrame, kind: str, names: Sequence[str], n_classes: int = 2) -> DataFrame:
-    """M2: fit each model on the (cached) split; failures become rows with an error."""
+    """M2: fit each model on the (cached) split; a model that fails raises."""
     train = train.select("features", "label").cache()
     rows = []
     for name in names:
-        try:
-            model = estimator(name, kind, n_classes).fit(train)
-            m = evaluate(model.transform(test), kind)
-            rows.append((name, m.get("accuracy") if kind == "classification" else m["r2"],
-                         m.get("f1") if kind == "classification" else m["rmse"], None))
-        except Exception as e:  # noqa: BLE001 - reported as a row (SEM-24)
-            rows.append((name, None, None, f"{type(e).__name__}: {e}"[:200]))
+        model = estimator(name, kind, n_classes).fit(train)
+        m = evaluate(model.transform(test), kind)
+        rows.append((name, m.get("accuracy") if kind == "classification" else m["r2"],
+                     m.get("f1") if kind == "classification" else m["rmse"]))
     train.unpersist()
     spark = test.sparkSession
     primary, secondary = ("accuracy", "f1") if kind == "classification" else ("r2", "rmse")
-    return spark.createDataFrame(rows, f"model string, {primary} double, {secondary} double, error string") \
+    return spark.createDataFrame(rows, f"model string, {primary} double, {secondary} double") \
         .orderBy(F.desc_nulls_last(primary))
 
 
@@ -403,34 +401,23 @@ def knn_exact(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed:
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 5, n_pivots: int | None = None,
-           max_rounds: int = 50, seed: int = 42) -> DataFrame:
+           seed: int = 42) -> DataFrame:
     """Core points have >= min_samples neighbours within eps (self included);
-    clusters are connected components of core points (min-label propagation,
-    checkpointed per round); border points join the smallest adjacent core
-    cluster; the rest is noise (-1). Neighbours come from the pruned band join
-    (bucket width = eps)."""
+    clusters are the connected components of core points, named by their smallest
+    id; border points join the smallest adjacent cluster; the rest is noise (-1).
+    Neighbours come from the pruned band join (bucket width = eps), components
+    from star contraction, which ends at the fixed point."""
     n = points.count()
     P = n_pivots or max(1, min(1024, int(math.sqrt(n))))
     pivots = _choose_pivots(points, P, seed)
     pts, radii = _annotated(points, pivots)
     nb = cut_lineage(neighbours_within(pts, radii, None, eps, eps).select("qid", "nid"))
     deg = nb.groupBy("qid").agg(F.count(F.lit(1)).alias("deg"))
-    core = points.select("id").join(deg.withColumnRenamed("qid", "id"), "id", "left").where(
-        F.coalesce("deg", F.lit(0)) + 1 >= min_samples).select("id")
-    core = cut_lineage(core)
-    edges = nb.join(core.withColumnRenamed("id", "qid"), "qid").join(core.withColumnRenamed("id", "nid"), "nid")
-    edges = cut_lineage(edges.select("qid", "nid"))
-    labels = core.select("id", F.col("id").alias("lab"))
-    for _ in range(max_rounds):
-        prop = edges.join(labels.withColumnRenamed("id", "nid").withColumnRenamed("lab", "nl"), "nid") \
-            .groupBy("qid").agg(F.min("nl").alias("nl"))
-        new = labels.join(prop.withColumnRenamed("qid", "id"), "id", "left").select(
-            "id", F.least("lab", F.coalesce("nl", F.col("lab"))).alias("lab"))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("lab", "old"), "id").where(F.col("lab") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
+    core = cut_lineage(points.select("id").join(deg.withColumnRenamed("qid", "id"), "id", "left").where(
+        F.coalesce("deg", F.lit(0)) + 1 >= min_samples).select("id"))
+    edges = nb.where("qid > nid").join(core.withColumnRenamed("id", "qid"), "qid").join(core.withColumnRenamed("id", "nid"), "nid")
+    linked = components(edges.select(F.col("qid").cast("long").alias("a"), F.col("nid").cast("long").alias("b")))
+    labels = core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("lab"))
     border = nb.join(labels.withColumnRenamed("id", "nid"), "nid").groupBy("qid").agg(F.min("lab").alias("blab"))
     out = points.select("id").join(labels, "id", "left").join(border.withColumnRenamed("qid", "id"), "id", "left")
     return out.select("id", F.coalesce("lab", "blab", F.lit(-1)).cast("long").alias("cluster"),

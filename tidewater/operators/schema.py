@@ -210,9 +210,10 @@ def standardize_types(df: DataFrame, cols: Sequence[str] | None = None,
             exprs.append(F.col(c))
             continue
         v = F.trim(F.col(c))
-        if d["n_int"] == d["n"]:
+        if d["n_int"] == d["n"] and -2.0 ** 63 <= d["min_num"] and d["max_num"] < 2.0 ** 63:
             target = narrow_int_type(d["min_num"], d["max_num"]) if downcast else "bigint"
-            exprs.append(v.try_cast("double").cast(target).alias(c))
+            # whole numbers keep all digits; forms like 1e3 go through a decimal, never through a double
+            exprs.append(F.coalesce(v.try_cast("bigint"), v.try_cast("decimal(38,6)").try_cast("bigint")).cast(target).alias(c))
         elif d["n_num"] == d["n"]:
             exprs.append(v.try_cast("double").alias(c))
         elif d["n_ts"] == d["n"]:

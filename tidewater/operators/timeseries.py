@@ -270,37 +270,75 @@ def future_dates(last: DataFrame, keys: Sequence[str], last_col: str, periods: i
 
 # --- grouped least squares ---------------------------------------------------------------
 
+#: Directions of the scaled design whose share of the variance is below this are dropped.
+RANK_TOLERANCE = 1e-11
+
+
 def normal_equations(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
-    """Per series: n, sum x_i x_j (upper triangle), sum x_i y, sum y^2 - one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy")]
-    for i, a in enumerate(xs):
-        aggs.append(F.sum(F.col(a) * F.col(y)).alias(f"xy_{i}"))
-        for j in range(i, len(xs)):
-            aggs.append(F.sum(F.col(a) * F.col(xs[j])).alias(f"xx_{i}_{j}"))
+    """Per series: n, means and scales of y and each x, and the sums of products of the
+    centred, scaled variables. Centring comes first, because sums of raw products
+    of a trend cancel beyond double precision. A regressor named ``one`` is the
+    intercept; without one nothing is centred."""
     cond = F.col(y).isNotNull()
     for a in xs:
         cond = cond & F.col(a).isNotNull()
-    return df.where(cond).groupBy(*keys).agg(*aggs)
+    rows = df.where(cond)
+    centred = "one" in xs
+    stats = [F.count(F.lit(1)).alias("n"), (F.avg(y) if centred else F.lit(0.0)).alias("y_mean")]
+    for i, a in enumerate(xs):
+        stats.append((F.avg(a) if centred and a != "one" else F.lit(0.0)).alias(f"mean_{i}"))
+        scale = F.stddev_pop(a) if centred and a != "one" else F.sqrt(F.avg(F.col(a) * F.col(a)))
+        stats.append(F.when(scale > 0, scale).otherwise(1.0).alias(f"scale_{i}"))
+    from tidewater.plans.attach import attach
+    names = ["n", "y_mean", *[f"{w}_{i}" for i in range(len(xs)) for w in ("mean", "scale")]]
+    keyed = rows.groupBy(*keys).agg(*stats).select(*keys, *[F.col(c).alias(f"_st_{c}") for c in names])
+    joined = attach(rows, keyed, keys)
+    yc = F.col(y) - F.col("_st_y_mean")
+    z = [(F.col(a) - F.col(f"_st_mean_{i}")) / F.col(f"_st_scale_{i}") for i, a in enumerate(xs)]
+    aggs = [F.first(f"_st_{c}").alias(c) for c in names] + [F.sum(yc * yc).alias("yy")]
+    for i in range(len(xs)):
+        aggs.append(F.sum(z[i] * yc).alias(f"xy_{i}"))
+        for j in range(i, len(xs)):
+            aggs.append(F.sum(z[i] * z[j]).alias(f"xx_{i}_{j}"))
+    # whether position 0 is an intercept travels with the sums
+    return joined.groupBy(*keys).agg(*aggs, F.lit(centred).alias("centred"))
 
 
-def unpack(row: pd.Series, k: int, idx: Sequence[int] | None = None):
-    idx = list(range(k)) if idx is None else list(idx)
-    xtx = np.empty((len(idx), len(idx)))
-    xty = np.empty(len(idx))
+def _scaled(row: pd.Series, idx: Sequence[int]):
+    """Gram matrix and cross products of the scaled regressors in ``idx``."""
+    G = np.empty((len(idx), len(idx)))
     for a, i in enumerate(idx):
-        xty[a] = row[f"xy_{i}"]
         for b, j in enumerate(idx):
-            lo, hi = min(i, j), max(i, j)
-            xtx[a, b] = row[f"xx_{lo}_{hi}"]
-    return xtx, xty
+            G[a, b] = row[f"xx_{min(i, j)}_{max(i, j)}"]
+    return G, np.array([row[f"xy_{i}"] for i in idx])
+
+
+def _inverse(G: np.ndarray) -> np.ndarray:
+    """Inverse on the directions that the data determine."""
+    if not len(G):
+        return G
+    w, V = np.linalg.eigh(G)
+    keep = w > RANK_TOLERANCE * max(w.max(), 1e-300)
+    return (V[:, keep] / w[keep]) @ V[:, keep].T
 
 
 def solve_sub(row: pd.Series, k: int, idx: Sequence[int]):
-    """OLS on a sub-set of regressors: beta, residual sum of squares."""
-    xtx, xty = unpack(row, k, idx)
-    beta = np.linalg.lstsq(xtx, xty, rcond=None)[0]
-    rss = float(row["yy"] - 2 * beta @ xty + beta @ xtx @ beta)
-    return beta, max(rss, 0.0)
+    """OLS on a sub-set of regressors: beta, residual sum of squares. ``idx`` starts with the intercept, if there is one."""
+    rest = [i for i in idx if not (row["centred"] and i == 0)]
+    G, g = _scaled(row, rest)
+    b = _inverse(G) @ g if rest else g
+    # sums that cancel leave rounding noise of this size; no fit counts as better than that
+    rss = max(float(row["yy"] - 2 * b @ g + b @ G @ b), 1e-14 * float(row["yy"]))
+    slope = {i: b[a] / row[f"scale_{i}"] for a, i in enumerate(rest)}
+    intercept = row["y_mean"] - sum(s * row[f"mean_{i}"] for i, s in slope.items())
+    return np.array([slope.get(i, intercept) for i in idx]), rss
+
+
+def slope_variance(row: pd.Series, idx: Sequence[int], which: int, sigma2: float) -> float:
+    """The variance of the estimate of regressor ``which`` (not the intercept)."""
+    rest = [i for i in idx if not (row["centred"] and i == 0)]
+    a = rest.index(which)
+    return sigma2 * _inverse(_scaled(row, rest)[0])[a, a] / row[f"scale_{which}"] ** 2
 
 
 # --- T3: augmented Dickey-Fuller ------------------------------------------------------
@@ -341,14 +379,12 @@ def adf_test(df: DataFrame, keys: Sequence[str], value: str = "y", maxlag: int |
             for p in range(0, L + 1):
                 idx = list(range(2 + p))
                 beta, rss = solve_sub(r, len(xs), idx)
-                aic = n * math.log(rss / n) + 2 * len(idx) if rss > 0 else -math.inf
+                aic = n * math.log(rss / n) + 2 * len(idx) if rss > 0 else 0.0  # no variance at all: nothing to choose
                 if best is None or aic < best[0]:
                     best = (aic, p, beta, rss, idx)
             _, p, beta, rss, idx = best
-            xtx, _ = unpack(r, len(xs), idx)
-            sigma2 = rss / max(n - len(idx), 1)
-            cov = sigma2 * np.linalg.pinv(xtx)
-            t = beta[1] / math.sqrt(cov[1, 1]) if cov[1, 1] > 0 else float("nan")
+            var = slope_variance(r, idx, 1, rss / max(n - len(idx), 1))
+            t = beta[1] / math.sqrt(var) if var > 0 else float("nan")
             crit = {k: b0 + b1 / n + b2 / n ** 2 + b3 / n ** 3 for k, (b0, b1, b2, b3) in ADF_CRIT_C.items()}
             out = {k: r[k] for k in keys}
             out.update(adf_statistic=t, used_lag=p, nobs=n, crit_1=crit["1%"], crit_5=crit["5%"],

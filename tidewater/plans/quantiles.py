@@ -1,119 +1,112 @@
 """Exact, distributed quantiles (linear interpolation, as pandas / quantile_cont).
 
-Spark's exact ``percentile`` aggregate keeps a value -> count map for a whole
-group inside one task, which does not survive a high-cardinality column at
-scale. Instead exact order statistics are found by *distributed selection*:
-
-1. one aggregate gives ``n, min, max`` per (group, column);
-2. while the value interval that contains a wanted rank still holds more than
-   ``max_local`` values, an equal-width histogram of that interval is counted
-   (map-side combined, output bounded by ``buckets`` per interval) and the
-   interval shrinks to the ``[min, max]`` of the bucket holding the rank;
-3. the last, small intervals (at most ``max_local`` values each) are ranked
-   with ``row_number`` and the wanted ranks picked.
-
-Intervals of one group are either identical or disjoint (they refine one
-common partition), so each input row meets at most one interval per round.
-Every round is a normal shuffle of bounded size; the small interval state is
-checkpointed between rounds so lineage stays short.
+Spark's exact ``percentile`` keeps a value -> count map of a whole group inside
+one task, which does not survive a high-cardinality column at scale. Here the
+order statistics are located first and read afterwards:
+
+1. one aggregate gives each column's count and, from a quantile sketch with a
+   known rank error, two values that enclose each wanted rank;
+2. values below each enclosure are counted, values inside it are counted by
+   value. Both combine map-side, and an enclosure holds a few ten-thousandths
+   of the rows;
+3. running sums over the distinct values of an enclosure give the wanted ranks.
+
+There is no size at which the method changes and no number of rounds to exceed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.session import cut_lineage
+#: The sketch's rank error is rows / ACCURACY; an enclosure reaches MARGIN errors to either side.
+ACCURACY, MARGIN = 20_000, 3.0
+
+
+def _value(c: str) -> Column:
+    """The column as a double; null for NaN."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, x) with x a non-null, non-NaN double."""
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols
-    ])).alias("cell")
-    out = df.select(*by, cells).select(*by, "cell.column", "cell.x")
-    return out.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _value(c).alias("x")) for c in cols])).alias("cell")
+    return df.select(*by, cells).select(*by, "cell.column", "cell.x").where(F.col("x").isNotNull())
 
 
 def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      by: Sequence[str] = (), accuracy: int = 10000) -> DataFrame:
-    long = long_values(df, cols, by)
     keys = [*by, "column"]
-    agg = long.groupBy(*keys).agg(
-        F.percentile_approx("x", list(probs), accuracy).alias("qs"))
+    agg = long_values(df, cols, by).groupBy(*keys).agg(F.percentile_approx("x", list(probs), accuracy).alias("qs"))
     return agg.select(*keys, F.posexplode("qs").alias("i", "q")).select(
         *keys, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1).alias("p"), "q")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), max_local: int = 1_000_000,
-                    buckets: int = 16384, max_rounds: int = 40) -> DataFrame:
+def _enclosures(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(by..., column, p, n, lo, hi), one row per group, column and probability; columns without values are absent."""
+    e = MARGIN / ACCURACY
+    grid = [0.0, 1.0, *[g for p in probs for g in (max(0.0, p - e), min(1.0, p + e))]]
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(_value(c)).alias(f"n{i}"), F.percentile_approx(_value(c), grid, ACCURACY).alias(f"a{i}")]
+    wide = df.groupBy(*by).agg(*aggs)
+    # where the margin is under two ranks, the enclosure is the whole column
+
+    def bound(i: int, k: int, side: int) -> Column:
+        return F.when(F.col(f"n{i}") * e < 2, F.get(f"a{i}", side)).otherwise(F.get(f"a{i}", 2 + 2 * k + side))
+    found = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("p"), F.col(f"n{i}").alias("n"), bound(i, k, 0).alias("lo"), bound(i, k, 1).alias("hi"))
+        for i, c in enumerate(cols) for k, p in enumerate(probs)])).alias("s")
+    return wide.select(*by, found).select(*by, "s.*").where("n > 0")
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Returns (by..., column, p, q); groups with no values are absent."""
-    by = list(by)
-    keys = [*by, "column"]
-    long = long_values(df, cols, by)
-    stats = long.groupBy(*keys).agg(
-        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (stats.select(*keys, "n", "lo", "hi", F.explode(probs_arr).alias("p"))
-               .withColumn("h", (F.col("n") - 1) * F.col("p"))
-               .withColumn("k", F.floor("h").cast("long"))
-               .withColumn("k1", F.least(F.col("k") + 1, F.col("n") - 1))
-               .withColumn("frac", F.col("h") - F.col("k")))
-    # one row per (group, column, prob): small, reused by every later step
-    targets = targets.persist()
-    # rank -> interval assignment; `below` = number of values smaller than lo
-    ranks = (targets.select(*keys, F.explode(F.array("k", "k1")).alias("r"), "lo", "hi",
-                            F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"))
-             .dropDuplicates([*keys, "r"]))
-    largest = targets.agg(F.max("n")).collect()[0][0] or 0
-
-    def open_intervals(rk: DataFrame) -> DataFrame:
-        return (rk.where((F.col("cnt") > max_local) & (F.col("lo") < F.col("hi")))
-                .select(*keys, "lo", "hi", "below").dropDuplicates([*keys, "lo", "hi"]))
-
-    rounds = 0
-    while largest > max_local and rounds < max_rounds and open_intervals(ranks).limit(1).count() > 0:
-        rounds += 1
-        iv = open_intervals(ranks)
-        width = F.col("hi") - F.col("lo")
-        inside = long.join(iv, on=keys).where(
-            (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-        bucket = F.least(F.floor((F.col("x") - F.col("lo")) / width * buckets),
-                         F.lit(buckets - 1)).cast("int")
-        hist = inside.groupBy(*keys, "lo", "hi", "below", bucket.alias("b")).agg(
-            F.count("x").alias("bcnt"), F.min("x").alias("bmin"), F.max("x").alias("bmax"))
-        w = Window.partitionBy(*keys, "lo", "hi").orderBy("b").rowsBetween(
-            Window.unboundedPreceding, -1)
-        hist = hist.withColumn("before", F.coalesce(F.sum("bcnt").over(w), F.lit(0)))
-        moving = ranks.where((F.col("cnt") > max_local) & (F.col("lo") < F.col("hi")))
-        settled = ranks.where(~((F.col("cnt") > max_local) & (F.col("lo") < F.col("hi"))))
-        moved = moving.drop("cnt").join(hist.drop("below"), on=[*keys, "lo", "hi"]).where(
-            (F.col("r") >= F.col("below") + F.col("before"))
-            & (F.col("r") < F.col("below") + F.col("before") + F.col("bcnt"))
-        ).select(*keys, "r", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-                 (F.col("below") + F.col("before")).alias("below"), F.col("bcnt").alias("cnt"))
-        ranks = cut_lineage(settled.unionByName(moved))
-        largest = ranks.where(F.col("lo") < F.col("hi")).agg(F.max("cnt")).collect()[0][0] or 0
-
-    # final pick: constant intervals answer directly; small ones are ranked locally
-    const = ranks.where(F.col("lo") == F.col("hi")).select(*keys, "r", F.col("lo").alias("v"))
-    small_iv = ranks.where(F.col("lo") < F.col("hi")).select(*keys, "lo", "hi", "below").dropDuplicates()
-    ranked = (long.join(small_iv, on=keys)
-              .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-              .withColumn("r", F.col("below") - 1 + F.row_number().over(
-                  Window.partitionBy(*keys, "lo", "hi").orderBy("x"))))
-    picked = ranked.join(ranks.where(F.col("lo") < F.col("hi")).select(*keys, "r", "lo", "hi"),
-                         on=[*keys, "lo", "hi", "r"]).select(*keys, "r", F.col("x").alias("v"))
-    values = const.unionByName(picked)
-    v0 = values.withColumnRenamed("r", "k").withColumnRenamed("v", "v0")
-    v1 = values.withColumnRenamed("r", "k1").withColumnRenamed("v", "v1")
-    out = (targets.select(*keys, "p", "k", "k1", "frac")
-           .join(v0, on=[*keys, "k"]).join(v1, on=[*keys, "k1"])
-           .select(*keys, "p", (F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))).alias("q")))
-    return out
+    by, cols, probs = list(by), list(cols), [float(p) for p in probs]
+    keys = [*by, "column", "p"]
+    spots = _enclosures(df, cols, probs, by)
+    if by:
+        cells = long_values(df, cols, by).alias("v").join(
+            spots.alias("t"), F.expr(" and ".join(f"v.`{k}` <=> t.`{k}`" for k in [*by, "column"])))
+        cells = cells.select(*[F.col(f"t.`{k}`") for k in keys], "n", "lo", "hi", "x")
+    else:
+        # a few numbers per column: inlined, so the values meet them without a join
+        rows = [r for r in spots.collect()]
+        if not rows:
+            return spots.select(*keys, F.col("lo").alias("q"))
+        structs = [F.struct(F.lit(r["column"]).alias("column"), F.lit(r["p"]).alias("p"), F.lit(r["n"]).alias("n"), F.lit(r["lo"]).alias("lo"),
+                            F.lit(r["hi"]).alias("hi"), _value(r["column"]).alias("x")) for r in rows]
+        below = df.agg(*[F.struct(F.count_if(s["x"] < s["lo"]).alias("below"), F.min(F.when(s["x"] > s["hi"], s["x"])).alias("above")).alias(f"s{i}")
+                         for i, s in enumerate(structs)]).first()
+        inside = F.filter(F.array(*structs), lambda s: (s["x"] >= s["lo"]) & (s["x"] <= s["hi"]))
+        cells = df.select(F.explode(inside).alias("s")).select("s.*")
+    low, high = F.col("x") < F.col("lo"), F.col("x") > F.col("hi")
+    counted = (cells.groupBy(*keys, "n", F.when(~low & ~high, F.col("x")).alias("x"))
+               .agg(F.count(F.lit(1)).alias("c"), F.count_if(low).alias("below"), F.min(F.when(high, F.col("x"))).alias("above")))
+    if not by:
+        order = {(r["column"], r["p"]): i for i, r in enumerate(rows)}
+
+        def of(name: str) -> Column:
+            out = F
+            for (c, p), i in order.items():
+                out = out.when((F.col("column") == c) & (F.col("p") == p), F.lit(below[f"s{i}"][name]))
+            return out
+        counted = counted.withColumn("below", of("below")).withColumn("above", of("above").cast("double"))
+    group = Window.partitionBy(*keys)
+    running = group.orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.select(*keys, "n", "x", F.max("below").over(group).alias("below"), F.max("above").over(group).alias("above"),
+                            F.sum(F.when(F.col("x").isNotNull(), F.col("c")).otherwise(0)).over(running).alias("upto"))
+    h = (F.col("n") - 1) * F.col("p")
+    k = F.floor(h)
+    seen = F.col("below") + F.col("upto")
+    picked = ranked.groupBy(*keys, "n", "below", "above").agg(
+        F.min(F.when(seen > k, F.col("x"))).alias("v0"), F.min(F.when(seen > k + 1, F.col("x"))).alias("v1"))
+    v0 = F.when((F.col("below") > k) | F.col("v0").isNull(), F.raise_error("a rank lies outside its enclosure").cast("double")).otherwise(F.col("v0"))
+    v1 = F.coalesce("v1", "above", "v0")
+    return picked.select(*keys, (v0 + (h - k) * (v1 - v0)).alias("q"))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

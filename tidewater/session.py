@@ -79,14 +79,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     The copy survives lost executors, is columnar and compressed, and every
-    later reader sees the same rows. Each call writes to a new path.
+    later reader sees the same rows. Each call writes to a new path. Where a
+    bound of its rows is known, ``rows`` keeps small tables from being written
+    as one tiny file for each shuffle partition.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidewater/{uuid.uuid4().hex}/{label}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // 100_000))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -139,9 +139,6 @@ def expired_exports(log: DataFrame, as_of, days: int = 7, ts: str = "exported_at
 
 # --- K9 / K10 / S8: catalog ----------------------------------------------------------------
 
-CATALOG_SCHEMA = "id string, project_id string, name string, rows long, columns long, file_path string, created_at timestamp"
-
-
 def insert_new(table: DataFrame, rows: DataFrame, key: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is not yet in the table are inserted; the others are
     refused. Returns (new table, refused rows)."""
@@ -151,27 +148,25 @@ def insert_new(table: DataFrame, rows: DataFrame, key: str | Sequence[str]) -> t
     return table.unionByName(fresh), refused
 
 
-def save_dataset(spark: SparkSession, df: DataFrame, name: str, project_id: str,
-                 catalog_path: str | None = None) -> DataFrame:
-    """K9: write the dataset as Parquet and append its catalog row (rows, columns, path)."""
-    ds_id = uuid.uuid4().hex
-    path = shared_path(spark, "datasets", f"{name}-{ds_id[:8]}.parquet")
-    write(df, path, "parquet")
-    n = spark.read.parquet(path).count()
-    row = [(ds_id, project_id, name, int(n), len(df.columns), path,
-            dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))]
-    entry = spark.createDataFrame(row, CATALOG_SCHEMA)
-    entry.write.mode("append").parquet(catalog_path or shared_path(spark, "catalog"))
-    return entry
-
-
-def load_dataset(spark: SparkSession, dataset_id: str, catalog_path: str | None = None) -> DataFrame:
-    """Look the id up in the catalog and read its file."""
-    cat = spark.read.parquet(catalog_path or shared_path(spark, "catalog"))
-    hit = cat.where(F.col("id") == dataset_id).select("file_path").limit(1).collect()
-    if not hit:
-        raise KeyError(dataset_id)
-    return spark.read.parquet(hit[0]["file_path"])
+def save_dataset(spark: SparkSession, df: DataFrame, name: str, project_id: str) -> str:
+    """K9: save the dataset as a table of the session's catalog, with its project as a table property. Returns the table's name."""
+    ident = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").saveAsTable(ident)
+    spark.sql(f"ALTER TABLE {ident} SET TBLPROPERTIES ('project_id' = '{project_id}', 'dataset' = '{name}')")
+    return ident
+
+
+def dataset_row(spark: SparkSession, ident: str) -> DataFrame:
+    """K9: what the catalog tells of a dataset: name, project, rows, columns."""
+    t = spark.table(ident)
+    props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {ident}").collect()}
+    return t.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(props["dataset"]).alias("name"), F.lit(props["project_id"]).alias("project_id"), "rows", F.lit(len(t.columns)).alias("columns"))
+
+
+def load_dataset(spark: SparkSession, ident: str) -> DataFrame:
+    """A dataset by its id, from the session's catalog."""
+    return spark.table(ident)
 
 
 # --- K12: report by template ------------------------------------------------------------------

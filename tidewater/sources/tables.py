@@ -16,18 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
+    """Give a table that is one split a partition per core.
 
-    A file with a single row group is read by a single task, which then also
-    runs everything fused with the scan. When the scan has fewer splits than
-    the cluster's default parallelism it is round-robin repartitioned (a
-    shuffle of an input that is small by construction: few splits). Large
-    inputs already have at least that many splits and are left untouched, so
-    at scale this adds no shuffle; projections and filters still reach the
-    Parquet reader below the repartition."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    A file with one row group is read by a single task, which then also runs
+    everything fused with the scan. Such a table holds at most
+    ``spark.sql.files.maxPartitionBytes`` (128 MB), so this shuffle has a fixed
+    bound; any larger table is read as it is."""
+    if df.rdd.getNumPartitions() == 1:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
 
 

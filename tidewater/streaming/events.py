@@ -1,30 +1,16 @@
-"""Structured Streaming forms of the activity operators.
+"""Structured Streaming forms of the activity operators.
 
-The same logic exists as a batch function (for checking against SQL) and as
-a streaming query over a directory of event files: watermarks and windows for
-the metrics, ``applyInPandasWithState`` for the per-user rate limiter whose
-state (accepted request times inside the last day, block deadline) is bounded
-by the limits, not by the data volume.
+The same logic exists as a batch function (for checking against SQL) and as a
+streaming query over a directory of event files: watermarked windows for the
+metrics and quotas, streaming aggregates for session state.
 """
 
 from __future__ import annotations
 
-import math
-from collections import deque
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tidewater.operators.activity import GENERAL_LIMITS, SESSION_GAP_SECONDS, sessionize
 
-# Limiter configuration (per minute / hour / day and the block
-# durations when each limit is hit), the general limiter of the reference.
-RATE_CONFIG = {"per_minute": 30, "per_hour": 500, "per_day": 5000,
-               "block_minute": 60, "block_hour": 300, "block_day": 3600}
+from tidewater.operators.activity import GENERAL_LIMITS
 
 
 def land_events(events: DataFrame, path: str, files: int = 8) -> str:
@@ -57,116 +43,6 @@ def live_quota(stream: DataFrame, limit_per_hour: int = GENERAL_LIMITS["hour"],
                     F.greatest(F.lit(0), F.lit(limit_per_hour) - F.col("n_hour")).alias("remaining_hour")))
 
 
-# --- R3 / R4: rate limiting ------------------------------------------------------------
-
-class Limiter:
-    """Per-user limiter state: accepted request times (seconds) of the trailing
-    minute / hour / day and the time until which the user is blocked. Denied
-    requests are not recorded. Order: blocked? -> expire old -> minute / hour /
-    day checks. Each decision is amortised O(1)."""
-
-    def __init__(self, cfg: dict, times=(), blocked_until: float = -math.inf):
-        self.cfg = cfg
-        self.day = deque(sorted(times))
-        self.hour = deque(self.day)
-        self.minute = deque(self.day)
-        self.blocked_until = blocked_until
-
-    @property
-    def times(self):
-        return self.day
-
-    def decide(self, t: float) -> tuple[bool, str, float]:
-        c = self.cfg
-        if t < self.blocked_until:
-            return False, "blocked", self.blocked_until - t
-        for q, span in ((self.minute, 60), (self.hour, 3600), (self.day, 86400)):
-            while q and q[0] < t - span:
-                q.popleft()
-        if len(self.minute) >= c["per_minute"]:
-            self.blocked_until = t + c["block_minute"]
-            return False, "minute_limit", c["block_minute"]
-        if len(self.hour) >= c["per_hour"]:
-            self.blocked_until = t + c["block_hour"]
-            return False, "hour_limit", c["block_hour"]
-        if len(self.day) >= c["per_day"]:
-            self.blocked_until = t + c["block_day"]
-            return False, "day_limit", c["block_day"]
-        for q in (self.minute, self.hour, self.day):
-            q.append(t)
-        return True, "allowed", 0.0
-
-
-OUT_SCHEMA = "event_id long, user_id long, allowed boolean, reason string, wait_seconds double"
-
-
-def _decide_frame(pdf: pd.DataFrame, lim: Limiter) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_t", "event_id"])
-    rows = [lim.decide(t) for t in pdf["_t"].to_numpy()]
-    return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
-                         "allowed": [r[0] for r in rows], "reason": [r[1] for r in rows],
-                         "wait_seconds": [float(r[2]) for r in rows]})
-
-
-def rate_limit_batch(events: DataFrame, cfg: dict | None = None) -> DataFrame:
-    """R3 batch form.
-
-    All limiter state expires within one day, so a user's history splits into
-    independent segments at pauses longer than a day (sessions), and segments
-    are folded in parallel. Inside a segment the fold is inherently sequential;
-    it streams: rows are hash-partitioned by segment and sorted by time within
-    the partition (the grouped-map operator reuses that ordering), and the
-    iterator form of ``applyInPandas`` hands them over in Arrow batches, so
-    memory holds one batch plus the bounded limiter state - never the whole
-    segment. An out-of-order batch raises instead of producing a wrong answer."""
-    cfg = cfg or RATE_CONFIG
-    seg = sessionize(events.select("event_id", "user_id", "ts"), "user_id", "ts",
-                     gap_seconds=SESSION_GAP_SECONDS + 1, tiebreak=["event_id"])
-    seg = seg.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).select(
-        "event_id", "user_id", "session_id", "_t")
-    ordered = (seg.repartition("user_id", "session_id")
-               .sortWithinPartitions("user_id", "session_id", "_t", "event_id"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lim = Limiter(cfg)
-        last = (-math.inf, -math.inf)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            first = (float(pdf["_t"].iloc[0]), float(pdf["event_id"].iloc[0]))
-            srt = pdf.sort_values(["_t", "event_id"])
-            if first < last or not srt.index.equals(pdf.index):
-                raise RuntimeError("rate limiter input is not in time order")
-            last = (float(pdf["_t"].iloc[-1]), float(pdf["event_id"].iloc[-1]))
-            yield _decide_frame(pdf, lim)
-    return ordered.groupBy("user_id", "session_id").applyInPandas(fold, OUT_SCHEMA)
-
-
-def rate_limit_stream(stream: DataFrame, cfg: dict | None = None, timeout: str = "25 hours") -> DataFrame:
-    """R3 streaming form: ``applyInPandasWithState`` keyed by user. The state is
-    the accepted times of the trailing day (at most ``per_day`` values) and the
-    block deadline; it expires after a day of event-time inactivity."""
-    cfg = cfg or RATE_CONFIG
-    src = (stream.withWatermark("ts", "1 hour")
-           .select("event_id", "user_id", "ts", (F.unix_micros("ts") / 1e6).alias("_t")))
-
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, blocked = (list(state.get[0]), state.get[1]) if state.exists else ([], -math.inf)
-        times = [float(x) for x in np.asarray(times, dtype=float)]
-        lim = Limiter(cfg, times, blocked)
-        pdf = pd.concat(list(chunks), ignore_index=True)  # one micro-batch of one user
-        out = _decide_frame(pdf, lim)
-        state.update(([float(x) for x in lim.times], float(lim.blocked_until)))
-        state.setTimeoutTimestamp(int(float(pdf["_t"].max()) * 1000) + 25 * 3600 * 1000)
-        yield out
-    return src.groupBy("user_id").applyInPandasWithState(
-        step, OUT_SCHEMA, "times array<double>, blocked_until double", "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
 # --- R5: session state fold (batch form) ---------------------------------------------------
 
 def session_state(turns: DataFrame, room: str = "conv_id", member: str = "role", order: str = "turn",
@@ -189,36 +65,35 @@ def session_state(turns: DataFrame, room: str = "conv_id", member: str = "role",
 
 def route_stream(stream: DataFrame, routes: dict[str, str], base_path: str, checkpoint: str,
                  default: str = "other"):
-    """R8 streaming form: each micro-batch is split by sink and appended to its folder."""
+    """R8 streaming form: each micro-batch is split by sink into a folder of its own
+    number, so a batch that runs again replaces what it wrote."""
     from tidewater.operators.activity import route
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
+    def write_batch(batch: DataFrame, number: int) -> None:
         routed = route(batch, "event_type", routes, default)
-        routed.write.mode("append").partitionBy("sink").parquet(base_path)
+        routed.write.mode("overwrite").partitionBy("sink").parquet(f"{base_path}/batch={number}")
     return stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
 
 
-SESSION_OUT = "conv_id long, turn long, role string, version long, participants long, within_capacity boolean"
-
-
-def session_state_stream(turns: DataFrame, capacity: int = 10) -> DataFrame:
-    """R5 streaming form: per room, ``applyInPandasWithState`` keeps the version
-    counter and the set of members seen (bounded by the room's membership, the
-    reference caps rooms at 10). Rows of one micro-batch are applied in turn
-    order. Turns carry no event time, so expiry (R6) is applied on the
-    timestamped event stream instead (see ``rate_limit_stream``)."""
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, members = (int(state.get[0]), list(state.get[1])) if state.exists else (0, [])
-        seen = set(members)
-        pdf = pd.concat(list(chunks), ignore_index=True).sort_values("turn")
-        out = []
-        for turn, role in zip(pdf["turn"].to_numpy(), pdf["role"].to_numpy()):
-            version += 1
-            if role not in seen:
-                seen.add(role)
-                members.append(role)
-            out.append((int(key[0]), int(turn), role, version, len(members), len(members) <= capacity))
-        state.update((version, members))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "version", "participants", "within_capacity"])
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        step, SESSION_OUT, "version long, members array<string>", "append", GroupStateTimeout.NoTimeout)
+def room_totals(turns: DataFrame, capacity: int = 10) -> DataFrame:
+    """R5 streaming form: per room the number of changes, the members seen and whether
+    capacity holds. A plain streaming aggregate: its state is one row per room with
+    the room's members (rooms hold ``capacity`` of them)."""
+    return (turns.groupBy("conv_id")
+            .agg(F.count(F.lit(1)).alias("version"), F.size(F.collect_set("role")).cast("long").alias("participants"))
+            .withColumn("within_capacity", F.col("participants") <= capacity))
+
+
+def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a windowed query over all input there is now; closed windows are appended as Parquet."""
+    (stream.writeStream.outputMode("append").format("parquet").option("path", out)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
+def run_to_batches(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Run an aggregate in update mode; each micro-batch writes a folder of its own
+    number, so a batch that runs again replaces what it wrote."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    (stream.writeStream.outputMode("update").foreachBatch(write)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())

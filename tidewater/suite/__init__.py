@@ -18,7 +18,7 @@ ORACLE: dict[str, str] = {}
 
 MODULES = ("profile_q", "schema_q", "charts_q", "clean_q", "features_q", "windows_q",
            "joins_q", "functions_q", "io_q", "timeseries_q", "text_q", "ml_q", "metrics_q",
-           "activity_q", "streaming_q", "registry_q", "sorts_q", "extras_q")
+           "streaming_q", "registry_q", "sorts_q", "extras_q")
 
 
 def round6(c: F.Column) -> F.Column:
@@ -67,9 +67,5 @@ def load_all() -> None:
     if _loaded:
         return
     for m in MODULES:
-        try:
-            importlib.import_module(f"tidewater.suite.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"tidewater.suite.{m}":
-                raise
+        importlib.import_module(f"tidewater.suite.{m}")
     _loaded = True

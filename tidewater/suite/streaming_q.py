@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidewater.operators import activity as AC
@@ -24,22 +22,30 @@ def stream_event_metrics(spark, d):
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _run_stream(spark, d, build, mode="complete"):
+def _landed(spark, d):
     ev = table(spark, d, "events")
-    path = ST.land_events(ev, scratch_path(spark, "events-landing"))
-    stream = ST.event_stream(spark, path, ev.schema)
-    name = "tw_" + uuid.uuid4().hex[:10]
-    q = (build(stream).writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    return ST.event_stream(spark, ST.land_events(ev, scratch_path(spark, "events-landing")), ev.schema)
+
+
+def _closed_windows(spark, d, build):
+    """Run a windowed streaming query to its end: the windows that the watermark has closed."""
+    out = scratch_path(spark, "stream-out")
+    query = build(_landed(spark, d))
+    ST.run_to_files(query, out, scratch_path(spark, "stream-ckpt"))
+    return spark.read.schema(query.schema).parquet(out)
 
 
-@register("stream_event_metrics_live")
+# windows that end an hour or more before the last event, the watermark's delay
+_CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+@register("stream_event_metrics_live", f"""
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, CAST(count(*) AS BIGINT) AS n_events
+FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events) WHERE w + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1, 2""")
 def stream_event_metrics_live(spark, d):
-    """R1 as a real streaming query (watermark + window + approx distinct)."""
-    return _run_stream(spark, d, ST.live_event_metrics)
+    """R1 as a real streaming query (watermark + window)."""
+    out = _closed_windows(spark, d, ST.live_event_metrics)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n_events")
 
 
 @register("stream_quota", f"""
@@ -57,30 +63,44 @@ def stream_quota(spark, d):
                       F.col("remaining_hour").cast("long"), F.col("remaining_day").cast("long"))
 
 
-@register("stream_quota_live")
+@register("stream_quota_live", f"""
+SELECT strftime(w_end, '%Y-%m-%d %H:%M:%S') AS window_end, user_id, CAST(count(*) AS BIGINT) AS n_hour,
+  CAST(greatest(0, 500 - count(*)) AS BIGINT) AS remaining_hour
+FROM (SELECT user_id, time_bucket(INTERVAL 10 MINUTES, ts) + unnest([10, 20, 30, 40, 50, 60]) * INTERVAL 1 MINUTE AS w_end FROM events)
+WHERE w_end <= {_CLOSED} GROUP BY 1, 2""")
 def stream_quota_live(spark, d):
     """R2 as a real streaming query: sliding hour windows (every 10 minutes here)."""
-    return _run_stream(spark, d, lambda s: ST.live_quota(s, slide="10 minutes"))
+    out = _closed_windows(spark, d, lambda s: ST.live_quota(s, slide="10 minutes"))
+    return out.select(F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "user_id", "n_hour", F.col("remaining_hour").cast("long"))
 
 
-@register("stream_rate_limit")
-def stream_rate_limit(spark, d):
-    out = ST.rate_limit_batch(table(spark, d, "events"))
-    return out.groupBy("allowed", "reason").agg(F.count(F.lit(1)).alias("n"))
+def _limited(per_minute: int, per_hour: int, per_day: int) -> str:
+    return f"""
+SELECT reason, CAST(count(*) AS BIGINT) AS n, any_value(CASE reason WHEN 'minute_limit' THEN 60 WHEN 'hour_limit' THEN 300 WHEN 'day_limit' THEN 3600 ELSE 0 END) AS wait_seconds FROM (
+  SELECT CASE WHEN n_minute > {per_minute} THEN 'minute_limit' WHEN n_hour > {per_hour} THEN 'hour_limit' WHEN n_day > {per_day} THEN 'day_limit' ELSE 'allowed' END AS reason FROM (
+    SELECT
+      count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n_minute,
+      count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n_hour,
+      count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS n_day
+    FROM events)) GROUP BY reason"""
 
 
-@register("stream_rate_limit_strict")
-def stream_rate_limit_strict(spark, d):
-    """The model-API limiter (1 / min, 15 / h, 150 / day): many denials."""
-    cfg = {"per_minute": 1, "per_hour": 15, "per_day": 150, "block_minute": 60, "block_hour": 300, "block_day": 3600}
-    out = ST.rate_limit_batch(table(spark, d, "events"), cfg)
-    return out.groupBy("allowed", "reason").agg(F.count(F.lit(1)).alias("n"), F.max("wait_seconds").alias("max_wait"))
+def _verdicts(spark, d, limits: dict[str, int]):
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts")
+    out = AC.limited(trailing_counts(ev, ["user_id"], "ts", "event_id"), limits)
+    return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.first("wait_seconds").alias("wait_seconds"))
+
+
+@register("stream_rate_limit", _limited(30, 500, 5000))
+def stream_rate_limit(spark, d):
+    """R3 / R4 by trailing counts: verdicts and cool-downs under the general limits."""
+    return _verdicts(spark, d, AC.GENERAL_LIMITS)
 
 
-@register("stream_rate_limit_live")
-def stream_rate_limit_live(spark, d):
-    """R3 streaming form with applyInPandasWithState."""
-    return _run_stream(spark, d, ST.rate_limit_stream, mode="append")
+@register("stream_rate_limit_strict", _limited(1, 15, 150))
+def stream_rate_limit_strict(spark, d):
+    """R3 / R4 under the limits of the model calls: many denials."""
+    return _verdicts(spark, d, {"minute": 1, "hour": 15, "day": 150})
 
 
 @register("stream_session_state", """
@@ -93,18 +113,19 @@ def stream_session_state(spark, d):
     return ST.session_state(table(spark, d, "conversations"))
 
 
-@register("stream_session_state_live")
+@register("stream_session_state_live", """
+SELECT conv_id, CAST(count(*) AS BIGINT) AS version, CAST(count(DISTINCT role) AS BIGINT) AS participants, count(DISTINCT role) <= 10 AS within_capacity
+FROM conversations GROUP BY conv_id""")
 def stream_session_state_live(spark, d):
-    """R5 as a streaming query over landed conversation files."""
+    """R5 as a streaming query over landed conversation files: each room's latest state."""
     conv = table(spark, d, "conversations")
-    path = scratch_path(spark, "conversations-landing")
+    path, out = scratch_path(spark, "conversations-landing"), scratch_path(spark, "stream-out")
     conv.repartitionByRange(4, "conv_id", "turn").write.mode("overwrite").parquet(path)
-    stream = spark.readStream.schema(conv.schema).parquet(path)
-    name = "tw_" + uuid.uuid4().hex[:10]
-    q = (ST.session_state_stream(stream).writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    query = ST.room_totals(spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 2).parquet(path))
+    ST.run_to_batches(query, out, scratch_path(spark, "stream-ckpt"))
+    changes = spark.read.parquet(out)
+    state = F.struct("version", "participants", "within_capacity")
+    return changes.groupBy("conv_id").agg(F.max_by(state, "batch").alias("s")).select("conv_id", "s.*")
 
 
 @register("stream_expiry", f"""WITH {_SESS}
