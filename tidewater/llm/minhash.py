@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import as_long, scramble, slices, word_hashes
-from tidewater.llm.graph import components
+from tidewater.plans.graph import components
 from tidewater.session import staged
 
 #: Words of a shingle and the similarity of a link in percent, unless a contract says otherwise.
@@ -155,52 +155,53 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits & (F.col("x") != F.col("y"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(node, component) of the classes that are linked with others."""
+def links(docs: DataFrame, classes: DataFrame, n_rows: int, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others. ``n_rows``: a bound of the classes."""
     exploded = classes.where("n > 0").select("node", "n", F.explode("keys").alias("key"))
     crowded = exploded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = staged(exploded.join(crowded.select("key", "hub"), "key").select("key", "node", "n", "hub"), "members")
+    members = staged(exploded.join(crowded.select("key", "hub"), "key").select("key", "node", "n", "hub"), "members", rows=n_rows * BANDS // 8)
+    n_members = members.count()
     # the texts of the classes that share a bucket, one row for each class
     wanted = members.select("node").distinct().join(classes.select("node", "doc_id", "tx"), "node")
     source = docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("binary").alias("text"))
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tx") == F.col("t"))
-    texts = staged(source.join(wanted, on).groupBy("doc_id", "tx", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", compression="zstd")
+    texts = staged(source.join(wanted, on).groupBy("doc_id", "tx", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", compression="zstd", rows=min(n_rows, n_members))
 
     hubs = members.select(F.col("node").alias("hub"), F.col("n").alias("n_b")).distinct()
     first = members.where("node <> hub").select("node", "n", "hub").distinct().join(hubs, "hub")
-    tested = staged(_sized(first.select(F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("hub").alias("y"), "n_b"), percent), "pairs")
-    found = staged(verified(tested, texts, width, percent), "found")
-    label = components(found)
-    more = staged(_between(members, label, texts, width, percent), "found")
-    return _joined(label, more)
+    tested = staged(_sized(first.select(F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("hub").alias("y"), "n_b"), percent), "pairs", rows=n_members)
+    found = staged(verified(tested, texts, width, percent), "found", rows=n_members)
+    label = components(found, n_members)
+    more = staged(_between(members, n_members, label, texts, width, percent), "found")
+    return _joined(label, more, n_members)
 
 
-def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+def _joined(label: DataFrame, more: DataFrame, rows: int) -> DataFrame:
     """The labels after further links (a, b): only components that they join change."""
     ends = (more.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
             .join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
             .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    into = components(ends).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    into = components(ends, rows).select(F.col("node").alias("component"), F.col("component").alias("into"))
     known = label.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
     new = into.select(F.col("component").alias("node"), F.col("into").alias("component")).join(label.select("node"), "node", "left_anti")
-    return staged(known.unionByName(new), "labels")
+    return staged(known.unionByName(new), "labels", rows=rows)
 
 
-def _between(members: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _between(members: DataFrame, n_members: int, label: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that share a bucket and lie in different components:
     not all of them, but enough to join what belongs together."""
     placed = members.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = (per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"))
              .where("parts > 1").select("key", "all", F.col("top.component").alias("top")))
-    open_ = staged(placed.join(mixed, "key"), "open")
+    open_ = staged(placed.join(mixed, "key"), "open", rows=n_members)
     # each class has a home: its most crowded open bucket, apart for the largest component there
     home = open_.groupBy("node").agg(F.max(F.struct("all", "key", "top")).alias("home"), F.first("n").alias("n"), F.first("component").alias("component"))
     home = home.select("node", "n", "component", F.col("home.key").alias("home"),
                        F.when(F.col("component") == F.col("home.top"), F.col("component")).alias("pure"))
     crowd = home.groupBy("home", "pure").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     home = staged(home.alias("h").join(crowd.alias("c"), F.expr("h.home = c.home and h.pure <=> c.pure"))
-                  .select("node", "n", "component", "h.pure", F.xxhash64("h.home", "h.pure", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")), "homes")
+                  .select("node", "n", "component", "h.pure", F.xxhash64("h.home", "h.pure", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")), "homes", rows=n_members)
     present = open_.select("key", "node").join(home.select("node", "block", "pure"), "node").select("key", "block", "pure").distinct()
     left = present.select("key", F.col("block").alias("ba"), F.col("pure").alias("pa"))
     right = present.select("key", F.col("block").alias("bb"), F.col("pure").alias("pb"))
@@ -262,12 +263,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = (found.where("n > 0").groupBy("set")
                .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
                .select("set", F.col("first.doc_id").alias("doc_id"), F.col("first.tx").alias("tx"), "n", "keys"))
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    label = links(docs, classes, id_col, text_col, width, percent)
+    n_rows = found.count()
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", rows=n_rows)
+    label = links(docs, classes, n_rows, id_col, text_col, width, percent)
     named = classes.select("set", "node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # written out, so that the join below has a plain exchange on both sides and a hot set can be split
-    by_set = staged(named.join(ids, "component").select("set", "component_id"), "components")
+    by_set = staged(named.join(ids, "component").select("set", "component_id"), "components", rows=n_rows)
     some = found.where("n > 0").join(by_set, "set").select("doc_id", "tx", "n", "component_id")
     none = found.where("n = 0").select("doc_id", "tx", "n", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).select("doc_id", "tx", F.col("n").alias("n_shingles"), "component_id",
