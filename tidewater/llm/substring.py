@@ -95,36 +95,34 @@ def _edges(words: Words, position: np.ndarray, doc: np.ndarray, kmer: int) -> tu
     return node, np.r_[edge, np.uint64(0)], np.r_[np.uint64(0), edge]
 
 
-def _occurrences(keyed: DataFrame, window: int, kmer: int, full: bool) -> DataFrame:
+def _occurrences(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
+    """Every node of every document: its hash, place and the edges beside it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", 4 << 20):
                 words = Words.of(part.column("text").to_pylist())
                 position, doc, _, _ = words.nodes(window, kmer)
                 if not len(position):
                     continue
                 node, after, before = _edges(words, position, doc, kmer)
-                cols, names = [pa.array(as_long(node))], ["node"]
-                if full:
-                    pick = pa.array(doc)
-                    cols += [part.column("doc_id").take(pick), part.column("tx").take(pick), pa.array((position - words.start[doc]).astype(np.int32)),
-                             pa.array(as_long(after)), pa.array(as_long(before))]
-                    names += ["doc_id", "tx", "pos", "after", "before"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                pick = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(as_long(node)), part.column("doc_id").take(pick), part.column("tx").take(pick),
+                    pa.array((position - words.start[doc]).astype(np.int32)), pa.array(as_long(after)), pa.array(as_long(before))],
+                    names=["node", "doc_id", "tx", "pos", "after", "before"])
 
     id_type = keyed.schema["doc_id"].dataType.simpleString()
-    if not full:
-        return keyed.select("text").mapInArrow(run, "node long")
     return keyed.mapInArrow(run, f"node long, doc_id {id_type}, tx long, pos int, after long, before long")
 
 
 def _flags(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
     """(doc_id, tx, marks): the positions of a document's repeated nodes, times four, plus 1
     if the node does not branch forward and 2 if it does not branch backward."""
-    counted = _occurrences(keyed, window, kmer, False).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    nodes = staged(_occurrences(keyed, window, kmer), "nodes", compression="zstd")
+    counted = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     # written out, so that the join below has a plain exchange on both sides and hot nodes can be split
-    repeated = staged(counted.where("n > 1").select("node"), "nodes")
-    places = staged(_occurrences(keyed, window, kmer, True).join(repeated, "node", "left_semi"), "places", compression="zstd")
+    repeated = staged(counted.where("n > 1").select("node"), "repeated_nodes")
+    places = staged(nodes.join(repeated, "node", "left_semi"), "places", compression="zstd")
     shape = staged(places.groupBy("node").agg((F.min("after") == F.max("after")).alias("one_after"), (F.min("before") == F.max("before")).alias("one_before")), "shapes")
     mark = F.col("pos").cast("long") * 4 + F.col("one_after").cast("long") + 2 * F.col("one_before").cast("long")
     return places.join(shape, "node").groupBy("doc_id", "tx").agg(F.collect_list(mark).alias("marks"))
@@ -178,7 +176,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", 4 << 20):
                 texts, marks = part.column("text").to_pylist(), part.column("marks").to_pylist()
                 open_ = [m is not None for m in marks]
                 words = Words.of([t if o else None for t, o in zip(texts, open_)])
