@@ -51,7 +51,7 @@ M += [("W1","win_group_mean"),("W2","win_moving_avg"),("W3","win_moving_std"),("
 ("M19","ml_cv"),("M20","ml_grid"),("M21","fs_univariate"),("M22","fs_rfe"),("M23","fs_importance"),("M24","ml_explain"),
 ("M25","ml_ensemble, ml_vote, ml_vote_mean"),("M26","ml_auto"),("M27","ml_save_load"),("M28","ml_learning_curve"),("M29","metric_residuals"),
 ("M30","ml_cluster_summary"),("M31","ml_oversample"),
-("R1","stream_event_metrics, stream_event_metrics_live"),("R2","stream_quota, stream_quota_live"),("R3","stream_rate_limit, stream_rate_limit_strict, stream_rate_limit_live"),
+("R1","stream_event_metrics, stream_event_metrics_live"),("R2","stream_quota, stream_quota_live"),("R3","stream_rate_limit, stream_rate_limit_strict"),
 ("R4","stream_rate_limit (wait_seconds)"),("R5","stream_session_state, stream_session_state_live"),("R6","stream_expiry"),("R7","stream_session_window"),
 ("R8","stream_route"),("R9","stream_batches"),("R10","stream_quota"),
 ("D1","udf_register"),("D2","registry_call"),("D3","clean_text_cols (native expressions; no row-wise apply)"),("D4","plan_run"),

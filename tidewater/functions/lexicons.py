@@ -34,7 +34,30 @@ BASIC_STOPWORDS = (
     "her us them my your his its our their"
 ).split()
 
-STOPWORDS = {"en": ENGLISH_STOPWORDS, "id": INDONESIAN_STOPWORDS}
+# Common function words of French, German and Spanish (own seed lists).
+FRENCH_STOPWORDS = (
+    "au aux avec ce ces cet cette dans de des du elle elles en et eux il ils je la le les leur leurs lui ma mais me "
+    "même mes moi mon ne nos notre nous on ou où par pas pour qu que qui sa se ses si son sont sur ta te tes toi ton "
+    "tu un une vos votre vous c d j l à m n s t y été est suis es sommes êtes était étaient sera seront avoir ai as "
+    "avons avez ont avait avaient être fait comme plus très sans sous entre donc car ni"
+).split()
+GERMAN_STOPWORDS = (
+    "aber alle als also am an andere auch auf aus bei bin bis bist da damit dann das dass dein deine dem den der des "
+    "dich die dies diese dieser dieses dir doch dort du durch ein eine einem einen einer eines er es euch für gegen "
+    "hab habe haben hat hatte hatten hier hin hinter ich ihm ihn ihnen ihr ihre im in ist ja jede jeder jedes kann "
+    "kein keine können man mein meine mich mir mit nach nicht noch nun nur ob oder ohne sehr sein seine sich sie sind "
+    "so soll über um und uns unser unter vom von vor war waren was weil wenn wer werden wie wieder will wir wird wo zu "
+    "zum zur zwischen"
+).split()
+SPANISH_STOPWORDS = (
+    "a al algo como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre era eran es esa "
+    "ese eso esta estaba están este esto estos ha había han hasta hay la las le les lo los mas me mi mis mucho muy más "
+    "nada ni no nos nosotros o os otra otro para pero poco por porque que quien se sea ser si sin sobre son su sus sí "
+    "también tanto te tiene tienen todo todos tu tus un una uno unos y ya yo él"
+).split()
+
+STOPWORDS = {"en": ENGLISH_STOPWORDS, "id": INDONESIAN_STOPWORDS, "fr": FRENCH_STOPWORDS, "de": GERMAN_STOPWORDS,
+             "es": SPANISH_STOPWORDS}
 
 # Language profiles for stop-word based language detection: a few very common
 # function words per language (own seed lists; pass a fuller table for real use).

@@ -18,7 +18,7 @@ from tidewater.functions.lexicons import (BASIC_STOPWORDS, LANGUAGE_PROFILES, SE
                                           STOPWORDS)
 from tidewater.functions.scalar import (EMAIL_TOKEN_RE, HTML_TAG_RE, NON_WORD, PHONE_TEXT_RE,
                                         URL_RE, clean_text, squeeze, syllables)
-from tidewater.session import cut_lineage
+from tidewater.session import cut_lineage, staged
 
 # Word pattern (letters first, then letters, digits, _ or ') and sentence split.
 WORD_RE = r"\p{L}[\p{L}\p{N}_']*"
@@ -64,24 +64,19 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_RE), 0)
 
 
-def stopword_array(lang: Column | None, lists: dict[str, Sequence[str]] | None = None,
-                   default: str = "en") -> Column:
-    """Literal stop list chosen per row by language (the lists are small constants)."""
+def remove_stopwords(tokens: Column, lang: Column | None = None, lists: dict[str, Sequence[str]] | None = None,
+                     custom: Sequence[str] = (), default: str = "en") -> Column:
+    """Drop tokens whose lowercase form is a stop word of the row's language or a
+    custom word. One branch per language, each a test against a constant set; a
+    language without a list loses custom words only."""
     lists = lists or STOPWORDS
-    arrays = {k: F.array(*[F.lit(w) for w in sorted(set(v))]) for k, v in lists.items()}
-    if lang is None:
-        return arrays.get(default, F.array().cast("array<string>"))
-    expr = None
-    for k, arr in arrays.items():
-        expr = F.when(lang == k, arr) if expr is None else expr.when(lang == k, arr)
-    return expr.otherwise(F.array().cast("array<string>"))
-
 
-def remove_stopwords(tokens: Column, stop: Column, custom: Sequence[str] = ()) -> Column:
-    """Drop tokens whose lowercase form is a stop word (plus custom words)."""
-    extra = F.array(*[F.lit(w) for w in custom]) if custom else None
-    stop_all = F.array_union(stop, extra) if extra is not None else stop
-    return F.filter(tokens, lambda t: ~F.array_contains(stop_all, F.lower(t)))
+    def without(words: Sequence[str]) -> Column:
+        stop = sorted({*words, *custom})
+        return F.filter(tokens, lambda t: ~F.lower(t).isin(stop)) if stop else tokens
+    if lang is None:
+        return without(lists.get(default, ()))
+    return F.coalesce(*[F.when(lang == k, without(v)) for k, v in lists.items()], without(()))
 
 
 def filter_tokens(tokens: Column, min_len: int = 2, max_len: int = 20) -> Column:
@@ -96,8 +91,7 @@ def preprocess(df: DataFrame, lang_col: str | None = "lang", stop_lists: dict |
     """Clean -> tokens -> stop words -> normalise (optional lemma table) -> filter.
     Adds ``tokens`` (array) and ``processed`` (space-joined)."""
     lang = F.col(lang_col) if lang_col else None
-    toks = remove_stopwords(tokenize(preprocess_clean(F.col("text"), remove_numbers)),
-                            stopword_array(lang, stop_lists), custom_stopwords)
+    toks = remove_stopwords(tokenize(preprocess_clean(F.col("text"), remove_numbers)), lang, stop_lists, custom_stopwords)
     out = df.withColumn("tokens", toks)
     if lemmas is not None:
         out = normalize_tokens(out, lemmas)
@@ -263,27 +257,26 @@ def ngram_totals(docs: DataFrame, n: int = 2, tokens: str = "tokens") -> DataFra
 
 # --- X17 / X25: TF-IDF ----------------------------------------------------------------------
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", max_features: int = 1000,
+def tfidf(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", max_features: int | None = None,
           ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
     """X17 (SEM-19): (doc_id, term, tf, idf, weight) with raw counts, smoothed
-    idf = ln((1 + n) / (1 + df)) + 1 and L2-normalised rows. The vocabulary is
-    the ``max_features`` most frequent terms (ties -> alphabetical): at most
-    ``max_features`` rows, so broadcasting it is size-bounded."""
+    idf = ln((1 + n) / (1 + df)) + 1 and L2-normalised rows, over the whole
+    vocabulary. ``max_features`` keeps the most frequent terms only (ties ->
+    alphabetical). The vocabulary is joined by term, never broadcast."""
     t = F.col(tokens)
     grams = F.array().cast("array<string>")
     for n in range(ngram_range[0], ngram_range[1] + 1):
         g = F.when(F.size(t) >= n, ngram_array(t, n)).otherwise(F.array().cast("array<string>"))
         grams = F.concat(grams, g)
     terms = docs.select(id_col, F.explode(grams).alias("term"))
-    # the term-frequency table feeds both the vocabulary and the weights: write it
-    # once (reliable checkpoint) instead of re-running the text pipeline twice
-    tf = cut_lineage(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.count()
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    vocab = stats.orderBy(F.desc("cf"), "term").limit(max_features)
+    vocab = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    if max_features is not None:
+        vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_features)
     vocab = vocab.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(F.broadcast(vocab), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))  # <= max_features rows per doc
+    w = tf.join(vocab, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))  # one document's terms
     return w.select(id_col, "term", "tf", "idf", (F.col("raw") / norm).alias("weight"))
 
 
@@ -392,8 +385,9 @@ def readability_simple(df: DataFrame, id_col: str = "doc_id", digits: int | None
 
 # --- X19-X21, X24, X25: model-based text features ------------------------------------------
 
-def count_vectors(docs: DataFrame, tokens: str = "tokens", vocab_size: int = 1000, min_df: float = 1.0):
-    """Bag of words with MLlib (vocabulary = the most frequent terms)."""
+def count_vectors(docs: DataFrame, tokens: str = "tokens", vocab_size: int = 1 << 18, min_df: float = 1.0):
+    """Bag of words with MLlib. Its vocabulary lives in the driver, so it holds the
+    ``vocab_size`` most frequent terms (MLlib's default of 262,144)."""
     from pyspark.ml.feature import CountVectorizer
     model = CountVectorizer(inputCol=tokens, outputCol="counts", vocabSize=vocab_size, minDF=min_df).fit(docs)
     return model, model.transform(docs)
@@ -433,26 +427,49 @@ def umass_coherence(docs: DataFrame, topics: DataFrame, tokens: str = "tokens")
     return scored.groupBy("topic").agg(F.sum(val).alias("umass"))
 
 
-def nmf_topics(weights: DataFrame, k: int = 5, words: int = 10, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """Non-negative factorisation of the TF-IDF (doc, term, weight) table with
-    ALS(nonnegative=True); top terms per factor."""
-    from pyspark.ml.recommendation import ALS
-    from pyspark.ml.feature import StringIndexer
-    idx = StringIndexer(inputCol="term", outputCol="term_idx").fit(weights)
-    data = idx.transform(weights).select(F.col(id_col).cast("int").alias("u"), F.col("term_idx").cast("int").alias("i"),
-                                         F.col("weight").cast("float").alias("r"))
-    model = ALS(rank=k, maxIter=10, regParam=0.01, nonnegative=True, seed=seed, userCol="u", itemCol="i",
-                ratingCol="r").fit(data)
-    labels = idx.labels
-    f = model.itemFactors.select("id", F.posexplode("features").alias("topic", "w"))
-    w = Window.partitionBy("topic").orderBy(F.desc("w"), "id")
-    top = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= words)
-    mapping = docs_labels(weights.sparkSession, labels)
-    return top.join(mapping, "id").select("topic", "rank", "term", F.col("w").cast("double").alias("weight"))
+def nmf_topics(weights: DataFrame, k: int = 5, words: int = 10, seed: int = 42, id_col: str = "doc_id",
+               iterations: int = 10) -> DataFrame:
+    """Non-negative factorisation V = W H of the whole sparse (doc, term, weight)
+    matrix, absent cells being zeros, by multiplicative updates; top terms per topic.
+
+    V meets W (or H) in an equi-join, products are summed by term (or document),
+    and the k x k Gram matrix of the other factor is the only thing collected.
+    """
+    v = weights.select(F.col(id_col).alias("d"), F.col("term").alias("t"), F.col("weight").alias("v"))
+    comps = range(k)
+
+    def start(of: DataFrame, key: str, salt: int) -> DataFrame:
+        return of.select(key).distinct().select(key, *[
+            ((F.pmod(F.xxhash64(F.col(key), F.lit(i), F.lit(seed + salt)), F.lit(1_000_000)) + 1) / 1e6).alias(f"f{i}") for i in comps])
+
+    def updated(own: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+        gram = other.agg(*[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"g{i}_{j}") for i in comps for j in comps]).first()
+        top = v.join(other, other_key).groupBy(key).agg(*[F.sum(F.col("v") * F.col(f"f{i}")).alias(f"n{i}") for i in comps])
+        scaled = []
+        for i in comps:
+            below = F.lit(1e-12)
+            for j in comps:
+                below = below + F.col(f"f{j}") * float(gram[f"g{j}_{i}"] or 0.0)
+            scaled.append((F.col(f"f{i}") * F.col(f"n{i}") / below).alias(f"f{i}"))
+        return staged(own.join(top, key).select(key, *scaled), f"nmf_{key}")
+
+    v = staged(v, "nmf_matrix")
+    w, h = start(v, "d", 0), start(v, "t", 1)
+    for _ in range(iterations):
+        h = updated(h, "t", w, "d")
+        w = updated(w, "d", h, "t")
+    ranked = h.select(F.col("t").alias("term"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("topic"), F.col(f"f{i}").alias("weight")) for i in comps])).alias("s")).select("s.topic", "term", "s.weight")
+    return _top_terms(ranked, words)
 
 
-def docs_labels(spark: SparkSession, labels) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(labels)), "id int, term string")
+def _top_terms(ranked: DataFrame, words: int) -> DataFrame:
+    """(topic, rank, term, weight): the ``words`` heaviest terms of each topic; terms are first reduced in hash parts."""
+    part = F.pmod(F.xxhash64("term"), F.lit(64))
+    order = [F.desc("weight"), F.col("term")]
+    some = ranked.withColumn("r", F.row_number().over(Window.partitionBy("topic", part).orderBy(*order))).where(F.col("r") <= words)
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(*order))
+    return some.withColumn("rank", rank).where(F.col("rank") <= words).select("topic", "rank", "term", "weight")
 
 
 def word2vec_embeddings(docs: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, seed: int = 42,
@@ -464,7 +481,7 @@ def word2vec_embeddings(docs: DataFrame, size: int = 100, window: int = 5, min_c
     return model.transform(docs)
 
 
-def tfidf_vectors(docs: DataFrame, tokens: str = "tokens", vocab_size: int = 1000) -> DataFrame:
+def tfidf_vectors(docs: DataFrame, tokens: str = "tokens", vocab_size: int = 1 << 18) -> DataFrame:
     """Sparse TF-IDF vectors (CountVectorizer -> IDF -> L2 Normalizer)."""
     from pyspark.ml.feature import IDF, Normalizer
     _, counted = count_vectors(docs, tokens, vocab_size)

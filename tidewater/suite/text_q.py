@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.functions.lexicons import (BASIC_STOPWORDS, ENGLISH_STOPWORDS, INDONESIAN_STOPWORDS,
-                                          LANGUAGE_PROFILES, SENTIMENT_SEED)
+from tidewater.functions.lexicons import BASIC_STOPWORDS, LANGUAGE_PROFILES, SENTIMENT_SEED, STOPWORDS
 from tidewater.operators import text as X
 from tidewater.sources.tables import table
 from tidewater.suite import register
@@ -27,8 +26,7 @@ def _clean_sql(col: str) -> str:
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
 
 
-_STOP_CASE = (f"CASE WHEN lang = 'en' THEN {_sql_list(ENGLISH_STOPWORDS)} WHEN lang = 'id' THEN "
-              f"{_sql_list(INDONESIAN_STOPWORDS)} ELSE []::VARCHAR[] END")
+_STOP_CASE = "CASE " + " ".join(f"WHEN lang = '{k}' THEN {_sql_list(v)}" for k, v in STOPWORDS.items()) + " ELSE []::VARCHAR[] END"
 
 PRE_CTES = f"""docs AS (SELECT doc_id, lang, text FROM documents WHERE text IS NOT NULL),
 tok AS (SELECT doc_id, lang, text, list_filter(regexp_split_to_array({_clean_sql('text')}, '\\s+'), lambda w: w <> '') AS t0 FROM docs),
@@ -72,7 +70,7 @@ def text_tokens(spark, d):
 def text_stopwords(spark, d):
     df = docs(spark, d)
     t0 = X.tokenize(X.preprocess_clean(F.col("text")))
-    t1 = X.remove_stopwords(t0, X.stopword_array(F.col("lang")))
+    t1 = X.remove_stopwords(t0, F.col("lang"))
     return df.select("doc_id", F.size(t0).alias("n_before"), F.size(t1).alias("n_after"))
 
 
@@ -80,7 +78,7 @@ def text_stopwords(spark, d):
 def text_filter_tokens(spark, d):
     p = pre(spark, d)
     df = docs(spark, d)
-    t1 = X.remove_stopwords(X.tokenize(X.preprocess_clean(F.col("text"))), X.stopword_array(F.col("lang")))
+    t1 = X.remove_stopwords(X.tokenize(X.preprocess_clean(F.col("text"))), F.col("lang"))
     n_in = df.select("doc_id", F.size(t1).alias("n_in"))
     return n_in.join(p.select("doc_id", F.size("tokens").alias("n_kept")), "doc_id")
 
@@ -97,8 +95,7 @@ SELECT s.doc_id, array_to_string(list_filter(coalesce(n.t2, []::VARCHAR[]), lamb
   AND regexp_full_match(w, '\\p{L}+')), ' ') AS processed FROM st1 s LEFT JOIN norm n ON s.doc_id = n.doc_id""", _LEMMA_CTES))
 def text_normalize(spark, d):
     df = docs(spark, d)
-    stopped = df.withColumn("tokens", X.remove_stopwords(X.tokenize(X.preprocess_clean(F.col("text"))),
-                                                         X.stopword_array(F.col("lang"))))
+    stopped = df.withColumn("tokens", X.remove_stopwords(X.tokenize(X.preprocess_clean(F.col("text"))), F.col("lang")))
     lemmas = X.derived_lemmas(stopped)
     out = X.preprocess(df, lemmas=lemmas)
     return out.select("doc_id", "processed")
@@ -232,8 +229,7 @@ def text_bigrams(spark, d):
 _TFIDF_CTES = f"""terms AS (SELECT doc_id, unnest(list_concat(tokens, CASE WHEN len(tokens) >= 2 THEN list_transform(generate_series(1, len(tokens) - 1),
     lambda i: array_to_string(tokens[i:i + 1], ' ')) ELSE []::VARCHAR[] END)) AS term FROM pre),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
-vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM pre)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term
-  ORDER BY sum(tf) DESC, term LIMIT 1000),
+vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM pre)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term),
 w AS (SELECT doc_id, tf.term, tf, idf, tf * idf AS raw FROM tf JOIN vocab ON tf.term = vocab.term),
 tfidf AS (SELECT doc_id, term, tf, idf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
 
