@@ -8,7 +8,9 @@ operators are written as pruned distributed joins.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from tidewater.operators.features import stratified_split
 from tidewater.operators.schema import categorical_columns, numeric_columns
 from tidewater.plans.graph import components
-from tidewater.session import cut_lineage, ensure_checkpoint_dir
+from tidewater.session import cut_lineage, shared_dir
 
 
 # --- M1: setup ----------------------------------------------------------------------
@@ -426,9 +428,16 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5, n_pivots: int |
 
 # --- M27: persistence ------------------------------------------------------------------------
 
-def save_and_load(model: PipelineModel, name: str, spark) -> PipelineModel:
-    """Writes under the shared checkpoint folder of the cluster (never a local temp dir)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/models/{name}"
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)
+def save_model(model: PipelineModel, name: str, spark, metadata: dict[str, object]) -> str:
+    """Save a model with its metadata under the shared folder, at a new path each time. Returns the path."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidewater/models/{name}-{uuid.uuid4().hex}"
+    model.write().save(f"{path}/model")
+    rows = [("name", name), ("saved_at", dt.datetime.now(dt.timezone.utc).isoformat()), *((k, str(v)) for k, v in metadata.items())]
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.parquet(f"{path}/metadata")
+    return path
+
+
+def load_model(spark, path: str) -> tuple[PipelineModel, dict[str, str]]:
+    """A saved model and its metadata."""
+    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()}
+    return PipelineModel.load(f"{path}/model"), meta

@@ -165,7 +165,16 @@ def ml_silhouette_order(spark, d):
     return ranked.withColumn("rank", F.col("rank") + 1)
 
 
-@register("ml_dbscan")
+@register("ml_dbscan", """
+WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nb AS MATERIALIZED (SELECT a.id AS qid, b.id AS nid FROM p a JOIN p b ON a.id <> b.id WHERE list_distance(a.v, b.v) <= 1.15),
+core AS MATERIALIZED (SELECT id FROM p LEFT JOIN (SELECT qid, count(*) AS c FROM nb GROUP BY qid) d ON id = qid WHERE coalesce(c, 0) + 1 >= 5),
+e AS MATERIALIZED (SELECT qid, nid FROM nb WHERE qid IN (SELECT id FROM core) AND nid IN (SELECT id FROM core)),
+reach AS (SELECT id, id AS root FROM core UNION SELECT e.nid, r.root FROM reach r JOIN e ON e.qid = r.id),
+lab AS (SELECT id, min(root) AS lab FROM reach GROUP BY id),
+border AS (SELECT qid, min(lab) AS blab FROM nb JOIN lab ON nid = id GROUP BY qid),
+out AS (SELECT p.id, coalesce(lab, blab, -1) AS cluster, lab IS NOT NULL AS is_core FROM p LEFT JOIN lab USING (id) LEFT JOIN border ON p.id = qid)
+SELECT CAST(cluster AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS members, CAST(count(*) FILTER (is_core) AS BIGINT) AS core FROM out GROUP BY 1""")
 def ml_dbscan(spark, d):
     out = ML.dbscan(embedding_points(spark, d), eps=1.15, min_samples=5)
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("is_core").cast("int")).alias("core"))
@@ -261,10 +270,11 @@ def ml_save_load(spark, d):
     from pyspark.ml import Pipeline
     train, test, prep, _, kind = classification(spark, d)
     pipe = Pipeline(stages=[ML.estimator("logistic", kind)]).fit(train.select("features", "label"))
-    loaded = ML.save_and_load(pipe, "logistic_quality", spark)
+    path = ML.save_model(pipe, "logistic_quality", spark, {"kind": kind, "algorithm": "logistic", "train_rows": train.count()})
+    loaded, meta = ML.load_model(spark, path)
     a = pipe.transform(test).select("doc_id", F.col("prediction").alias("p1"))
     b = loaded.transform(test).select("doc_id", F.col("prediction").alias("p2"))
-    return a.join(b, "doc_id").withColumn("same", F.col("p1") == F.col("p2"))
+    return a.join(b, "doc_id").withColumn("same", F.col("p1") == F.col("p2")).withColumn("algorithm", F.lit(meta["algorithm"]))
 
 
 @register("ml_learning_curve")
