@@ -91,7 +91,9 @@ def line_series(df: DataFrame, x: Column, y: str, name: str = "x") -> DataFrame:
 def scatter_matrix(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     """For <= 4 columns, 1-D bins on the diagonal (bin_y = -1) and 2-D bins off it,
     in one scan: every row emits one cell per column pair."""
-    cols = list(cols)[:4]
+    cols = list(cols)
+    if len(cols) > 4:
+        raise ValueError("a scatter matrix takes at most four columns; choose them")
     rng = value_range(df, cols)
     b = {c: bin_index(F.col(c), *rng[c], bins) for c in cols}
     cells = []

@@ -84,10 +84,10 @@ def set_column_diff(spark, d):
 @register("set_branch_merge", """
 SELECT conv_id, turn, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS branch,
   CAST(row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn) - 1 AS BIGINT) AS merged_pos
-FROM conversations WHERE role IN ('user', 'assistant')""")
+FROM conversations""")
 def set_branch_merge(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    out = J.branch_merge(c.where(F.col("role") == "user"), c.where(F.col("role") == "assistant"), "conv_id", "turn")
+    out = J.branch_merge(c.where(F.col("role") == "user"), c.where(F.col("role") != "user"), "conv_id", "turn")
     return out.select("conv_id", "turn", F.col("branch").cast("int").alias("branch"), "merged_pos")
 
 
