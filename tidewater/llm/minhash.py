@@ -12,7 +12,7 @@ nothing further. Pairs within a bucket are never listed as a whole:
 1. every class is compared with the first class of each of its buckets, on
    their full sets; linked classes form components;
 2. classes in buckets whose members still lie in several components are put
-   into blocks of about 64, those of a bucket's largest component apart from the
+   into blocks of about 256, those of a bucket's largest component apart from the
    others. Blocks that share such a bucket are compared with each other in one
    task, set against set; what leaves it is at most one link a class.
 
@@ -39,7 +39,7 @@ SHINGLE, PERCENT = 5, 80
 #: Bands and coordinates of a band.
 BANDS, ROWS = 36, 5
 #: Classes and shingles of a block in step 2, about.
-BLOCK_CLASSES, BLOCK_SHINGLES = 64, 1 << 18
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 18
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -159,13 +159,13 @@ def links(docs: DataFrame, classes: DataFrame, n_rows: int, id_col: str, text_co
     """(node, component) of the classes that are linked with others. ``n_rows``: a bound of the classes."""
     exploded = classes.where("n > 0").select("node", "n", F.explode("keys").alias("key"))
     crowded = exploded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = staged(exploded.join(crowded.select("key", "hub"), "key").select("key", "node", "n", "hub"), "members", rows=n_rows * BANDS // 8)
+    members = staged(exploded.join(crowded.select("key", "hub"), "key").select("key", "node", "n", "hub"), "members", rows=n_rows * BANDS)
     n_members = members.count()
     # the texts of the classes that share a bucket, one row for each class
     wanted = members.select("node").distinct().join(classes.select("node", "doc_id", "tx"), "node")
     source = docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("binary").alias("text"))
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tx") == F.col("t"))
-    texts = staged(source.join(wanted, on).groupBy("doc_id", "tx", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", compression="zstd", rows=min(n_rows, n_members))
+    texts = staged(source.join(wanted, on).groupBy("doc_id", "tx", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", compression="zstd")
 
     hubs = members.select(F.col("node").alias("hub"), F.col("n").alias("n_b")).distinct()
     first = members.where("node <> hub").select("node", "n", "hub").distinct().join(hubs, "hub")
