@@ -38,8 +38,9 @@ from tidewater.llm.common import record, slices
 #: White space of the pre-tokenizer (the Unicode property White_Space), in one byte and in more.
 ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 WIDE_SPACE = re.compile("|".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])).encode())
-#: Letters of the Latin blocks up to U+024F, in UTF-8, with at most one space before them: always a single piece.
-LATIN = re.compile(rb"[ ]?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
+#: What the pre-tokenizer makes of the usual parts: a line feed, letters of the Latin blocks up to U+024F (in
+#: UTF-8) with at most one space before them, and ASCII punctuation are a piece each.
+USUAL = re.compile(rb"(\n)?([ ]?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-/:-@\[-`{-~]+)?")
 #: Entries of the table of parts, each of some 60 bytes (results are the same at any size).
 TABLE_SIZE = 2_000_000
 NEVER = np.int64(1) << 40
@@ -214,10 +215,12 @@ class Encoder:
             moved = (np.cumsum(stay) - 1)[at]
             token, of, rank = token[stay], of[stay], rank[stay]
             # only the pairs on either side of a merge are new
-            new = np.unique(np.r_[moved - 1, moved])
-            new = new[(new >= 0) & (new < len(token))]
-            pair = new[new + 1 < len(token)]
-            rank[new] = NEVER
+            beside = np.zeros(len(token), bool)
+            beside[moved] = True
+            beside[moved[moved > 0] - 1] = True
+            rank[beside] = NEVER
+            beside[-1:] = False
+            pair = np.flatnonzero(beside)
             pair = pair[of[pair] == of[pair + 1]]
             rank[pair] = self.merge_ranks(token[pair], token[pair + 1])
         of, token = (np.concatenate(x) for x in zip(*done))
@@ -256,7 +259,8 @@ class Encoder:
         number: dict[bytes, int] = {}
         used, count = [], []
         for part in parts:
-            pieces = (part,) if LATIN.fullmatch(part) else self.pieces_of(part)
+            usual = USUAL.fullmatch(part)
+            pieces = [p for p in usual.groups() if p] if usual else self.pieces_of(part)
             count.append(len(pieces))
             for p in pieces:
                 used.append(number.setdefault(p, len(number)))
