@@ -324,6 +324,25 @@ def test_surrogates_stay_distinct(documents):
     assert len({r.text for r in new}) == len(addresses) and not {r.text for r in new} & set(addresses)
 
 
+def test_surrogates_of_masked_and_foreign_values(documents):
+    values = ["********", "......", "пароль", "ПАРОЛЬ1", "κωδικός", "密码密码密码", "***1**"]
+    new = [r.text for r in pii.replaced(documents(rows(*[f"password={v}" for v in values])), "key").orderBy("doc_id").collect()]
+    assert len(set(new)) == len(values) and not {t.removeprefix("password=") for t in new} & set(values)
+    assert re.fullmatch(r"password=\*{8}[0-9a-f]{16}", new[0]) and re.fullmatch(r"password=[а-я]{6}", new[2]) and re.fullmatch(r"password=[А-Я]{6}\d", new[3])
+
+
+def test_surrogates_of_crowded_forms(documents):
+    """Forms with fewer surrogates than values: all digits of a short number, nearly all of a network."""
+    dense = [f"secret=..{a}..{b}" for a in range(10) for b in range(10)] + [f"192.168.{a}.{b}" for a in range(180) for b in range(256)]
+    new = pii.replaced(documents(rows(*dense)), "key").collect()
+    assert len({r.text for r in new}) == len(dense) and not {r.text for r in new} & set(dense)
+
+
+def test_grown_numbers_keep_their_writing(spark):
+    df = spark.createDataFrame([("+1 743-555-3824", "phone", "7435553824", "21234567890123")], "raw string, kind string, canon string, drawn string")
+    assert df.select(pii._written(*map(F.col, df.columns))).first()[0] == "+1 212-345-67890123"
+
+
 def test_surrogates_awkward(clashing, documents):
     source = Counter((r.doc_id, r.text) for r in clashing.collect())
     assert Counter((r.doc_id, r.text) for r in pii.replaced(clashing, "key").collect()) == source

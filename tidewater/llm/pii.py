@@ -13,7 +13,8 @@ prefix, the top-level domain, the card's first digit and a valid check digit,
 an address block for private networks, and for names script and gender. Then
 collisions are checked over the whole corpus: a surrogate that is somebody's
 real value, or that another entity got first, is drawn again. So different
-entities stay different, and one entity has one surrogate everywhere.
+entities stay different, and one entity has one surrogate everywhere. Where a
+form has too few surrogates, later attempts lengthen or leave it.
 
 Only documents with entities are shuffled; entity tables are joined by key.
 """
@@ -55,6 +56,11 @@ SYLLABLES = {
     "cyrillic": ("ба бе би бо да де до га го ка ке ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се со та те то ва ве ви".split(), "н р с к л м т д".split(), "а ия ея ина ела ана ора иса".split()),
     "greek": ("βα βε βι βο δα δε δο γα γο κα κε κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σο τα τε το".split(), "ν ρ ς".split(), "α ια εα ινα ελα ανα ορα".split()),
 }
+#: Letters drawn for letters of these scripts, in secrets; those of other scripts become Latin.
+ALPHABETS = {"Cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: Attempts after which a form grows (GROW), a private network is left (ROAM) and an address of four bytes, too (LEAVE).
+GROW, ROAM, LEAVE = 4, 4, 12
+#: A bound for a mistake in the code: every form is long before.
 ATTEMPTS = 64
 
 
@@ -78,6 +84,20 @@ def _drawn(value: Column, digest: Column) -> Column:
     return _letters(value, each)
 
 
+def _drawn_secret(value: Column, digest: Column) -> Column:
+    """Digits for digits, letters for letters of the same script and case; a value without either gets a keyed tail."""
+    def each(c: Column, i: Column) -> Column:
+        b = _byte(digest, i)
+        out = F.when(c.rlike(r"\p{N}"), (b % 10).cast("string"))
+        for script, letters in ALPHABETS.items():
+            of = rf"\p{{Is{script}}}"
+            at = (b % len(letters) + 1).cast("int")
+            out = (out.when(c.rlike(rf"(?=\p{{Lu}}){of}"), F.substring(F.lit(letters.upper()), at, F.lit(1)))
+                   .when(c.rlike(rf"(?=\p{{L}}){of}"), F.substring(F.lit(letters), at, F.lit(1))))
+        return out.when(c.rlike(r"\p{Lu}"), F.char(65 + b % 26)).when(c.rlike(r"\p{L}"), F.char(97 + b % 26)).otherwise(c)
+    return F.concat(_letters(value, each), F.when(value.rlike(r"[\p{L}\p{N}]"), "").otherwise(F.substring(digest, 1, 16)))
+
+
 def luhn_sum(digits: Column) -> Column:
     """The check sum of a card number; a valid one is divisible by ten."""
     def each(c: Column, i: Column) -> Column:
@@ -99,21 +119,27 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     def digest(what: Column) -> Column:
         return F.sha2(F.concat(F.lit(f"{key}|{attempt}|"), kind, F.lit("|"), what), 512)
     h = digest(canon)
-    more = F.lit("") if attempt < 4 else F.substring(h, 100, attempt)  # short forms have few neighbours: grow
+    more = F.lit("") if attempt < GROW else F.substring(h, 100, attempt)  # short forms have few neighbours: grow
+    longer = F.concat(canon, F.lit("0" * max(0, attempt - GROW + 1)))  # the same for numbers
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     body = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     # a domain's surrogate hangs on the domain alone, so that colleagues stay colleagues
     email = F.concat(_drawn(local, h), more, F.lit("@"), _drawn(body, F.sha2(F.concat(F.lit(f"{key}|domain|"), domain), 512)), top)
     octet = lambda i: F.regexp_extract(canon, r"(\d+)\.(\d+)\.(\d+)\.(\d+)", i)
-    tail = [(_byte(h, i) % 254 + 1).cast("string") for i in range(4)]
-    ip = (F.when(octet(1) == "10", F.concat_ws(".", F.lit("10"), *tail[1:]))
-          .when(canon.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *tail[2:]))
-          .when(canon.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), F.concat_ws(".", F.lit("172"), (_byte(h, 9) % 16 + 16).cast("string"), *tail[2:]))
-          .when(octet(1) == "127", F.concat_ws(".", F.lit("127"), *tail[1:]))
-          .otherwise(F.concat_ws(".", (_byte(h, 9) % 99 + 11).cast("string"), *tail[1:])))
-    number = _letters(canon, lambda c, i: F.when((i == 0) | (i == F.length(canon) - 7), (_byte(h, i) % 8 + 2).cast("string")).otherwise((_byte(h, i) % 10).cast("string")))
-    stem = F.concat(F.substring(canon, 1, 1), _letters(F.substring(canon, F.lit(2), F.length(canon) - 2), lambda c, i: (_byte(h, i) % 10).cast("string")))
+    byte = [_byte(h, i).cast("string") for i in range(4)]
+    wide = F.concat_ws(".", (_byte(h, 9) % 99 + 11).cast("string"), *byte[1:])
+    if attempt < ROAM:
+        ip = (F.when(octet(1).isin("10", "127"), F.concat_ws(".", octet(1), *byte[1:]))
+              .when(canon.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *byte[2:]))
+              .when(canon.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), F.concat_ws(".", F.lit("172"), (_byte(h, 9) % 16 + 16).cast("string"), *byte[2:]))
+              .otherwise(wide))
+    elif attempt < LEAVE:  # another private network has more room
+        ip = F.when(canon.rlike(r"^(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\."), F.concat_ws(".", F.lit("10"), *byte[1:])).otherwise(wide)
+    else:  # a local address of sixteen bytes
+        ip = F.concat(F.lit("fd"), F.substring(h, 1, 2), *[F.concat(F.lit(":"), F.substring(h, 3 + 4 * i, 4)) for i in range(7)])
+    number = _letters(longer, lambda c, i: F.when((i == 0) | (i == F.length(canon) - 7), (_byte(h, i) % 8 + 2).cast("string")).otherwise((_byte(h, i) % 10).cast("string")))
+    stem = F.concat(F.substring(canon, 1, 1), _letters(F.substring(longer, F.lit(2), F.length(longer) - 2), lambda c, i: (_byte(h, i) % 10).cast("string")))
     card = F.concat(stem, ((10 - luhn_sum(F.concat(stem, F.lit("0"))) % 10) % 10).cast("string"))
     token = _letters(canon, lambda c, i: F.substring(F.lit("0123456789abcdef"), _byte(h, i) % 16 + 1, F.lit(1)))
     access = F.concat(F.lit("AKIA"), _drawn(F.substring(canon, 5, 16), h))
@@ -126,8 +152,8 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
         return F.initcap(F.concat(begin, F.when(kind == "name_f", women_end).when(kind == "name_m", men_end).otherwise(F.when(_byte(h, 32) % 2 == 0, men_end).otherwise(F.concat(men_end, women_end)))))
     names = F.when(canon.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "ssn"), number).when(kind == "card", card)
-            .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), token).otherwise(_drawn(canon, h)))
-            .when(kind == "token", token).when(kind == "access_key", access).otherwise(F.lower(names)))
+            .when(kind == "secret", F.concat(F.when(canon.rlike("^[0-9a-f]+$"), token).otherwise(_drawn_secret(canon, h)), more))
+            .when(kind == "token", F.concat(token, more)).when(kind == "access_key", access).otherwise(F.lower(names)))
 
 
 def _kind(raw: Column) -> Column:
@@ -157,12 +183,13 @@ def _pieces(idx: Column, raw: Column) -> Column:
     return F.when(kind == "name", names).otherwise(single)
 
 
-def _written(raw: Column, kind: Column, drawn: Column) -> Column:
+def _written(raw: Column, kind: Column, canon: Column, drawn: Column) -> Column:
     """A surrogate in the way in which its entity was written."""
-    extra = F.length(_only_digits(raw)) - F.length(drawn)  # a country prefix stays
+    extra = F.length(_only_digits(raw)) - F.length(canon)  # a country prefix stays
     # the i-th character of a number: its digits so far tell which digit of the surrogate it takes
     numbered = _letters(raw, lambda c, i: F.when(c.rlike("[0-9]"), F.coalesce(F.nullif(F.substring(
         drawn, (F.length(_only_digits(F.substring(raw, F.lit(1), i + 1))) - extra).cast("int"), F.when(F.length(_only_digits(F.substring(raw, F.lit(1), i + 1))) > extra, 1).otherwise(0)), F.lit("")), c)).otherwise(c))
+    numbered = F.concat(numbered, F.substring(drawn, F.length(canon) + 1, F.length(drawn)))  # what a grown number has more
     worded = F.when(raw == F.upper(raw), F.upper(drawn)).when(F.substring(raw, 1, 1) != F.lower(F.substring(raw, 1, 1)), F.initcap(drawn)).otherwise(drawn)
     return (F.when(drawn.isNull(), raw).when(kind.isin("phone", "ssn", "card"), numbered)
             .when(kind == "email", F.when(raw == F.upper(raw), F.upper(drawn)).otherwise(drawn)).when(kind.isin("ip", "token", "access_key", "secret"), drawn).otherwise(worded))
@@ -183,7 +210,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         pending = staged(drawn.select("kind", "canon").join(won, ["kind", "canon"], "left_anti"), "pending")
         if not pending.limit(1).count():
             return settled
-    raise RuntimeError("a kind of entity has more values than its form has surrogates")
+    raise RuntimeError("the surrogates did not settle")
 
 
 def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +229,7 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     pieces = staged(matches.select("hash", F.inline(_pieces(F.col("idx"), F.col("raw")))), "pieces", compression="zstd")
     table = surrogates(staged(pieces.where(F.col("kind").isNotNull()).select("kind", "canon").distinct(), "values"), key)
     table = staged(table, "surrogates")
-    out = F.struct("idx", "sub", F.concat("lead", _written(F.col("raw"), F.col("kind"), F.col("drawn"))).alias("s"))
+    out = F.struct("idx", "sub", F.concat("lead", _written(F.col("raw"), F.col("kind"), F.col("canon"), F.col("drawn"))).alias("s"))
     told = staged(pieces.join(table, ["kind", "canon"], "left").groupBy("hash")
                   .agg(F.collect_list(out).alias("pieces"), F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("idx"))).alias("n_entities")), "told", compression="zstd")
     between = F.transform(F.split("text", ENTITY, -1), lambda s, i: F.struct(i.alias("idx"), F.lit(-1).alias("sub"), s.alias("s")))
