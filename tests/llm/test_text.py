@@ -239,6 +239,20 @@ def test_near_filter(clashing, documents):
     assert minhash.near_groups(documents([])).collect() == minhash.drop_near(documents([])).collect() == []
 
 
+def test_near_filter_keeps_a_row_of_each_group(documents):
+    """Null ids, alone and in groups, and different texts under one id."""
+    base = SENTENCE.split()
+    texts = [" ".join(f"{w}{i}" for w in base) for i in range(6)]
+    near = [t + " end" for t in texts]
+    data = [(None, texts[0]), (None, texts[1]), (None, near[1]), (None, near[1]), (None, texts[2]), (4, near[2]), (4, texts[3]), (4, texts[4]), (4, texts[4]),
+            (3, texts[5]), (4, near[5]), (None, None), (None, " "), (None, "")]
+    docs = documents([(i, t, "en", "a", None) for i, t in data])
+    kept = Counter((r.doc_id, r.text) for r in minhash.drop_near(docs, width=2).collect())
+    groups = [[0], [1, 2, 3], [4, 5], [6], [7, 8], [9, 10], [11], [12], [13]]
+    assert sum(kept.values()) == len(groups) and all(sum(kept[x] for x in {data[k] for k in g}) == 1 for g in groups)
+    assert kept[data[5]] == kept[data[9]] == 1
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2 ** 63, 600, dtype=np.uint64)

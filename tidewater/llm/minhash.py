@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import as_long, scramble, slices, word_hashes
+from tidewater.llm.common import WORD_PATTERN, as_long, scramble, slices, word_hashes
 from tidewater.plans.graph import components
 from tidewater.session import staged
 
@@ -249,6 +249,20 @@ def _between(members: DataFrame, n_members: int, label: DataFrame, texts: DataFr
     return tasks.withColumn("pair", F.xxhash64("ba", "bb")).repartition(parts, "pair").groupBy("pair", "ba", "bb").applyInArrow(compare, "a long, b long")
 
 
+def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """The sketches of all rows; (set, component, doc_id, tx) of each class, with the row of the class that
+    comes first (null ids last); and the number of rows. ``component`` is the class's component as a node."""
+    found = sketches(docs, id_col, text_col, width, bands, rows)
+    classes = (found.where("n > 0").groupBy("set")
+               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+               .select("set", F.col("first.doc_id").alias("doc_id"), F.col("first.tx").alias("tx"), "n", "keys"))
+    n_rows = found.count()
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", rows=n_rows)
+    label = links(docs, classes, n_rows, id_col, text_col, width, percent)
+    named = classes.select("set", "node", "doc_id", "tx").join(label, "node", "left")
+    return found, named.select("set", F.coalesce("component", "node").alias("component"), "doc_id", "tx"), n_rows
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT,
                 bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, tx (a hash of its text), n_shingles, component_id, kept.
@@ -259,14 +273,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdicts where their texts are equal. A null id is reachable but never the
     component's id. An empty table gives no rows. Other columns are not read.
     """
-    found = sketches(docs, id_col, text_col, width, bands, rows)
-    classes = (found.where("n > 0").groupBy("set")
-               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-               .select("set", F.col("first.doc_id").alias("doc_id"), F.col("first.tx").alias("tx"), "n", "keys"))
-    n_rows = found.count()
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", rows=n_rows)
-    label = links(docs, classes, n_rows, id_col, text_col, width, percent)
-    named = classes.select("set", "node", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found, named, n_rows = labelled(docs, id_col, text_col, width, percent, bands, rows)
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # written out, so that the join below has a plain exchange on both sides and a hot set can be split
     by_set = staged(named.join(ids, "component").select("set", "component_id"), "components", rows=n_rows)
@@ -278,13 +285,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The input with one row of each component, all columns unchanged: the row with the
-    smallest id (one of them, if rows repeat it). Rows without shingles all stay."""
-    verdict = near_groups(docs, id_col, text_col, width, percent)
-    stay = verdict.where("kept or n_shingles = 0").select("doc_id", "tx", "n_shingles", "component_id").distinct()
+    smallest id (one of them, if rows repeat it), or one without id if the component has
+    no other. Rows without shingles all stay."""
+    _, named, n_rows = labelled(docs, id_col, text_col, width, percent, BANDS, ROWS)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first")
+    # written out, so that the join below has a plain exchange on both sides and a hot text can be split
+    stay = staged(named.groupBy("component").agg(first).select("component", "first.doc_id", "first.tx"), "stay", rows=n_rows)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("t"))
+    words = F.coalesce(F.col(text_col).rlike(WORD_PATTERN), F.lit(False))
+    keyed = docs.where(words).select(row, F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("t"))
     both = keyed.join(stay, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tx")))
-    nth = F.row_number().over(Window.partitionBy("component_id").orderBy("t"))
-    alone = both.where("n_shingles = 0").select("row")
-    one = both.where("n_shingles > 0").withColumn("nth", nth).where("nth = 1").select("row")
-    return alone.unionByName(one).select("row.*")
+    # rows that repeat id and text are reduced before they are shuffled
+    one = both.groupBy("component").agg(F.first("row").alias("row"))
+    return docs.where(~words).unionByName(one.select("row.*"))
