@@ -31,25 +31,25 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signo
 MALE = ("Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Signor", "Господин", "Κύριος")
 EITHER = ("Dr", "Prof")
 _TITLE = "|".join(sorted([*FEMALE, *MALE, *EITHER], key=len, reverse=True))
-_NAME = r"\p{Lu}\p{Ll}+"
-NAMED = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}(?!\p{{L}})"
+_NAME = r"\p{Lu}\p{Ll}++(?!\p{L})"  # possessive, here and below: long runs are matched in a loop, not by recursion
+NAMED = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})*+(?!\p{{L}})"
 _LABEL = "password|passwd|pwd|secret|api_key|apikey|access_token|token"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Patterns of the kinds, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
     "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "secret": rf"(?<![A-Za-z0-9])(?:{_LABEL})[=:][^\s\"',;]{{6,128}}",
+    "token": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z0-9])(?:{_LABEL})[=:][^\s\"',;]{{6,}}",
     "name": NAMED,
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap test that every text with an entity passes.
-MAYBE = rf"[0-9@]|(?:{_LABEL})[=:]|(?:{_TITLE})\.? \p{{Lu}}"
+MAYBE = rf"[0-9@]|AKIA|(?:{_LABEL})[=:]|(?:{_TITLE})\.? \p{{Lu}}"
 #: Beginnings and ends of drawn names, by script.
 SYLLABLES = {
     "latin": ("ba be bi bo da de do fa fe ga go ha he ka ke ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve vi".split(), "n r s k l m t d".split(), "a ia ea ina ela ana ora issa".split()),
@@ -75,6 +75,11 @@ def _letters(value: Column, each) -> Column:
     return F.array_join(F.transform(F.split(value, ""), each), "")
 
 
+def _once(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body has it in a loop over characters or words."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _drawn(value: Column, digest: Column) -> Column:
     """Digits for digits, letters for letters of the same case, the rest as it is."""
     def each(c: Column, i: Column) -> Column:
@@ -116,16 +121,18 @@ def _pick(options: list[str], index: Column) -> Column:
 
 def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     """The value drawn for an entity at this attempt, in canonical form."""
-    def digest(what: Column) -> Column:
-        return F.sha2(F.concat(F.lit(f"{key}|{attempt}|"), kind, F.lit("|"), what), 512)
-    h = digest(canon)
+    digest = F.sha2(F.concat(F.lit(f"{key}|{attempt}|"), kind, F.lit("|"), canon), 512)
+    return _once(digest, lambda h: _from_digest(kind, canon, key, attempt, h))
+
+
+def _from_digest(kind: Column, canon: Column, key: str, attempt: int, h: Column) -> Column:
     more = F.lit("") if attempt < GROW else F.substring(h, 100, attempt)  # short forms have few neighbours: grow
     longer = F.concat(canon, F.lit("0" * max(0, attempt - GROW + 1)))  # the same for numbers
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     body = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     # a domain's surrogate hangs on the domain alone, so that colleagues stay colleagues
-    email = F.concat(_drawn(local, h), more, F.lit("@"), _drawn(body, F.sha2(F.concat(F.lit(f"{key}|domain|"), domain), 512)), top)
+    email = F.concat(_drawn(local, h), more, F.lit("@"), _once(F.sha2(F.concat(F.lit(f"{key}|domain|"), domain), 512), lambda d: _drawn(body, d)), top)
     octet = lambda i: F.regexp_extract(canon, r"(\d+)\.(\d+)\.(\d+)\.(\d+)", i)
     byte = [_byte(h, i).cast("string") for i in range(4)]
     wide = F.concat_ws(".", (_byte(h, 9) % 99 + 11).cast("string"), *byte[1:])
@@ -174,10 +181,9 @@ def _pieces(idx: Column, raw: Column) -> Column:
     title = F.regexp_replace(F.get(words, 0), r"\.$", "")
     gender = F.when(title.isin(*FEMALE), "name_f").when(title.isin(*MALE), "name_m").otherwise("name")
     entity = lambda sub, lead, k, c, r: F.struct(idx.alias("idx"), sub.cast("int").alias("sub"), lead.alias("lead"), k.alias("kind"), c.alias("canon"), r.alias("raw"))
-    last = F.size(words) - 2
     # the last name is a family name, which has no gender; those before it follow the form of address
-    names = F.transform(F.slice(words, F.lit(2), F.size(words) - 1), lambda w, i: entity(
-        i, F.when(i == 0, F.concat(F.get(words, 0), F.lit(" "))).otherwise(F.lit(" ")), F.when(i == last, "surname").otherwise(gender), F.lower(w), w))
+    names = _once(F.struct(words.alias("words"), gender.alias("gender")), lambda p: F.transform(F.slice(p["words"], F.lit(2), F.size(p["words"]) - 1), lambda w, i: entity(
+        i, F.when(i == 0, F.concat(F.get(p["words"], 0), F.lit(" "))).otherwise(F.lit(" ")), F.when(i == F.size(p["words"]) - 2, "surname").otherwise(p["gender"]), F.lower(w), w)))
     value = F.when(kind == "secret", canon).otherwise(raw)
     single = F.array(entity(F.lit(0), F.when(kind == "secret", F.regexp_extract(raw, label, 0)).otherwise(""), kind, canon, value))
     return F.when(kind == "name", names).otherwise(single)
