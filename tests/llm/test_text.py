@@ -370,6 +370,20 @@ def test_surrogates_of_long_values(documents):
     assert "Anna" not in new[5] and new[5].count(" ") == 20000 and len(new[6]) == len(texts[6]) and "aZaZaZ" not in new[6]
 
 
+def test_bare_mentions(documents):
+    texts = ["Dr. Anna Keller came. Keller said: KELLER's, Kellermann, a@b.org Anna Keller signed. The end",
+             "Keller is not named here, Dr. Kim is", "Mr. McDonald met Mr. O'Neil, Mr. John McDonald and Ms. Smith-Jones; O'Neil's, McDonald, Smith-Jones, Herr Mu\u0308ller",
+             "Dr. " + "Anna " * 3000 + "x " + "Anna x " * 3000]
+    texts.append(texts[0])
+    new = pii.replaced(documents(rows(*texts)), "key").orderBy("doc_id").collect()
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) came\. (\w+) said: ([A-Z]+)'s, Kellermann, \w+@\w\.org (\w+) (\w+) signed\. The end", new[0].text)
+    assert m and m[1] == m[5] != "Anna" and m[2] == m[3] == m[6] == m[4].capitalize() != "Keller" and new[0].n_entities == 5 and new[4].text == new[0].text
+    assert new[1].text.startswith("Keller is not named here, Dr. ") and "Kim" not in new[1].text and new[1].n_entities == 1
+    m = re.fullmatch(r"Mr\. (\w+) met Mr\. (\w+), Mr\. (\w+) (\w+) and Ms\. (\w+); (\w+)'s, (\w+), (\w+), Herr (\w+)", new[2].text)
+    assert m and m[1] == m[4] == m[7] and m[2] == m[6] and m[5] == m[8] and not {"John", "McDonald", "Neil", "Jones"} & set(re.findall(r"\w+", new[2].text))
+    assert "Anna" not in new[3].text and new[3].text.count(" x") == 3001 and new[3].n_entities == 3001
+
+
 def test_surrogates_awkward(clashing, documents):
     source = Counter((r.doc_id, r.text) for r in clashing.collect())
     assert Counter((r.doc_id, r.text) for r in pii.replaced(clashing, "key").collect()) == source

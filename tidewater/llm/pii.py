@@ -3,8 +3,8 @@
 Entities are found by one pattern: e-mail addresses, IPv4 addresses, social
 security and phone numbers, card numbers (with a valid check digit), access
 keys, long hexadecimal tokens, values of a password or key, and names after a
-form of address. Each kind has
-a canonical form (digits only, lower case, a single name), so an entity written
+form of address. A name that was found is also replaced where the same document
+mentions it without one. Each kind has a canonical form (digits only, lower case, a single name), so an entity written
 in several ways stays one entity.
 
 A surrogate is drawn from a keyed hash of kind, canonical form and attempt. It
@@ -31,8 +31,12 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signo
 MALE = ("Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Signor", "Господин", "Κύριος")
 EITHER = ("Dr", "Prof")
 _TITLE = "|".join(sorted([*FEMALE, *MALE, *EITHER], key=len, reverse=True))
-_NAME = r"\p{Lu}\p{Ll}++(?!\p{L})"  # possessive, here and below: long runs are matched in a loop, not by recursion
-NAMED = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})*+(?!\p{{L}})"
+#: A name of two letters or more, with inner capitals, hyphens and apostrophes, without a possessive. Possessive
+#: quantifiers, here and below: long runs are matched in a loop, not by recursion.
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?+[\p{L}\p{M}]++(?:['’](?![Ss](?!\p{L}))\p{Lu}[\p{L}\p{M}]*+|-\p{L}[\p{L}\p{M}]*+)*+"
+NAMED = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})*+"
+#: Words in which a name may be mentioned without a form of address.
+BARE = rf"(?<![\p{{L}}\p{{M}}]){_NAME}(?: {_NAME})*+"
 _LABEL = "password|passwd|pwd|secret|api_key|apikey|access_token|token"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Patterns of the kinds, in the order in which they are tried.
@@ -201,6 +205,24 @@ def _written(raw: Column, kind: Column, canon: Column, drawn: Column) -> Column:
             .when(kind == "email", F.when(raw == F.upper(raw), F.upper(drawn)).otherwise(drawn)).when(kind.isin("ip", "token", "access_key", "secret"), drawn).otherwise(worded))
 
 
+def _mentions(named: DataFrame, pieces: DataFrame, table: DataFrame) -> DataFrame:
+    """(hash, idx, sub, at, nth, s, hit): the texts between the matches in documents with names, cut at capitalised
+    words; ``hit`` marks a word that is one of the document's names, and s has its surrogate."""
+    run = lambda idx, at, lead, words: F.transform(
+        F.coalesce(words, F.array(F.lit(None).cast("string"))), lambda w, k: F.struct(
+            idx.alias("idx"), at.alias("at"), k.alias("nth"), F.when(k == 0, lead).otherwise(" ").alias("lead"), w.alias("word")))
+    # the text before each run of such words, and the run; after the last one only a text
+    runs = lambda s: F.arrays_zip(F.split(s, BARE, -1).alias("lead"), F.regexp_extract_all(s, F.lit(BARE), F.lit(0)).alias("run"))
+    between = F.transform(F.split("text", ENTITY, -1), lambda s, i: F.flatten(F.transform(runs(s), lambda z, j: run(i, j, z["lead"], F.split(z["run"], " ")))))
+    texts = named.groupBy("hash").agg(F.first("text").alias("text"))
+    words = texts.select("hash", F.inline(F.flatten(between))).withColumn("canon", F.lower("word"))
+    names = (pieces.where(F.col("kind").isin("name", "name_f", "name_m", "surname")).groupBy("hash", "canon").agg(F.min("kind").alias("kind"))
+             .join(table, ["kind", "canon"]))
+    word = F.coalesce(_written(F.col("word"), F.col("kind"), F.col("canon"), F.col("drawn")), F.lit(""))
+    return words.join(names, ["hash", "canon"], "left").select(
+        "hash", "idx", F.lit(-1).alias("sub"), "at", "nth", F.concat("lead", word).alias("s"), F.col("drawn").isNotNull().alias("hit"))
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon) -> (kind, canon, drawn), different for different entities of a kind and never a real one."""
     settled: DataFrame | None = None
@@ -223,22 +245,30 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, text, n_entities.
 
     Null texts stay null and empty ones empty. Entities count each time they
-    occur. Rows that repeat an id are rows of their own; equal texts get equal
+    occur; a run of capitalised words with names in it is one. Rows that repeat an id are rows of their own; equal texts get equal
     results. An empty table gives no rows. Other columns are not read.
     """
     found = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    has_name = F.exists("raws", lambda r: r.rlike(f"^(?:{NAMED})$"))
     # only texts with entities are written; the others pass as they are
-    hit = staged(rows.withColumn("raws", found).where(F.size("raws") > 0).withColumn("hash", F.unhex(F.md5(F.col("text").cast("binary")))), "entities", compression="zstd")
+    hit = staged(rows.withColumn("raws", found).where(F.size("raws") > 0).withColumn("named", has_name).withColumn("hash", F.unhex(F.md5(F.col("text").cast("binary")))), "entities", compression="zstd")
     plain = rows.where(~F.coalesce(F.size(found) > 0, F.lit(False))).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
     matches = hit.select("hash", F.posexplode("raws").alias("idx", "raw")).distinct()
     pieces = staged(matches.select("hash", F.inline(_pieces(F.col("idx"), F.col("raw")))), "pieces", compression="zstd")
     table = surrogates(staged(pieces.where(F.col("kind").isNotNull()).select("kind", "canon").distinct(), "values"), key)
     table = staged(table, "surrogates")
-    out = F.struct("idx", "sub", F.concat("lead", _written(F.col("raw"), F.col("kind"), F.col("canon"), F.col("drawn"))).alias("s"))
-    told = staged(pieces.join(table, ["kind", "canon"], "left").groupBy("hash")
-                  .agg(F.collect_list(out).alias("pieces"), F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("idx"))).alias("n_entities")), "told", compression="zstd")
-    between = F.transform(F.split("text", ENTITY, -1), lambda s, i: F.struct(i.alias("idx"), F.lit(-1).alias("sub"), s.alias("s")))
+    joined = pieces.join(table, ["kind", "canon"], "left")
+    written = F.concat("lead", _written(F.col("raw"), F.col("kind"), F.col("canon"), F.col("drawn")))
+    joined = joined.select("hash", "idx", "sub", F.lit(0).alias("at"), F.lit(0).alias("nth"), written.alias("s"), F.col("kind").isNotNull().alias("hit"))
+    joined = joined.unionByName(_mentions(hit.where("named"), pieces, table))
+    told = staged(joined.groupBy("hash").agg(
+        F.collect_list(F.struct("idx", "sub", "at", "nth", "s")).alias("pieces"),
+        # a bare mention counts apart from the entity after it
+        F.count_distinct(F.when(F.col("hit"), F.struct("idx", F.col("sub") < 0, "at"))).alias("n_entities")), "told", compression="zstd")
+    # in documents with names the texts between are among the pieces
+    between = F.when(F.col("named"), F.array().cast("array<string>")).otherwise(F.split("text", ENTITY, -1))
+    between = F.transform(between, lambda s, i: F.struct(i.alias("idx"), F.lit(-1).alias("sub"), F.lit(0).alias("at"), F.lit(0).alias("nth"), s.alias("s")))
     whole = F.array_join(F.transform(F.array_sort(F.concat(between, "pieces")), lambda p: p["s"]), "")
-    changed = hit.select("doc_id", "text", "hash").join(told, "hash").select("doc_id", whole.alias("text"), F.col("n_entities").cast("long").alias("n_entities"))
+    changed = hit.select("doc_id", "text", "hash", "named").join(told, "hash").select("doc_id", whole.alias("text"), F.col("n_entities").cast("long").alias("n_entities"))
     return plain.unionByName(changed)
