@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import binary, bpe, chat, exact, minhash, mixing, pii, quality, sharding, substring
+from tidewater.llm import align, binary, bpe, chat, exact, language, minhash, mixing, pii, quality, repair, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,6 +16,7 @@ ORACLE: dict[str, str] = {}
 #: Fixed values of the contracts.
 SHARDS = 24
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 0
 #: The key of the surrogates; a real run gives its own and keeps it secret.
 PII_KEY = "tidewater"
@@ -170,3 +171,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates in place of personal data and secrets."""
     return pii.replaced(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query("op11_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired at the least cost."""
+    talks = table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(talks), talks)
+
+
+@query("op12_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over all documents."""
+    return align.alignment(table(spark, sf_dir, "documents"), TOKENIZER, PIECES, digest=True)[0]
+
+
+@query("op13_language")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from those that are not held out."""
+    return language.identified(table(spark, sf_dir, "documents"))
