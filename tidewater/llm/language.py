@@ -18,7 +18,7 @@ when the languages' mean scores are read as log probabilities, between 0 and 1.
 A text that is null or without a letter is ``und`` with score 0, and so is every
 text if nothing is labelled. Null labels and null texts teach nothing. Texts that are not valid UTF-8 are
 read with replacement characters. Rows that repeat count each, and each has its
-prediction. A text of any length is read whole, word by distinct word. An empty table gives no rows.
+prediction. A text is read whole, in some twenty times its size of memory in one task. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,14 +83,15 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, gram, n) of the counted words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
+            counts: dict[str, dict[str, int]] = {}
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
+                mine = counts.setdefault(lang, {})
                 for k in range(1, LONGEST + 1):
                     for g in grams(word, k):
-                        counts[lang, g] += n
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([g for _, g in keys], pa.string()),
-                                              pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
+                        mine[g] = mine.get(g, 0) + n
+            for lang, mine in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())],
+                                                 names=["lang", "gram", "n"])
 
     return words.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -106,48 +108,66 @@ class Model:
     def __init__(self, langs: list[str], word_n: dict[str, int], words: list, gram_n: dict[tuple[str, int], int], gram_rows: list):
         self.langs = langs
         place = {lang: i for i, lang in enumerate(langs)}
-        self.words = _logs(words, place, np.array([word_n[lang] for lang in langs], float))
-        self.grams: dict[str, np.ndarray] = {}
-        for n in range(1, LONGEST + 1):
-            self.grams |= _logs([r for r in gram_rows if len(r[0]) == n], place, np.array([gram_n.get((lang, n), 0) for lang in langs], float))
-        self.kept: dict[str, np.ndarray | None] = {}
-
-    def word(self, word: str) -> np.ndarray | None:
-        """The log frequency of a word in each language, None if no part of it is known."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        word_place, self.word_logs = _logs(words, place, np.array([word_n[lang] for lang in langs], float))
+        # for each length, the places of the n-grams, and their logs with a row of zeros at the end
+        self.grams = {n: _logs([r for r in gram_rows if len(r[0]) == n], place, np.array([gram_n.get((lang, n), 0) for lang in langs], float))
+                      for n in range(1, LONGEST + 1)}
+        # the table of scores: the words of the model, then others that were met; the last column tells whether a word says something
+        self.known = word_place
+        self.place = dict(word_place)
+        self.scores = np.column_stack([self.word_logs[:-1], np.ones(len(word_place))])
+
+    def apart(self, words: list[str]) -> np.ndarray:
+        """The scores of words that the model does not know, by their n-grams, longest first."""
+        out, left = np.zeros((len(words), len(self.langs) + 1)), np.arange(len(words))
         for n in range(LONGEST, 0, -1):
-            found = [self.grams[g] for g in grams(word, n) if g in self.grams]
-            if found:
-                return np.mean(found, axis=0)
-        return None
-
-    def score(self, words: dict[str, int]) -> tuple[str, float]:
-        """Prediction and score of a text with these words."""
-        total, n = np.zeros(len(self.langs)), 0
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        for word, times in words.items():
-            if word not in self.kept:
-                self.kept[word] = self.word(word)
-            found = self.kept[word]
-            if found is not None:
-                total += times * found
-                n += times
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        mean = total / max(n, 1)
-        best = int(np.argmax(mean))  # the first of equal ones; languages are sorted
-        return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
-
-
-def _logs(rows: list, place: dict[str, int], total: np.ndarray) -> dict[str, np.ndarray]:
-    counts: dict[str, np.ndarray] = {}
-    for key, lang, n in rows:
-        counts.setdefault(key, np.zeros(len(place)))[place[lang]] = n
-    below = np.log(total + SMOOTH * max(len(counts), 1))
-    return {key: np.log(c + SMOOTH) - below for key, c in counts.items()}
+            get, logs = self.grams[n][0].get, self.grams[n][1]
+            cut = [grams(words[i], n) for i in left.tolist()]
+            size = np.fromiter(map(len, cut), np.int64, len(cut))
+            found = np.fromiter((get(g, -1) for g in chain.from_iterable(cut)), np.int64, int(size.sum()))
+            word = np.repeat(np.arange(len(left)), size)[found >= 0]
+            found = found[found >= 0]
+            times = np.bincount(word, minlength=len(left))
+            hit = times > 0
+            for k in range(len(self.langs)):
+                out[left[hit], k] = np.bincount(word, logs[found, k], len(left))[hit] / times[hit]
+            out[left[hit], -1] = 1
+            left = left[~hit]
+        return out
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The rows of ``scores`` of these words; new words are added."""
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        if len(self.place) - len(self.known) + len(new) > KEPT:
+            self.place = dict(self.known)
+            self.scores = self.scores[:len(self.known)]
+            new = [w for w in dict.fromkeys(words) if w not in self.place]
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.scores = np.concatenate([self.scores, self.apart(new)])
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def score(self, texts: list[list[str]]) -> tuple[list[str], np.ndarray]:
+        """Predictions and scores of texts given as words."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        at, text = self.places(list(chain.from_iterable(texts))), np.repeat(np.arange(len(texts)), size)
+        *sums, n = (np.bincount(text, self.scores[at, k], len(texts)) for k in range(len(self.langs) + 1))
+        mean = np.stack(sums, 1) / np.maximum(n, 1)[:, None]
+        best = mean.argmax(1)  # the first of equal ones; languages are sorted
+        share = 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1)
+        return [self.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), size.tolist())], np.where(size > 0, share, 0.0)
+
+
+def _logs(rows: list, place: dict[str, int], total: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+    """The place of each key, and the logs of their frequencies, with a row of zeros at the end."""
+    keys: dict[str, int] = {}
+    at = np.fromiter((keys.setdefault(key, len(keys)) for key, _, _ in rows), np.int64, len(rows))
+    counts = np.zeros((len(keys), len(place)))
+    counts[at, [place[lang] for _, lang, _ in rows]] = [n for _, _, n in rows]
+    logs = np.log(counts + SMOOTH) - np.log(total + SMOOTH * max(len(keys), 1))
+    return keys, np.concatenate([logs, np.zeros((1, len(place)))])
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
@@ -169,9 +189,9 @@ def predict(docs: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col:
         m = model.value
         for whole in batches:
             for part in slices(whole, "text"):
-                found = [m.score(Counter(words_of(t))) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array([f[0] for f in found], pa.string()),
-                                                  pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                found, score = m.score(list(map(words_of, part.column("text").to_pylist())))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(found, pa.string()), pa.array(score)],
+                                                 names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
