@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import SENTENCE, rows
 from tidewater.llm import binary, bpe, chat, exact, minhash, mixing, pii, quality, substring
-from tidewater.plans.graph import components
+from tidewater.llm.graph import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -216,9 +216,11 @@ def test_near(small, clashing, width):
         assert Counter(tuple(r) for r in minhash.near_groups(docs, width=width).drop("tx").collect()) == Counter(brute_near(docs.collect(), width))
 
 
-def test_near_crowd(documents, monkeypatch):
-    """A crowd of edited copies of one text, most of them no direct neighbours, in small blocks."""
+@pytest.mark.parametrize("crowd", [1 << 16, 20])
+def test_near_crowd(documents, monkeypatch, crowd):
+    """A crowd of edited copies of one text, most of them no direct neighbours, in small blocks, and with longer bands."""
     monkeypatch.setattr(minhash, "BLOCK_CLASSES", 7)
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -253,6 +255,15 @@ def test_near_filter_keeps_a_row_of_each_group(documents):
     assert kept[data[5]] == kept[data[9]] == 1
 
 
+def test_bands_keep_the_bound():
+    base = (1 - 0.8 ** 5) ** 36
+    for rows_ in (5, 10, 15, 25):
+        bands = minhash.bands_for(rows_, 80, 36, 5)
+        assert (1 - 0.8 ** rows_) ** bands <= base * 1.0000001 < (1 - 0.8 ** rows_) ** (bands - 1)
+    sets = [np.arange(50, dtype=np.uint64), np.arange(25, 75, dtype=np.uint64)]
+    assert (minhash.signatures(sets, 9)[:, 4:] == minhash.signatures(sets, 5, 4)).all()
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2 ** 63, 600, dtype=np.uint64)

@@ -11,10 +11,17 @@ nothing further. Pairs within a bucket are never listed as a whole:
 
 1. every class is compared with the first class of each of its buckets, on
    their full sets; linked classes form components;
-2. classes in buckets whose members still lie in several components are put
-   into blocks of about 256, those of a bucket's largest component apart from the
-   others. Blocks that share such a bucket are compared with each other in one
-   task, set against set; what leaves it is at most one link a class.
+2. of the buckets whose members still lie in several components, those of up to
+   256 classes are cells: their classes are compared with each other in one task, set
+   against set, and at most one link a class leaves it. Buckets with the same classes are one
+   cell, so a class is in 36 cells at most;
+3. larger buckets are crowds. Each class of a crowd has a home in one of its blocks
+   of about 256, those of a bucket's largest component apart from the others, and blocks that
+   share a crowded bucket are compared;
+4. a crowd of more than 65,536 classes is split by further coordinates of the
+   circulant signature: its classes get new bands, five coordinates longer, of which there are as
+   many as give the same bound, and steps 1 to 4 are done on these. Documents less
+   similar than 0.8 part from each other faster than those above.
 
 A pair is skipped only if both are in one component already, or if the larger
 set is more than 1.25 times the smaller one, which rules out the similarity. So
@@ -23,6 +30,7 @@ every link between different texts that share a bucket is found or implied.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import WORD_PATTERN, as_long, scramble, slices, word_hashes
-from tidewater.plans.graph import components
+from tidewater.llm.graph import components
 from tidewater.session import staged
 
 #: Words of a shingle and the similarity of a link in percent, unless a contract says otherwise.
 SHINGLE, PERCENT = 5, 80
 #: Bands and coordinates of a band.
 BANDS, ROWS = 36, 5
-#: Classes and shingles of a block in step 2, about.
+#: Classes and shingles of a cell or block, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 18
+#: Classes of a crowd that is compared block by block, and the coordinates by which the bands of a larger one grow.
+CROWD, LONGER = 1 << 16, 5
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -79,7 +89,7 @@ def permute(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
+def signatures(sets: list[np.ndarray], size: int, shift: int = 0) -> np.ndarray:
     """(sets, size) coordinates: for shift k the least of permute(place + k) over the set; sets are not empty."""
     out = np.empty((len(sets), size), np.uint32)
     first = 0
@@ -91,15 +101,21 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
         place = scatter(np.concatenate(sets[first:last]).astype(np.uint32))
         starts = np.cumsum([0, *map(len, sets[first:last - 1])])
         for k in range(size):
-            out[first:last, k] = np.minimum.reduceat(permute(place + np.uint32(k)), starts)
+            out[first:last, k] = np.minimum.reduceat(permute(place + np.uint32(shift + k)), starts)
         first = last
     return out
 
 
-def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """(sets, bands) 64-bit bucket keys."""
-    sig = signatures(sets, bands * rows).astype(np.uint64).reshape(len(sets), bands, rows)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(sets), bands))
+def bands_for(rows: int, percent: int, bands: int, base: int) -> int:
+    """How many bands of ``rows`` coordinates miss a pair of the least similarity as seldom as ``bands`` of ``base``."""
+    similar = percent / 100
+    return math.ceil(bands * math.log1p(-similar ** base) / math.log1p(-similar ** rows))
+
+
+def band_keys(sets: list[np.ndarray], bands: int, rows: int, first: int = 0) -> np.ndarray:
+    """(sets, bands) 64-bit bucket keys; ``first``: the shift of the first coordinate."""
+    sig = signatures(sets, bands * rows, first).astype(np.uint64).reshape(len(sets), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(first + 1), (len(sets), bands))
     for r in range(rows):
         key = scramble(key + sig[:, :, r])
     return key
@@ -155,25 +171,61 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits & (F.col("x") != F.col("y"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, n_rows: int, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, n_rows: int, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int) -> DataFrame:
     """(node, component) of the classes that are linked with others. ``n_rows``: a bound of the classes."""
-    exploded = classes.where("n > 0").select("node", "n", F.explode("keys").alias("key"))
-    crowded = exploded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = staged(exploded.join(crowded.select("key", "hub"), "key").select("key", "node", "n", "hub"), "members", rows=n_rows * BANDS)
-    n_members = members.count()
+    members = _members(classes.where("n > 0").select("node", "n", F.explode("keys").alias("key")), n_rows * bands)
     # the texts of the classes that share a bucket, one row for each class
     wanted = members.select("node").distinct().join(classes.select("node", "doc_id", "tx"), "node")
     source = docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("binary").alias("text"))
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tx") == F.col("t"))
     texts = staged(source.join(wanted, on).groupBy("doc_id", "tx", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts", compression="zstd")
+    label = members.select("node", F.col("node").alias("component")).limit(0)
+    return _linked(members, label, texts, width, percent, bands, rows, rows, bands * rows)
+
+
+def _members(exploded: DataFrame, n_rows: int) -> DataFrame:
+    """(key, node, n, hub) of the buckets with two classes or more; the hub is the first class."""
+    shared = exploded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return staged(exploded.join(shared.select("key", "hub"), "key").select("key", "node", "n", "hub"), "members", rows=n_rows)
 
+
+def _linked(members: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int, bands: int, base: int, rows: int, shift: int) -> DataFrame:
+    """The labels after the links within these buckets, whose bands have ``rows`` coordinates.
+    ``bands`` of ``base`` coordinates set the bound; ``shift`` is the next unused coordinate."""
+    n_members = members.count()
     hubs = members.select(F.col("node").alias("hub"), F.col("n").alias("n_b")).distinct()
     first = members.where("node <> hub").select("node", "n", "hub").distinct().join(hubs, "hub")
     tested = staged(_sized(first.select(F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("hub").alias("y"), "n_b"), percent), "pairs", rows=n_members)
-    found = staged(verified(tested, texts, width, percent), "found", rows=n_members)
-    label = components(found, n_members)
-    more = staged(_between(members, n_members, label, texts, width, percent), "found")
-    return _joined(label, more, n_members)
+    # a row holds two texts here: the tasks follow the bytes, not the rows
+    label = _joined(label, staged(verified(tested, texts, width, percent), "found"), n_members)
+
+    placed = members.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
+    mixed = (per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.sum("shingles").alias("shingles"), F.sum("nodes").alias("nodes"),
+                                    F.max(F.struct("c", "component")).alias("top"))
+             .where("parts > 1").select("key", "all", "shingles", "nodes", F.col("top.component").alias("top")))
+    mixed = staged(mixed.withColumn("small", F.expr(f"all <= {BLOCK_CLASSES} and shingles <= {BLOCK_SHINGLES}")), "mixed", rows=n_members)
+    open_ = staged(placed.join(mixed, "key"), "open", rows=n_members)
+    more = staged(_in_cells(open_, mixed, texts, width, percent).unionByName(_in_crowds(open_.where(f"not small and all <= {CROWD}"), n_members, texts, width, percent)), "found")
+    label = _joined(label, more, n_members)
+    crowded = open_.where(f"all > {CROWD}").select("node", "n").distinct()
+    if crowded.isEmpty():
+        return label
+    size = rows + LONGER
+    many = bands_for(size, percent, bands, base)
+    again = _members(_longer(crowded, texts, width, many, size, shift), crowded.count() * many)
+    return _linked(again, label, texts, width, percent, bands, base, size, shift + many * size)
+
+
+def _longer(nodes: DataFrame, texts: DataFrame, width: int, bands: int, rows: int, shift: int) -> DataFrame:
+    """(node, n, key): new buckets of these classes, from the coordinates after ``shift``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                keys = as_long(band_keys(shingle_sets(part.column("text").to_pylist(), width), bands, rows, shift))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "n", "keys"])
+
+    return nodes.join(texts, "node").mapInArrow(run, "node long, n long, keys array<long>").select("node", "n", F.explode("keys").alias("key"))
 
 
 def _joined(label: DataFrame, more: DataFrame, rows: int) -> DataFrame:
@@ -187,15 +239,17 @@ def _joined(label: DataFrame, more: DataFrame, rows: int) -> DataFrame:
     return staged(known.unionByName(new), "labels", rows=rows)
 
 
-def _between(members: DataFrame, n_members: int, label: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes that share a bucket and lie in different components:
-    not all of them, but enough to join what belongs together."""
-    placed = members.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = (per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"))
-             .where("parts > 1").select("key", "all", F.col("top.component").alias("top")))
-    open_ = staged(placed.join(mixed, "key"), "open", rows=n_members)
-    # each class has a home: its most crowded open bucket, apart for the largest component there
+def _in_cells(open_: DataFrame, mixed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each small bucket: enough to join what belongs
+    together. Of buckets with the same classes one is looked at."""
+    cells = mixed.where("small").groupBy("nodes", "all").agg(F.min("key").alias("key")).select("key")
+    rows = open_.where("small").select("key", "node", "component").join(cells, "key").withColumn("side", F.lit(0)).join(texts, "node")
+    return _compared(rows, ["key"], width, percent)
+
+
+def _in_crowds(open_: DataFrame, n_members: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same for larger buckets, whose classes are put into blocks."""
+    # each class has a home: its most crowded bucket, apart for the largest component there
     home = open_.groupBy("node").agg(F.max(F.struct("all", "key", "top")).alias("home"), F.first("n").alias("n"), F.first("component").alias("component"))
     home = home.select("node", "n", "component", F.col("home.key").alias("home"),
                        F.when(F.col("component") == F.col("home.top"), F.col("component")).alias("pure"))
@@ -207,15 +261,21 @@ def _between(members: DataFrame, n_members: int, label: DataFrame, texts: DataFr
     right = present.select("key", F.col("block").alias("bb"), F.col("pure").alias("pb"))
     met = left.join(right, "key").where("ba <= bb and not coalesce(pa = pb, false)").select("ba", "bb").distinct()
     sides = met.select("ba", "bb", F.explode(F.array_distinct(F.array("ba", "bb"))).alias("block"))
-    tasks = sides.join(home.select("block", "node", "n", "component"), "block").join(texts, "node")
+    side = F.when(F.col("ba") == F.col("bb"), 0).when(F.col("block") == F.col("ba"), 1).otherwise(2).alias("side")
+    rows = sides.join(home.select("block", "node", "component"), "block").join(texts, "node").select(F.xxhash64("ba", "bb").alias("key"), "ba", "bb", "node", "component", "text", side)
+    return _compared(rows, ["key", "ba", "bb"], width, percent)
+
 
+def _compared(rows: DataFrame, by: list[str], width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of each group of rows (node, component, side, text), at most one a
+    class. Side 0 is compared with itself, side 1 with side 2."""
     def compare(table: pa.Table) -> pa.Table:
-        nodes, comps, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+        nodes, comps, side = (table.column(c).to_numpy() for c in ("node", "component", "side"))
         if len(set(comps.tolist())) == 1:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sets = shingle_sets(table.column("text").to_pylist(), width)
         size = np.array([len(x) for x in sets])
-        one, two = block == table.column("ba")[0].as_py(), block == table.column("bb")[0].as_py()
+        one, two = side <= 1, side != 1
         universe, where = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), size)
         common = np.zeros((int(one.sum()), int(two.sum())), np.float32)
@@ -245,8 +305,8 @@ def _between(members: DataFrame, n_members: int, label: DataFrame, texts: DataFr
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     # few bytes but much work: the number of partitions is named, so that they are not merged by size
-    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.withColumn("pair", F.xxhash64("ba", "bb")).repartition(parts, "pair").groupBy("pair", "ba", "bb").applyInArrow(compare, "a long, b long")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").groupBy(*by).applyInArrow(compare, "a long, b long")
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
@@ -258,7 +318,7 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
                .select("set", F.col("first.doc_id").alias("doc_id"), F.col("first.tx").alias("tx"), "n", "keys"))
     n_rows = found.count()
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", rows=n_rows)
-    label = links(docs, classes, n_rows, id_col, text_col, width, percent)
+    label = links(docs, classes, n_rows, id_col, text_col, width, percent, bands, rows)
     named = classes.select("set", "node", "doc_id", "tx").join(label, "node", "left")
     return found, named.select("set", F.coalesce("component", "node").alias("component"), "doc_id", "tx"), n_rows
 
