@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import cyclical, date_parts, text_lengths
@@ -253,3 +253,44 @@ def oversample(df: DataFrame, label: str) -> DataFrame:
     reps = counts.select(label, F.ceil(F.lit(mx) / F.col("_c")).cast("int").alias("_r"))
     return (df.join(reps, label).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_r"))))
             .drop("_r"))
+
+
+def smote(points: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """Synthetic minority oversampling. ``points``: (id, vec array<double>, label).
+
+    Every class grows to the size of the largest one: its missing rows are dealt
+    evenly to its rows, in the order of a keyed hash of the id, the first of which take one
+    more where it does not come out even. A new row lies between its row and one of the
+    ``k`` exact nearest neighbours of the same class; which one, and how far along, are keyed hashes of
+    (seed, id, copy). Returns (id, copy, label, nid, weight, vec): copy 0 is the
+    row itself. A class of a single row is repeated (nid is null, weight 0). Rows without a label are kept and not
+    copied. Ids are distinct; classes are few, their counts reach the driver.
+    """
+    from tidewater.operators.ml import nearest
+    from tidewater.plans.ordered import add_positions
+
+    def number(*parts) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
+
+    counts = {r[0]: r[1] for r in points.where(F.col("label").isNotNull()).groupBy("label").count().collect()}
+    base = points.select("id", F.lit(0).alias("copy"), "label", F.lit(None).cast("long").alias("nid"), F.lit(0.0).alias("weight"), "vec")
+    most = max(counts.values(), default=0)
+    for label, n in sorted(counts.items()):
+        missing = most - n
+        if not missing:
+            continue
+        mine = points.where(F.col("label") == F.lit(label)).select("id", "vec", "label")
+        ranked = add_positions(mine.withColumn("h", number(F.col("id").cast("string"))), ["label"], ["h", "id"], F.floor(F.col("h") / 65536))
+        times = (F.lit(missing // n) + (F.col("_pos") < missing % n).cast("int")).cast("int")
+        copies = ranked.select("id", "vec", "label", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("copy"))
+        near = min(k, n - 1)
+        if not near:
+            base = base.unionByName(copies.select("id", "copy", "label", F.lit(None).cast("long").alias("nid"), F.lit(0.0).alias("weight"), "vec"))
+            continue
+        said = [F.col("id").cast("string"), F.col("copy").cast("string")]
+        chosen = copies.withColumn("rn", (number(*said, F.lit("n")) % near + 1).cast("int")).withColumn("weight", number(*said, F.lit("w")) / F.lit(4294967296.0))
+        pairs = nearest(mine, near, seed=seed).select(F.col("qid").alias("id"), "rn", "nid")
+        ends = mine.select(F.col("id").alias("nid"), F.col("vec").alias("other"))
+        between = F.zip_with("vec", "other", lambda x, y: x + F.col("weight") * (y - x))
+        base = base.unionByName(chosen.join(pairs, ["id", "rn"]).join(ends, "nid").select("id", "copy", "label", F.col("nid").cast("long").alias("nid"), "weight", between.alias("vec")))
+    return base

@@ -365,9 +365,9 @@ def neighbours_within(pts: DataFrame, radii: list[float], radius_of_query: DataF
     return d.where((F.col("dist") <= F.col("r")) & (F.col("qid") != F.col("nid")))
 
 
-def knn_exact(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
-    """M7: exact k nearest neighbours (self excluded) and majority-vote prediction
-    (ties -> smallest label). ``points``: (id, vec array<double>, label).
+def nearest(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
+    """(qid, nid, label, dist, r, rn): the exact ``k`` nearest neighbours of every point, itself
+    excluded, by distance and then id. ``points``: (id, vec array<double>, label).
 
     Round 1 gives every point an upper bound r(q) on its k-th neighbour
     distance from a bounded candidate set: its k predecessors and k successors
@@ -397,6 +397,12 @@ def knn_exact(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed:
     cand = neighbours_within(pts, radii, r, None, med or 1.0)
     top = cand.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "nid"))).where(
         F.col("rn") <= k)
+    return top
+
+
+def knn_exact(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
+    """M7: exact k nearest neighbours and majority-vote prediction (ties -> smallest label)."""
+    top = nearest(points, k, n_pivots, seed)
     votes = top.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("c"))
     pred = votes.groupBy("qid").agg(F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("predicted"))
     return pred.withColumnRenamed("qid", "id")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions.scalar import EMAIL_VALID_RE
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
 DATETIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -70,7 +72,7 @@ def validate_rows(df: DataFrame, min_rows: int = 1, min_cols: int = 1) -> DataFr
 
 
 # Patterns of the structured-column test (e-mail, phone, code).
-EMAIL_RE = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+EMAIL_RE = EMAIL_VALID_RE
 PHONE_RE = r"^[0-9\s\-\+\(\)]+$"  # plus: length > 7
 CODE_RE = r"^[A-Z]{2,4}[0-9]{4,8}$"
 

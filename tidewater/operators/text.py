@@ -28,7 +28,7 @@ SENTENCE_SPLIT_RE = r"[.!?]+"
 ENTITY_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "url": r"https?://[^\s<>\"']+|www\.[^\s<>\"']+",
-    "phone": r"\+?\d{1,3}[-. ]?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}",
+    "phone": PHONE_TEXT_RE,
     "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}",
     "code": r"\b[A-Z]{2,4}\d{4,8}\b",
 }
@@ -148,10 +148,10 @@ def profile_table(spark: SparkSession, profiles: dict[str, Sequence[str]] | None
 def detect_language(df: DataFrame, profiles: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """X8 (re-aim): per document, the language whose stop-word profile matches
     most tokens (ties -> alphabetical); documents with no match -> 'unknown'.
-    The profile table is a few hundred rows (broadcast-sized by construction)."""
+    Whether the profile table is broadcast is left to AQE's size check."""
     prof = profiles if profiles is not None else profile_table(df.sparkSession)
     toks = df.select(id_col, F.explode(word_tokens(F.lower(F.col("text")))).alias("token"))
-    hits = toks.join(F.broadcast(prof), "token").groupBy(id_col, "lang").agg(F.count(F.lit(1)).alias("score"))
+    hits = toks.join(prof, "token").groupBy(id_col, "lang").agg(F.count(F.lit(1)).alias("score"))
     best = hits.groupBy(id_col).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("detected"),
                                     F.max("score").alias("score"))
     return (df.select(id_col).join(best, id_col, "left")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from tidewater.session import staged
+
 
 @dataclass
 class Analysis:
@@ -69,7 +71,7 @@ def run_plan(df: DataFrame, goal: str = "default") -> DataFrame:
     rows = []
     for i, name in enumerate(steps, 1):
         try:
-            n = call(name, df).count()
+            n = staged(call(name, df), f"step_{i}").count()  # written, so that every column is computed
             rows.append((i, name, "completed", int(n), None, 100.0 * i / len(steps)))
         except Exception as e:  # noqa: BLE001 - reported as a status row
             rows.append((i, name, "failed", None, f"{type(e).__name__}: {e}"[:200], 100.0 * i / len(steps)))

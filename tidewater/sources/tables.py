@@ -16,15 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table that is one split a partition per core.
+    """Give a table no larger than one split a partition per core.
 
-    A file with one row group is read by a single task, which then also runs
-    everything fused with the scan. Such a table holds at most
-    ``spark.sql.files.maxPartitionBytes`` (128 MB), so this shuffle has a fixed
-    bound; any larger table is read as it is."""
-    if df.rdd.getNumPartitions() == 1:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    A row group is read by a single task, which then also runs everything fused
+    with the scan; Spark may plan more splits than there are row groups, and those are
+    empty. So the size of the files decides: up to ``spark.sql.files.maxPartitionBytes`` (128 MB),
+    which bounds this shuffle. Any larger table is read as it is."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= most else df
 
 
 # The null / duplicate injection rule for the `dirty` view, shared

@@ -14,8 +14,21 @@ from tidewater.operators.activity import GENERAL_LIMITS
 
 
 def land_events(events: DataFrame, path: str, files: int = 8) -> str:
-    """Write the events table as time-ranged files (a directory a stream can watch)."""
-    events.repartitionByRange(files, "ts").sortWithinPartitions("ts", "event_id").write.mode("overwrite").parquet(path)
+    """Write the events table as time-ranged files (a directory a stream can watch).
+
+    The file source takes files by modification time, so the ranges are written one
+    after another. Files that land in another order need a watermark as long as the
+    longest delay: rows that come later than that are dropped as late."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = events.withColumn("__at", at.cast("double"))
+    cuts = sorted(set(timed.approxQuantile("__at", [i / files for i in range(1, files)], 0.001))) if files > 1 else []
+    mode = "overwrite"
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = timed if low is None else timed.where(F.col("__at") > low)
+        if high is not None:
+            part = part.where((F.col("__at") <= high) | (F.lit(low is None) & F.col("__at").isNull()))
+        part.drop("__at").repartition(1).sortWithinPartitions("ts", "event_id").write.mode(mode).parquet(path)
+        mode = "append"
     return path
 
 

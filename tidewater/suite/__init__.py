@@ -18,7 +18,7 @@ ORACLE: dict[str, str] = {}
 
 MODULES = ("profile_q", "schema_q", "charts_q", "clean_q", "features_q", "windows_q",
            "joins_q", "functions_q", "io_q", "timeseries_q", "text_q", "ml_q", "metrics_q",
-           "streaming_q", "registry_q", "sorts_q", "extras_q")
+           "streaming_q", "registry_q", "sorts_q", "extras_q", "models_q")
 
 
 def round6(c: F.Column) -> F.Column:

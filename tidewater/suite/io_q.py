@@ -65,17 +65,17 @@ def src_sql(spark, d):
                          "WHERE o_orderstatus = :status GROUP BY o_orderpriority", {"status": "F"}, orders=o)
 
 
-@register("src_catalog", "SELECT CAST(count(*) AS BIGINT) AS rows, 5 AS columns FROM customer")
+@register("src_catalog", "SELECT CAST(count(*) AS BIGINT) AS rows, 11 AS columns FROM lineitem")
 def src_catalog(spark, d):
-    back = IO.load_dataset(spark, IO.save_dataset(spark, table(spark, d, "customer"), "customer", "project-1"))
+    back = IO.load_dataset(spark, IO.save_dataset(spark, table(spark, d, "lineitem"), "lineitem", "project-1"))
     return back.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(back.columns)))
 
 
 @register("catalog_save", """
 SELECT 'orders' AS name, CAST(count(*) AS BIGINT) AS rows, 6 AS columns FROM orders
-UNION ALL SELECT 'supplier', CAST(count(*) AS BIGINT), 4 FROM supplier""")
+UNION ALL SELECT 'lineitem', CAST(count(*) AS BIGINT), 11 FROM lineitem""")
 def catalog_save(spark, d):
-    one, two = (IO.dataset_row(spark, IO.save_dataset(spark, table(spark, d, name), name, "project-1")) for name in ("orders", "supplier"))
+    one, two = (IO.dataset_row(spark, IO.save_dataset(spark, table(spark, d, name), name, "project-1")) for name in ("orders", "lineitem"))
     return one.unionByName(two).select("name", "rows", "columns")
 
 
@@ -103,10 +103,15 @@ def export_summary(spark, d):
         types.select("sheet", "column", "x.metric", "x.value"))
 
 
-@register("export_batch")
+@register("export_batch", """
+SELECT 'orders' AS name, TRUE AS ok, CAST(count(*) AS BIGINT) AS n_rows, CAST(NULL AS VARCHAR) AS error FROM orders
+UNION ALL SELECT 'lineitem', TRUE, CAST(count(*) AS BIGINT), NULL FROM lineitem
+UNION ALL SELECT 'events', TRUE, CAST(count(*) AS BIGINT), NULL FROM events""")
 def export_batch(spark, d):
-    items = [(n, table(spark, d, n)) for n in ("region", "nation", "supplier")]
-    return IO.batch_export(spark, items).drop("path")
+    items = [(n, table(spark, d, n)) for n in ("orders", "lineitem", "events")]
+    done = IO.batch_export(spark, items).collect()  # a row for each exported table
+    rows = [(r["name"], r["ok"], spark.read.parquet(r["path"]).count() if r["ok"] else None, r["error"]) for r in done]
+    return spark.createDataFrame(rows, "name string, ok boolean, n_rows long, error string")
 
 
 @register("catalog_insert", """
