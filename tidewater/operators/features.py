@@ -275,22 +275,27 @@ def smote(points: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     counts = {r[0]: r[1] for r in points.where(F.col("label").isNotNull()).groupBy("label").count().collect()}
     base = points.select("id", F.lit(0).alias("copy"), "label", F.lit(None).cast("long").alias("nid"), F.lit(0.0).alias("weight"), "vec")
     most = max(counts.values(), default=0)
-    for label, n in sorted(counts.items()):
-        missing = most - n
-        if not missing:
-            continue
-        mine = points.where(F.col("label") == F.lit(label)).select("id", "vec", "label")
-        ranked = add_positions(mine.withColumn("h", number(F.col("id").cast("string"))), ["label"], ["h", "id"], F.floor(F.col("h") / 65536))
-        times = (F.lit(missing // n) + (F.col("_pos") < missing % n).cast("int")).cast("int")
-        copies = ranked.select("id", "vec", "label", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("copy"))
-        near = min(k, n - 1)
-        if not near:
-            base = base.unionByName(copies.select("id", "copy", "label", F.lit(None).cast("long").alias("nid"), F.lit(0.0).alias("weight"), "vec"))
-            continue
-        said = [F.col("id").cast("string"), F.col("copy").cast("string")]
-        chosen = copies.withColumn("rn", (number(*said, F.lit("n")) % near + 1).cast("int")).withColumn("weight", number(*said, F.lit("w")) / F.lit(4294967296.0))
-        pairs = nearest(mine, near, seed=seed).select(F.col("qid").alias("id"), "rn", "nid")
-        ends = mine.select(F.col("id").alias("nid"), F.col("vec").alias("other"))
-        between = F.zip_with("vec", "other", lambda x, y: x + F.col("weight") * (y - x))
-        base = base.unionByName(chosen.join(pairs, ["id", "rn"]).join(ends, "nid").select("id", "copy", "label", F.col("nid").cast("long").alias("nid"), "weight", between.alias("vec")))
-    return base
+    small = sorted(c for c, n in counts.items() if n < most)
+    if not small:
+        return base
+    facts = points.sparkSession.createDataFrame([(c, i, counts[c]) for i, c in enumerate(small)], f"label {points.schema['label'].dataType.simpleString()}, nth int, n long")
+    mine = points.select("id", "vec", "label").join(facts, "label")
+    ranked = add_positions(mine.withColumn("h", number(F.col("id").cast("string"))), ["label"], ["h", "id"], F.floor(F.col("h") / 65536))
+    missing = F.lit(most) - F.col("n")
+    times = (F.floor(missing / F.col("n")) + (F.col("_pos") < missing % F.col("n")).cast("int")).cast("int")
+    copies = ranked.select("id", "vec", "label", "n", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("copy"))
+    alone = copies.where("n = 1").select("id", "copy", "label", F.lit(None).cast("long").alias("nid"), F.lit(0.0).alias("weight"), "vec")
+    # one search for all classes: a further coordinate puts them farther apart than any two rows of a class are
+    longest = points.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x)))).first()[0]
+    apart = F.concat("vec", F.array(F.col("nth") * float(4 * longest + 1)))
+    found = nearest(mine.select("id", apart.alias("vec"), "label"), k, seed=seed).where(F.col("rn") <= F.lit(k))
+    pairs = (found.join(mine.select(F.col("id").alias("qid"), F.col("label").alias("own"), "n"), "qid").where("label = own and rn <= n - 1")
+             .select(F.col("qid").alias("id"), "rn", F.col("nid").cast("long").alias("nid")))
+    said = [F.col("id").cast("string"), F.col("copy").cast("string")]
+    near = F.least(F.lit(k), F.col("n") - 1)
+    chosen = (copies.where("n > 1").withColumn("rn", (number(*said, F.lit("n")) % near + 1).cast("int"))
+              .withColumn("weight", number(*said, F.lit("w")) / F.lit(4294967296.0)))
+    ends = mine.select(F.col("id").alias("nid"), F.col("vec").alias("other"))
+    between = F.zip_with("vec", "other", lambda x, y: x + F.col("weight") * (y - x))
+    made = chosen.join(pairs, ["id", "rn"]).join(ends, "nid").select("id", "copy", "label", "nid", "weight", between.alias("vec"))
+    return base.unionByName(alone).unionByName(made)

@@ -23,7 +23,7 @@ def spread(df: DataFrame) -> DataFrame:
     empty. So the size of the files decides: up to ``spark.sql.files.maxPartitionBytes`` (128 MB),
     which bounds this shuffle. Any larger table is read as it is."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     return df.repartition(spark.sparkContext.defaultParallelism) if size <= most else df
 
