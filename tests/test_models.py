@@ -10,7 +10,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tidewater.operators import explain, features, linkage, topics
+from tidewater.operators import explain, features, isolation, linkage, stemming, topics, valence
 
 
 def brute_cv(texts, top, window):
@@ -178,3 +178,75 @@ def test_smote(spark):
         assert max(per) - min(per) <= 1
     assert sorted(map(str, got)) == sorted(map(str, features.smote(pts, k=4, seed=7).collect()))
     assert features.smote(pts.limit(0)).collect() == []
+
+
+# Published example pairs of the rules.
+STEMS = {"caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled",
+         "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall",
+         "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit",
+         "rational": "ration", "valenci": "valenc", "digitizer": "digit", "conformabli": "conform", "radicalli": "radic", "differentli": "differ", "vileli": "vile",
+         "analogousli": "analog", "vietnamization": "vietnam", "predication": "predic", "operator": "oper", "feudalism": "feudal", "decisiveness": "decis",
+         "hopefulness": "hope", "callousness": "callous", "formaliti": "formal", "sensitiviti": "sensit", "sensibiliti": "sensibl", "triplicate": "triplic",
+         "formative": "form", "formalize": "formal", "electriciti": "electr", "electrical": "electr", "hopeful": "hope", "goodness": "good", "revival": "reviv",
+         "allowance": "allow", "inference": "infer", "airliner": "airlin", "gyroscopic": "gyroscop", "adjustable": "adjust", "defensible": "defens", "irritant": "irrit",
+         "replacement": "replac", "adjustment": "adjust", "dependent": "depend", "adoption": "adopt", "homologou": "homolog", "communism": "commun", "activate": "activ",
+         "angulariti": "angular", "homologous": "homolog", "effective": "effect", "bowdlerize": "bowdler", "probate": "probat", "rate": "rate", "cease": "ceas",
+         "controll": "control", "roll": "roll", "generalizations": "gener", "oscillators": "oscil", "say": "sai", "by": "by", "naïve": "naïve", "X9": "X9"}
+
+
+def test_stems(spark):
+    words = spark.createDataFrame([(w,) for w in STEMS] * 2, "token string")
+    assert dict(stemming.stem_table(words).collect()) == STEMS
+    docs = spark.createDataFrame([(1, ["ponies", "and", "ponies"]), (2, []), (3, None)], "doc_id long, tokens array<string>")
+    assert {r.doc_id: r.tokens for r in stemming.stemmed(docs).collect()} == {1: ["poni", "and", "poni"], 2: [], 3: []}
+
+
+def test_valence(spark):
+    squash = lambda s: s / math.sqrt(s * s + 15)
+    good, bad = 2.8, -2.8
+    cases = {"A good day": good, "a very good day": good + 0.293, "not a good day": good * -0.74, "not a very good day": (good + 0.293) * -0.74, "somewhat bad": bad + 0.293,
+             "good but bad": good * 0.5 + bad * 1.5, "good!!": good + 2 * 0.292, "good!!!!!!": good + 4 * 0.292, "is it bad??": bad - 2 * 0.18, "": 0, "no words here": 0,
+             "very odd red good": good + 0.293 * 0.9, "very far off the good": good, "never not good": good * 0.74 ** 2}
+    df = spark.createDataFrame(list(enumerate(cases)) + [(99, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in valence.valence_sentiment(df).collect()}
+    assert len(got) == len(cases)
+    for i, s in enumerate(cases.values()):
+        c = squash(s)
+        assert abs(got[i].compound - c) < 1e-9 and got[i].label == ("positive" if c >= 0.05 else "negative" if c <= -0.05 else "neutral")
+
+
+def test_isolation_forest(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(597, 2)), [[9, 9], [-8, 7], [10, -11]]])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(9000, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    found = isolation.isolation_forest(df, ["a", "b"], "id", n_trees=60, contamination=0.01)
+    got = {r.id: r for r in found.collect()}
+    assert len(got) == 600 and {597, 598, 599} == set(sorted(got, key=lambda i: -got[i].anomaly_score)[:3])
+    assert all(got[i].is_anomaly for i in (597, 598, 599)) and sum(r.is_anomaly for r in got.values()) <= 8
+    again = isolation.isolation_forest(df.repartition(7), ["a", "b"], "id", n_trees=60, contamination=0.01)
+    assert all(abs(r.anomaly_score - got[r.id].anomaly_score) < 1e-12 for r in again.collect())
+    trees = isolation.forest(df.dropna(), ["a", "b"], "id", 5, 256, 1).toPandas()
+    assert set(trees.tree) == set(range(5)) and trees.place.max() < 511
+    # row by row down the same trees
+    nodes = {(r.tree, r.place): r for r in trees.itertuples()}
+
+    def walk(tree, row):
+        at = 0
+        while nodes[tree, at].feature >= 0:
+            at = 2 * at + 1 + int(row[nodes[tree, at].feature] >= nodes[tree, at].threshold)
+        return nodes[tree, at].path
+    few = {r.id: r.anomaly_score for r in isolation.isolation_forest(df, ["a", "b"], "id", n_trees=5, seed=1).collect()}
+    for i in (0, 17, 183, 598):
+        assert abs(few[i] - 2 ** (-np.mean([walk(t, x[i]) for t in range(5)]) / float(isolation.mean_path(256)))) < 1e-12
+    same = spark.createDataFrame([(i, 1.0) for i in range(500)], "id long, a double")
+    assert len({r.anomaly_score for r in isolation.isolation_forest(same, ["a"], "id", n_trees=4).collect()}) == 1
+    assert isolation.isolation_forest(df.limit(0), ["a", "b"], "id").collect() == []
+
+
+def test_adf_p_values():
+    from tidewater.operators.timeseries import ADF_CRIT_C, adf_p_value
+    for level, p in (("1%", 0.01), ("5%", 0.05), ("10%", 0.10)):
+        assert abs(adf_p_value(ADF_CRIT_C[level][0]) - p) < 0.001
+    grid = [adf_p_value(t / 50) for t in range(-1000, 200)]
+    assert all(a <= b + 1e-3 for a, b in zip(grid, grid[1:])) and grid[0] == 0 and grid[-1] == 1

@@ -1,5 +1,5 @@
 """Regression forecast with trend + Fourier seasonality (T15, re-aim of the
-additive trend/seasonality model) and isolation-forest anomaly scores (T12)."""
+additive trend/seasonality model)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.operators.timeseries import normal_equations, solve_sub
 from tidewater.plans.attach import attach
@@ -66,68 +65,3 @@ def fourier_forecast(df: DataFrame, keys: Sequence[str], day: str, value: str, h
     return allrows.select(*keys, day, "kind", "actual", pred.alias("yhat"),
                           (pred - 1.96 * F.col("sigma")).alias("yhat_lower"),
                           (pred + 1.96 * F.col("sigma")).alias("yhat_upper"))
-
-
-# --- T12: isolation forest ---------------------------------------------------------------
-
-def _c(n: float) -> float:
-    if n <= 1:
-        return 0.0
-    return 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
-
-
-def _grow(X: np.ndarray, rng: np.random.Generator, depth: int, limit: int):
-    n = X.shape[0]
-    if depth >= limit or n <= 1:
-        return ("leaf", n)
-    f = rng.integers(X.shape[1])
-    lo, hi = X[:, f].min(), X[:, f].max()
-    if lo == hi:
-        return ("leaf", n)
-    s = rng.uniform(lo, hi)
-    mask = X[:, f] < s
-    return ("node", f, s, _grow(X[mask], rng, depth + 1, limit), _grow(X[~mask], rng, depth + 1, limit))
-
-
-def _path(tree, x, depth=0):
-    while tree[0] == "node":
-        _, f, s, left, right = tree
-        tree = left if x[f] < s else right
-        depth += 1
-    return depth + _c(tree[1])
-
-
-def isolation_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100, sample_size: int = 256,
-                     contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """Trees are grown on ``n_trees`` samples of ``sample_size`` rows (a bounded
-    sample: at most n_trees * sample_size rows reach the driver), broadcast, and
-    every row is scored with an Arrow-batched pandas UDF. Rows whose score is
-    above the (1 - contamination) quantile are anomalies."""
-    cols = list(cols)
-    clean = df.dropna(subset=cols)
-    n = clean.count()
-    m = min(sample_size, n)
-    frac = min(1.0, (n_trees * m * 1.5) / max(n, 1))
-    sample = clean.select(*[F.col(c).cast("double") for c in cols]).sample(fraction=frac, seed=seed).limit(
-        n_trees * m * 2).toPandas().to_numpy()
-    rng = np.random.default_rng(seed)
-    limit = int(math.ceil(math.log2(max(m, 2))))
-    trees = []
-    for _ in range(n_trees):
-        idx = rng.choice(sample.shape[0], size=min(m, sample.shape[0]), replace=False)
-        trees.append(_grow(sample[idx], rng, 0, limit))
-    bc = df.sparkSession.sparkContext.broadcast(trees)
-    cm = _c(m)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(*series: pd.Series) -> pd.Series:
-        X = np.column_stack([s.to_numpy(dtype=float) for s in series])
-        ts = bc.value
-        out = np.empty(X.shape[0])
-        for i in range(X.shape[0]):
-            h = sum(_path(t, X[i]) for t in ts) / len(ts)
-            out[i] = 2.0 ** (-h / cm) if cm > 0 else 0.5
-        return pd.Series(out)
-    scored = clean.withColumn("anomaly_score", score(*[F.col(c).cast("double") for c in cols]))
-    thr = scored.agg(F.percentile_approx("anomaly_score", 1.0 - contamination, 10000)).collect()[0][0]
-    return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(thr))

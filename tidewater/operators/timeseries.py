@@ -348,12 +348,31 @@ def slope_variance(row: pd.Series, idx: Sequence[int], which: int, sigma2: float
 ADF_CRIT_C = {"1%": (-3.43035, -6.5393, -16.786, -79.433),
               "5%": (-2.86154, -2.8903, -4.234, -40.040),
               "10%": (-2.56677, -1.5384, -2.809, 0.0)}
+# MacKinnon (1994) approximate p-values with a constant. The normal
+# quantile of p is a polynomial of the statistic, one below the border and one above it;
+# beyond the outer limits p is 0 or 1.
+ADF_P_LOW, ADF_P_BORDER, ADF_P_HIGH = -18.83, -1.61, 2.74
+ADF_P_SMALL = (2.1659, 1.4412, 0.038269)
+ADF_P_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def adf_p_value(t: float) -> float:
+    """The approximate p-value of the statistic under a unit root."""
+    if math.isnan(t):
+        return t
+    if t > ADF_P_HIGH:
+        return 1.0
+    if t < ADF_P_LOW:
+        return 0.0
+    quantile = sum(c * t ** i for i, c in enumerate(ADF_P_SMALL if t <= ADF_P_BORDER else ADF_P_LARGE))
+    return 0.5 * math.erfc(-quantile / math.sqrt(2))
 
 
 def adf_test(df: DataFrame, keys: Sequence[str], value: str = "y", maxlag: int | None = None) -> DataFrame:
     """T3 (SEM-15): regression of dy_t on [1, y_{t-1}, dy_{t-1..p}], lag order by AIC on
-    the common sample, t statistic of y_{t-1}; critical values from the published
-    response surface; no p-value."""
+    the common sample (one nested set of normal equations), t statistic of y_{t-1};
+    critical values and the p-value from published response surfaces. A series is
+    taken for stationary if p < 0.05."""
     keys = list(keys)
     nmax = df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0]
     L = maxlag if maxlag is not None else int(math.ceil(12 * (nmax / 100.0) ** 0.25))
@@ -368,7 +387,7 @@ def adf_test(df: DataFrame, keys: Sequence[str], value: str = "y", maxlag: int |
     xs = ["one", "ylag", *[f"dl{k}" for k in range(1, L + 1)]]
     ne = normal_equations(lagged, keys, "dy", xs)
     schema = ", ".join(f"{k} {t}" for k, t in ne.select(*keys).dtypes)
-    schema = (schema + ", " if schema else "") + ("adf_statistic double, used_lag int, nobs long, "
+    schema = (schema + ", " if schema else "") + ("adf_statistic double, p_value double, used_lag int, nobs long, "
                                                   "crit_1 double, crit_5 double, crit_10 double, is_stationary boolean")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -387,10 +406,10 @@ def adf_test(df: DataFrame, keys: Sequence[str], value: str = "y", maxlag: int |
             t = beta[1] / math.sqrt(var) if var > 0 else float("nan")
             crit = {k: b0 + b1 / n + b2 / n ** 2 + b3 / n ** 3 for k, (b0, b1, b2, b3) in ADF_CRIT_C.items()}
             out = {k: r[k] for k in keys}
-            out.update(adf_statistic=t, used_lag=p, nobs=n, crit_1=crit["1%"], crit_5=crit["5%"],
-                       crit_10=crit["10%"], is_stationary=bool(t < crit["5%"]))
+            out.update(adf_statistic=t, p_value=adf_p_value(t), used_lag=p, nobs=n, crit_1=crit["1%"], crit_5=crit["5%"],
+                       crit_10=crit["10%"], is_stationary=bool(adf_p_value(t) < 0.05))
             rows.append(out)
-        return pd.DataFrame(rows, columns=[*keys, "adf_statistic", "used_lag", "nobs", "crit_1", "crit_5",
+        return pd.DataFrame(rows, columns=[*keys, "adf_statistic", "p_value", "used_lag", "nobs", "crit_1", "crit_5",
                                            "crit_10", "is_stationary"])
     g = ne.groupBy(*keys) if keys else ne.withColumn("_g", F.lit(0)).groupBy("_g")
     if not keys:

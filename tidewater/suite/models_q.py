@@ -1,4 +1,5 @@
-"""Queries of topic coherence (X20), single linkage (M13), tree explanations (M24) and synthetic oversampling."""
+"""Queries of topic coherence (X20), stemming (X4), valence sentiment (X10), single linkage (M13), tree explanations
+and synthetic oversampling (M31)."""
 
 from __future__ import annotations
 
@@ -9,11 +10,13 @@ from tidewater.operators import features as E
 from tidewater.operators import linkage as LK
 from tidewater.operators import ml as ML
 from tidewater.operators import text as X
+from tidewater.operators import stemming as ST
 from tidewater.operators import topics as TP
+from tidewater.operators import valence as VL
 from tidewater.suite import register
 from tidewater.suite.ml_q import classification, embedding_points
 from tidewater.suite.sqlgen import r6
-from tidewater.suite.text_q import _with_pre, docs, pre
+from tidewater.suite.text_q import WORD_SQL, _with_pre, docs, pre
 
 _W = TP.WINDOW
 
@@ -106,3 +109,40 @@ def ml_smote(spark, d):
     """Embeddings with every class grown to the size of the largest one."""
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
     return E.smote(embedding_points(spark, d)).select("id", "copy", "label", "nid", "weight", F.col("vec")[0].alias("first"), total.alias("total"))
+
+
+@register("text_stems")
+def text_stems(spark, d):
+    """How many tokens each stem of the English documents has."""
+    p = pre(spark, d).select("doc_id", "tokens").join(docs(spark, d).where("lang = 'en'").select("doc_id"), "doc_id")
+    return ST.stemmed(p).select(F.explode("tokens").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _words(ws) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + "]"
+
+
+def _push(k: int) -> str:
+    return f"CASE WHEN b{k} IN {_words(VL.STRONGER)} THEN {VL.BOOST} * {VL.DISTANCE[k - 1]} WHEN b{k} IN {_words(VL.WEAKER)} THEN -{VL.BOOST} * {VL.DISTANCE[k - 1]} ELSE 0.0 END"
+
+
+_VALENCE_LEX = ", ".join(f"('{k}', CAST({4.0 * p} AS DOUBLE))" for k, (p, _) in sorted(VL.SENTIMENT_SEED.items()))
+
+
+@register("text_sentiment_valence", f"""
+WITH lex(token, valence) AS (VALUES {_VALENCE_LEX}),
+tx AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents WHERE text IS NOT NULL),
+sp AS (SELECT doc_id, coalesce(list_position(w, 'but'), 0) AS but, w[i] AS token, i, CASE WHEN i > 1 THEN w[i - 1] END AS b1, CASE WHEN i > 2 THEN w[i - 2] END AS b2, CASE WHEN i > 3 THEN w[i - 3] END AS b3
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM tx)),
+hit AS (SELECT *, (valence + sign(valence) * ({' + '.join(_push(k) for k in (1, 2, 3))}))
+  * power(CAST({VL.NEGATE} AS DOUBLE), {' + '.join(f"CASE WHEN b{k} IN {_words(VL.NEGATIONS)} THEN 1 ELSE 0 END" for k in (1, 2, 3))})
+  * CASE WHEN but = 0 OR i = but THEN 1.0 WHEN i < but THEN {VL.BEFORE_BUT} ELSE {VL.AFTER_BUT} END AS v FROM sp JOIN lex USING (token)),
+sums AS (SELECT doc_id, sum(v) AS s, count(*) AS matched FROM hit GROUP BY doc_id),
+mk AS (SELECT doc_id, len(text) - len(replace(text, '!', '')) AS e, len(text) - len(replace(text, '?', '')) AS q FROM tx),
+al AS (SELECT mk.doc_id, coalesce(s, 0.0) AS s, coalesce(matched, 0) AS matched,
+  least(e, {VL.MOST_EXCLAIM}) * {VL.EXCLAIM} + CASE WHEN q > 3 THEN {VL.MANY_QUESTIONS} WHEN q > 1 THEN q * {VL.QUESTION} ELSE 0.0 END AS marks FROM mk LEFT JOIN sums USING (doc_id)),
+c AS (SELECT doc_id, matched, (s + sign(s) * marks) / sqrt((s + sign(s) * marks) * (s + sign(s) * marks) + {VL.ALPHA}) AS compound FROM al)
+SELECT doc_id, {r6('compound')} AS compound, CAST(matched AS BIGINT) AS matched,
+  CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM c""")
+def text_sentiment_valence(spark, d):
+    return VL.valence_sentiment(docs(spark, d))

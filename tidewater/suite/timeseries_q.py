@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import arima as AR
 from tidewater.operators import forecast as FC
+from tidewater.operators import isolation as IF
 from tidewater.operators import timeseries as TS
 from tidewater.plans.ordered import POS
 from tidewater.sources.tables import table
@@ -209,6 +210,18 @@ def ts_adf(spark, d):
     return TS.adf_test(daily(spark, d), KEYS, "y")
 
 
+@register("ts_adf_simple", f"""
+WITH {DAILY_SQL},
+l AS (SELECT event_type, y - lag(y) OVER o AS dy, lag(y) OVER o AS x FROM p WINDOW o AS (PARTITION BY event_type ORDER BY pos)),
+m AS (SELECT event_type, count(*) AS n, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy FROM l WHERE x IS NOT NULL GROUP BY 1),
+t AS (SELECT *, b / sqrt((syy - b * b * sxx) / (n - 2) / sxx) AS t FROM m)
+SELECT event_type, {r6('t')} AS adf_statistic, 0 AS used_lag, CAST(n AS BIGINT) AS nobs, """ + ", ".join(
+    f"{r6(f'{b[0]} + {b[1]} / n + {b[2]} / (n * n) + {b[3]} / (n * n * n)')} AS crit_{k.rstrip('%')}" for k, b in TS.ADF_CRIT_C.items()) + " FROM t")
+def ts_adf_simple(spark, d):
+    """The test without lagged differences, which has a closed form."""
+    return TS.adf_test(daily(spark, d), KEYS, "y", maxlag=0).drop("p_value", "is_stationary")
+
+
 @register("ts_arima")
 def ts_arima(spark, d):
     model, fc = AR.arima(daily(spark, d), KEYS, "y", (1, 1, 1), 10)
@@ -252,7 +265,7 @@ def ts_fourier_forecast(spark, d):
 @register("ts_anomaly_iforest")
 def ts_anomaly_iforest(spark, d):
     ev = table(spark, d, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"))
-    out = FC.isolation_forest(ev, ["value", "hour"], n_trees=50, contamination=0.05)
+    out = IF.isolation_forest(ev, ["value", "hour"], "event_id", n_trees=50, contamination=0.05)
     return out.select("event_id", "anomaly_score", "is_anomaly")
 
 
