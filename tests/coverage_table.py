@@ -36,21 +36,21 @@ M += [("W1","win_group_mean"),("W2","win_moving_avg"),("W3","win_moving_std"),("
 ("E1","feat_products"),("E2","feat_group_mean"),("E3","feat_bins"),("E4","feat_text"),("E5","feat_datetime"),("E6","enc_factorize"),("E7","enc_onehot"),
 ("E8","enc_label"),("E9","scale_standard"),("E10","scale_minmax"),("E11","scale_robust"),("E12","transform_chain"),("E13","split_stratified"),
 ("E14","class_weights"),("E15","problem_type"),("E16","target_distribution, target_distribution_regression"),
-("T1","ts_decompose, ts_decompose_mult"),("T2","ts_seasonality"),("T3","ts_adf"),("T4","ts_acf"),("T5","ts_pacf"),("T6","ts_arima"),("T7","ts_sarima"),
+("T1","ts_decompose, ts_decompose_mult"),("T2","ts_seasonality"),("T3","ts_adf, ts_adf_simple"),("T4","ts_acf"),("T5","ts_pacf"),("T6","ts_arima"),("T7","ts_sarima"),
 ("T8","ts_auto_arima"),("T9","ts_outliers, ts_outliers_z"),("T10","ts_anomaly_z"),("T11","ts_anomaly_ma"),("T12","ts_anomaly_iforest"),("T13","ts_trend"),
 ("T14","ts_prepare, ts_dirty_series"),("T15","ts_fourier_forecast"),("T16","ts_future_dates, ts_future_months"),("T17","ts_history_forecast"),
 ("T18","ts_split"),("T19","ts_lag_model"),
-("X1","text_preprocess"),("X2","text_tokens"),("X3","text_stopwords"),("X4","text_normalize"),("X5","text_filter_tokens"),("X6","text_stats"),
-("X7","text_length_hist, text_length_hist_chars"),("X8","text_language"),("X9","text_entities"),("X10","text_sentiment"),("X11","text_sentiment_dist"),
+("X1","text_preprocess"),("X2","text_tokens"),("X3","text_stopwords"),("X4","text_normalize, text_stems"),("X5","text_filter_tokens"),("X6","text_stats"),
+("X7","text_length_hist, text_length_hist_chars"),("X8","text_language, text_language_trained, text_language_accuracy"),("X9","text_entities"),("X10","text_sentiment, text_sentiment_valence"),("X11","text_sentiment_dist"),
 ("X12","text_classify"),("X13","text_keywords_freq, text_keywords_simple"),("X14","text_word_freq"),("X15","text_ngrams, text_ngram_totals"),
-("X16","text_bigrams"),("X17","text_tfidf, text_keywords_tfidf"),("X18","text_textrank"),("X19","text_lda"),("X20","text_coherence"),("X21","text_nmf"),
+("X16","text_bigrams"),("X17","text_tfidf, text_keywords_tfidf"),("X18","text_textrank"),("X19","text_lda"),("X20","text_coherence, text_coherence_cv, text_lda_coherence"),("X21","text_nmf"),
 ("X22","text_readability"),("X23","text_readability_simple"),("X24","text_word2vec"),("X25","text_tfidf_vec"),("X26","text_summary"),
 ("M1","ml_setup"),("M2","ml_compare"),("M3","ml_logistic"),("M4","ml_rf"),("M5","ml_gbt"),("M6","ml_svm"),("M7","ml_knn"),("M8","ml_nb, ml_tree"),
-("M9","ml_linear, ml_linear_simple"),("M10","ml_mlp"),("M11","ml_kmeans"),("M12","ml_dbscan"),("M13","ml_bisecting"),("M14","ml_pca"),
+("M9","ml_linear, ml_linear_simple"),("M10","ml_mlp"),("M11","ml_kmeans"),("M12","ml_dbscan"),("M13","ml_bisecting, ml_agglomerative, ml_merges"),("M14","ml_pca"),
 ("M15","metric_classification, metric_class_report"),("M16","metric_regression"),("M17","metric_confusion"),("M18","metric_roc, metric_auc"),
-("M19","ml_cv"),("M20","ml_grid"),("M21","fs_univariate"),("M22","fs_rfe"),("M23","fs_importance"),("M24","ml_explain"),
+("M19","ml_cv"),("M20","ml_grid"),("M21","fs_univariate"),("M22","fs_rfe"),("M23","fs_importance"),("M24","ml_explain, ml_explain_tree"),
 ("M25","ml_ensemble, ml_vote, ml_vote_mean"),("M26","ml_auto"),("M27","ml_save_load"),("M28","ml_learning_curve"),("M29","metric_residuals"),
-("M30","ml_cluster_summary"),("M31","ml_oversample"),
+("M30","ml_cluster_summary"),("M31","ml_oversample, ml_smote"),
 ("R1","stream_event_metrics, stream_event_metrics_live"),("R2","stream_quota, stream_quota_live"),("R3","stream_rate_limit, stream_rate_limit_strict"),
 ("R4","stream_rate_limit (wait_seconds)"),("R5","stream_session_state, stream_session_state_live"),("R6","stream_expiry"),("R7","stream_session_window"),
 ("R8","stream_route"),("R9","stream_batches"),("R10","stream_quota"),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tidewater.operators import explain, features, isolation, linkage, stemming, topics, valence
+from tidewater.operators import explain, features, isolation, langid, linkage, stemming, topics, valence
 
 
 def brute_cv(texts, top, window):
@@ -250,3 +250,24 @@ def test_adf_p_values():
         assert abs(adf_p_value(ADF_CRIT_C[level][0]) - p) < 0.001
     grid = [adf_p_value(t / 50) for t in range(-1000, 200)]
     assert all(a <= b + 1e-3 for a, b in zip(grid, grid[1:])) and grid[0] == 0 and grid[-1] == 1
+
+
+def test_language_profiles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    profiles, langs = langid.learn_profiles(docs.where(~held))
+    found = langid.identify(docs, profiles, langs)
+    per = langid.accuracy(found, docs.where(held)).collect()
+    assert langs == ["de", "en", "es", "fr"] and sum(r.n * r.correct for r in per) / sum(r.n for r in per) >= 0.95 and min(r.correct for r in per) >= 0.9
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "ab"), (4, "\u65e5\u672c\u8a9e\u65e5")], "doc_id long, text string")
+    assert {tuple(r) for r in langid.identify(odd, profiles, langs).collect()} == {(i, "unknown", 0.0) for i in (1, 2, 3, 4)}
+    nothing = langid.learn_profiles(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert nothing[1] == [] and {r.detected for r in langid.identify(odd, *nothing).collect()} == {"unknown"}
+
+
+@pytest.mark.parametrize("key", ["ml_auto", "plan_run", "ml_explain_tree", "export_batch"])
+def test_keys_without_a_fixed_result_run(spark, key):
+    from tidewater.suite import QUERIES, load_all
+    load_all()
+    rows = QUERIES[key](spark, "/root/testdata/sf0.001").collect()
+    assert rows and not (key == "plan_run" and any(r.status != "completed" for r in rows))

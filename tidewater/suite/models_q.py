@@ -1,4 +1,4 @@
-"""Queries of topic coherence (X20), stemming (X4), valence sentiment (X10), single linkage (M13), tree explanations
+"""Queries of language profiles (X8), topic coherence (X20), stemming (X4), valence sentiment (X10), single linkage (M13), tree explanations
 and synthetic oversampling (M31)."""
 
 from __future__ import annotations
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import explain as EX
 from tidewater.operators import features as E
+from tidewater.operators import langid as LI
 from tidewater.operators import linkage as LK
 from tidewater.operators import ml as ML
 from tidewater.operators import text as X
@@ -146,3 +147,38 @@ SELECT doc_id, {r6('compound')} AS compound, CAST(matched AS BIGINT) AS matched,
   CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM c""")
 def text_sentiment_valence(spark, d):
     return VL.valence_sentiment(docs(spark, d))
+
+
+_HELD = _num("CAST(doc_id AS VARCHAR)") + " % 5 = 0"
+_LANGID = f"""
+g AS MATERIALIZED (SELECT doc_id, lang, gram, count(*) AS c FROM (
+  SELECT doc_id, lang, substr(t, unnest(range(1, len(t) - {LI.SIZE - 2})), {LI.SIZE}) AS gram FROM (SELECT doc_id, lang, lower(text) AS t FROM documents WHERE len(text) >= {LI.SIZE})) GROUP BY 1, 2, 3),
+k AS MATERIALIZED (SELECT lang, gram, CAST(sum(c) AS DOUBLE) AS c FROM g WHERE lang IS NOT NULL AND NOT ({_HELD}) GROUP BY 1, 2),
+tot AS (SELECT lang, sum(c) AS n FROM k GROUP BY lang),
+voc AS (SELECT DISTINCT gram FROM k),
+lp AS MATERIALIZED (SELECT tot.lang, voc.gram, ln((coalesce(k.c, 0) + 1) / (n + (SELECT count(*) FROM voc))) AS lp FROM tot CROSS JOIN voc LEFT JOIN k ON k.lang = tot.lang AND k.gram = voc.gram),
+sc AS (SELECT g.doc_id, lp.lang, sum(g.c * lp) / sum(g.c) AS s FROM g JOIN lp USING (gram) GROUP BY 1, 2),
+best AS (SELECT doc_id, lang, s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM sc) WHERE r = 1),
+found AS (SELECT d.doc_id, {_HELD.replace('doc_id', 'd.doc_id')} AS held_out, d.lang, coalesce(best.lang, '{LI.UNKNOWN}') AS detected, coalesce(s, 0.0) AS s FROM documents d LEFT JOIN best USING (doc_id))"""
+
+
+def _trained(spark, d):
+    from tidewater.sources.tables import table
+    held = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 5 == 0
+    rows = table(spark, d, "documents").select("doc_id", "lang", "text", held.alias("held_out"))
+    return rows, LI.identify(rows, *LI.learn_profiles(rows.where(~F.col("held_out"))))
+
+
+@register("text_language_trained", f"WITH {_LANGID}\nSELECT doc_id, held_out, detected, {r6('s')} AS log_likelihood FROM found")
+def text_language_trained(spark, d):
+    """The language of every document by profiles learnt from four fifths of them."""
+    rows, found = _trained(spark, d)
+    return rows.select("doc_id", "held_out").join(found, "doc_id")
+
+
+@register("text_language_accuracy", f"""WITH {_LANGID}
+SELECT lang AS language, CAST(count(*) AS BIGINT) AS n, {r6('avg(CASE WHEN detected = lang THEN 1.0 ELSE 0.0 END)')} AS correct FROM found WHERE held_out AND lang IS NOT NULL GROUP BY lang""")
+def text_language_accuracy(spark, d):
+    """How many of the documents that were not learnt from are recognised."""
+    rows, found = _trained(spark, d)
+    return LI.accuracy(found, rows.where("held_out"))
