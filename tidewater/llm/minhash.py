@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", 4 << 20):
                 sets = shingle_sets(part.column("text").to_pylist(), width)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 digests: list[bytes | None] = [None] * len(sets)
@@ -183,6 +183,11 @@ def links(docs: DataFrame, classes: DataFrame, n_rows: int, id_col: str, text_co
     return _linked(members, label, texts, width, percent, bands, rows, rows, bands * rows)
 
 
+def _few(found: DataFrame, rows: int) -> DataFrame:
+    """Links, a few bytes each, in a number of partitions that follows their bound and not that of the tasks that found them."""
+    return found.repartition(max(found.sparkSession.sparkContext.defaultParallelism, rows // 100_000))
+
+
 def _members(exploded: DataFrame, n_rows: int) -> DataFrame:
     """(key, node, n, hub) of the buckets with two classes or more; the hub is the first class."""
     shared = exploded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -196,8 +201,8 @@ def _linked(members: DataFrame, label: DataFrame, texts: DataFrame, width: int,
     hubs = members.select(F.col("node").alias("hub"), F.col("n").alias("n_b")).distinct()
     first = members.where("node <> hub").select("node", "n", "hub").distinct().join(hubs, "hub")
     tested = staged(_sized(first.select(F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("hub").alias("y"), "n_b"), percent), "pairs", rows=n_members)
-    # a row holds two texts here: the tasks follow the bytes, not the rows
-    label = _joined(label, staged(verified(tested, texts, width, percent), "found"), n_members)
+    # a row holds two texts here: the tasks follow the bytes, not the rows; what leaves them is narrow
+    label = _joined(label, staged(_few(verified(tested, texts, width, percent), n_members), "found"), n_members)
 
     placed = members.join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
@@ -206,8 +211,8 @@ def _linked(members: DataFrame, label: DataFrame, texts: DataFrame, width: int,
              .where("parts > 1").select("key", "all", "shingles", "nodes", F.col("top.component").alias("top")))
     mixed = staged(mixed.withColumn("small", F.expr(f"all <= {BLOCK_CLASSES} and shingles <= {BLOCK_SHINGLES}")), "mixed", rows=n_members)
     open_ = staged(placed.join(mixed, "key"), "open", rows=n_members)
-    more = staged(_in_cells(open_, mixed, texts, width, percent).unionByName(_in_crowds(open_.where(f"not small and all <= {CROWD}"), n_members, texts, width, percent)), "found")
-    label = _joined(label, more, n_members)
+    crowds = _in_crowds(open_.where(f"not small and all <= {CROWD}"), n_members, texts, width, percent)
+    label = _joined(label, staged(_few(_in_cells(open_, mixed, texts, width, percent).unionByName(crowds), n_members), "found"), n_members)
     crowded = open_.where(f"all > {CROWD}").select("node", "n").distinct()
     if crowded.isEmpty():
         return label
