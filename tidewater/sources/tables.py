@@ -21,11 +21,14 @@ def spread(df: DataFrame) -> DataFrame:
     A row group is read by a single task, which then also runs everything fused
     with the scan; Spark may plan more splits than there are row groups, and those are
     empty. So the size of the files decides: up to ``spark.sql.files.maxPartitionBytes`` (128 MB),
-    which bounds this shuffle. Any larger table is read as it is."""
+    which bounds this shuffle. Any larger table is read as it is, and so is one of more files than there are cores."""
     spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > cores:
+        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= most else df
+    return df.repartition(cores) if size <= most else df
 
 
 # The null / duplicate injection rule for the `dirty` view, shared
