@@ -26,3 +26,36 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
         ST.route_stream(ST.event_stream(spark, path, ev.schema), {"purchase": "billing"}, str(tmp_path / "out"),
                         str(tmp_path / f"ckpt{attempt}")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == ev.count()
+
+
+def _rooms(spark, tmp_path, batches, **kw):
+    from tidewater.streaming.rooms import live_rooms
+    schema = "room string, who string, at timestamp, id long, out boolean"
+    path = str(tmp_path / "rooms")
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = str(tmp_path / "closed")
+    q = live_rooms(stream, "room", "who", "at", "id", "out", **kw)
+    ST.run_to_files(q, out, str(tmp_path / "ckpt-rooms"))
+    return sorted(tuple(r) for r in spark.read.schema(q.schema).parquet(out).collect())
+
+
+def test_rooms_expire_and_hold_their_capacity(spark, tmp_path):
+    from datetime import datetime as D
+    day = lambda d, h, m=0: D(2024, 1, d, h, m)
+    got = _rooms(spark, tmp_path, [
+        [("a", "x", day(1, 9), 1, None), ("a", "z", day(1, 9, 40), 4, False), ("b", "x", day(1, 9), 2, False), ("a", None, None, 9, None)],
+        # rows that come late, but not later than the delay, go before z
+        [("a", "y", day(1, 9, 20), 3, False), ("b", "x", day(1, 9, 30), 5, True), ("a", "z", day(1, 9, 45), 6, None)],
+        [("a", "z", day(3, 9), 7, False), ("c", None, day(3, 9), 8, False)],
+        [("c", "late", day(9, 9), 10, False)]], capacity=2)
+    assert got == [
+        ("a", day(1, 9), day(1, 9, 45), 4, 2, 2, "active"),
+        ("a", day(3, 9), day(3, 9), 1, 1, 0, "active"),
+        ("b", day(1, 9), day(1, 9, 30), 2, 0, 0, "inactive"),
+        ("c", day(3, 9), day(3, 9), 1, 1, 0, "active")]
+
+
+def test_rooms_of_an_empty_stream(spark, tmp_path):
+    assert _rooms(spark, tmp_path, [[]]) == []

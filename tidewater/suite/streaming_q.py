@@ -9,6 +9,7 @@ from tidewater.operators.windows import trailing_counts
 from tidewater.sources.io import scratch_path
 from tidewater.sources.tables import table
 from tidewater.streaming import events as ST
+from tidewater.streaming import rooms as RM
 from tidewater.suite import register
 from tidewater.suite.joins_q import _SESS, sessions
 
@@ -128,6 +129,30 @@ def stream_session_state_live(spark, d):
     return changes.groupBy("conv_id").agg(F.max_by(state, "batch").alias("s")).select("conv_id", "s.*")
 
 
+@register("stream_rooms_live", f"""WITH g AS (
+  SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 86400000000 THEN 1 ELSE 0 END AS cut
+  FROM events),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS room FROM g),
+f AS (SELECT user_id, room, event_type, count(*) AS n, min((ts, event_id)) AS first_seen FROM s GROUP BY user_id, room, event_type),
+m AS (SELECT *, row_number() OVER (PARTITION BY user_id, room ORDER BY first_seen) AS place FROM f),
+r AS (SELECT user_id, room, least(count(*), 3) AS participants, sum(CASE WHEN place > 3 THEN n ELSE 0 END) AS refused FROM m GROUP BY user_id, room)
+SELECT s.user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS opened, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_event,
+  CAST(count(*) AS BIGINT) AS version, CAST(any_value(participants) AS BIGINT) AS participants,
+  CAST(any_value(refused) AS BIGINT) AS refused, 'active' AS status
+FROM s JOIN r ON s.user_id = r.user_id AND s.room = r.room GROUP BY s.user_id, s.room
+HAVING max(ts) + INTERVAL 24 HOUR <= {_CLOSED}""")
+def stream_rooms_live(spark, d):
+    """R5 / R6 live: a room a user with places for three kinds of events, closed after 24 idle hours."""
+    ev = table(spark, d, "events")
+    path, out = ST.land_events(ev, scratch_path(spark, "events-landing")), scratch_path(spark, "stream-out")
+    query = RM.live_rooms(ST.event_stream(spark, path, ev.schema, max_files=1), "user_id", "event_type", "ts", "event_id",
+                          capacity=3)
+    ST.run_to_files(query, out, scratch_path(spark, "stream-ckpt"))
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("opened", "last_event")]
+    return spark.read.schema(query.schema).parquet(out).select(
+        "user_id", *shown, "version", "participants", "refused", "status")
+
+
 @register("stream_expiry", f"""WITH {_SESS}
 SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_event,
   epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) >= 86400000000 AS expired
