@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import arima as AR
+from tidewater.operators import changepoints as CP
 from tidewater.operators import forecast as FC
 from tidewater.operators import isolation as IF
 from tidewater.operators import timeseries as TS
@@ -262,6 +263,13 @@ def ts_fourier_forecast(spark, d):
     return _out(FC.fourier_forecast(s, KEYS, "day", "y", 14))
 
 
+@register("ts_changepoint_forecast")
+def ts_changepoint_forecast(spark, d):
+    """T15 with a trend that bends: daily counts per type, two weeks ahead."""
+    s = TS.daily_series(table(spark, d, "events"), KEYS, "ts", None, "count")
+    return _out(CP.piecewise_forecast(s, KEYS, "day", "y", 14, knots=10)[0])
+
+
 @register("ts_anomaly_iforest")
 def ts_anomaly_iforest(spark, d):
     ev = table(spark, d, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"))
