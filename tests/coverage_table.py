@@ -38,7 +38,7 @@ M += [("W1","win_group_mean"),("W2","win_moving_avg"),("W3","win_moving_std"),("
 ("E14","class_weights"),("E15","problem_type"),("E16","target_distribution, target_distribution_regression"),
 ("T1","ts_decompose, ts_decompose_mult"),("T2","ts_seasonality"),("T3","ts_adf, ts_adf_simple"),("T4","ts_acf"),("T5","ts_pacf"),("T6","ts_arima"),("T7","ts_sarima"),
 ("T8","ts_auto_arima"),("T9","ts_outliers, ts_outliers_z"),("T10","ts_anomaly_z"),("T11","ts_anomaly_ma"),("T12","ts_anomaly_iforest"),("T13","ts_trend"),
-("T14","ts_prepare, ts_dirty_series"),("T15","ts_fourier_forecast"),("T16","ts_future_dates, ts_future_months"),("T17","ts_history_forecast"),
+("T14","ts_prepare, ts_dirty_series"),("T15","ts_fourier_forecast, ts_changepoint_forecast"),("T16","ts_future_dates, ts_future_months"),("T17","ts_history_forecast"),
 ("T18","ts_split"),("T19","ts_lag_model"),
 ("X1","text_preprocess"),("X2","text_tokens"),("X3","text_stopwords"),("X4","text_normalize, text_stems"),("X5","text_filter_tokens"),("X6","text_stats"),
 ("X7","text_length_hist, text_length_hist_chars"),("X8","text_language, text_language_trained, text_language_accuracy"),("X9","text_entities"),("X10","text_sentiment, text_sentiment_valence"),("X11","text_sentiment_dist"),
@@ -52,7 +52,7 @@ M += [("W1","win_group_mean"),("W2","win_moving_avg"),("W3","win_moving_std"),("
 ("M25","ml_ensemble, ml_vote, ml_vote_mean"),("M26","ml_auto"),("M27","ml_save_load"),("M28","ml_learning_curve"),("M29","metric_residuals"),
 ("M30","ml_cluster_summary"),("M31","ml_oversample, ml_smote"),
 ("R1","stream_event_metrics, stream_event_metrics_live"),("R2","stream_quota, stream_quota_live"),("R3","stream_rate_limit, stream_rate_limit_strict"),
-("R4","stream_rate_limit (wait_seconds)"),("R5","stream_session_state, stream_session_state_live"),("R6","stream_expiry"),("R7","stream_session_window"),
+("R4","stream_rate_limit (wait_seconds)"),("R5","stream_session_state, stream_session_state_live, stream_rooms_live"),("R6","stream_expiry, stream_rooms_live"),("R7","stream_session_window"),
 ("R8","stream_route"),("R9","stream_batches"),("R10","stream_quota"),
 ("D1","udf_register"),("D2","registry_call"),("D3","clean_text_cols (native expressions; no row-wise apply)"),("D4","plan_run"),
 ("D5","tests/test_api.py::test_default_target_is_last_numeric"),("D6","udtf_ngrams")]
