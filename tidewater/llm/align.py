@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from tidewater.llm.bpe import encoder, gather, shared_file
-from tidewater.llm.common import slices
+from tidewater.llm.common import slices, text_bytes
 from tidewater.session import staged
 
 #: Bytes of text in a block, about.
@@ -180,7 +180,7 @@ BLOCK_DDL = ("block long, docs array<{id}>, stats binary, groups array<string>,
 
 def _blocks(docs: DataFrame, files: tuple[Broadcast, Broadcast], id_col: str, text_col: str, digest: bool) -> DataFrame:
     """The written table of blocks, and a row of A's ids in exact groups (``ids``, ``id_n``) for each task."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = [c.split()[0] for c in BLOCK_DDL.split(", ")]
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())

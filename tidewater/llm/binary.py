@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import Encoder, gather, runs, shared_file
-from tidewater.llm.common import slices
+from tidewater.llm.common import slices, text_bytes
 from tidewater.session import shared_dir, staged
 
 #: Longest code in bits, ids of a block, ids between two bit offsets, and ids of a part.
@@ -161,7 +161,7 @@ def crc32_concat(a: int, b: int, b_bytes: int) -> int:
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """(doc_id, row, n, ids) in the shared folder, ids as little-endian 32-bit integers with the end id."""
     file = shared_file(docs, path)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tidewater.llm.binary import exact_encoder

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm.common import record, slices
+from tidewater.llm.common import record, slices, text_bytes
 
 #: White space of the pre-tokenizer (the Unicode property White_Space), in one byte and in more.
 ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -361,7 +361,7 @@ DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("de
 
 def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, schema: pa.Schema, ddl: str, finish) -> DataFrame:
     file = shared_file(docs, path)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tidewater.llm.bpe import encoder  # the module of the worker, which keeps its tables between tasks

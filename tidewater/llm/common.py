@@ -26,6 +26,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def text_bytes(text_col: str) -> Column:
+    """A text's UTF-8 bytes as column ``text``; what is no UTF-8 becomes U+FFFD, and valid texts stay as they are."""
+    return F.make_valid_utf8(F.col(text_col).cast("string")).cast("binary").alias("text")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``limit`` bytes of ``column`` (one row at least),
     so that working memory follows the text and not the row count."""

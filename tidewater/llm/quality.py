@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACES, record, slices, word_ids
+from tidewater.llm.common import SPACES, record, slices, text_bytes, word_ids
 
 #: Production parameters. Base rule: fewest words, words of a repeated window, its largest share in percent.
 MIN_WORDS, WINDOW, MAX_WINDOW_PERCENT = 10, 5, 20
@@ -135,7 +135,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     that repeat are judged alike. An empty table gives no rows. Other columns
     are not read, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -150,7 +150,7 @@ def drop_repetitive(docs: DataFrame, text_col: str = "text", min_repeat: int = M
                     max_covered: int = MAX_COVERED_PERCENT, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The input's rows that pass, all columns unchanged."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(row, text_bytes(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

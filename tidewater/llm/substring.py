@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import as_long, scramble, slices, word_hashes
+from tidewater.llm.common import as_long, scramble, slices, text_bytes, word_hashes
 from tidewater.session import staged
 
 #: Words of a passage and of a node.
@@ -169,7 +169,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own, so both lose what they share. An empty table gives no rows. Other
     columns are not read, whatever their names.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tx"), F.col(text_col).cast("binary").alias("text"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tx"), text_bytes(text_col))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     flags = staged(_flags(keyed, window, kmer), "flags").select(F.col("doc_id").alias("d"), F.col("tx").alias("t"), "marks")
     marked = keyed.join(flags, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tx") == F.col("t")), "left").select("doc_id", "tx", "text", "marks")
