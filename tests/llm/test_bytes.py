@@ -1,10 +1,10 @@
-"""Texts whose bytes are no UTF-8 are read as their U+FFFD form and end no job."""
+"""Texts whose bytes are no UTF-8 are read as their U+FFFD form and end no job (op12 has its own rule: no tokens)."""
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SENTENCE
-from tidewater.llm import align, binary, bpe, quality, substring
+from tidewater.llm import binary, bpe, quality, substring
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 BROKEN = [b"abc \xff\xfe def", b"\x80", b"ends in \xe6\x97", b"\xed\xa0\x80 half a pair", SENTENCE.encode() * 2 + b" \xc3(", "café".encode()]
@@ -42,10 +42,6 @@ def test_files(spark, tmp_path):
     _same(through, spark)
 
 
-def test_alignment(spark):
-    _same(lambda d: align.alignment(d, BYTES, public_tokenizers.path("piece_bpe_32k.model"))[0], spark)
-
-
 def test_valid_texts_keep_their_bytes(small):
     changed = small.where(~F.make_valid_utf8("text").eqNullSafe(F.col("text")))
     assert changed.count() == 0
