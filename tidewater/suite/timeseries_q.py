@@ -8,6 +8,7 @@ from tidewater.operators import arima as AR
 from tidewater.operators import changepoints as CP
 from tidewater.operators import forecast as FC
 from tidewater.operators import isolation as IF
+from tidewater.operators import likelihood as ML
 from tidewater.operators import timeseries as TS
 from tidewater.plans.ordered import POS
 from tidewater.sources.tables import table
@@ -199,6 +200,14 @@ def ts_split(spark, d):
     return _out(out.select("event_type", "day", "split"))
 
 
+def _ar1_sql(a: str) -> str:
+    """Exact log-likelihood of a first-order autoregression, mean and variance solved for, from sums of the centred series."""
+    weight = f"((1 - {a} * {a}) + (n - 1) * (1 - {a}) * (1 - {a}))"
+    cross = f"((1 - {a} * {a}) * f + (1 - {a}) * (sx - {a} * sb))"
+    square = f"((1 - {a} * {a}) * f * f + sxx - 2 * {a} * sxb + {a} * {a} * sbb)"
+    return f"(-0.5 * n * (ln(2 * pi() * ({square} - {cross} * {cross} / {weight}) / n) + 1) + 0.5 * ln(1 - {a} * {a}))"
+
+
 # --- model-based (rows-only checks) ---------------------------------------------------
 
 @register("ts_pacf")
@@ -240,6 +249,52 @@ def ts_auto_arima(spark, d):
     return AR.auto_arima(daily(spark, d), KEYS, "y")
 
 
+@register("ts_arima_ml")
+def ts_arima_ml(spark, d):
+    """ARIMA(1, 1, 1) by exact maximum likelihood, ten days ahead with AIC and BIC."""
+    fits = ML.arima_ml(daily(spark, d), KEYS, "y", (1, 1, 1))
+    return fits.forecasts(10).join(fits.models().select(*KEYS, "aic", "bic"), KEYS)
+
+
+@register("ts_arima_ml_coef")
+def ts_arima_ml_coef(spark, d):
+    """Coefficients with standard errors and p-values."""
+    return ML.arima_ml(daily(spark, d), KEYS, "y", (1, 0, 1)).coefficients()
+
+
+@register("ts_sarima_ml")
+def ts_sarima_ml(spark, d):
+    """Weekly seasonal model, a week ahead."""
+    return ML.arima_ml(daily(spark, d), KEYS, "y", (1, 0, 0), (0, 1, 1, 7)).forecasts(7)
+
+
+@register("ts_auto_arima_ml")
+def ts_auto_arima_ml(spark, d):
+    """The order of least AIC among all 48, each fitted by exact maximum likelihood."""
+    return ML.auto_arima_ml(daily(spark, d), KEYS, "y").models()
+
+
+#: the likelihood of a first-order autoregression depends on five sums; a ternary search finds its maximum
+@register("ts_ar1_ml", f"""WITH RECURSIVE {DAILY_SQL},
+c AS (SELECT event_type, pos, n, y - avg(y) OVER (PARTITION BY event_type) AS x FROM p),
+l AS (SELECT *, lag(x) OVER (PARTITION BY event_type ORDER BY pos) AS b FROM c),
+m AS (SELECT event_type, max(n) AS n, max(CASE WHEN pos = 0 THEN x END) AS f, sum(CASE WHEN b IS NOT NULL THEN x END) AS sx,
+  coalesce(sum(b), 0) AS sb, sum(CASE WHEN b IS NOT NULL THEN x * x END) AS sxx, sum(b * b) AS sbb, sum(x * b) AS sxb FROM l GROUP BY 1),
+search(event_type, lo, hi, i) AS (
+  SELECT event_type, -0.998, 0.998, 0 FROM m
+  UNION ALL SELECT event_type, CASE WHEN l1 < l2 THEN a1 ELSE lo END, CASE WHEN l1 < l2 THEN hi ELSE a2 END, i + 1 FROM (
+    SELECT s.*, {{0}} AS l1, {{1}} AS l2 FROM (SELECT *, lo + (hi - lo) / 3 AS a1, hi - (hi - lo) / 3 AS a2 FROM search WHERE i < 60) s JOIN m USING (event_type))),
+best AS (SELECT m.*, (lo + hi) / 2 AS a FROM search JOIN m USING (event_type) WHERE i = 60),
+r AS (SELECT event_type, n, a, {{2}} AS ll FROM best)
+SELECT event_type, round(a, 3) AS phi, {r6('ll')} AS loglik, {r6('6 - 2 * ll')} AS aic, CAST(n AS BIGINT) AS nobs FROM r""".format(
+    *[_ar1_sql(a) for a in ("a1", "a2", "a")]))
+def ts_ar1_ml(spark, d):
+    """T6 with one coefficient, whose likelihood has a closed form."""
+    fits = ML.arima_ml(daily(spark, d), KEYS, "y", (1, 0, 0))
+    phi = fits.coefficients().where("term = 'ar.L1'").select(*KEYS, F.round("estimate", 3).alias("phi"))
+    return fits.models().select(*KEYS, "loglik", "aic", "nobs").join(phi, KEYS)
+
+
 @register("ts_history_forecast")
 def ts_history_forecast(spark, d):
     p = daily(spark, d)
