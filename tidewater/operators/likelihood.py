@@ -14,8 +14,10 @@ stencil of points around its centre, which gives gradient and Hessian by central
 differences; a damped Newton step follows, and models leave once the step
 promises no gain. A first pass chooses the start from a fixed grid. The mean
 (models without differencing have one) and the variance are solved for in closed form.
-Partial autocorrelations stay within ``EDGE``, which keeps models stationary and
-invertible. Standard errors come from the Hessian by the delta method.
+Partial autocorrelations are ``EDGE`` times a sine, which keeps models stationary and
+invertible and makes a maximum at the edge an ordinary one. Standard errors come from the
+Hessian by the delta method; parts at the edge have none. States are written and read
+again after each pass (a checkpoint would keep size estimates that grow with every pass).
 
 Input carries ``_pos``. Null and non-finite values are left out before differencing, and
 the values around them become neighbours. Ties of ``_pos`` are ordered arbitrarily.
@@ -39,13 +41,13 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.arima import difference, difference_polynomial
 from tidewater.plans.ordered import POS, add_positions
-from tidewater.session import cut_lineage, staged
+from tidewater.session import staged
 
 EDGE = 0.999      # largest partial autocorrelation
 BLOCK = 16_384    # values in a row of the block table
 FAN = 256         # block sums composed by one task
 STEP = 1e-3       # distance of the stencil's points
-MAX_PASSES = 60
+MAX_PASSES = 40
 Z95 = 1.959963984540054
 ORDER_COLS = [("p", "p"), ("d", "d"), ("q", "q"), ("P", "seasonal_p"), ("D", "seasonal_d"), ("Q", "seasonal_q"), ("s", "period")]
 
@@ -93,7 +95,7 @@ class Order:
 def _from_partial(u: np.ndarray) -> np.ndarray:
     """Coefficients of a stationary autoregression, by the Levinson recursion over partial autocorrelations."""
     coef = np.zeros(0)
-    for r in EDGE * u / np.sqrt(1.0 + u * u):
+    for r in EDGE * np.sin(u):
         coef = np.append(coef - r * coef[::-1], r)
     return coef
 
@@ -260,7 +262,7 @@ def start_points(order: Order) -> np.ndarray:
     points = np.zeros((len(levels) ** len(used), order.n_coef))
     for row, choice in zip(points, product(levels, repeat=len(used))):
         for i, r in zip(used, choice):
-            row[i] = r / math.sqrt(1.0 - r * r)
+            row[i] = math.asin(r)
     return points
 
 
@@ -299,17 +301,15 @@ def advance(row: dict, total: Sums, order: Order) -> dict:
     if found[0] < row["loglik"] - 1e-12 * abs(row["loglik"]):  # a step too long
         step = 0.25 * np.asarray(row["step"], float)
         centre = np.asarray(row["centre"], float)
-        status = "moving" if np.abs(step).max() > 1e-12 else "fitted"
+        status = "moving" if np.abs(step).max() > 1e-6 else "fitted"
         return {**out, "status": status, "step": step, "points": stencil(centre + step).ravel()}
     grad, hess = _slopes(found, k)
     out |= {"loglik": float(found[0]), "centre": points[0], "hessian": hess.ravel(), "details": details[0]}
-    if not k:
+    if not k or found[0] - row["loglik"] < 1e-9:
         return {**out, "status": "fitted"}
     size, axes = np.linalg.eigh(-hess)
-    step = axes @ ((axes.T @ grad) / np.maximum(np.abs(size), 1e-9 * total.count))
-    longest = max(1.0, float(np.linalg.norm(points[0])))
-    norm = float(np.linalg.norm(step))
-    step = step if norm <= longest else step * (longest / norm)
+    step = axes @ ((axes.T @ grad) / np.maximum(np.abs(size), 1e-6 * total.count))
+    step *= min(1.0, 0.8 / max(float(np.linalg.norm(step)), 1e-300))
     if float(grad @ step) < 1e-9:
         return {**out, "status": "fitted"}
     return {**out, "status": "moving", "step": step, "points": stencil(points[0] + step).ravel()}
@@ -430,13 +430,13 @@ def _fit_states(blocks: DataFrame, means: DataFrame, tails: DataFrame, orders: l
                             "loglik": F.lit(-math.inf), "centre": none, "step": none, "hessian": none, "details": none,
                             "tail": F.coalesce("tail", none)})
               .select(*_STATE_COLS))
-    states = cut_lineage(states)
+    states = staged(states, "states")
     most = blocks.agg(F.max("blk")).first()[0]
     finished = spark.createDataFrame([], STATE)
     if most is None:
         return finished
     for _ in range(MAX_PASSES):
-        states = cut_lineage(_one_pass(blocks, states, orders, most + 1))
+        states = staged(_one_pass(blocks, states, orders, most + 1), "states")
         finished = finished.unionByName(states.where("status not in ('start', 'moving')"))
         states = states.where("status in ('start', 'moving')")
         if states.isEmpty():
@@ -505,6 +505,8 @@ def _coefficient_rows(row: dict, order: Order) -> list[tuple]:
         if size.min() > 1e-9 * size.max():  # otherwise the likelihood is flat and no error is known
             half = slope @ axes / np.sqrt(size)
             errors = np.sqrt((half ** 2).sum(axis=1))
+        part = np.repeat(np.arange(4), order.parts)
+        errors[np.isin(part, part[np.abs(np.cos(u)) < 1e-2])] = math.nan
     found = list(zip(terms, estimates, errors))
     if order.has_mean:
         found.insert(0, ("mean", mean + row["offset"], math.sqrt(var / weight)))

@@ -281,7 +281,7 @@ l AS (SELECT *, lag(x) OVER (PARTITION BY event_type ORDER BY pos) AS b FROM c),
 m AS (SELECT event_type, max(n) AS n, max(CASE WHEN pos = 0 THEN x END) AS f, sum(CASE WHEN b IS NOT NULL THEN x END) AS sx,
   coalesce(sum(b), 0) AS sb, sum(CASE WHEN b IS NOT NULL THEN x * x END) AS sxx, sum(b * b) AS sbb, sum(x * b) AS sxb FROM l GROUP BY 1),
 search(event_type, lo, hi, i) AS (
-  SELECT event_type, -0.998, 0.998, 0 FROM m
+  SELECT event_type, CAST(-0.998 AS DOUBLE), CAST(0.998 AS DOUBLE), 0 FROM m
   UNION ALL SELECT event_type, CASE WHEN l1 < l2 THEN a1 ELSE lo END, CASE WHEN l1 < l2 THEN hi ELSE a2 END, i + 1 FROM (
     SELECT s.*, {{0}} AS l1, {{1}} AS l2 FROM (SELECT *, lo + (hi - lo) / 3 AS a1, hi - (hi - lo) / 3 AS a2 FROM search WHERE i < 60) s JOIN m USING (event_type))),
 best AS (SELECT m.*, (lo + hi) / 2 AS a FROM search JOIN m USING (event_type) WHERE i = 60),
