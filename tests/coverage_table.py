@@ -36,8 +36,8 @@ M += [("W1","win_group_mean"),("W2","win_moving_avg"),("W3","win_moving_std"),("
 ("E1","feat_products"),("E2","feat_group_mean"),("E3","feat_bins"),("E4","feat_text"),("E5","feat_datetime"),("E6","enc_factorize"),("E7","enc_onehot"),
 ("E8","enc_label"),("E9","scale_standard"),("E10","scale_minmax"),("E11","scale_robust"),("E12","transform_chain"),("E13","split_stratified"),
 ("E14","class_weights"),("E15","problem_type"),("E16","target_distribution, target_distribution_regression"),
-("T1","ts_decompose, ts_decompose_mult"),("T2","ts_seasonality"),("T3","ts_adf, ts_adf_simple"),("T4","ts_acf"),("T5","ts_pacf"),("T6","ts_arima"),("T7","ts_sarima"),
-("T8","ts_auto_arima"),("T9","ts_outliers, ts_outliers_z"),("T10","ts_anomaly_z"),("T11","ts_anomaly_ma"),("T12","ts_anomaly_iforest"),("T13","ts_trend"),
+("T1","ts_decompose, ts_decompose_mult"),("T2","ts_seasonality"),("T3","ts_adf, ts_adf_simple"),("T4","ts_acf"),("T5","ts_pacf"),("T6","ts_arima, ts_arima_ml, ts_arima_ml_coef, ts_ar1_ml"),("T7","ts_sarima, ts_sarima_ml"),
+("T8","ts_auto_arima, ts_auto_arima_ml"),("T9","ts_outliers, ts_outliers_z"),("T10","ts_anomaly_z"),("T11","ts_anomaly_ma"),("T12","ts_anomaly_iforest"),("T13","ts_trend"),
 ("T14","ts_prepare, ts_dirty_series"),("T15","ts_fourier_forecast, ts_changepoint_forecast"),("T16","ts_future_dates, ts_future_months"),("T17","ts_history_forecast"),
 ("T18","ts_split"),("T19","ts_lag_model"),
 ("X1","text_preprocess"),("X2","text_tokens"),("X3","text_stopwords"),("X4","text_normalize, text_stems"),("X5","text_filter_tokens"),("X6","text_stats"),
