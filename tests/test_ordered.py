@@ -109,3 +109,13 @@ def test_session_gap_boundary(spark):
     assert out[1] == out[2]              # gap just under a day: same session
     assert out[3] != out[2]              # gap of exactly one day: new session
     assert out[3] == out[4]
+
+
+def test_backward_fill_reads_no_frame_anew(spark):
+    """A frame that starts with its row costs the square of a block's rows."""
+    from tidewater.plans.ordered import carry_next
+    df = spark.createDataFrame([(i, i if i % 7 == 3 else None) for i in range(100)], "_pos long, v int")
+    out = carry_next(df, [], "v", "filled", block_rows=16)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r._pos: r.filled for r in out.collect()}
+    assert got == {i: next((j for j in range(i, 100) if j % 7 == 3), None) for i in range(100)}

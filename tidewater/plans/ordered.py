@@ -124,14 +124,15 @@ def carry_next(df: DataFrame, keys: Sequence[str], value: str, out: str, pos_col
     """Backward fill: first non-null ``value`` at or after the row."""
     keys = list(keys)
     b = df.withColumn(BLK, _block_of(pos_col, block_rows))
-    w_in = Window.partitionBy(*keys, BLK).orderBy(pos_col).rowsBetween(0, Window.unboundedFollowing)
+    # read backwards: a frame that ends with its row is carried along, one that starts with it is read anew for each row
+    w_in = Window.partitionBy(*keys, BLK).orderBy(F.desc(pos_col)).rowsBetween(Window.unboundedPreceding, 0)
     summ = (b.where(F.col(value).isNotNull()).groupBy(*keys, BLK)
             .agg(F.min_by(value, pos_col).alias("_first")))
     blocks = b.select(*keys, BLK).distinct()
     all_blk = blocks.join(summ, [*keys, BLK], "left")
-    w_all = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
-    carry = all_blk.select(*keys, BLK, F.first("_first", ignorenulls=True).over(w_all).alias("_carry"))
-    return (b.withColumn("_inblk", F.first(value, ignorenulls=True).over(w_in))
+    w_all = Window.partitionBy(*keys).orderBy(F.desc(BLK)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = all_blk.select(*keys, BLK, F.last("_first", ignorenulls=True).over(w_all).alias("_carry"))
+    return (b.withColumn("_inblk", F.last(value, ignorenulls=True).over(w_in))
             .join(carry, [*keys, BLK], "left")
             .withColumn(out, F.coalesce(F.col("_inblk"), F.col("_carry")))
             .drop("_inblk", "_carry", BLK))
