@@ -29,3 +29,51 @@ def test_stop_words_by_language(spark):
                                 (4, "el gato y la casa", "es"), (5, "the cat", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.processed for r in X.preprocess(df).collect()}
     assert got == {1: "cat house", 2: "chat maison", 3: "hund haus", 4: "gato casa", 5: "the cat"}
+
+
+ODD_TEXTS = ["", " ", "@", "a@", "@a", "a@b", "@@a", "a@@", "ab@c@ d", "x @a@b y", "HTTPS://q.r www wwwx httpz a_b's 1a2\u00a0b", "it\u2019s <b>x</b> a<b",
+             "0123 555-123-4567 z", "\u0130\u03a3 caf\u00e9 \U0001d7d8\U0001f600e", "a" * 300 + "@" + "b" * 5, "two\n\n\tlines , ; end"]
+
+
+def test_clean_tokens_are_the_tokens_of_cleaned_text(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.functions import scalar as S
+    t = F.lower("text")
+    for pat in (S.URL_RE, S.EMAIL_TOKEN_RE, S.PHONE_TEXT_RE, S.HTML_TAG_RE):
+        t = F.regexp_replace(t, pat, "")
+    slow = S.squeeze(F.regexp_replace(t, S.NON_WORD, " "))
+    df = spark.createDataFrame([(x,) for x in ODD_TEXTS], "text string")
+    for r in df.select("text", X.tokenize(slow).alias("want"), X.clean_tokens(F.col("text")).alias("got"),
+                       slow.alias("clean"), X.preprocess_clean(F.col("text")).alias("now")).collect():
+        assert (r.got, r.now) == (r.want, r.clean), r.text
+
+
+def test_texts_are_cleaned_once(spark):
+    df = spark.createDataFrame([(1, "the cat sat", "en")], "doc_id long, text string, lang string")
+    plan = X.word_counts(X.preprocess(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<.*?>") == 1
+    assert X.readability(df)._jdf.queryExecution().optimizedPlan().toString().count("[aeiouy]+") == 1
+
+
+def test_ngrams_of_words(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["a"]), (3, [])], "doc_id long, tokens array<string>")
+    assert {r.ngram: r["count"] for r in X.ngrams(docs, 2).collect()} == {"a b": 2, "b a": 1}
+    assert {r.ngram: r["count"] for r in X.ngrams(docs, 3).collect()} == {"a b a": 1, "b a b": 1}
+
+
+def test_sentiment_distribution_in_one_pass(spark):
+    rows = [(1, "positive", 0.5, 1.0), (2, "negative", -0.2, 0.5), (3, "neutral", 0.0, 0.0), (4, "positive", 0.9, 0.1)]
+    out = X.sentiment_distribution(spark.createDataFrame(rows, "doc_id long, label string, polarity double, subjectivity double"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {r.label: (r["count"], round(r.avg_polarity, 9), round(r.avg_subjectivity, 9), r.overall) for r in out.collect()}
+    assert got == {k: (n, 0.3, 0.4, "positive") for k, n in (("positive", 2), ("negative", 1), ("neutral", 1))}
+
+
+def test_tfidf_counts_terms_where_their_document_lies(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"]), (2, ["b"])], "doc_id long, tokens array<string>")
+    out = X.tfidf(docs, ngram_range=(1, 1))
+    assert {(r.doc_id, r.term): r.tf for r in out.collect()} == {(1, "a"): 2, (1, "b"): 1, (2, "b"): 1}
+    assert "hashpartitioning(doc_id" in out._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(doc_id" in x and "term" in x.split("hashpartitioning")[1]
+                   for x in out._jdf.queryExecution().executedPlan().toString().splitlines())

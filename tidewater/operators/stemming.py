@@ -74,5 +74,5 @@ def stem_table(words: DataFrame, token: str = "token") -> DataFrame:
 
 def stemmed(docs: DataFrame, tokens: str = "tokens", id_col: str = "doc_id") -> DataFrame:
     """The documents with every token replaced by its stem, in order."""
-    from tidewater.operators.text import normalize_tokens
-    return normalize_tokens(docs, stem_table(docs.select(F.explode(tokens).alias("token"))), id_col)
+    from tidewater.operators.text import exploded, normalize_tokens
+    return normalize_tokens(docs, stem_table(docs.select(F.explode(exploded(tokens)).alias("token"))), id_col)

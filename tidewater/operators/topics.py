@@ -17,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.text import exploded
+from tidewater.session import staged
+
 #: Fixed values of the measure: tokens of a window, and what is added to the joint probability.
 WINDOW, EPSILON = 110, 1e-12
 
@@ -29,13 +32,12 @@ def _pairs(topics: DataFrame) -> DataFrame:
 
 def window_counts(docs: DataFrame, topics: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """(wi, wj, n): the windows with wi or wj, for all pairs of a topic; and the number of all windows as a row."""
-    from tidewater.session import staged
     sized = docs.select(F.col(id_col).alias("doc"), F.col(tokens).alias("tokens"), F.size(tokens).cast("long").alias("size")).where("size > 0")
     total = sized.agg(F.coalesce(F.sum(F.greatest(F.col("size") - (window - 1), F.lit(1))), F.lit(0)).alias("windows"))
     pairs = staged(_pairs(topics), "pairs")
     # each pair under both words (once, if they are the same)
     sides = pairs.select("wi", "wj", F.explode(F.array_distinct(F.array("wi", "wj"))).alias("term"))
-    spots = sized.select("doc", "size", F.posexplode("tokens").alias("pos", "term")).join(topics.select("term").distinct(), "term")
+    spots = sized.select("doc", "size", F.posexplode(exploded("tokens")).alias("pos", "term")).join(topics.select("term").distinct(), "term")
     each = spots.join(sides, "term")
     low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     high = F.least(F.col("pos").cast("long"), F.greatest(F.col("size") - window, F.lit(0)))
@@ -50,7 +52,9 @@ def cv_coherence(docs: DataFrame, topics: DataFrame, window: int = WINDOW, id_co
     The vector of a word has its normalised pointwise mutual information with every word of its topic;
     c_v is the mean cosine between a word's vector and the sum of all. A word that no window has counts as
     unrelated to every word (information 0)."""
+    topics = staged(topics, "topics")  # read five times below, as is the small table of pairs
     counts, total = window_counts(docs, topics, window, id_col, tokens)
+    counts = staged(counts, "counts")
     n = float(total.first()[0])
     own = counts.where("wi = wj").select(F.col("wi").alias("w"), F.col("n").alias("c"))
     terms = topics.select("topic", "term").distinct()
@@ -70,7 +74,7 @@ def cv_coherence(docs: DataFrame, topics: DataFrame, window: int = WINDOW, id_co
 
 def group_topics(docs: DataFrame, group: str, words: int = 10, tokens: str = "tokens") -> DataFrame:
     """(topic, rank, term): the most frequent tokens of each group of documents, ties by term. Terms are first reduced in hash parts."""
-    counts = docs.select(F.col(group).alias("topic"), F.explode(tokens).alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.col(group).alias("topic"), F.explode(exploded(tokens)).alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.col("term")]
     part = F.pmod(F.xxhash64("term"), F.lit(64))
     some = counts.withColumn("r", F.row_number().over(Window.partitionBy("topic", part).orderBy(*order))).where(F.col("r") <= words)

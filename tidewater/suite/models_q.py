@@ -14,6 +14,7 @@ from tidewater.operators import text as X
 from tidewater.operators import stemming as ST
 from tidewater.operators import topics as TP
 from tidewater.operators import valence as VL
+from tidewater.session import staged
 from tidewater.suite import register
 from tidewater.suite.ml_q import classification, embedding_points
 from tidewater.suite.sqlgen import r6
@@ -37,7 +38,7 @@ whole AS (SELECT topic, y, sum(v) AS s FROM npmi GROUP BY 1, 2),
 cosines AS (SELECT topic, x, sum(v * s) / sqrt(sum(v * v) * sum(s * s)) AS m FROM npmi JOIN whole USING (topic, y) GROUP BY 1, 2)"""))
 def text_coherence_cv(spark, d):
     """c_v of the most frequent words of each language."""
-    p = pre(spark, d).select("doc_id", "tokens").join(docs(spark, d).select("doc_id", "lang"), "doc_id")
+    p = staged(pre(spark, d).select("doc_id", "tokens").join(docs(spark, d).select("doc_id", "lang"), "doc_id"), "tokens")
     return TP.cv_coherence(p, TP.group_topics(p, "lang", 10))
 
 
@@ -116,7 +117,7 @@ def ml_smote(spark, d):
 def text_stems(spark, d):
     """How many tokens each stem of the English documents has."""
     p = pre(spark, d).select("doc_id", "tokens").join(docs(spark, d).where("lang = 'en'").select("doc_id"), "doc_id")
-    return ST.stemmed(p).select(F.explode("tokens").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    return ST.stemmed(p).select(F.explode(X.exploded("tokens")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _words(ws) -> str:
