@@ -9,7 +9,7 @@ from A's ids to these ids of B is made once from the two vocabularies, and such
 groups are counted in a vector as long as A's vocabulary, one for each task.
 Only the links of other groups are counted as pairs:
 
-1. texts are encoded in blocks of about two megabytes. A block is one row of a
+1. texts are encoded in blocks of about one megabyte. A block is one row of a
    written table: its documents, what each of them has of A's ids in exact groups, and
    the other links as places in the block's own list of distinct pairs;
 2. the vectors and the lists are summed up. The pairs' counts go back to the
@@ -45,7 +45,7 @@ from tidewater.llm.common import slices
 from tidewater.session import staged
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: How pieces write a space and a byte.
 SPACE_SIGN = "▁"
 
