@@ -77,3 +77,38 @@ def test_tfidf_counts_terms_where_their_document_lies(spark):
     assert "hashpartitioning(doc_id" in out._jdf.queryExecution().executedPlan().toString()
     assert not any("hashpartitioning(doc_id" in x and "term" in x.split("hashpartitioning")[1]
                    for x in out._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_sequences_of_long_and_odd_texts(spark):
+    from collections import Counter
+
+    from tidewater.operators import langid as LI
+    texts = {1: "abcabc", 2: "ab", 3: "\U0001f600\u0130\u00e9x" * 3, 4: "AbC\x00d e", 5: "", 6: "xyzzy" * 40_000}
+    df = spark.createDataFrame([*texts.items(), (7, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.gram): r.c for r in LI.gram_counts(df, extra=["text"]).groupBy("doc_id", "gram").agg({"c": "sum"}).withColumnRenamed("sum(c)", "c").collect()}
+    low = {k: x.lower() for k, x in texts.items() if len(x) >= 3}
+    assert got == {(k, g): n for k, x in low.items() for g, n in Counter(x[i:i + 3] for i in range(len(x) - 2)).items()}
+    # places in strings are not looked up one by one, which took the square of the length
+    assert "substring" not in LI.gram_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sequences_across_pieces():
+    from tidewater.operators import langid as LI
+    text = "abcde" * 50
+    whole = {g: c for _, g, c in zip(*LI._counted([text], 3))}
+    pieces = [text[at:at + 7 + 2] for at in range(0, len(text) - 2, 7)]
+    total = {}
+    for _, g, c in zip(*LI._counted(pieces, 3)):
+        total[g] = total.get(g, 0) + c
+    assert total == whole
+
+
+def test_tfidf_vectors_are_read_as_they_are_kept(spark, tmp_path):
+    """As an array of the whole vocabulary each row had 2 MB."""
+    import __spark_entry__ as entry
+    rows = [(i, f"apple w{'abcdefgh'[i]}x pear", "en", "web", 10) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = entry.queries()["text_tfidf_vec"](spark, str(tmp_path))
+    assert "vector_to_array" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "unwrap_udt" in plan.lower()
+    # apple and pear are in every text and weigh 0
+    assert [(r.nnz, round(r.sq_norm, 9)) for r in out.collect()] == [(1, 1.0)] * 8

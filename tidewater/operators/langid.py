@@ -1,28 +1,76 @@
 """Language identification by trained character profiles.
 
 A profile has the log probability of every three-letter sequence in a language, with one added to
-each count. It is learnt from labelled documents: sequences are counted within each document
-first, then by language. A document takes the language under which its sequences are likeliest. Both steps
-are joins and grouped sums on the sequence, so a frequent one is pre-aggregated in every task.
+each count. It is learnt from labelled documents: sequences are counted by language. A document takes
+the language under which its sequences are likeliest. Both steps are joins and grouped sums, which are
+pre-aggregated in every task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE = 3
+#: Letters that are cut at a time.
+PIECE = 1 << 20
 UNKNOWN = "unknown"
 
 
+def _counted(texts: list[str], size: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The sequences of some texts: the number of the text, the sequence, and how often it occurs there."""
+    whole = "".join(texts)
+    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[codes] = True
+    rank, letters = (np.cumsum(used) - 1)[codes], int(used.sum())
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    starts = np.flatnonzero(owner[:len(owner) - size + 1] == owner[size - 1:])
+    key, bound = owner[starts], len(texts)
+    for j in range(size):
+        if bound * letters >= 1 << 62:
+            seen, key = np.unique(key, return_inverse=True)
+            bound = len(seen)
+        key, bound = key * letters + rank[starts + j], bound * letters
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    at = starts[first]
+    return owner[at], [whole[p:p + size] for p in at.tolist()], counts
+
+
 def gram_counts(df: DataFrame, id_col: str = "doc_id", extra: Sequence[str] = (), size: int = SIZE) -> DataFrame:
-    """(id, extra..., gram, c): how often each sequence occurs in a text, in lower case."""
+    """(id, extra..., gram, c): how often each sequence occurs in a text, in lower case. Texts are cut by numpy, about a million
+    letters at a time: a place in a string is found by reading it from the start, so cutting by an expression takes the square
+    of a text's length. A sequence of a longer text has a row for each of its pieces."""
     low = df.where(F.length("text") >= size).select(id_col, *extra, F.lower("text").alias("t"))
-    spots = F.sequence(F.lit(1), F.length("t") - (size - 1))
-    each = low.select(id_col, *extra, F.explode(F.transform(spots, lambda i: F.substring("t", i, F.lit(size)))).alias("gram"))
-    return each.groupBy(id_col, *extra, "gram").agg(F.count(F.lit(1)).alias("c"))
+
+    def cut(batches):
+        for batch in batches:
+            rows, texts, held = [], [], 0
+            for row, text in enumerate(batch.column(batch.num_columns - 1)):
+                text = text.as_py()
+                for at in range(0, max(len(text) - size + 1, 1), PIECE):
+                    rows.append(row)
+                    texts.append(text[at:at + PIECE + size - 1])
+                    held += len(texts[-1])
+                    if held >= PIECE:
+                        yield counted(batch, rows, texts)
+                        rows, texts, held = [], [], 0
+            if texts:
+                yield counted(batch, rows, texts)
+
+    def counted(batch, rows, texts):
+        owner, seqs, counts = _counted(texts, size)
+        place = pa.array(np.array(rows, np.int64)[owner])
+        keys = [batch.column(i).take(place) for i in range(batch.num_columns - 1)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(seqs, pa.string()), pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "gram", "c"])
+
+    kinds = T.StructType([*[low.schema[c] for c in (id_col, *extra)], T.StructField("gram", T.StringType()), T.StructField("c", T.LongType())])
+    return low.mapInArrow(cut, kinds)
 
 
 def learn_profiles(df: DataFrame, lang: str = "lang", id_col: str = "doc_id", size: int = SIZE) -> tuple[DataFrame, list[str]]:
