@@ -112,3 +112,16 @@ def test_tfidf_vectors_are_read_as_they_are_kept(spark, tmp_path):
     assert "vector_to_array" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "unwrap_udt" in plan.lower()
     # apple and pear are in every text and weigh 0
     assert [(r.nnz, round(r.sq_norm, 9)) for r in out.collect()] == [(1, 1.0)] * 8
+
+
+def test_large_row_groups_are_sliced(spark, tmp_path):
+    import os
+
+    from tidewater.sources.tables import sliced
+    rows = [(i, os.urandom(2000).hex()) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert sliced(df, size // 20).rdd.getNumPartitions() >= 20
+    assert sorted(sliced(df, size // 20).collect()) == sorted(rows)
+    assert sliced(df, size).rdd.getNumPartitions() == df.rdd.getNumPartitions()
