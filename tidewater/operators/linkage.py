@@ -1,98 +1,57 @@
 """Agglomerative clustering with single linkage (M13), from an exact minimum spanning tree.
 
 Merging the two closest clusters again and again joins points along the edges of
-the minimum spanning tree, by rising length. The tree is built in Boruvka rounds:
-every component takes its shortest edge to another one, and components that are linked become
-one, which at least halves their number.
-
-A component's shortest edge is mostly in the list of its points' nearest
-neighbours. A point whose whole list lies in its own component is looked at again only if
-its farthest listed neighbour is no farther than the best edge of its
-component: then the cells around the pivots are searched that can hold a nearer point
-and that are not wholly of its own component. Edges are ordered by length and ids, so equal
-lengths give no cycles. Nothing but the pivots, their cells and one number a round reaches the driver.
+the minimum spanning tree, by rising length. The points are dealt to groups, and each pair of groups
+gives the spanning trees of its own points (``plans.tiles``): together they hold a minimum spanning tree of all.
+It is picked out of them in Boruvka rounds: every component takes its shortest edge to another one, and
+components that are linked become one, which at least halves their number; of the edges between two components the
+shortest stays. Edges are ordered by length and ids, so equal lengths give no cycles. Nothing but one number a round reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.ml import _annotated, _euclid, nearest
+from tidewater.plans import tiles
 from tidewater.plans.graph import components
 from tidewater.session import staged
 
-#: Slack for distances that come from two formulas: it can only add candidates.
-SLACK = 1e-7
 #: A bound for a mistake in the code: rounds halve the components.
 ROUNDS = 64
 
 
-def _shortest(edges: DataFrame) -> DataFrame:
-    """(comp, d, a, b): the least edge of each component, from (comp, dist, p, q)."""
-    return (edges.groupBy("comp").agg(F.min(F.struct(F.col("dist").alias("d"), F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).alias("e"))
-            .select("comp", "e.d", "e.a", "e.b"))
-
-
-def spanning_tree(points: DataFrame, k: int = 8, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
+def spanning_tree(points: DataFrame, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
     """(a, b, height): the edges of the minimum spanning tree of ``points`` (id long, vec array<double>), one fewer than the points.
-    Points that coincide are joined at height 0. Ids are distinct."""
-    points = points.select("id", "vec", F.lit(0).alias("label"))
+    Points that coincide are joined at height 0. Ids are distinct. ``n_pivots``: the number of groups."""
+    def trees(a: tiles.Points, b: tiles.Points) -> pa.Table:
+        i, j, far = tiles.tree_edges(a, b)
+        return pa.table({"a": a.ids[i], "b": b.ids[j], "d": far})
     n = points.count()
     if n < 2:
         return points.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("height")).limit(0)
-    many = n_pivots or max(1, min(1024, int(math.sqrt(n))))
-    chosen = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(many).select("id", "vec").collect()
-    pts, radii = _annotated(points, np.array([r["vec"] for r in chosen], float))
-    near = staged(nearest(points, min(k, n - 1), n_pivots, seed).select(F.col("qid").alias("p"), F.col("nid").alias("q"), "dist"), "near")
-    full = F.lit(float("inf")) if n - 1 <= k else F.max("dist")
-    reach = near.groupBy("p").agg(full.alias("reach"))
-    state = staged(pts.join(reach.withColumnRenamed("p", "id"), "id").select("id", "vec", "pd", "cell", "dc", "reach", F.col("id").alias("comp")), "points")
+    found = tiles.tiled(points.select("id", "vec"), n_pivots or tiles.groups_for(n), trees, "a long, b long, d double", seed)
+    # (x, y): the components an edge lies between; (d, a, b): the edge
+    edge = F.struct("d", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    state = staged(found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), edge.alias("e")), "edges")
     tree, left = None, n
     for _ in range(ROUNDS):
-        edges = staged(_round(state, near, radii, [r["id"] for r in chosen]), "edges")
-        named = edges.select("a", "b", F.col("d").alias("height")).distinct()
+        ends = state.unionByName(state.select(F.col("y").alias("x"), F.col("x").alias("y"), "e"))
+        best = staged(ends.groupBy("x").agg(F.min(F.struct("e", "y")).alias("m")).select("x", "m.y", "m.e"), "best", rows=left)
+        named = best.select("e.a", "e.b", F.col("e.d").alias("height")).distinct()
         tree = named if tree is None else tree.unionByName(named)
-        of = state.select("id", "comp")
-        ends = (named.join(of.withColumnRenamed("id", "a").withColumnRenamed("comp", "x"), "a").join(of.withColumnRenamed("id", "b").withColumnRenamed("comp", "y"), "b")
-                .select(F.col("x").alias("a"), F.col("y").alias("b")))
-        into = components(ends, left)
-        state = staged(state.join(into.select(F.col("node").alias("comp"), "component"), "comp").drop("comp").withColumnRenamed("component", "comp"), "points")
-        left = state.select("comp").distinct().count()
-        if left == 1:
+        into = components(best.select(F.col("x").alias("a"), F.col("y").alias("b")), left)
+        into = staged(into, "into", rows=left)
+        of = lambda c: into.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        moved = state.join(of("x"), "x").join(of("y"), "y").where("_x <> _y")
+        state = staged(moved.groupBy(F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y")).agg(F.min("e").alias("e")), "edges")
+        if state.isEmpty():
             return tree
+        left = into.select("component").distinct().count()
     raise RuntimeError("the spanning tree did not settle")
 
 
-def _round(state: DataFrame, near: DataFrame, radii: list[float], pivots: list[int]) -> DataFrame:
-    """The shortest edge of every component to another one."""
-    of = state.select("id", "comp")
-    listed = (near.join(of.withColumnRenamed("id", "p"), "p").join(of.withColumnRenamed("id", "q").withColumnRenamed("comp", "other"), "q")
-              .where("comp <> other"))
-    best = staged(_shortest(listed.select("comp", "dist", "p", "q")), "best")
-    # a bound for every component: its best edge, or the nearest pivot of another one
-    at = {r["id"]: r["comp"] for r in of.where(F.col("id").isin(pivots)).collect()}
-    there = F.array(*[F.lit(at[p]).cast("long") for p in pivots])
-    away = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), lambda i: F.when(there[i] != F.col("comp"), F.col("pd")[i])))
-    bound = state.groupBy("comp").agg(F.min(away).alias("pivot")).join(best.select("comp", "d"), "comp", "left").select("comp", F.least("pivot", "d").alias("bound"))
-    # whose list may miss a shorter edge
-    open_ = state.join(bound, "comp").where(F.col("reach") <= F.col("bound") * (1 + SLACK) + SLACK)
-    pure = {r["cell"]: r["c"] for r in state.groupBy("cell").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("c")).collect()}
-    cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(float(r)).alias("radius"), F.lit(pure.get(i)).cast("long").alias("pure")) for i, r in enumerate(radii)])
-    slack = lambda c, x: (F.col("bound") + SLACK * (1 + F.col("bound") + F.col("pd")[c] + x))
-    seen = F.filter(cells, lambda c: (c["radius"] >= 0) & ~F.coalesce(c["pure"] == F.col("comp"), F.lit(False)) & (F.col("pd")[c["cell"]] - c["radius"] <= slack(c["cell"], c["radius"])))
-    query = (open_.select(F.col("id").alias("p"), "vec", "pd", "comp", "bound", F.explode(F.transform(seen, lambda c: c["cell"])).alias("cell"))
-             .select("p", "vec", "comp", "bound", "cell", F.col("pd")[F.col("cell")].alias("qd")))
-    side = state.select(F.col("id").alias("q"), F.col("vec").alias("nv"), "cell", "dc", F.col("comp").alias("other"))
-    close = F.abs(F.col("dc") - F.col("qd")) <= F.col("bound") + SLACK * (1 + F.col("bound") + F.col("qd"))
-    found = query.join(side, "cell").where((F.col("comp") != F.col("other")) & close).select("comp", _euclid(F.col("vec"), F.col("nv")).alias("dist"), "p", "q")
-    wide = _shortest(found)
-    return _shortest(best.unionByName(wide).select("comp", F.col("d").alias("dist"), F.col("a").alias("p"), F.col("b").alias("q")))
-
-
 def cut(points: DataFrame, tree: DataFrame, k: int) -> DataFrame:
     """(id, cluster): the ``k`` clusters that are left without the ``k - 1`` longest edges of the tree (ties by ids); a cluster is named by its least id."""
     longest = tree.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).limit(k - 1)

@@ -3,18 +3,18 @@
 Data preparation is a Pipeline (StringIndexer -> VectorAssembler ->
 StandardScaler) fitted on the training split only (SEM-21). Models are MLlib
 estimators (distributed training); the exact k-nearest-neighbour and DBSCAN
-operators are written as pruned distributed joins.
+operators look at all pairs, a tile of two groups of points at a time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
@@ -29,10 +29,10 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.operators.features import stratified_split
 from tidewater.operators.schema import categorical_columns, numeric_columns
+from tidewater.plans import tiles
 from tidewater.plans.graph import components
 from tidewater.session import cut_lineage, shared_dir
 
@@ -288,116 +288,34 @@ def pca(df: DataFrame, k: int = 2):
     return model.transform(z), var
 
 
-# --- M7 / M12: exact neighbourhoods by pivot pruning ------------------------------------------
-
-def _pivot_distances(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds ``pd`` = distances to every pivot (Arrow-batched numpy) and ``cell`` = nearest."""
-    spark = points.sparkSession
-    bc = spark.sparkContext.broadcast(pivots)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dists(v: pd.Series) -> pd.Series:
-        X = np.stack(v.to_numpy()).astype(float)
-        P = bc.value
-        D = np.sqrt(np.maximum(((X * X).sum(1)[:, None] - 2 * X @ P.T + (P * P).sum(1)[None, :]), 0.0))
-        return pd.Series(list(D))
-    out = points.withColumn("pd", dists("vec"))
-    return out.withColumn("cell", F.array_position("pd", F.array_min("pd")).cast("int") - 1)
-
+# --- M7 / M12: exact neighbourhoods, tile by tile -----------------------------------------------
 
 def _euclid(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def _choose_pivots(points: DataFrame, n_pivots: int, seed: int) -> np.ndarray:
-    n = points.count()
-    frac = min(1.0, 3.0 * n_pivots / max(n, 1))
-    sample = points.sample(fraction=frac, seed=seed).limit(n_pivots).select("vec").toPandas()
-    return np.stack(sample["vec"].to_numpy()).astype(float)
-
-
-def _annotated(points: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, list[float]]:
-    """Points with pivot distances ``pd``, nearest pivot ``cell`` and ``dc`` = distance
-    to that pivot (checkpointed once), plus each cell's radius (one number per pivot)."""
-    pts = cut_lineage(_pivot_distances(points, pivots).withColumn("dc", F.col("pd")[F.col("cell")]))
-    rad = {r["cell"]: r["cr"] for r in pts.groupBy("cell").agg(F.max("dc").alias("cr")).collect()}
-    return pts, [float(rad.get(i, -1.0)) for i in range(len(pivots))]
-
-
-def neighbours_within(pts: DataFrame, radii: list[float], radius_of_query: DataFrame | None,
-                      eps: float | None, width: float) -> DataFrame:
-    """All (qid, nid, label, dist) with dist <= r(qid), qid != nid, found with two
-    triangle-inequality prunings and no all-pairs step:
-
-    * cell level: cell c can hold a point within r of q only if
-      d(q, pivot_c) - radius_c <= r;
-    * inside a cell: point p can be within r of q only if
-      |d(p, pivot_c) - d(q, pivot_c)| <= r - a band join on ``dc`` done as an
-      equi-join on (cell, dc bucket of ``width``) plus a range filter.
+def nearest(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
+    """(qid, nid, label, dist, rn): the exact ``k`` nearest neighbours of every point, itself
+    excluded, by distance and then id. ``points``: (id long, vec array<double>, label).
 
-    Queries whose radius is unbounded (no upper bound yet) visit whole cells."""
-    cr = F.array(*[F.lit(x) for x in radii])
-    q = pts.select(F.col("id").alias("qid"), F.col("vec").alias("qv"), "pd")
-    if radius_of_query is not None:
-        q = q.join(radius_of_query.withColumnRenamed("id", "qid"), "qid")
-    else:
-        q = q.withColumn("r", F.lit(float(eps)))
-    idx = F.sequence(F.lit(0), F.lit(len(radii) - 1))
-    # pivot distances come from a different (vectorised) formula than the final
-    # distances, so every bound gets a small relative slack: it can only add
-    # candidates, never drop a true neighbour
-    tol = 1e-7
-    cand = q.select("qid", "qv", "r", "pd", F.explode(
-        F.filter(idx, lambda i: (cr[i] >= 0) & (F.col("pd")[i] - cr[i]
-                                                 <= F.col("r") + tol * (1 + F.col("pd")[i] + cr[i])))).alias("cell"))
-    cand = cand.withColumn("qd", F.col("pd")[F.col("cell")]).drop("pd")
-    finite = F.col("r") < float("inf")
-    w = float(width)
-    band = F.col("r") + tol * (1 + F.col("r") + F.col("qd"))
-    banded = cand.where(finite).withColumn("rb", band).withColumn("b", F.explode(F.sequence(
-        F.floor((F.col("qd") - F.col("rb")) / w).cast("long"), F.floor((F.col("qd") + F.col("rb")) / w).cast("long"))))
-    side = pts.select(F.col("id").alias("nid"), F.col("vec").alias("nv"), "cell", "label", "dc",
-                      F.floor(F.col("dc") / w).cast("long").alias("b"))
-    near = banded.join(side, ["cell", "b"]).where(F.abs(F.col("dc") - F.col("qd")) <= F.col("rb")).drop("b", "rb")
-    whole = cand.where(~finite).join(side.drop("b"), "cell")
-    both = near.unionByName(whole)
-    d = both.select("qid", "nid", "label", _euclid(F.col("qv"), F.col("nv")).alias("dist"), "r")
-    return d.where((F.col("dist") <= F.col("r")) & (F.col("qid") != F.col("nid")))
+    Every tile of two groups of points (``plans.tiles``) gives the k nearest of each
+    point in the other group; the k nearest of these are kept. ``n_pivots``: the number of groups."""
+    groups = n_pivots or tiles.groups_for(points.count())
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("id", "label")}
 
+    def side(a: tiles.Points, b: tiles.Points) -> pa.Table:
+        i, j, far = tiles.closest(a, b, k)
+        # rows of an id that repeats count once for each of them
+        _, which, times = np.unique(a.ids, return_inverse=True, return_counts=True)
+        again = np.repeat(np.arange(len(i)), times[which[i]])
+        i, j, far = i[again], j[again], far[again]
+        return pa.table({"qid": a.table["id"].take(pa.array(i)), "nid": b.table["id"].take(pa.array(j)),
+                         "label": b.table["label"].take(pa.array(j)), "dist": far})
 
-def nearest(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
-    """(qid, nid, label, dist, r, rn): the exact ``k`` nearest neighbours of every point, itself
-    excluded, by distance and then id. ``points``: (id, vec array<double>, label).
-
-    Round 1 gives every point an upper bound r(q) on its k-th neighbour
-    distance from a bounded candidate set: its k predecessors and k successors
-    in its cell ordered by distance to the pivot (block-split positions, so a
-    crowded cell is still parallel). Round 2 collects every point within r(q)
-    with the pruned band join of ``neighbours_within`` and keeps the k nearest.
-    Exact: pruning only drops pairs that provably lie farther than r(q)."""
-    n = points.count()
-    P = n_pivots or max(1, min(1024, int(math.sqrt(n))))
-    pivots = _choose_pivots(points, P, seed)
-    pts, radii = _annotated(points, pivots)
-    from tidewater.plans.ordered import add_positions, rows_frame, value_blocks
-    blocked = value_blocks(pts.select("id", "vec", "cell", "dc"), ["cell"], F.col("dc"), min_width=1e-12)
-    pos = add_positions(blocked, ["cell"], ["dc", "id"], F.col("_tblk")).drop("_tblk")
-    lagged = rows_frame(pos, ["cell"], k + 1, lambda _f, o: {
-        **{f"pid{i}": F.lag("id", i).over(o) for i in range(1, k + 1)},
-        **{f"pv{i}": F.lag("vec", i).over(o) for i in range(1, k + 1)}})
-    pairs = lagged.select("id", "vec", F.explode(F.array(*[
-        F.struct(F.col(f"pid{i}").alias("nid"), F.col(f"pv{i}").alias("nv")) for i in range(1, k + 1)])).alias("p"))         .where(F.col("p.nid").isNotNull()).select("id", "vec", "p.nid", "p.nv")
-    d1 = pairs.select("id", _euclid(F.col("vec"), F.col("nv")).alias("dist"))
-    both = d1.unionByName(pairs.select(F.col("nid").alias("id"), _euclid(F.col("vec"), F.col("nv")).alias("dist")))
-    kth = (both.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("dist")))
-           .where(F.col("rn") == k).select("id", F.col("dist").alias("r")))
-    r = cut_lineage(pts.select("id").join(kth, "id", "left")
-                    .select("id", F.coalesce("r", F.lit(float("inf"))).alias("r")))
-    med = r.where(F.col("r") < float("inf")).agg(F.percentile_approx("r", 0.5)).collect()[0][0]
-    cand = neighbours_within(pts, radii, r, None, med or 1.0)
-    top = cand.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "nid"))).where(
-        F.col("rn") <= k)
-    return top
+    def work(a: tiles.Points, b: tiles.Points) -> pa.Table:
+        return side(a, b) if a is b else pa.concat_tables([side(a, b), side(b, a)])
+    found = tiles.tiled(points.select("id", "vec", "label"), groups, work, f"qid {kinds['id']}, nid {kinds['id']}, label {kinds['label']}, dist double", seed)
+    return found.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "nid"))).where(F.col("rn") <= k)
 
 
 def knn_exact(points: DataFrame, k: int = 5, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
@@ -413,20 +331,43 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5, n_pivots: int |
     """Core points have >= min_samples neighbours within eps (self included);
     clusters are the connected components of core points, named by their smallest
     id; border points join the smallest adjacent cluster; the rest is noise (-1).
-    Neighbours come from the pruned band join (bucket width = eps), components
-    from star contraction, which ends at the fixed point."""
-    n = points.count()
-    P = n_pivots or max(1, min(1024, int(math.sqrt(n))))
-    pivots = _choose_pivots(points, P, seed)
-    pts, radii = _annotated(points, pivots)
-    nb = cut_lineage(neighbours_within(pts, radii, None, eps, eps).select("qid", "nid"))
-    deg = nb.groupBy("qid").agg(F.count(F.lit(1)).alias("deg"))
-    core = cut_lineage(points.select("id").join(deg.withColumnRenamed("qid", "id"), "id", "left").where(
+
+    Pairs are never listed: tiles (``plans.tiles``, ``n_pivots`` groups) count each point's neighbours, then give links
+    that join what all pairs of core points join, fewer than a tile's points, and last the least cluster near each other point.
+    Components come from star contraction, which ends at the fixed point."""
+    groups = n_pivots or tiles.groups_for(points.count())
+    pts = points.select("id", "vec")
+
+    def count(a: tiles.Points, b: tiles.Points) -> pa.Table:
+        rows, columns = [], np.zeros(b.n, int)
+        for _, near in tiles.within(a, b, eps):
+            rows.append(near.sum(1))
+            columns += near.sum(0)
+        parts = [(a, np.concatenate(rows))] + ([] if a is b else [(b, columns)])
+        return pa.concat_tables([pa.table({"id": p.ids, "deg": n.astype("int64")}) for p, n in parts])
+    deg = tiles.tiled(pts, groups, count, "id long, deg long", seed).groupBy("id").agg(F.sum("deg").alias("deg"))
+    core = cut_lineage(points.select("id").join(deg, "id", "left").where(
         F.coalesce("deg", F.lit(0)) + 1 >= min_samples).select("id"))
-    edges = nb.where("qid > nid").join(core.withColumnRenamed("id", "qid"), "qid").join(core.withColumnRenamed("id", "nid"), "nid")
-    linked = components(edges.select(F.col("qid").cast("long").alias("a"), F.col("nid").cast("long").alias("b")))
-    labels = core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("lab"))
-    border = nb.join(labels.withColumnRenamed("id", "nid"), "nid").groupBy("qid").agg(F.min("lab").alias("blab"))
+
+    def link(a: tiles.Points, b: tiles.Points) -> pa.Table:
+        i, j = tiles.linked(a, b, eps)
+        return pa.table({"a": a.ids[i], "b": b.ids[j]})
+    linked = components(tiles.tiled(pts.join(core, "id", "left_semi"), groups, link, "a long, b long", seed))
+    labels = cut_lineage(core.join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("lab")))
+
+    def touch(a: tiles.Points, b: tiles.Points) -> pa.Table:
+        none = np.iinfo("int64").max
+        out = []
+        for p, q in [(a, b)] if a is b else [(a, b), (b, a)]:
+            rest, named = p.table.filter(p.table["lab"].is_null()), q.table.filter(q.table["lab"].is_valid())
+            if rest.num_rows and named.num_rows:
+                some, cores = tiles.Points(rest), tiles.Points(named)
+                names = cores.table["lab"].to_numpy()
+                low = np.concatenate([np.where(near, names, none).min(1) for _, near in tiles.within(some, cores, eps)])
+                out.append(pa.table({"qid": some.ids[low < none], "blab": low[low < none]}))
+        return pa.concat_tables(out) if out else pa.table({"qid": pa.array([], "int64"), "blab": pa.array([], "int64")})
+    named = pts.join(labels.distinct(), "id", "left")
+    border = tiles.tiled(named, groups, touch, "qid long, blab long", seed).groupBy("qid").agg(F.min("blab").alias("blab"))
     out = points.select("id").join(labels, "id", "left").join(border.withColumnRenamed("qid", "id"), "id", "left")
     return out.select("id", F.coalesce("lab", "blab", F.lit(-1)).cast("long").alias("cluster"),
                       F.col("lab").isNotNull().alias("is_core"))
