@@ -19,11 +19,23 @@ from tidewater.plans.ordered import add_positions
 from tidewater.plans.quantiles import quantile_wide
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+#: Hash values that the distinct values of a column are first dealt to.
+BUCKETS = 4096
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str], above: int) -> dict[str, int]:
+    """How many distinct values each column has, exact up to ``above``; for a column of more, a number over ``above``.
+
+    Distinct hash values are never more than distinct values, and at most ``BUCKETS``, so no task
+    holds the values of a column that has many; only where they are few are the values themselves counted."""
     if not cols:
         return {}
-    r = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).collect()[0]
-    return {c: r[c] for c in cols}
+    kinds = dict(df.dtypes)
+    plain = {c: F.col(c) + F.lit(0) if kinds[c] in ("double", "float") else F.col(c) for c in cols}  # -0.0 is 0.0
+    dealt = df.agg(*[F.count_distinct(F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(plain[c]), F.lit(BUCKETS)))).alias(c) for c in cols]).collect()[0]
+    few = [c for c in cols if dealt[c] <= above]
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in few]).collect()[0] if few else {}
+    return {c: exact[c] if c in few else dealt[c] for c in cols}
 
 
 # E1 -------------------------------------------------------------------------
@@ -41,7 +53,7 @@ def category_mean_features(df: DataFrame, max_cats: int = 3, max_nums: int = 3,
     categorical column covers all its numeric partners."""
     cats = categorical_columns(df)[:max_cats]
     nums = numeric_columns(df)[:max_nums]
-    nd = distinct_counts(df, cats)
+    nd = distinct_counts(df, cats, max_values)
     out = df
     for c in cats:
         if nd[c] > max_values:
@@ -57,7 +69,7 @@ def equal_width_bins(df: DataFrame, cols: Sequence[str] | None = None, bins: int
     """pd.cut(bins=5, labels=False) for numeric columns with > 10 distinct values:
     right-closed bins, the lowest edge widened (SEM-7)."""
     cols = list(cols or numeric_columns(df))
-    nd = distinct_counts(df, cols)
+    nd = distinct_counts(df, cols, min_distinct)
     use = [c for c in cols if nd[c] > min_distinct]
     if not use:
         return df
@@ -145,7 +157,7 @@ def one_hot(df: DataFrame, col: str, values: Sequence | None = None, drop: bool
 def encode_auto(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """E6/E7 'auto': two values -> factorize; <= 10 -> one-hot; more -> factorize."""
     cats = categorical_columns(df)
-    nd = distinct_counts(df, cats)
+    nd = distinct_counts(df, cats, 10)
     out = df
     for c in cats:
         if nd[c] == 2 or nd[c] > 10:
