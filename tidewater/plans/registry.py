@@ -107,8 +107,7 @@ class NGrams:
         if text is None:
             return
         toks = text.split(" ") if text else []
-        for i in range(len(toks) - n + 1):
-            yield " ".join(toks[i:i + n]), i
+        yield from zip(map(" ".join, zip(*(toks[i:] for i in range(n)))), range(len(toks)))
 
 
 def register_ngrams(spark: SparkSession, name: str = "ngrams") -> None:

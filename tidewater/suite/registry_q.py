@@ -9,7 +9,7 @@ from tidewater.sources.tables import table
 from tidewater.suite import register
 from tidewater.suite.profile_q import _describe_sql
 from tidewater.suite.sqlgen import LINEITEM_NUMERIC
-from tidewater.suite.text_q import _ngram_sql, _with_pre, pre
+from tidewater.suite.text_q import _ngram_sql, _with_pre, pre_sliced
 
 
 @register("udf_register", """
@@ -35,6 +35,6 @@ def plan_run(spark, d):
 SELECT ngram, CAST(count(*) AS BIGINT) AS count FROM ({_ngram_sql(2)}) GROUP BY ngram ORDER BY count DESC, ngram LIMIT 20"""))
 def udtf_ngrams(spark, d):
     RG.register_ngrams(spark, "tw_ngrams")
-    p = pre(spark, d).select("doc_id", "processed")
+    p = pre_sliced(spark, d).select("doc_id", "processed")
     grams = spark.sql("SELECT g.ngram FROM {p}, LATERAL tw_ngrams(processed, 2) g", p=p)
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "ngram").limit(20)
