@@ -7,13 +7,18 @@ either of two words, are a union of intervals. Its size is the sum, over the
 positions in order, of what each interval adds to the one before. The windows with both
 words follow by inclusion and exclusion.
 
-Only the top words are looked at: a token that is one is copied once for each
-pair of its topics, so the work grows with the occurrences of the top words. A null or empty
-token list has no windows.
+Only the top words are looked at: a document is shuffled as the places of those it has, once, and the
+intervals of all pairs of a topic's words are added up where it arrives. The top words and their
+pairs go to every task, so topics and words of a topic should be few. A null or empty token list has no windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +39,65 @@ def window_counts(docs: DataFrame, topics: DataFrame, window: int = WINDOW, id_c
     """(wi, wj, n): the windows with wi or wj, for all pairs of a topic; and the number of all windows as a row."""
     sized = docs.select(F.col(id_col).alias("doc"), F.col(tokens).alias("tokens"), F.size(tokens).cast("long").alias("size")).where("size > 0")
     total = sized.agg(F.coalesce(F.sum(F.greatest(F.col("size") - (window - 1), F.lit(1))), F.lit(0)).alias("windows"))
-    pairs = staged(_pairs(topics), "pairs")
-    # each pair under both words (once, if they are the same)
-    sides = pairs.select("wi", "wj", F.explode(F.array_distinct(F.array("wi", "wj"))).alias("term"))
-    spots = sized.select("doc", "size", F.posexplode(exploded("tokens")).alias("pos", "term")).join(topics.select("term").distinct(), "term")
-    each = spots.join(sides, "term")
-    low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    high = F.least(F.col("pos").cast("long"), F.greatest(F.col("size") - window, F.lit(0)))
-    last = F.lag(high, 1, -1).over(Window.partitionBy("doc", "wi", "wj").orderBy("pos"))
-    added = F.greatest(high - F.greatest(low, last + 1) + 1, F.lit(0))
-    return each.select("wi", "wj", added.alias("n")).groupBy("wi", "wj").agg(F.sum("n").alias("n")), total
+    pairs = [(r["wi"], r["wj"]) for r in _pairs(topics).collect()]
+    terms = sorted({w for p in pairs for w in p})
+    if not terms:
+        return docs.sparkSession.createDataFrame([], "wi string, wj string, n long"), total
+    codes = {w: i for i, w in enumerate(terms)}
+    spots = F.transform(F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda s: s["term"].isin(terms)),
+                        lambda s: F.struct(s["pos"].alias("pos"), (F.array_position(F.lit(terms), s["term"]) - 1).cast("int").alias("code")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc").cast("string")), F.lit(""))  # rows of one document meet
+    dealt = sized.select(key.alias("key"), "size", spots.alias("spots")).repartition("key").sortWithinPartitions("key")
+
+    def added(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [(codes[x], codes[y]) for x, y in pairs]
+        total_ = np.zeros(len(names), "int64")
+        for part in _whole(tables):
+            total_ += _windows(part, names, len(terms), window)
+        seen = np.flatnonzero(total_)
+        yield pa.RecordBatch.from_pydict({"wi": [pairs[i][0] for i in seen], "wj": [pairs[i][1] for i in seen], "n": total_[seen]},
+                                         schema=pa.schema([("wi", pa.string()), ("wj", pa.string()), ("n", pa.int64())]))
+    return dealt.mapInArrow(added, "wi string, wj string, n long").groupBy("wi", "wj").agg(F.sum("n").alias("n")), total
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, ordered by key, in tables that end with a key's last row."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        open_ = pc.index(now["key"], now["key"][-1]).as_py()
+        rest = now.slice(open_)
+        if open_:
+            yield now.slice(0, open_)
+    if rest is not None:
+        yield rest
+
+
+def _windows(rows: pa.Table, pairs: list[tuple[int, int]], terms: int, window: int) -> np.ndarray:
+    """How many windows of the documents have one of the words, for each pair of codes."""
+    lists = rows["spots"].combine_chunks()
+    doc = rows["key"].combine_chunks().dictionary_encode().indices.to_numpy()
+    many = pc.list_value_length(lists).to_numpy()
+    flat = lists.flatten()
+    pos, code = (flat.field(f).to_numpy().astype("int64") for f in ("pos", "code"))
+    doc, size = np.repeat(doc, many), np.repeat(rows["size"].to_numpy(), many)
+    low, high = np.maximum(pos - (window - 1), 0), np.minimum(pos, np.maximum(size - window, 0))
+    order = np.lexsort((pos, doc))
+    doc, low, high, code = doc[order], low[order], high[order], code[order]
+    by = np.argsort(code, kind="stable")
+    ends = np.searchsorted(code[by], np.arange(terms + 1))
+    at = [by[ends[c]:ends[c + 1]] for c in range(terms)]
+    out = np.zeros(len(pairs), "int64")
+    for i, (x, y) in enumerate(pairs):
+        both = at[x] if x == y else np.sort(np.concatenate([at[x], at[y]]))
+        if len(both):
+            h, d = high[both], doc[both]
+            last = np.where(np.r_[True, d[1:] != d[:-1]], -1, np.r_[-1, h[:-1]])
+            out[i] = np.maximum(h - np.maximum(low[both], last + 1) + 1, 0).sum()
+    return out
 
 
 def cv_coherence(docs: DataFrame, topics: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tokens: str = "tokens") -> DataFrame:
