@@ -6,7 +6,7 @@ it round and weakens it. Words before the first "but" of the text count half, th
 Up to four exclamation marks, or question marks from the second one on, strengthen a sum that is not 0. The compound score s / sqrt(s^2 + 15) lies between
 -1 and 1.
 
-Each token carries the three before it, so only the tokens that the lexicon has are shuffled, and nothing is sorted.
+Each token carries the three before it. The fixed lexicon is broadcast, and only sums of a document's tokens are shuffled; nothing is sorted.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def _marks(text: Column) -> Column:
 def valence_sentiment(df: DataFrame, lexicon: DataFrame | None = None, id_col: str = "doc_id", threshold: float = 0.05,
                       stronger: Sequence[str] = STRONGER, weaker: Sequence[str] = WEAKER, negations: Sequence[str] = NEGATIONS) -> DataFrame:
     """(id, compound, matched, label) of every row with a text; one without a word of the lexicon is neutral with 0. Ids are distinct."""
-    lex = lexicon if lexicon is not None else valence_table(df.sparkSession)
+    lex = lexicon if lexicon is not None else F.broadcast(valence_table(df.sparkSession))  # of fixed size: no token is shuffled
     texts = df.where(F.col("text").isNotNull()).select(F.col(id_col).alias("id"), F.col("text"), word_tokens(F.lower("text")).alias("w"))
     texts = texts.withColumn("but", F.array_position("w", "but"))
     each = F.transform("w", lambda t, i: F.struct(t.alias("token"), i.alias("pos"), F.slice(F.col("w"), F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))).alias("before")))

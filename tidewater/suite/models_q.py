@@ -18,7 +18,7 @@ from tidewater.session import staged
 from tidewater.suite import register
 from tidewater.suite.ml_q import classification, embedding_points
 from tidewater.suite.sqlgen import r6
-from tidewater.suite.text_q import WORD_SQL, _with_pre, docs, pre
+from tidewater.suite.text_q import WORD_SQL, _with_pre, docs, docs_sliced, pre, pre_sliced
 
 _W = TP.WINDOW
 
@@ -45,7 +45,7 @@ def text_coherence_cv(spark, d):
 @register("text_lda_coherence")
 def text_lda_coherence(spark, d):
     """c_v of LDA topics."""
-    p = pre(spark, d).select("doc_id", "tokens").cache()
+    p = pre_sliced(spark, d).select("doc_id", "tokens").cache()
     return TP.cv_coherence(p, X.lda_topics(p, k=5))
 
 
@@ -147,7 +147,7 @@ c AS (SELECT doc_id, matched, (s + sign(s) * marks) / sqrt((s + sign(s) * marks)
 SELECT doc_id, {r6('compound')} AS compound, CAST(matched AS BIGINT) AS matched,
   CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM c""")
 def text_sentiment_valence(spark, d):
-    return VL.valence_sentiment(docs(spark, d))
+    return VL.valence_sentiment(docs_sliced(spark, d))
 
 
 _HELD = _num("CAST(doc_id AS VARCHAR)") + " % 5 = 0"
