@@ -59,3 +59,19 @@ def test_rooms_expire_and_hold_their_capacity(spark, tmp_path):
 
 def test_rooms_of_an_empty_stream(spark, tmp_path):
     assert _rooms(spark, tmp_path, [[]]) == []
+
+
+def test_rooms_share_the_state_of_a_bucket(spark, tmp_path):
+    """A state a room took one call for each room of a micro-batch."""
+    from datetime import datetime as D
+
+    from tidewater.streaming.rooms import live_rooms
+    schema, path, big = "room long, who string, at timestamp, id long", str(tmp_path / "landing"), 2 ** 60 + 1
+    for d, n in ((1, 3), (3, 1), (5, 2), (20, 1)):
+        rows = [(r, w, D(2024, 1, d, 9, i), i) for r in (big, big + 1, None) for i, w in enumerate("xyz"[:n])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    q = live_rooms(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), "room", "who", "at", "id", capacity=2, buckets=1)
+    ST.run_to_files(q, str(tmp_path / "closed"), str(tmp_path / "ckpt"))
+    got = {tuple(r) for r in spark.read.schema(q.schema).parquet(str(tmp_path / "closed")).collect()}
+    assert got == {(r, *x, "active") for r in (big, big + 1, None) for x in (
+        (D(2024, 1, 1, 9), D(2024, 1, 1, 9, 2), 3, 2, 1), (D(2024, 1, 3, 9), D(2024, 1, 3, 9), 1, 1, 0), (D(2024, 1, 5, 9), D(2024, 1, 5, 9, 1), 2, 2, 0))}
