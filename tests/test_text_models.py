@@ -125,3 +125,32 @@ def test_large_row_groups_are_sliced(spark, tmp_path):
     assert sliced(df, size // 20).rdd.getNumPartitions() >= 20
     assert sorted(sliced(df, size // 20).collect()) == sorted(rows)
     assert sliced(df, size).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
+def _left(spark, run):
+    """The result of ``run`` and what it left of written copies and checkpoints."""
+    import os
+
+    from tidewater.session import ensure_checkpoint_dir, shared_dir
+    kept, copies = ensure_checkpoint_dir(spark).removeprefix("file:"), os.path.join(shared_dir(spark).removeprefix("file:"), "tidewater")
+    seen = lambda: {os.path.join(d, x) for d in (kept, copies) if os.path.isdir(d) for x in os.listdir(d) if x.startswith("rdd-") or d == copies}
+    before = seen()
+    out = run().collect()
+    return out, len(seen() - before)
+
+
+def test_textrank_keeps_no_round_on_disk(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "c", "d"]), (2, ["e"]), (3, ["a", "a", "b", "c"]), (4, [])], "doc_id long, tokens array<string>")
+    out, left = _left(spark, lambda: X.textrank(docs))
+    names, m = ["a", "b", "c", "d", "e"], np.zeros((5, 5))
+    for t in (["a", "b", "a", "c", "d"], ["a", "a", "b", "c"]):
+        for s in range(len(t) - 3):
+            for i in range(s, s + 4):
+                for j in range(i + 1, s + 4):
+                    m[names.index(t[i]), names.index(t[j])] += 1
+                    m[names.index(t[j]), names.index(t[i])] += 1
+    share, x = m / np.maximum(m.sum(0), 1), np.ones(5)
+    for _ in range(10):
+        x = 0.85 + 0.15 * share @ x
+    assert {r.word: r.score for r in out} == {n: pytest.approx(v, abs=1e-12) for n, v in zip(names, x)}
+    assert left == 2  # the words and the last scores; all rounds were left before

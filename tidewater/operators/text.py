@@ -18,7 +18,7 @@ from tidewater.functions.lexicons import (BASIC_STOPWORDS, LANGUAGE_PROFILES, SE
                                           STOPWORDS)
 from tidewater.functions.scalar import (HTML_TAG_RE, NON_WORD, PHONE_TEXT_RE, clean_text, squeeze,
                                         syllables)
-from tidewater.session import cut_lineage, staged
+from tidewater.session import drop_staged, staged
 
 # Word pattern (letters first, then letters, digits, _ or ') and sentence split.
 WORD_RE = r"\p{L}[\p{L}\p{N}_']*"
@@ -340,23 +340,25 @@ def textrank(docs: DataFrame, tokens: str = "tokens", iterations: int = 10, damp
              window: int = 4) -> DataFrame:
     """X18 (SEM-20): score_i = (1 - damping) + damping * sum_j w_ij * score_j / rowsum_j,
     10 rounds from 1.0 (damping 0.15 reproduces the reference's reversed constant).
-    Each round is one join + aggregate over the sparse edge table; the score
-    table is checkpointed every round."""
-    toks = cut_lineage(docs.select(tokens))        # the text pipeline runs once
-    vocab = toks.select(F.explode(tokens).alias("word")).distinct()  # of a written table: a bare column costs nothing
-    edges = cut_lineage(cooccurrence_edges(toks, tokens, window))
-    rowsum = edges.groupBy("src").agg(F.sum("weight").alias("rowsum"))
-    # normalised edge weight w_ij / rowsum_j, keyed by j (the neighbour)
-    norm = cut_lineage(edges.join(rowsum.withColumnRenamed("src", "dst"), "dst")
-                       .select(F.col("src").alias("i"), F.col("dst").alias("j"),
-                               (F.col("weight") / F.col("rowsum")).alias("nw")))
-    scores = cut_lineage(vocab.select("word", F.lit(1.0).alias("score")))
+    Words are numbered and each round is one join + aggregate over the written edge table. A round's shuffle
+    files and the scores before it go when it has ended, so the disk holds one round, not all."""
+    toks = staged(docs.select(tokens), "tokens", tidy=True)  # the text pipeline runs once
+    # of a written table: a bare column costs nothing
+    vocab = staged(toks.select(F.explode(tokens).alias("word")).distinct().withColumn("id", F.monotonically_increasing_id()), "words", tidy=True)
+    named = staged(cooccurrence_edges(toks, tokens, window), "named_edges", tidy=True)
+    src, dst = (vocab.select(F.col("word").alias(end), F.col("id").alias(i)) for end, i in (("src", "i"), ("dst", "j")))
+    edges = staged(named.join(src, "src").join(dst, "dst").select("i", "j", "weight").sortWithinPartitions("j", "i"), "edges", tidy=True)
+    drop_staged(toks, named)
+    rowsum = edges.groupBy("i").agg(F.sum("weight").alias("rowsum")).withColumnRenamed("i", "id")
+    scores = staged(vocab.select("id").join(rowsum, "id", "left").withColumn("score", F.lit(1.0)), "scores", tidy=True)
     for _ in range(iterations):
-        contrib = norm.join(scores.withColumnRenamed("word", "j"), "j").groupBy("i").agg(
-            F.sum(F.col("nw") * F.col("score")).alias("s"))
-        scores = cut_lineage(vocab.join(contrib.withColumnRenamed("i", "word"), "word", "left").select(
-            "word", ((1.0 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score")))
-    return scores
+        share = scores.select(F.col("id").alias("j"), (F.col("score") / F.col("rowsum")).alias("share"))
+        contrib = edges.join(share, "j").groupBy("i").agg(F.sum(F.col("weight") * F.col("share")).alias("s"))
+        last, scores = scores, staged(scores.join(contrib.withColumnRenamed("i", "id"), "id", "left").select(
+            "id", "rowsum", ((1.0 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score")), "scores", tidy=True)
+        drop_staged(last)
+    drop_staged(edges)
+    return vocab.join(scores, "id").select("word", "score")
 
 
 # --- X22 / X23: readability ----------------------------------------------------------------

@@ -26,6 +26,9 @@ BASE_CONF = {
     "spark.sql.codegen.maxFields": "1000",
 }
 
+#: Spark's setting to remove a query's shuffle files at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "tidewater", extra: dict | None = None) -> SparkSession:
@@ -79,20 +82,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, label: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy", rows: int | None = None, tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     The copy survives lost executors, is columnar and compressed, and every
     later reader sees the same rows. Each call writes to a new path. Where a
     bound of its rows is known, ``rows`` keeps small tables from being written
-    as one tiny file for each shuffle partition.
+    as one tiny file for each shuffle partition. ``tidy`` has the shuffle files of this write removed when
+    it has ended, for rounds that would otherwise leave theirs until the driver collects garbage; ``drop_staged``
+    removes the copy itself.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidewater/{uuid.uuid4().hex}/{label}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // 100_000))
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(TIDY)
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*copies: DataFrame) -> None:
+    """Remove copies made by ``staged`` that nothing reads any more."""
+    for df in copies:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def ship_package(spark: SparkSession) -> None:
