@@ -154,3 +154,10 @@ def test_textrank_keeps_no_round_on_disk(spark):
         x = 0.85 + 0.15 * share @ x
     assert {r.word: r.score for r in out} == {n: pytest.approx(v, abs=1e-12) for n, v in zip(names, x)}
     assert left == 2  # the words and the last scores; all rounds were left before
+
+
+def test_nmf_keeps_no_update_on_disk(spark):
+    rows = [(i, f"w{(i + j) % 7}", 1.0 + (i * j) % 3) for i in range(9) for j in range(3)] + [(None, "w1", 1.0)]
+    out, left = _left(spark, lambda: X.nmf_topics(spark.createDataFrame(rows, "doc_id long, term string, weight double"), k=2, words=7, iterations=2))
+    assert len(out) == 14 and left == 2  # the terms and the last topics; every update was left before
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
