@@ -161,3 +161,30 @@ def test_nmf_keeps_no_update_on_disk(spark):
     out, left = _left(spark, lambda: X.nmf_topics(spark.createDataFrame(rows, "doc_id long, term string, weight double"), k=2, words=7, iterations=2))
     assert len(out) == 14 and left == 2  # the terms and the last topics; every update was left before
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_textrank_over_tiles_of_blocks(spark, monkeypatch):
+    """All pairs went through a join and a shuffle in each round, one row for each pair and direction."""
+    from tidewater.plans import pairs as P
+    texts = [[f"w{(i * i + 3 * j * j) % 41}" for j in range(4 + i % 30)] for i in range(60)] + [["x", None, "y", "x", "x", "y"], [], None, ["only"], ["w1"] * 9]
+    docs = spark.createDataFrame([(t,) for t in texts], "tokens array<string>").repartition(5)
+    monkeypatch.setattr(P, "TILE", 1200)
+    chunks = P.chunked(docs)
+    assert (blocks := P.blocks_for(chunks, 4)) > 1
+    tiles = X.cooccurrence_edges(chunks, P.numbered(chunks, blocks)).collect()
+    assert len({(r.lo, r.hi) for r in tiles}) == len(tiles) <= blocks * (blocks + 1) // 2 and all(r.lo <= r.hi for r in tiles)
+    names = sorted({w for t in texts for w in t or [] if w is not None})
+    m = np.zeros((len(names), len(names)))
+    for t in texts:
+        for s in range(len(t or []) - 3):
+            for i in range(s, s + 4):
+                for j in range(i + 1, s + 4):
+                    if t[i] is not None and t[j] is not None:
+                        m[names.index(t[i]), names.index(t[j])] += 1
+                        m[names.index(t[j]), names.index(t[i])] += 1
+    share, x = m / np.maximum(m.sum(0), 1), np.ones(len(names))
+    for _ in range(10):
+        x = 0.85 + 0.15 * share @ x
+    got = {r.word: r.score for r in X.textrank(docs).collect()}
+    assert got == {n: pytest.approx(v, abs=1e-12) for n, v in [*zip(names, x), (None, 0.85)]}
+    assert X.textrank(docs.where("false")).collect() == []

@@ -9,8 +9,11 @@ bounded by construction (``max_features``) or left to AQE's size check.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from tidewater.functions.lexicons import (BASIC_STOPWORDS, LANGUAGE_PROFILES, SE
                                           STOPWORDS)
 from tidewater.functions.scalar import (HTML_TAG_RE, NON_WORD, PHONE_TEXT_RE, clean_text, squeeze,
                                         syllables)
+from tidewater.plans import pairs as P
 from tidewater.session import drop_staged, staged
 
 # Word pattern (letters first, then letters, digits, _ or ') and sentence split.
@@ -314,51 +318,68 @@ def tfidf_keywords(weights: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
 
 # --- X18: TextRank --------------------------------------------------------------------------
 
-def cooccurrence_edges(docs: DataFrame, tokens: str = "tokens", window: int = 4) -> DataFrame:
-    """(src, dst, weight) - symmetric co-occurrence counts of words at distance
-    1..window-1 inside sliding windows of ``window`` words, within each document.
-    A pair at positions (p, p+d) lies in every window start s with
-    max(0, p+d-window+1) <= s <= min(p, L-window)."""
-    t = F.col(tokens)
-    L = F.size(t)
-
-    def pairs_at(i):
-        return F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(window - 1), L - 1 - i)),
-            lambda dd: F.struct(
-                F.element_at(t, i + 1).alias("a"), F.element_at(t, i + dd + 1).alias("b"),
-                (F.least(i, L - window) - F.greatest(F.lit(0), i + dd - (window - 1)) + 1).alias("w")))
-    all_pairs = F.flatten(F.transform(F.sequence(F.lit(0), L - 2), pairs_at))
-    ex = (docs.where(L >= window).select(F.explode(all_pairs).alias("p")).select("p.*")
-          .where(F.col("w") > 0))
-    both = ex.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(
-        ex.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
-    return both.groupBy("src", "dst").agg(F.sum("w").cast("double").alias("weight"))
+def cooccurrence_edges(chunks: DataFrame, words: DataFrame, window: int = 4) -> DataFrame:
+    """Symmetric co-occurrence counts of words at distance 1..window-1 inside sliding windows of ``window`` words,
+    within each document, as tiles of pairs of numbered words (see ``plans.pairs``)."""
+    return P.window_pairs(chunks, words, window)
 
 
 def textrank(docs: DataFrame, tokens: str = "tokens", iterations: int = 10, damping: float = 0.15,
              window: int = 4) -> DataFrame:
     """X18 (SEM-20): score_i = (1 - damping) + damping * sum_j w_ij * score_j / rowsum_j,
     10 rounds from 1.0 (damping 0.15 reproduces the reference's reversed constant).
-    Words are numbered and each round is one join + aggregate over the written edge table. A round's shuffle
+    Words are numbered, scores lie in blocks, and each round is one product with the written tiles of pairs. A round's shuffle
     files and the scores before it go when it has ended, so the disk holds one round, not all."""
-    toks = staged(docs.select(tokens), "tokens", tidy=True)  # the text pipeline runs once
-    # of a written table: a bare column costs nothing
-    vocab = staged(toks.select(F.explode(tokens).alias("word")).distinct().withColumn("id", F.monotonically_increasing_id()), "words", tidy=True)
-    named = staged(cooccurrence_edges(toks, tokens, window), "named_edges", tidy=True)
-    src, dst = (vocab.select(F.col("word").alias(end), F.col("id").alias(i)) for end, i in (("src", "i"), ("dst", "j")))
-    edges = staged(named.join(src, "src").join(dst, "dst").select("i", "j", "weight").sortWithinPartitions("j", "i"), "edges", tidy=True)
-    drop_staged(toks, named)
-    rowsum = edges.groupBy("i").agg(F.sum("weight").alias("rowsum")).withColumnRenamed("i", "id")
-    scores = staged(vocab.select("id").join(rowsum, "id", "left").withColumn("score", F.lit(1.0)), "scores", tidy=True)
+    chunks = staged(P.chunked(docs, tokens), "chunks", "zstd", tidy=True)  # the text pipeline runs once
+    blocks = P.blocks_for(chunks, window)
+    vocab = staged(P.numbered(chunks, blocks), "words", tidy=True)
+    edges = staged(cooccurrence_edges(chunks, vocab, window), "edges", tidy=True)
+    drop_staged(chunks)
+    state = "b int, score binary, rowsum binary"
+    empty = F.lit(None).cast("binary")
+
+    def first(table: pa.Table) -> pa.Table:
+        n = pc.max(table["n"]).as_py()
+        return row(table, np.ones(n), P.added(table, n))
+
+    def following(table: pa.Table) -> pa.Table:
+        own = table.filter(table["score"].is_valid())
+        rowsum = np.frombuffer(own["rowsum"][0].as_buffer())
+        return row(own, (1.0 - damping) + damping * P.added(table, len(rowsum)), rowsum)
+
+    def row(table: pa.Table, score: np.ndarray, rowsum: np.ndarray) -> pa.Table:
+        return pa.table({"b": table["b"].slice(0, 1), "score": pa.array([score.tobytes()], pa.binary()), "rowsum": pa.array([rowsum.tobytes()], pa.binary())})
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [[np.frombuffer(x.as_buffer()) for x in two] for two in zip(batch["score"], batch["rowsum"])]
+            yield pa.RecordBatch.from_arrays([batch["b"], pa.array([np.divide(s, r, out=np.zeros(len(s)), where=r > 0).tobytes() for s, r in pairs], pa.binary())], names=["b", "x"])
+
+    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["b"], pa.array([np.ones(n).tobytes() for n in batch["n"].to_pylist()], pa.binary())], names=["b", "x"])
+
+    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, x in zip(batch["b"].to_pylist(), batch["score"]):
+                score = np.frombuffer(x.as_buffer())
+                for at in range(0, len(score), 1 << 16):
+                    part = score[at:at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, "int32")), pa.array(np.arange(at, at + len(part), dtype="int32")), pa.array(part)], names=["b", "at", "score"])
+
+    sizes = vocab.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    rowsums = P.product(edges, sizes.mapInArrow(ones, "b int, x binary"), blocks)
+    both = sizes.select("b", "n", F.lit(None).cast("int").alias("other"), empty.alias("s")).unionByName(
+        rowsums.select("b", F.lit(None).cast("long").alias("n"), "other", "s"))
+    scores = staged(both.groupBy("b").applyInArrow(first, state), "scores", tidy=True)
     for _ in range(iterations):
-        share = scores.select(F.col("id").alias("j"), (F.col("score") / F.col("rowsum")).alias("share"))
-        contrib = edges.join(share, "j").groupBy("i").agg(F.sum(F.col("weight") * F.col("share")).alias("s"))
-        last, scores = scores, staged(scores.join(contrib.withColumnRenamed("i", "id"), "id", "left").select(
-            "id", "rowsum", ((1.0 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score")), "scores", tidy=True)
+        came = P.product(edges, scores.mapInArrow(shares, "b int, x binary"), blocks)
+        both = scores.select("*", F.lit(None).cast("int").alias("other"), empty.alias("s")).unionByName(
+            came.select("b", empty.alias("score"), empty.alias("rowsum"), "other", "s"))
+        last, scores = scores, staged(both.groupBy("b").applyInArrow(following, state), "scores", tidy=True)
         drop_staged(last)
     drop_staged(edges)
-    return vocab.join(scores, "id").select("word", "score")
+    return vocab.join(scores.mapInArrow(spread_out, "b int, at int, score double"), ["b", "at"]).select("word", "score")
 
 
 # --- X22 / X23: readability ----------------------------------------------------------------

@@ -273,7 +273,7 @@ s0 AS (SELECT word, 1.0 AS score FROM vocab)"""]
 
 @register("text_textrank", _textrank_sql())
 def text_textrank(spark, d):
-    return X.textrank(pre(spark, d))
+    return X.textrank(pre_sliced(spark, d))
 
 
 def _readability_cte() -> str:
