@@ -188,3 +188,20 @@ def test_textrank_over_tiles_of_blocks(spark, monkeypatch):
     got = {r.word: r.score for r in X.textrank(docs).collect()}
     assert got == {n: pytest.approx(v, abs=1e-12) for n, v in [*zip(names, x), (None, 0.85)]}
     assert X.textrank(docs.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("query", ["text_coherence", "text_lda_coherence"])
+def test_coherence_keeps_no_rows_in_memory(spark, tmp_path, monkeypatch, query):
+    """Tokens and their counts were cached in the executors' heaps, and the tokens stayed there."""
+    import __spark_entry__ as entry
+    from pyspark import StorageLevel
+    rows = [(i, " ".join(f"{w}{'abcdefgh'[(i * j) % 8]}" for j, w in enumerate(("apple", "pear", "plum", "fig") * 4)), "en", "web", 10) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept, levels = spark._jsc.sc().getPersistentRDDs, []
+    frame = type(spark.range(1))
+    before, keep = kept().size(), frame.persist
+    monkeypatch.setattr(frame, "persist", lambda df, level=StorageLevel.MEMORY_AND_DISK_DESER: levels.append(level) or keep(df, level))
+    monkeypatch.setattr(frame, "cache", lambda df: df.persist())
+    out = entry.queries()[query](spark, str(tmp_path)).collect()
+    assert len(levels) == 2 and not any(x.useMemory for x in levels)
+    assert len(out) == 5 and kept().size() <= before

@@ -45,8 +45,10 @@ def text_coherence_cv(spark, d):
 @register("text_lda_coherence")
 def text_lda_coherence(spark, d):
     """c_v of LDA topics."""
-    p = pre_sliced(spark, d).select("doc_id", "tokens").cache()
-    return TP.cv_coherence(p, X.lda_topics(p, k=5))
+    p = X.on_disk(pre_sliced(spark, d).select("doc_id", "tokens"))
+    out = TP.cv_coherence(p, X.lda_topics(p, k=5))
+    p.unpersist()  # what the result reads is written by now
+    return out
 
 
 # Prim's algorithm, one point a round: the lengths are those of any minimum spanning tree.
