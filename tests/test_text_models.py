@@ -205,3 +205,20 @@ def test_coherence_keeps_no_rows_in_memory(spark, tmp_path, monkeypatch, query):
     out = entry.queries()[query](spark, str(tmp_path)).collect()
     assert len(levels) == 2 and not any(x.useMemory for x in levels)
     assert len(out) == 5 and kept().size() <= before
+
+
+def test_tfidf_moves_terms_twice(spark):
+    """Terms were made and counted twice, and moved by term, by term with their rank, and by document as five wide columns."""
+    docs = spark.createDataFrame([(i, [f"w{i % 3}", "all", f"w{i % 5}"]) for i in range(30)] + [(None, ["all", "w1"]), (31, []), (32, None)], "doc_id long, tokens array<string>")
+    out = X.tfidf(docs, ngram_range=(1, 1))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan and plan.count("RepartitionByExpression") == 1  # made from the written counts
+    rows = {(r.doc_id, r.term): r for r in out.collect()}
+    want = {(i, w): [f"w{i % 3}", "all", f"w{i % 5}"].count(w) for i in range(30) for w in (f"w{i % 3}", "all", f"w{i % 5}")} | {(None, "all"): 1, (None, "w1"): 1}
+    assert {k: r.tf for k, r in rows.items()} == want
+    df = {w: sum(k[1] == w for k in want) for _, w in want}
+    idf = {w: np.log(34 / (1 + n)) + 1 for w, n in df.items()}
+    norm = {i: np.sqrt(sum((n * idf[w]) ** 2 for (j, w), n in want.items() if j == i)) for i, _ in want}
+    assert all(r.idf == pytest.approx(idf[w]) and r.weight == pytest.approx(r.tf * idf[w] / norm[i]) for (i, w), r in rows.items())
+    top = X.tfidf(docs, ngram_range=(1, 1), max_features=2).collect()
+    assert {r.term for r in top} == {"all", "w1"} and {r.idf for r in top if r.term == "all"} == {rows[0, "all"].idf}
