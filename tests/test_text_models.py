@@ -222,3 +222,15 @@ def test_tfidf_moves_terms_twice(spark):
     assert all(r.idf == pytest.approx(idf[w]) and r.weight == pytest.approx(r.tf * idf[w] / norm[i]) for (i, w), r in rows.items())
     top = X.tfidf(docs, ngram_range=(1, 1), max_features=2).collect()
     assert {r.term for r in top} == {"all", "w1"} and {r.idf for r in top if r.term == "all"} == {rows[0, "all"].idf}
+
+
+def test_nmf_deals_its_cells_once(spark, monkeypatch):
+    """Every update dealt the whole matrix to its parts twice."""
+    rows = [(i, f"w{(i + j) % 7}", 1.0 + (i * j) % 3) for i in range(9) for j in range(3)]
+    frame, dealt = type(spark.range(1)), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *a: dealt.append(df.columns) or deal(df, *a))
+    kept = spark._jsc.sc().getPersistentRDDs
+    before = kept().size()
+    assert len(X.nmf_topics(spark.createDataFrame(rows, "doc_id long, term string, weight double"), k=2, words=7, iterations=3).collect()) == 14
+    assert dealt.count(["p", "t", "d", "v"]) == 1 and kept().size() <= before
